@@ -19,6 +19,7 @@ from vellumflow.llm.shared import SPACE, cut
 HOT_SHARE = 0.005
 SAMPLE = 0.05
 SALTS = 64
+HEAD = 64  # characters that splitters look at
 
 
 def normalised(text: Column) -> Column:
@@ -44,12 +45,16 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     hot = hot_hashes(docs, text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"), F.coalesce(F.char_length(F.col(text_col)), F.lit(0)).alias("n"))
-    salt = F.when(F.xxhash64("norm").isin(hot), F.lit(1) + F.pmod(F.xxhash64("doc_id"), F.lit(salts))) if hot else F.lit(None).cast("long")
-    rows = rows.withColumn("salt", F.coalesce(salt, F.lit(0)))
-    # The window needs equal (norm, salt) together, which the ranges already give: no second exchange.
-    run = Window.partitionBy("norm", "salt")
+    rows = rows.withColumn("head", F.substring("norm", 1, HEAD)).withColumn("hash", F.xxhash64("norm"))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts))
+    rows = rows.withColumn("salt", F.when(F.col("hash").isin(hot), salt + 1).otherwise(0) if hot else F.lit(0))
+    # Splitters go by the head of the text, then by its hash: short keys, however long the texts are. The window keeps
+    # equal (head, hash, salt) together, which the ranges already give, so there is no second exchange; the text itself
+    # is compared in full between neighbours.
+    ranges = ["head", "hash", "salt"] if hot else ["head", "hash"]
+    run = Window.partitionBy(*ranges, "norm")
     first = run.orderBy(F.desc("n"), F.asc_nulls_last("doc_id"))
-    ranged = rows.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "norm", "salt")
+    ranged = rows.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *ranges)
     runs = ranged.select(
         "doc_id", "salt", "n",
         F.sha2(F.encode("norm", "UTF-8"), 256).alias("text_sha256"),
