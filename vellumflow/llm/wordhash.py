@@ -102,9 +102,9 @@ def shingle_sets(texts: list[bytes], k: int = 5) -> Iterator[np.ndarray]:
             if b - a >= k:
                 yield np.unique(rolled[a : b - k + 1])
             elif b > a:
-                short = np.uint64(b - a)
-                for j in range(b - a):
-                    short = mixed(np.array([short + words[a + j]], np.uint64))[0]
-                yield np.array([short], np.uint64)
+                short = np.full(1, b - a, np.uint64)
+                for j in range(a, b):
+                    short = mixed(short + words[j : j + 1])
+                yield short
             else:
                 yield np.zeros(0, np.uint64)
