@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumflow.llm.shared import SPACE, cut
+from vellumflow.llm.shared import SPACE, cut, unused
 
 #: A text counts as hot from this share of the sampled rows on.
 HOT_SHARE = 0.005
@@ -86,6 +86,24 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, all columns as they came. Ids are unique here; rows that repeat an id and text stay once."""
-    kept = content_sort(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.dropDuplicates([id_col]).join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of docs that stay, all columns as they came; the same choice as content_sort() makes.
+
+    Rows travel whole, once; the normalised text is made again behind the exchange. Of rows that repeat id and text one
+    stays, by an arbitrary but valid choice if they differ in other columns.
+    """
+    hot = hot_hashes(docs, text_col)
+    head, digest, salt, norm, n, place = (unused(docs, c) for c in ("head", "digest", "salt", "norm", "n", "place"))
+    rows = docs.withColumns({head: F.substring(normalised(F.col(text_col)), 1, HEAD), digest: F.xxhash64(normalised(F.col(text_col)))})
+    salted = F.pmod(F.xxhash64(id_col), F.lit(SALTS)) + 1
+    rows = rows.withColumn(salt, F.when(F.col(digest).isin(hot), salted).otherwise(0) if hot else F.lit(0))
+    ranges = [head, digest, salt] if hot else [head, digest]
+    ranged = rows.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *ranges)
+    ranged = ranged.withColumns({norm: normalised(F.col(text_col)), n: F.coalesce(F.char_length(F.col(text_col)), F.lit(0))})
+    order = [F.desc(n), F.asc_nulls_last(id_col)]
+    leaders = ranged.withColumn(place, F.row_number().over(Window.partitionBy(*ranges, norm).orderBy(*order))).where(F.col(place) == 1)
+    if not hot:
+        return leaders.select(*docs.columns)
+    leaders = cut(leaders.drop(place), "leaders")
+    # a hot text has one leader for each salt
+    first = leaders.where(F.col(salt) > 0).withColumn(place, F.row_number().over(Window.partitionBy(norm).orderBy(*order))).where(F.col(place) == 1)
+    return leaders.where(F.col(salt) == 0).select(*docs.columns).unionByName(first.select(*docs.columns))

@@ -183,6 +183,18 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     return Model(content.weights, meta.weights, *lines, both)
 
 
+def _scores(m: Model, batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Probabilities of good quality: of both views together, of the content, of the metadata."""
+    texts = _encoded(batch["text"])
+    z = np.full(len(batch), m.content[-1])
+    for first, last in chunks(texts):
+        columns, of, words = _tokens(texts[first:last])
+        z[first:last] += np.bincount(of, m.content[columns], len(words)) * SCALE / np.maximum(words, 1)
+    a = m.content_line[0] * z + m.content_line[1]
+    b = m.meta_line[0] * (_meta(batch, texts) @ m.meta[:-1] + m.meta[-1]) + m.meta_line[1]
+    return linear.sigmoid(m.both[0] * a + m.both[1] * b + m.both[2]), linear.sigmoid(a), linear.sigmoid(b)
+
+
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, quality (probability), p_content, p_meta, keep: one row per input row, of the whole text.
 
@@ -192,23 +204,20 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the feature dimensions
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
         for batch in batches:
-            texts = _encoded(batch["text"])
-            z = np.full(len(batch), m.content[-1])
-            for first, last in chunks(texts):
-                columns, of, words = _tokens(texts[first:last])
-                z[first:last] += np.bincount(of, m.content[columns], len(words)) * SCALE / np.maximum(words, 1)
-            a = m.content_line[0] * z + m.content_line[1]
-            b = m.meta_line[0] * (_meta(batch, texts) @ m.meta[:-1] + m.meta[-1]) + m.meta_line[1]
-            p = linear.sigmoid(m.both[0] * a + m.both[1] * b + m.both[2])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": p, "p_content": linear.sigmoid(a), "p_meta": linear.sigmoid(b), "keep": p >= threshold})
+            p, content, meta = _scores(shared.value, batch)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": p, "p_content": content, "p_meta": meta, "keep": p >= threshold})
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in ("quality", "p_content", "p_meta")), T.StructField("keep", T.BooleanType())])
     return docs.select(F.col("doc_id").cast("long"), "text", "lang", "source").mapInPandas(run, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that the classifier keeps, all columns as they came."""
-    kept = score(docs, fit(docs, labels), threshold)
-    return docs.join(kept.where("keep").select(F.col("doc_id").alias("_kept_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of docs that the classifier keeps, all columns as they came. Rows are dropped where they are read: no exchange."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[_scores(shared.value, batch)[0] >= threshold]
+
+    return docs.mapInPandas(run, docs.schema)
