@@ -1,8 +1,8 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, with numpy (inside tasks).
 
 Suffixes are S (smaller than the next) or L. The leftmost S of every run, LMS, carry all order: their substrings are sorted
-by inducing from their first bytes, get names, and the string of names is sorted in its turn; the order of the LMS
-suffixes then induces that of all L suffixes, bucket by bucket upwards, and of all S suffixes, downwards. Within a bucket
+by inducing from their first bytes, get names, and the string of names is sorted in its turn (where only a certain depth
+matters: they are sorted by words of eight bytes, ties recursively by the next); the order of the LMS suffixes then induces that of all L suffixes, bucket by bucket upwards, and of all S suffixes, downwards. Within a bucket
 the scan is vectorised: what a bucket induces into itself comes in waves, as long as a run of one byte.
 """
 
@@ -116,8 +116,41 @@ def _sort_names(names: np.ndarray) -> np.ndarray:
         step *= 2
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Starts of all suffixes of a byte array (shorter than 2^31), in order."""
+def unaligned_words(text: np.ndarray, beyond: int) -> np.ndarray:
+    """The eight bytes from each place on, as little-endian numbers without a copy; zeros follow the text for so many bytes."""
+    padded = np.zeros((len(text) + beyond + 23) // 8 * 8, np.uint8)
+    padded[: len(text)] = text
+    return np.lib.stride_tricks.as_strided(padded.view("<u8"), shape=(len(padded) - 8,), strides=(1,))
+
+
+def _sort_to_depth(text: np.ndarray, lms: np.ndarray, depth: int) -> np.ndarray:
+    """LMS suffixes by their first bytes, depth of them at least: sorted by a word, and groups that tie on it, recursively, by the next."""
+    words = unaligned_words(text, depth + 8)
+    key = words[lms].byteswap()
+    order = np.argsort(key)
+    out, key = lms[order], key[order]
+    same = np.zeros(len(out), bool)
+    same[1:] = key[1:] == key[:-1]
+    for shift in range(8, depth, 8):
+        inside = same.copy()
+        inside[:-1] |= same[1:]
+        at = np.flatnonzero(inside)
+        if not len(at):
+            break
+        group = np.cumsum(~same[at])
+        key = words[out[at] + shift].byteswap()
+        order = np.argsort(key)
+        order = order[np.argsort(group[order], kind="stable")]
+        out[at] = out[at[order]]
+        key = key[order]
+        tie = np.zeros(len(at), bool)
+        tie[1:] = (key[1:] == key[:-1]) & (group[1:] == group[:-1])
+        same[at] = tie
+    return out
+
+
+def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Starts of all suffixes of a byte array (shorter than 2^31), in order; with a depth, in the order of that many bytes at least."""
     n = len(text)
     if n < 2:
         return np.arange(n, dtype=np.int32)
@@ -125,6 +158,8 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     if len(lms) < 2:
         return induce(text, lms)
+    if depth is not None:
+        return induce(text, _sort_to_depth(text, lms, depth))
     rough = induce(text, lms)
     place = np.zeros(n, bool)
     place[lms] = True
@@ -152,9 +187,7 @@ def permuted_common_prefixes(text: np.ndarray, order: np.ndarray, most: int) ->
     out = np.zeros(m, np.int32)
     if m < 2:
         return out
-    padded = np.zeros(len(text) + most + 16, np.uint8)
-    padded[: len(text)] = text
-    words = np.lib.stride_tricks.as_strided(padded[: len(padded) // 8 * 8].view(np.uint64), shape=(len(padded) - 8,), strides=(1,))
+    words = unaligned_words(text, most + 8)
     by_text = np.argsort(order[1:], kind="stable")
     here, there = order[1:][by_text].astype(np.int64), order[:-1][by_text].astype(np.int64)
     common = np.zeros(m - 1, np.int32)

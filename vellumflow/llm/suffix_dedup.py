@@ -30,8 +30,9 @@ from vellumflow.llm.wordhash import byte_sums, chunks, span_hashes
 
 LENGTH = 50
 WINDOW = 20  # bytes of an anchor
-SHARD_BYTES = 8 << 20
-CHUNK = 4 << 20
+SHARD_BYTES = 4 << 20
+CHUNK = 1 << 20  # bytes of text whose anchors are found at once
+FLUSH = 8  # chunks whose anchors or slices are packed together
 SEPARATOR = 0xFF  # no byte of UTF-8
 
 
@@ -90,35 +91,39 @@ def shared_anchors(docs: DataFrame, length: int = LENGTH, window: int = WINDOW)
     """
     buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    def packed_rows(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+        hashes, docs_of, places = (np.concatenate(p) for p in zip(*parts))
+        order = np.lexsort((docs_of, hashes))
+        hashes, docs_of, places = hashes[order], docs_of[order], places[order]
+        heads = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
+        counts = np.diff(np.append(heads, len(hashes)))
+        known = np.repeat(docs_of[heads] != docs_of[heads + counts - 1], counts)
+        sign = np.zeros(len(hashes), bool)
+        sign[heads] = known[heads]
+        bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+        short = (hashes >> np.uint64(32)).astype("<u4")
+        rows = []
+        for kind, mask in ((0, ~known), (1, known), (2, sign)):
+            at = np.flatnonzero(mask)
+            at = at[np.argsort(bucket[at], kind="stable")]
+            cuts = np.searchsorted(bucket[at], np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(cuts)):
+                own = at[cuts[b] : cuts[b + 1]]
+                rows.append((int(b), kind, short[own].tobytes() if kind != 1 else b"", docs_of[own].astype("<i8").tobytes() if kind != 2 else b"", places[own].astype("<u4").tobytes() if kind != 2 else b""))
+        return pd.DataFrame(rows, columns=["bucket", "kind", "hashes", "docs", "places"])
+
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = []
         for batch in batches:
             texts, ids = _encoded(batch["text"]), batch["doc_id"].to_numpy(np.int64)
-            parts = []
             for first, last in chunks(texts, CHUNK):
                 a = Anchors(texts[first:last], length, window)
                 parts.append((a.hash, ids[first:last][a.owner], a.place))
-            if not parts:
-                continue
-            hashes, docs_of, places = (np.concatenate(p) for p in zip(*parts))
-            order = np.lexsort((docs_of, hashes))
-            hashes, docs_of, places = hashes[order], docs_of[order], places[order]
-            heads = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
-            counts = np.diff(np.append(heads, len(hashes)))
-            lasts = heads + counts - 1
-            known = np.repeat(docs_of[heads] != docs_of[lasts], counts)
-            sign = np.zeros(len(hashes), bool)
-            sign[heads] = known[heads]
-            bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-            short = (hashes >> np.uint64(32)).astype("<u4")
-            rows = []
-            for kind, mask in ((0, ~known), (1, known), (2, sign)):
-                at = np.flatnonzero(mask)
-                at = at[np.argsort(bucket[at], kind="stable")]
-                cuts = np.searchsorted(bucket[at], np.arange(buckets + 1))
-                for b in np.flatnonzero(np.diff(cuts)):
-                    own = at[cuts[b] : cuts[b + 1]]
-                    rows.append((int(b), kind, short[own].tobytes() if kind != 1 else b"", docs_of[own].astype("<i8").tobytes() if kind != 2 else b"", places[own].astype("<u4").tobytes() if kind != 2 else b""))
-            yield pd.DataFrame(rows, columns=["bucket", "kind", "hashes", "docs", "places"])
+                if len(parts) == FLUSH:
+                    yield packed_rows(parts)
+                    parts = []
+        if parts:
+            yield packed_rows(parts)
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         mine, passed, signs = (group[group["kind"] == k] for k in range(3))
@@ -140,38 +145,57 @@ def shared_anchors(docs: DataFrame, length: int = LENGTH, window: int = WINDOW)
 def _slices(docs: DataFrame, shards: int, length: int, window: int) -> DataFrame:
     """Rows of (shard, text: different slices one after the other, their sizes and hashes, and what occurs where)."""
 
+    def found(a: Anchors, ids: np.ndarray, marked: list) -> tuple[np.ndarray, ...]:
+        """Of a chunk: shard, digest, size, document and start of each slice, and the slices' bytes one after the other."""
+        wanted = (np.repeat(np.arange(len(ids)), [len(m) for m in marked]) << 32) | (np.concatenate(marked).astype(np.int64) & 0xFFFFFFFF)
+        at = np.flatnonzero(np.isin((a.owner << 32) | a.place, wanted))
+        size = a.run[at] + length - 1
+        digest = span_hashes(a.sums, a.first[at], a.first[at] + size)
+        # within the chunk equal slices are written once
+        _, once, number = np.unique(digest, return_index=True, return_inverse=True)
+        ends = np.cumsum(size[once])
+        spots = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size[once], size[once]) + np.repeat(a.first[at[once]], size[once])
+        return (a.hash[at] % np.uint64(shards)).astype(np.int64), digest, number, once, size[once], a.data[spots], ids[a.owner[at]], a.first[at] - a.begins[a.owner[at]]
+
+    def packed_rows(parts: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+        rows = []
+        shard = np.concatenate([p[0] for p in parts])
+        digest = np.concatenate([p[1] for p in parts])
+        fresh = np.cumsum([0] + [len(p[3]) for p in parts])
+        number = np.concatenate([p[2] + n for p, n in zip(parts, fresh)])  # of the slice's text
+        sizes = np.concatenate([p[4] for p in parts])
+        data = np.concatenate([p[5] for p in parts])
+        own, starts = np.concatenate([p[6] for p in parts]), np.concatenate([p[7] for p in parts])
+        begins = np.cumsum(sizes) - sizes
+        order = np.lexsort((digest, shard))
+        shard, digest, number, own, starts = shard[order], digest[order], number[order], own[order], starts[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (digest[1:] != digest[:-1]) | (shard[1:] != shard[:-1])
+        heads = np.flatnonzero(new)
+        place = np.cumsum(new) - 1
+        size = sizes[number[heads]]
+        ends = np.cumsum(size)
+        text = data[np.arange(ends[-1]) - np.repeat(ends - size, size) + np.repeat(begins[number[heads]], size)].tobytes()
+        edge = np.append(np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])), len(shard))
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            s0, s1 = place[lo], place[hi - 1] + 1
+            rows.append((int(shard[lo]), text[ends[s0] - size[s0] : ends[s1 - 1]], size[s0:s1].astype("<u2").tobytes(), digest[heads[s0:s1]].astype("<u8").tobytes(), (place[lo:hi] - s0).astype("<u4").tobytes(), own[lo:hi].astype("<i8").tobytes(), starts[lo:hi].astype("<u4").tobytes()))
+        return pd.DataFrame(rows, columns=["shard", "text", "sizes", "digests", "of", "docs", "starts"])
+
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = []
         for batch in batches:
             texts, ids = _encoded(batch["text"]), batch["doc_id"].to_numpy(np.int64)
             marked = batch["places"].tolist()
             for first, last in chunks(texts, CHUNK):
-                a = Anchors(texts[first:last], length, window)
-                counts = [len(m) for m in marked[first:last]]
-                wanted = (np.repeat(np.arange(last - first), counts) << 32) | (np.concatenate(marked[first:last]).astype(np.int64) & 0xFFFFFFFF)
-                at = np.flatnonzero(np.isin((a.owner << 32) | a.place, wanted))
-                if not len(at):
-                    continue
-                size = a.run[at] + length - 1
-                digest = span_hashes(a.sums, a.first[at], a.first[at] + size)
-                shard = (a.hash[at] % np.uint64(shards)).astype(np.int64)
-                order = np.lexsort((digest, shard))
-                at, size, digest, shard = at[order], size[order], digest[order], shard[order]
-                new = np.ones(len(at), bool)
-                new[1:] = (digest[1:] != digest[:-1]) | (shard[1:] != shard[:-1])
-                heads = np.flatnonzero(new)
-                number = np.cumsum(new) - 1
-                sizes = size[heads]
-                ends = np.cumsum(sizes)
-                spots = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes) + np.repeat(a.first[at[heads]], sizes)
-                text = a.data[spots].tobytes()
-                starts = a.first[at] - a.begins[a.owner[at]]
-                own = ids[first:last][a.owner[at]]
-                rows = []
-                edge = np.append(np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])), len(at))
-                for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                    s0, s1 = number[lo], number[hi - 1] + 1
-                    rows.append((int(shard[lo]), text[ends[s0] - sizes[s0] : ends[s1 - 1]], sizes[s0:s1].astype("<u2").tobytes(), digest[heads[s0:s1]].astype("<u8").tobytes(), (number[lo:hi] - s0).astype("<u4").tobytes(), own[lo:hi].astype("<i8").tobytes(), starts[lo:hi].astype("<u4").tobytes()))
-                yield pd.DataFrame(rows, columns=["shard", "text", "sizes", "digests", "of", "docs", "starts"])
+                slices = found(Anchors(texts[first:last], length, window), ids[first:last], marked[first:last])
+                if len(slices[0]):
+                    parts.append(slices)
+                if len(parts) == FLUSH:
+                    yield packed_rows(parts)
+                    parts = []
+        if parts:
+            yield packed_rows(parts)
 
     return docs.mapInPandas(pack, "shard int, text binary, sizes binary, digests binary, of binary, docs binary, starts binary")
 
@@ -204,7 +228,7 @@ def mark_shard(group: pd.DataFrame, length: int = LENGTH) -> pd.DataFrame:
     spots = np.arange(int(strings.sum())) - np.repeat(np.cumsum(strings) - strings, strings) + offsets[numbers]
     string_at = np.full(len(text), -1, np.int32)
     string_at[spots] = np.arange(len(spots), dtype=np.int32)
-    order = suffix_array(text)
+    order = suffix_array(text, length)
     order = order[string_at[order] >= 0]
     heads = np.flatnonzero(permuted_common_prefixes(text, order, length) < length)
     in_order = string_at[order]
