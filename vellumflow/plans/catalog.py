@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumflow.plans import search_queries  # noqa: F401  (registers its queries)
+from vellumflow.plans import relation_queries, search_queries  # noqa: F401  (they register their queries)
 from vellumflow.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
