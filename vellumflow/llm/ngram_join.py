@@ -30,13 +30,15 @@ from pyspark.sql import functions as F
 
 from vellumflow.llm.components import components
 from vellumflow.llm.shared import cut, drop_cut
-from vellumflow.llm.wordhash import shingle_sets
+from vellumflow.llm.wordhash import chunks, shingle_sets
 
 SIMILARITY = 80  # hundredths
 SHINGLE = 5
 FOLDS = 64
 PIVOTS = 8  # of a region at the first level; twice as many at each further one
 FREQUENT = 24  # documents that have a shingle in their first part make it frequent
+PACKED = 8 << 20  # bytes of text whose shingles are packed together
+BROADCAST_IDS = 1 << 20  # ids that may be broadcast, 8 MB
 MOST_FREQUENT = 1 << 18  # shingles treated as frequent at most, so that their list has a bounded size
 
 
@@ -50,7 +52,7 @@ def first_part(n: int, similarity: int = SIMILARITY) -> int:
 
 
 def describe(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id, n (size of the shingle set), digest (of the set), fold (32-bit counts over FOLDS residues)."""
+    """doc_id, n (size of the shingle set), digest (of the set), fold (counts over FOLDS residues, up to 255: clipping never enlarges a distance either)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -58,54 +60,122 @@ def describe(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
             for s in shingle_sets(_encoded(batch["text"]), k):
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                folds.append(np.bincount((s % np.uint64(FOLDS)).astype(np.int64), minlength=FOLDS).astype("<u4").tobytes())
+                folds.append(np.minimum(np.bincount((s % np.uint64(FOLDS)).astype(np.int64), minlength=FOLDS), 255).astype(np.uint8).tobytes())
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n": sizes, "digest": digests, "fold": folds})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n long, digest binary, fold binary")
 
 
-def place(docs: DataFrame, frequent: np.ndarray, similarity: int = SIMILARITY, k: int = SHINGLE) -> DataFrame:
-    """shingle, doc_id: each document under its first shingles, frequent ones last."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most MOST_FREQUENT
+def _first_parts(texts: list[bytes], frequent: np.ndarray, similarity: int, k: int) -> Iterator[np.ndarray]:
+    """Of each text the shingles that it is placed under: in the order of their hashes, frequent ones behind all others."""
+    for s in shingle_sets(texts, k):
+        want = first_part(len(s), similarity)
+        head = s[: 2 * want]
+        if len(frequent) and len(head):
+            late = frequent[np.minimum(np.searchsorted(frequent, head), len(frequent) - 1)] == head
+            if late[:want].any():
+                if (~late).sum() < want and len(head) < len(s):
+                    head = s
+                    late = frequent[np.minimum(np.searchsorted(frequent, head), len(frequent) - 1)] == head
+                head = np.concatenate([head[~late], head[late]])
+        yield head[:want]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        late = shared.value
-        for batch in batches:
-            shingles, sizes = [], []
-            for s in shingle_sets(_encoded(batch["text"]), k):
-                want = first_part(len(s), similarity)
-                head = s[: 2 * want]
-                if len(late) and len(head):
-                    rare = late[np.minimum(np.searchsorted(late, head), len(late) - 1)] != head
-                    if not rare[:want].all():
-                        if rare.sum() < want and len(head) < len(s):
-                            head = s
-                            rare = late[np.minimum(np.searchsorted(late, head), len(late) - 1)] != head
-                        head = np.concatenate([head[rare], head[~rare]])
-                shingles.append(head[:want])
-                sizes.append(min(want, len(head)))
-            ids = np.repeat(batch["doc_id"].to_numpy(), sizes)
-            yield pd.DataFrame({"shingle": np.concatenate(shingles).view(np.int64) if shingles else np.zeros(0, np.int64), "doc_id": ids})
-
-    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "shingle long, doc_id long")
+
+def _cuts(sorted_buckets: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+    edges = np.searchsorted(sorted_buckets, np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(edges)):
+        yield int(b), slice(edges[b], edges[b + 1])
+
+
+def _buckets(docs: DataFrame) -> int:
+    return 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def frequent_shingles(docs: DataFrame, similarity: int = SIMILARITY, k: int = SHINGLE) -> np.ndarray:
     """Sorted shingles that at least FREQUENT documents have in their first part; with more than MOST_FREQUENT of them, the most frequent.
 
-    Whatever the list is, the join is exact: the list only orders shingles.
+    Counts travel packed, by bucket of the shingle, added up within batches first. Whatever the list is, the join is exact:
+    the list only orders shingles.
     """
-    counts = place(docs, np.zeros(0, np.uint64), similarity, k).groupBy("shingle").count().where(F.col("count") >= FREQUENT)
+    buckets = _buckets(docs)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = _encoded(batch["text"])
+            for first, last in chunks(texts, PACKED):
+                parts = list(_first_parts(texts[first:last], np.zeros(0, np.uint64), similarity, k))
+                shingles, counts = np.unique(np.concatenate(parts), return_counts=True)
+                bucket = (shingles % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                shingles, counts = shingles[order].astype("<u8"), counts[order].astype("<u4")
+                yield pd.DataFrame([(b, shingles[at].tobytes(), counts[at].tobytes()) for b, at in _cuts(bucket[order], buckets)], columns=["bucket", "shingles", "counts"])
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        shingles, counts = (np.frombuffer(b"".join(group[c]), t) for c, t in (("shingles", "<u8"), ("counts", "<u4")))
+        order = np.argsort(shingles)
+        shingles = shingles[order]
+        heads = np.flatnonzero(np.concatenate([[True], shingles[1:] != shingles[:-1]]))
+        sums = np.add.reduceat(counts[order].astype(np.int64), heads)
+        often = sums >= FREQUENT
+        return pd.DataFrame({"shingle": shingles[heads][often].view(np.int64), "count": sums[often]})
+
+    packed = docs.select("text").mapInPandas(count, "bucket int, shingles binary, counts binary")
+    counts = packed.groupBy("bucket").applyInPandas(add, "shingle long, count long")
     found = counts.orderBy(F.desc("count"), "shingle").limit(MOST_FREQUENT).select("shingle").toPandas()["shingle"].to_numpy(np.int64)
     return np.sort(found.view(np.uint64))
 
 
+def shared_regions(docs: DataFrame, frequent: np.ndarray, similarity: int = SIMILARITY, k: int = SHINGLE) -> DataFrame:
+    """region (a shingle), doc_id: documents under their first shingles, where several documents meet.
+
+    Documents travel packed, by bucket of the shingle. A frequent
+    shingle is known to be shared, so its documents pass through, spread over all buckets.
+    """
+    shared, buckets = docs.sparkSession.sparkContext.broadcast(frequent), _buckets(docs)  # at most MOST_FREQUENT
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        late = shared.value
+        for batch in batches:
+            texts, ids = _encoded(batch["text"]), batch["doc_id"].to_numpy(np.int64)
+            for first, last in chunks(texts, PACKED):
+                parts, owners = [], []
+                for doc, part in zip(ids[first:last], _first_parts(texts[first:last], late, similarity, k)):
+                    if len(part):
+                        parts.append(part)
+                        owners.append(doc)
+                if not parts:
+                    continue
+                shingles, own = np.concatenate(parts), np.repeat(np.array(owners, np.int64), [len(p) for p in parts])
+                often = late[np.minimum(np.searchsorted(late, shingles), len(late) - 1)] == shingles if len(late) else np.zeros(len(shingles), bool)
+                bucket = np.where(often, own % buckets, (shingles % np.uint64(buckets)).astype(np.int64))
+                rows = []
+                for known, mask in ((False, ~often), (True, often)):
+                    at = np.flatnonzero(mask)
+                    at = at[np.argsort(bucket[at], kind="stable")]
+                    rows += [(b, known, shingles[at[c]].astype("<u8").tobytes(), own[at[c]].astype("<i8").tobytes()) for b, c in _cuts(bucket[at], buckets)]
+                yield pd.DataFrame(rows, columns=["bucket", "known", "shingles", "docs"])
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        shingles, own = (np.frombuffer(b"".join(group[c]), t) for c, t in (("shingles", "<u8"), ("docs", "<i8")))
+        known = np.repeat(group["known"].to_numpy(bool), [len(d) // 8 for d in group["docs"]])
+        rare, rare_own = shingles[~known], own[~known]
+        order = np.argsort(rare)
+        rare, rare_own = rare[order], rare_own[order]
+        again = np.zeros(len(rare), bool)
+        again[1:] = rare[1:] == rare[:-1]
+        again[:-1] |= again[1:].copy()
+        return pd.DataFrame({"region": np.concatenate([rare[again], shingles[known]]).view(np.int64), "doc_id": np.concatenate([rare_own[again], own[known]])})
+
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
+    return rows.mapInPandas(place, "bucket int, known boolean, shingles binary, docs binary").groupBy("bucket").applyInPandas(meet, "region long, doc_id long")
+
+
 def _bounds(pairs: DataFrame, similarity: int) -> DataFrame:
     """Adds far, a lower bound of the distance, and near: whether a link is still possible."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fold = lambda c: np.frombuffer(b"".join(batch[c]), "<u4").reshape(-1, FOLDS).astype(np.int64)
+            fold = lambda c: np.frombuffer(b"".join(batch[c]), np.uint8).reshape(-1, FOLDS).astype(np.int64)
             both = (batch["n"] + batch["pivot_n"]).to_numpy()
             apart = np.abs(fold("fold") - fold("pivot_fold")).sum(axis=1) if len(batch) else np.zeros(0, np.int64)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "pivot": batch["pivot"], "far": 1 - (both - apart) / np.maximum(both + apart, 1), "near": 100 * (both - apart) >= similarity * (both + apart)})
@@ -131,9 +201,10 @@ def _exact(pairs: DataFrame, docs: DataFrame, similarity: int, k: int) -> DataFr
                 linked.append(100 * common >= similarity * union)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "pivot": batch["pivot"], "far": far, "linked": linked})
 
-    ids = pairs.select("doc_id").unionByName(pairs.select(F.col("pivot").alias("doc_id"))).distinct().withColumnRenamed("doc_id", "wanted")
+    ids = cut(pairs.select("doc_id").unionByName(pairs.select(F.col("pivot").alias("doc_id"))).distinct().withColumnRenamed("doc_id", "wanted"), "wanted")
+    few = ids.count() <= BROADCAST_IDS  # else the texts are shuffled to the ids
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    needed = cut(rows.join(ids, F.col("doc_id") == F.col("wanted"), "left_semi").mapInPandas(sets, "set_of long, shingles binary"), "sets")
+    needed = cut(rows.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("wanted"), "left_semi").mapInPandas(sets, "set_of long, shingles binary"), "sets")
     of_pivot = needed.select(F.col("set_of").alias("pivot_of"), F.col("shingles").alias("pivot_shingles"))
     whole = pairs.join(needed, F.col("doc_id") == F.col("set_of")).join(of_pivot, F.col("pivot") == F.col("pivot_of"))
     out = cut(whole.select("doc_id", "pivot", "shingles", "pivot_shingles").mapInPandas(compare, "doc_id long, pivot long, far double, linked boolean"), "distances")
@@ -148,11 +219,8 @@ def region_links(docs: DataFrame, described: DataFrame, similarity: int = SIMILA
     same = known.join(least, "digest").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).where("a <> b")
     stands = cut(known.join(least.select("head"), F.col("doc_id") == F.col("head"), "left_semi").select(F.col("doc_id").alias("of"), "n", "fold"), "described")
 
-    placed = cut(place(docs, frequent_shingles(docs, similarity, k), similarity, k), "placed")
-    many = placed.groupBy("shingle").count().where("count > 1").select(F.col("shingle").alias("region"))
-    regions = placed.join(many, F.col("shingle") == F.col("region")).select("region", "doc_id")
-    regions = cut(regions.join(stands.select("of"), F.col("doc_id") == F.col("of"), "left_semi").distinct(), "regions")
-    drop_cut(placed)
+    placed = shared_regions(docs, frequent_shingles(docs, similarity, k), similarity, k)
+    regions = cut(placed.join(stands.select("of"), F.col("doc_id") == F.col("of"), "left_semi"), "regions")
 
     links, eps, pivots = same, 1 - similarity / 100, PIVOTS
     member = regions.withColumn("component", F.col("doc_id")).withColumn("weight", F.lit(1).cast("long"))
