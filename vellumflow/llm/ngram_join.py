@@ -35,7 +35,8 @@ from vellumflow.llm.wordhash import chunks, shingle_sets
 SIMILARITY = 80  # hundredths
 SHINGLE = 5
 FOLDS = 64
-PIVOTS = 8  # of a region at the first level; twice as many at each further one
+PIVOTS = 1  # of a region at the first level, which connects most of what is alike with one comparison each
+MORE_PIVOTS = 4  # times as many at each further level, for the regions that are not settled by then
 FREQUENT = 24  # documents that have a shingle in their first part make it frequent
 PACKED = 8 << 20  # bytes of text whose shingles are packed together
 BROADCAST_IDS = 1 << 20  # ids that may be broadcast, 8 MB
@@ -258,7 +259,7 @@ def region_links(docs: DataFrame, described: DataFrame, similarity: int = SIMILA
         inside = seen.where("linked").join(outside, ["region", "pivot"], "left")
         settled = inside.where(F.col("nearest").isNull() | (F.col("far") + eps + 1e-9 < F.col("nearest"))).select("region", "doc_id").distinct()
         member = cut(left.join(settled, ["region", "doc_id"], "left_anti"), "regions")
-        pivots *= 2
+        pivots *= MORE_PIVOTS
 
 
 def jaccard_components(docs: DataFrame, similarity: int = SIMILARITY, k: int = SHINGLE) -> DataFrame:
