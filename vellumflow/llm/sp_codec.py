@@ -198,15 +198,16 @@ class Codec:
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: controls vanish, the space of the first piece is the dummy prefix, bytes that are no UTF-8 become U+FFFD."""
-        data = b"".join(map(self.plain.__getitem__, ids))
         try:
-            text = data.decode("utf-8")
-        except UnicodeDecodeError:
+            if not self.v.controls.isdisjoint(ids[1:-1]):
+                raise UnicodeError("a control ends a run of bytes")
+            text = b"".join(map(self.plain.__getitem__, ids)).decode("utf-8")
+        except UnicodeError:
             text, run = "", b""
             for i in [*ids, -1]:
                 if i in self.byte_of:
                     run += self.byte_of[i]
-                elif i not in self.v.controls:
+                else:
                     text += _lenient(run) + self.text_of.get(i, b"").decode()
                     run = b""
         first = next((i for i in ids if i not in self.v.controls), None)
