@@ -36,9 +36,9 @@ SIMILARITY = 80  # hundredths
 SHINGLE = 5
 FOLDS = 64
 PIVOTS = 1  # of a region at the first level, which connects most of what is alike with one comparison each
-MORE_PIVOTS = 4  # times as many at each further level, for the regions that are not settled by then
+MORE_PIVOTS = 12  # times as many at each further level, for the regions that are not settled by then
 FREQUENT = 24  # documents that have a shingle in their first part make it frequent
-PACKED = 8 << 20  # bytes of text whose shingles are packed together
+PACKED = 4 << 20  # bytes of text whose shingles are packed together
 BROADCAST_IDS = 1 << 20  # ids that may be broadcast, 8 MB
 MOST_FREQUENT = 1 << 18  # shingles treated as frequent at most, so that their list has a bounded size
 
@@ -213,15 +213,31 @@ def _exact(pairs: DataFrame, docs: DataFrame, similarity: int, k: int) -> DataFr
     return out
 
 
-def region_links(docs: DataFrame, described: DataFrame, similarity: int = SIMILARITY, k: int = SHINGLE) -> DataFrame:
-    """a, b: verified links that connect all documents which any links connect. Equal sets link to the smallest id among them."""
+def _different(regions: DataFrame) -> DataFrame:
+    """Regions with two members at least, and of those with the same members one: they would be compared alike.
+
+    Two independent 64-bit sums stand for the members, so nothing is gathered.
+    """
+    sums = [F.bit_xor(F.xxhash64("doc_id", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    of = regions.groupBy("region").agg(F.count(F.lit(1)).alias("members"), *sums).where("members > 1")
+    chosen = of.groupBy("members", "x1", "x2").agg(F.min("region").alias("chosen")).select("chosen")
+    return regions.join(chosen, F.col("region") == F.col("chosen"), "left_semi")
+
+
+def region_links(docs: DataFrame, described: DataFrame, similarity: int = SIMILARITY, k: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) that connect all documents which any links connect, and the components (node, component) that they make.
+
+    Equal sets link to the smallest id among them.
+    """
     known = described.where("n > 0 AND doc_id IS NOT NULL")
     least = known.groupBy("digest").agg(F.min("doc_id").alias("head"))
     same = known.join(least, "digest").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).where("a <> b")
     stands = cut(known.join(least.select("head"), F.col("doc_id") == F.col("head"), "left_semi").select(F.col("doc_id").alias("of"), "n", "fold"), "described")
 
     placed = shared_regions(docs, frequent_shingles(docs, similarity, k), similarity, k)
-    regions = cut(placed.join(stands.select("of"), F.col("doc_id") == F.col("of"), "left_semi"), "regions")
+    placed = cut(placed.join(stands.select("of"), F.col("doc_id") == F.col("of"), "left_semi"), "placed")
+    regions = cut(_different(placed), "regions")
+    drop_cut(placed)
 
     links, eps, pivots = same, 1 - similarity / 100, PIVOTS
     member = regions.withColumn("component", F.col("doc_id")).withColumn("weight", F.lit(1).cast("long"))
@@ -247,9 +263,9 @@ def region_links(docs: DataFrame, described: DataFrame, similarity: int = SIMILA
         left = member.join(tops, (F.col("region") == F.col("of_region")) & (F.col("doc_id") == F.col("pivot")), "left_anti").select("region", "doc_id")
         left = left.join(of, F.col("doc_id") == F.col("node"), "left").select("region", "doc_id", F.coalesce("in_component", "doc_id").alias("component"), F.coalesce("size", F.lit(1)).alias("weight"))
         split = left.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select(F.col("region").alias("open"))
-        left = cut(left.join(split, F.col("region") == F.col("open"), "left_semi"), "left")
+        left = cut(_different(left.join(split, F.col("region") == F.col("open"), "left_semi")), "left")
         if left.isEmpty():
-            return links
+            return links, of.select("node", F.col("in_component").alias("component"))
         # windows: distances of what is left to the region's pivots
         distances = bounded.where(~F.col("near")).select("doc_id", "pivot", "far", F.lit(False).alias("linked")).unionByName(exact)
         distances = distances.select(F.col("doc_id").alias("x"), F.col("pivot").alias("q"), "far", "linked")
@@ -275,8 +291,7 @@ def jaccard_components(docs: DataFrame, similarity: int = SIMILARITY, k: int = S
     if not described.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").isEmpty():
         docs = docs.groupBy("doc_id").agg(F.max("text").alias("text"))
         alone = cut(describe(docs, k), "described-once")
-    links = region_links(docs, alone, similarity, k)
-    of = components(links)
+    _, of = region_links(docs, alone, similarity, k)
     return described.join(of, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
