@@ -29,12 +29,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumflow.llm.components import components
-from vellumflow.llm.shared import cut, drop_cut
+from vellumflow.llm.shared import arrow_rows, cut, drop_cut
 from vellumflow.llm.wordhash import chunks, shingle_sets
 
 SIMILARITY = 80  # hundredths
 SHINGLE = 5
-FOLDS = 64
+FOLDS = 256
+PAIR_ROWS = 100  # pairs of sets that a Python worker holds at once
 PIVOTS = 1  # of a region at the first level, which connects most of what is alike with one comparison each
 MORE_PIVOTS = 12  # times as many at each further level, for the regions that are not settled by then
 FREQUENT = 24  # documents that have a shingle in their first part make it frequent
@@ -189,7 +190,9 @@ def _exact(pairs: DataFrame, docs: DataFrame, similarity: int, k: int) -> DataFr
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"set_of": batch["doc_id"], "shingles": [s.tobytes() for s in shingle_sets(_encoded(batch["text"]), k)]})
+            texts, ids = _encoded(batch["text"]), batch["doc_id"].to_numpy()
+            for first, last in chunks(texts, PACKED):
+                yield pd.DataFrame({"set_of": ids[first:last], "shingles": [s.tobytes() for s in shingle_sets(texts[first:last], k)]})
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -208,7 +211,8 @@ def _exact(pairs: DataFrame, docs: DataFrame, similarity: int, k: int) -> DataFr
     needed = cut(rows.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("wanted"), "left_semi").mapInPandas(sets, "set_of long, shingles binary"), "sets")
     of_pivot = needed.select(F.col("set_of").alias("pivot_of"), F.col("shingles").alias("pivot_shingles"))
     whole = pairs.join(needed, F.col("doc_id") == F.col("set_of")).join(of_pivot, F.col("pivot") == F.col("pivot_of"))
-    out = cut(whole.select("doc_id", "pivot", "shingles", "pivot_shingles").mapInPandas(compare, "doc_id long, pivot long, far double, linked boolean"), "distances")
+    with arrow_rows(docs.sparkSession, PAIR_ROWS):
+        out = cut(whole.select("doc_id", "pivot", "shingles", "pivot_shingles").mapInPandas(compare, "doc_id long, pivot long, far double, linked boolean"), "distances")
     drop_cut(needed)
     return out
 
