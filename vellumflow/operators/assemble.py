@@ -57,7 +57,7 @@ def export_columns(definitions: DataFrame, type_id: int) -> list:
 
 
 def export_table(docs: DataFrame, fields: DataFrame, definitions: DataFrame, type_id: int, rows: int | None = M.EXPORT_ROWS) -> DataFrame:
-    """Four system columns, then one text column per live definition, several values joined by '; '. More rows than allowed are an error."""
+    """Four system columns, then one text column per live definition, several values joined by '; '. More rows than allowed are an error; rows=None allows any number."""
     from vellumflow.operators.search import at_most
 
     columns = export_columns(definitions, type_id)

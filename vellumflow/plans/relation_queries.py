@@ -303,7 +303,7 @@ _EXPORT = f"""SELECT d.id, d.creation_time, {_STATUS} AS "LifecycleStatus", {_DI
 
 @query("p6_export_table", oracle(_EXPORT))
 def p6(spark, sf):
-    return A.export_table(_docs(spark, sf), D.extracted_fields(spark, sf), D.field_definitions(spark), 1)
+    return A.export_table(_docs(spark, sf), D.extracted_fields(spark, sf), D.field_definitions(spark), 1, rows=None)
 
 
 def _quoted(c):
@@ -318,7 +318,7 @@ def k1(spark, sf):
 
 @query("k3_export_csv", oracle("SELECT " + " || ',' || ".join(_quoted(f'"{c}"') for c in ("LifecycleStatus", "ReviewStatus", "ReviewReasons", "Title", "amount", "customer", "parts")) + f" AS value FROM ({_EXPORT})"))
 def k3(spark, sf):
-    return A.csv_lines(A.export_table(_docs(spark, sf), D.extracted_fields(spark, sf), D.field_definitions(spark), 1), ["LifecycleStatus", "ReviewStatus", "ReviewReasons", "Title", "amount", "customer", "parts"])
+    return A.csv_lines(A.export_table(_docs(spark, sf), D.extracted_fields(spark, sf), D.field_definitions(spark), 1, rows=None), ["LifecycleStatus", "ReviewStatus", "ReviewReasons", "Title", "amount", "customer", "parts"])
 
 
 @query("k5_resource_text", "SELECT doc_id, '# ' || source || chr(10) || chr(10) || CASE WHEN length(text) > 2000 THEN substr(text, 1, 2000) || chr(10) || '[truncated]' ELSE text END AS resource FROM documents")
