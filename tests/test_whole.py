@@ -18,3 +18,21 @@ def test_exports_have_no_row_limit_of_their_own(spark, sf, monkeypatch):
     with pytest.raises(S.QueryError) as e:
         A.export_table(S.scope(D.documents(spark, sf)), D.extracted_fields(spark, sf), D.field_definitions(spark), 1)
     assert e.value.code == "TooManyRows"
+
+
+def test_all_documents_are_dealt_into_batches(spark):
+    """More than three pages, ids with holes and far apart, and an empty table."""
+    ids = [k * k * 7 - 9000 for k in range(1234)]
+    docs = spark.createDataFrame([(i,) for i in ids], "id long").repartition(5)
+    got = {r.id: r.batch for r in S.batches(docs, 100).collect()}
+    assert got == {i: k // 100 for k, i in enumerate(ids)}
+    assert S.batches(docs.where("false"), 100).count() == 0
+
+
+def test_reprocessing_goes_behind_the_third_batch():
+    """The registered query at sf0.01, by its SQL without the limit of 300 rows."""
+    import oracle
+    from vellumflow.session import get_session
+
+    sql = catalog.ORACLES["g13_reprocess_batches"].removesuffix(" LIMIT 300")
+    assert oracle.compare(catalog.QUERIES["g13_reprocess_batches"](get_session(4), "/root/testdata/sf0.01"), sql, "/root/testdata/sf0.01") is None

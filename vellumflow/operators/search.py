@@ -7,12 +7,14 @@ in one pass over the field rows, however many there are.
 from __future__ import annotations
 
 import datetime as dt
+import math
 import re
 from dataclasses import dataclass
 from decimal import Decimal, InvalidOperation
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumflow.functions import model as M
@@ -277,6 +279,24 @@ def after(df: DataFrame, cursor: int | None, take: int) -> DataFrame:
     return (ids if cursor is None else ids.where(F.col("id") > cursor)).orderBy("id").limit(take)
 
 
+def batches(df: DataFrame, size: int) -> DataFrame:
+    """id, batch: all ids in order, dealt into batches of a size from 0 on. What after() gives page by page, in one scan.
+
+    Ids are numbered within ranges between quantiles, behind the counts of the ranges before: one row per range is gathered.
+    """
+    ids = df.select("id")
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marks = sorted(set(ids.approxQuantile("id", [k / ranges for k in range(1, ranges)], 0.25 / ranges))) if ranges > 1 else []
+    # any marks number rightly, they only make ranges alike; two at least, as the class asks for three splits
+    splits = [-math.inf, *(marks or [0.0]), math.inf]
+    dealt = Bucketizer(splits=splits, inputCol="_at", outputCol="_range").transform(ids.withColumn("_at", F.col("id").cast("double"))).drop("_at")
+    before = F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_size")).select(F.col("_range").alias("_of"), F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("id")) - 1
+    placed = dealt.withColumn("_place", place).join(F.broadcast(sizes), F.col("_range") == F.col("_of"))
+    return placed.select("id", F.expr(f"(_before + _place) div {size:d}").alias("batch"))
+
+
 def at_most(df: DataFrame, bound: int, code: str = "TooManyRows") -> DataFrame:
     """The frame, or an error if it has more rows than the bound: never a part of it."""
     if df.limit(bound + 1).count() > bound:

@@ -98,18 +98,7 @@ def g12(spark, sf):
 
 @query("g13_reprocess_batches", oracle("SELECT id, (row_number() OVER (ORDER BY id) - 1) // 100 AS batch FROM d_documents WHERE tenant_id IS NULL AND NOT is_deleted AND document_type_id = 3 ORDER BY id LIMIT 300"))
 def g13(spark, sf):
-    docs, cursor, pages = S.to_reprocess(S.scope(D.documents(spark, sf)), type_id=3), None, []
-    for number in range(3):  # three pages of the chained dispatcher: each starts behind the last id of the one before
-        ids = S.after(docs, cursor, 100)
-        last = ids.agg(F.max("id")).first()[0]
-        if last is None:
-            break
-        pages.append(ids.withColumn("batch", F.lit(number).cast("long")))
-        cursor = last
-    out = pages[0]
-    for p in pages[1:]:
-        out = out.unionByName(p)
-    return out
+    return S.batches(S.to_reprocess(S.scope(D.documents(spark, sf)), type_id=3), 100)
 
 
 @query("g14_cleanup", oracle("SELECT id, CASE WHEN document_type_id = 1 THEN review_reasons & ~8 ELSE review_reasons END AS review_reasons FROM d_documents WHERE (review_reasons & 8) <> 0"))
