@@ -1,6 +1,7 @@
 """Queries that do their whole job however large the table is."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from vellumflow.operators import assemble as A
 from vellumflow.operators import search as S
@@ -36,3 +37,18 @@ def test_reprocessing_goes_behind_the_third_batch():
 
     sql = catalog.ORACLES["g13_reprocess_batches"].removesuffix(" LIMIT 300")
     assert oracle.compare(catalog.QUERIES["g13_reprocess_batches"](get_session(4), "/root/testdata/sf0.01"), sql, "/root/testdata/sf0.01") is None
+
+
+@pytest.mark.parametrize("name,narrowed", [("t4_expand", "[1:5]"), ("t5_parse_answer", " WHERE event_id % 3 = 0"), ("p8_tool_fields", " WHERE field_definition_id % 100 NOT IN (8)")])
+def test_all_words_events_and_fields(spark, sf, name, narrowed):
+    """By the SQL without the part that narrows it."""
+    import oracle
+
+    assert oracle.compare(catalog.QUERIES[name](spark, sf), catalog.ORACLES[name].replace(narrowed, ""), sf) is None
+
+
+def test_texts_in_arrays_are_tagged(spark):
+    values = {"a": '["x<b>","1, \\"2\\"",null,7,true]', "b": '"<"', "c": "[]", "d": "[null]", "e": "null", "f": "-1.5"}
+    row = spark.createDataFrame([(values,), ({"c": "[]"},)], "m map<string,string>").select(A.project_fields(F.col("m")).alias("m")).collect()
+    assert row[0].m == {"a": '["<field>x&lt;b></field>","<field>1, \\"2\\"</field>",7,true]', "b": '"<field>&lt;</field>"', "f": "-1.5"}
+    assert row[1].m is None

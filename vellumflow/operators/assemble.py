@@ -35,11 +35,18 @@ def reason_details(docs: DataFrame, missing: DataFrame, candidates: DataFrame) -
     return rows.select("id", F.when(attention, F.array_join(F.array_compact(F.array(*texts)), "; ")).alias("details"))
 
 
+#: An element of a JSON array of single values.
+_ITEM = r'"(?:[^"\\]++|\\.)*+"|[^\s,\[\]"]+'
+
+
 def project_fields(fields: Column) -> Column:
-    """A field map as tools show it: no nulls, texts in field tags with '<' escaped, null if nothing is left."""
+    """A field map as tools show it: no nulls, texts in field tags with '<' escaped, alone and in arrays; no arrays without values, null if nothing is left."""
     tag = lambda t: F.concat(F.lit('"<field>'), F.replace(F.regexp_replace(t, r'^"|"$', ""), F.lit("<"), F.lit("&lt;")), F.lit('</field>"'))
-    kept = F.map_filter(fields, lambda k, v: v.isNotNull() & (v != "null"))
-    shown = F.transform_values(kept, lambda k, v: F.when(v.startswith('"'), tag(v)).otherwise(v))
+    single = lambda v: F.when(v.startswith('"'), tag(v)).otherwise(v)
+    items = lambda v: F.transform(F.filter(F.regexp_extract_all(v, F.lit(_ITEM), F.lit(0)), lambda t: t != "null"), single)
+    several = lambda v: F.when(F.size(items(v)) > 0, F.concat(F.lit("["), F.array_join(items(v), ","), F.lit("]")))
+    shown = F.transform_values(fields, lambda k, v: F.when(v.startswith("["), several(v)).when(v != "null", single(v)))
+    shown = F.map_filter(shown, lambda k, v: v.isNotNull())
     return F.when(F.size(shown) > 0, shown)
 
 
