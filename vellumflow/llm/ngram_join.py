@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumflow.llm.components import components
-from vellumflow.llm.shared import arrow_rows, cut, drop_cut
+from vellumflow.llm.shared import arrow_rows, cut, drop_cut, unused
 from vellumflow.llm.wordhash import chunks, shingle_sets
 
 SIMILARITY = 80  # hundredths
@@ -282,24 +282,53 @@ def region_links(docs: DataFrame, described: DataFrame, similarity: int = SIMILA
         pivots *= MORE_PIVOTS
 
 
+def _repeats(docs: DataFrame) -> bool:
+    return not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
+def _row_components(rows: DataFrame, row: str, similarity: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """Described rows (_id, and doc_id as the row's key), and the components (node, component) of the keys. Rows without an id link with nothing."""
+    keyed = rows.select(F.col(row).alias("doc_id"), "text", F.col("doc_id").cast("long").alias("_id"))
+    described = cut(describe(keyed, k).join(keyed.select(F.col("doc_id").alias("_key"), "_id"), F.col("doc_id") == F.col("_key")).drop("_key"), "described-rows")
+    _, of = region_links(keyed.where("_id IS NOT NULL"), described.where("_id IS NOT NULL").drop("_id"), similarity, k)
+    return described, of
+
+
 def jaccard_components(docs: DataFrame, similarity: int = SIMILARITY, k: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per input row.
 
     Words are runs of characters that are no white space, A-Z lower-cased. A text with fewer than k words is one shingle;
     null, empty and blank texts have none and link with nothing. A null id links with nothing and has a null component.
-    Of rows that repeat an id the largest text links for all of them; each row keeps its own n_shingles. Other columns are
-    ignored; an empty table gives no rows.
+    Rows that repeat an id are joined each by its own text, and the links of all of them are links of the id; each row
+    keeps its own n_shingles. Other columns are ignored; an empty table gives no rows.
     """
-    described = cut(describe(docs, k), "described-all")
-    alone = described
-    if not described.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").isEmpty():
-        docs = docs.groupBy("doc_id").agg(F.max("text").alias("text"))
-        alone = cut(describe(docs, k), "described-once")
-    _, of = region_links(docs, alone, similarity, k)
+    if _repeats(docs):
+        rows = cut(docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()), "rows")
+        described, of_row = _row_components(rows, "_row", similarity, k)
+        named = described.join(of_row, F.col("doc_id") == F.col("node")).select(F.col("_id").alias("a"), F.col("component").alias("of"))
+        least = named.groupBy("of").agg(F.min("a").alias("b"))
+        of = components(named.join(least, "of").where("a <> b").select("a", "b").distinct())
+        described = described.select(F.col("_id").alias("doc_id"), "n")
+    else:
+        described = cut(describe(docs, k), "described-all")
+        _, of = region_links(docs, described, similarity, k)
     return described.join(of, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, similarity: int = SIMILARITY, k: int = SHINGLE) -> DataFrame:
-    """The rows of docs of which one stays per component: that with the smallest id. All columns as they came."""
-    kept = jaccard_components(docs, similarity, k).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi")
+    """The rows of docs of which one stays per component: that with the smallest id. All columns as they came.
+
+    Rows with a null id all stay. Rows that repeat an id are rows of their own: of those in one component one stays, by the
+    smallest id and then the smallest digest of the text.
+    """
+    if not _repeats(docs):
+        gone = jaccard_components(docs, similarity, k).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+        return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    row = unused(docs, "row")
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    _, of = _row_components(rows, row, similarity, k)
+    rank = F.struct(F.col("doc_id").cast("long").alias("id"), F.sha2(F.encode("text", "UTF-8"), 256).alias("digest"), F.col(row).alias("row"))
+    ranked = rows.select(rank.alias("_rank")).join(of, F.col("_rank.row") == F.col("node"))
+    first = ranked.groupBy("component").agg(F.min("_rank")["row"].alias("_first")).select("_first")
+    gone = of.join(first, F.col("node") == F.col("_first"), "left_anti").select(F.col("node").alias("_gone"))
+    return rows.join(gone, F.col(row) == F.col("_gone"), "left_anti").select(*docs.columns)
