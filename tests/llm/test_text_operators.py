@@ -69,13 +69,21 @@ def test_join_finds_chains_and_borders(spark):
     assert sorted(x.doc_id for x in ngram_join.keep_one(docs).collect()) == sorted(d for d in want if want[d][1] == d)
 
 
-def test_order_of_shingles_does_not_matter(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "FREQUENT", 2)
-    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
-    texts = {k: " ".join(f"x{(k // 3 + j * (1 + (k % 3 == 2 and j == 9))) % 50}" for j in range(40)) for k in range(60)}
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    want = components_by_hand(texts)
-    assert {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.jaccard_components(docs).collect()} == want
+@pytest.mark.parametrize("bounds", [{"DENSE": 99.0, "SHRINK": 2.0}, {"DENSE": 0.0}, {"BROADCAST_IDS": 0, "PACKED": 300, "BUCKET": 100}])
+def test_large_cells_divide_and_join_exactly(spark, monkeypatch, bounds):
+    """Families that are alike but only partly linked, in cells beyond the bound: divided again and again, or joined in blocks."""
+    for name, value in ({"LEAF": 6, "PIVOTS": 3} | bounds).items():
+        monkeypatch.setattr(ngram_join, name, value)
+    r, texts = random.Random(11), {}
+    for family in range(3):
+        base = [f"f{family}w{k}" for k in range(120)]
+        for member in range(40):
+            text = list(base)
+            for _ in range(r.choice([0, 1, 2, 3, 4, 5])):
+                text[r.randrange(len(text))] = f"x{r.randrange(6)}"
+            texts[len(texts)] = " ".join(text)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.jaccard_components(docs).collect()} == components_by_hand(texts)
 
 
 def test_components(spark):

@@ -3,19 +3,22 @@
 One minus the Jaccard similarity is a metric, so pivots divide documents into regions and the triangle inequality says
 which documents near a border have to stand in more than one.
 
-Level 0 has one pivot for each shingle, the set that holds it alone. Almost all pairs of documents are at distance 1, and
-pivots that are documents would tell nothing apart there. A document is equally near to the pivots of all its shingles;
-two documents within the threshold share so many of them that each need only stand in the regions of its first
-n - ceil(t n) + 1 shingles of one order that holds for all. The order puts frequent shingles last, so that common
-passages make few and small regions.
-
-Further levels take documents as pivots. In each region some members become pivots and their distances to the other
-members are found: first a lower bound, from the counts of both sets over FOLDS residues (folding never enlarges a
-distance), and where that does not rule out a link, the exact distance from both sets. A member within the threshold of a
-pivot belongs to its ball, and is a link. It leaves the region unless the window of the triangle inequality,
-d(member, pivot) + eps >= the least distance of any member outside the ball to the pivot, says that a link to the outside is
-possible. Pivots leave, regions whose members are all connected are done, and the rest goes to the next level with more
-pivots. No pair of a region is formed that has no pivot in it, and components are exact.
+Most documents are at distance 1 from all others, where pivots tell nothing apart. These leave first: what two sets have in
+common are shingles that several documents have, so a document of which less than the threshold's share of shingles occurs
+elsewhere links with nothing, and for the others these shingles and the size of the whole set give exact distances.
+
+First level. Two documents within the threshold t have one of the first n - ceil(t n) + 1 shingles of both in common, in
+one order for all: shingles by the number of documents that have them, rare ones first. Of the documents that stand under
+a shingle, the one that stands under most shingles is the pivot, and its cell gathers the documents of all its shingles.
+A group of alike documents thus has one or a few pivots, not one cell for each shingle.
+
+Further levels. A cell of up to LEAF documents is joined inside one task. In a larger one PIVOTS documents become pivots
+and their distances to all members are found, in parts of bounded size. Each member goes to the Voronoi cell of its nearest
+pivot, and stands as a replica in the cells of the pivots that are farther by two thresholds at most: by the triangle
+inequality everything linked to it has its home there or finds it there. Pivots leave, for they have met all members; cells
+whose members are all connected are done; the rest is divided again. Where windows are so wide that this divides nothing
+(everything alike and little linked), the members outside the cell's largest component meet the whole cell, block by block.
+Components are exact, and no pair of documents is ever a row unless it is a link.
 """
 
 from __future__ import annotations
@@ -25,23 +28,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumflow.llm.components import components
-from vellumflow.llm.shared import arrow_rows, cut, drop_cut, unused
+from vellumflow.llm.shared import cut, drop_cut, unused
 from vellumflow.llm.wordhash import chunks, shingle_sets
 
 SIMILARITY = 80  # hundredths
 SHINGLE = 5
-FOLDS = 256
-PAIR_ROWS = 100  # pairs of sets that a Python worker holds at once
-PIVOTS = 1  # of a region at the first level, which connects most of what is alike with one comparison each
-MORE_PIVOTS = 12  # times as many at each further level, for the regions that are not settled by then
-FREQUENT = 24  # documents that have a shingle in their first part make it frequent
-PACKED = 4 << 20  # bytes of text whose shingles are packed together
+LEAF = 512  # documents of a cell that one task joins
+PIVOTS = 16  # of a larger cell
+DENSE = 2.0  # times the members of a cell that its divisions may have together, or else it is joined in blocks
+SHRINK = 0.75  # of a cell's members that one division may have, likewise
+PACKED = 4 << 20  # bytes of text whose shingles travel together
+BUCKET = 1 << 20  # shingles of a bucket, about
 BROADCAST_IDS = 1 << 20  # ids that may be broadcast, 8 MB
-MOST_FREQUENT = 1 << 18  # shingles treated as frequent at most, so that their list has a bounded size
+SLACK = 1e-9  # of comparisons of distances
 
 
 def _encoded(texts: pd.Series) -> list[bytes]:
@@ -54,232 +57,312 @@ def first_part(n: int, similarity: int = SIMILARITY) -> int:
 
 
 def describe(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id, n (size of the shingle set), digest (of the set), fold (counts over FOLDS residues, up to 255: clipping never enlarges a distance either)."""
+    """doc_id, n (size of the shingle set), digest (of the set)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sizes, digests, folds = [], [], []
-            for s in shingle_sets(_encoded(batch["text"]), k):
-                sizes.append(len(s))
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                folds.append(np.minimum(np.bincount((s % np.uint64(FOLDS)).astype(np.int64), minlength=FOLDS), 255).astype(np.uint8).tobytes())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": sizes, "digest": digests, "fold": folds})
+            texts, ids = _encoded(batch["text"]), batch["doc_id"]
+            for first, last in chunks(texts):
+                sets = list(shingle_sets(texts[first:last], k))
+                yield pd.DataFrame({"doc_id": ids[first:last], "n": [len(s) for s in sets], "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n long, digest binary, fold binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n long, digest binary")
 
 
-def _first_parts(texts: list[bytes], frequent: np.ndarray, similarity: int, k: int) -> Iterator[np.ndarray]:
-    """Of each text the shingles that it is placed under: in the order of their hashes, frequent ones behind all others."""
-    for s in shingle_sets(texts, k):
-        want = first_part(len(s), similarity)
-        head = s[: 2 * want]
-        if len(frequent) and len(head):
-            late = frequent[np.minimum(np.searchsorted(frequent, head), len(frequent) - 1)] == head
-            if late[:want].any():
-                if (~late).sum() < want and len(head) < len(s):
-                    head = s
-                    late = frequent[np.minimum(np.searchsorted(frequent, head), len(frequent) - 1)] == head
-                head = np.concatenate([head[~late], head[late]])
-        yield head[:want]
+def _squeeze(rising: np.ndarray) -> bytes:
+    """Steps between rising 56-bit numbers, low bytes of all first, so that the high ones, mostly 0, compress."""
+    return np.diff(rising, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].T.tobytes()
 
 
-def _cuts(sorted_buckets: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
-    edges = np.searchsorted(sorted_buckets, np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(edges)):
-        yield int(b), slice(edges[b], edges[b + 1])
+def _spread(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(7, -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, :7] = planes.T
+    return np.cumsum(steps.reshape(-1).view("<u8"), dtype=np.uint64)
 
 
-def _buckets(docs: DataFrame) -> int:
-    return 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _packed(docs: DataFrame, buckets: int, k: int) -> DataFrame:
+    """The shingles of documents (ids not repeated), by range of their 56-bit hashes and by chunk of documents.
 
-
-def frequent_shingles(docs: DataFrame, similarity: int = SIMILARITY, k: int = SHINGLE) -> np.ndarray:
-    """Sorted shingles that at least FREQUENT documents have in their first part; with more than MOST_FREQUENT of them, the most frequent.
-
-    Counts travel packed, by bucket of the shingle, added up within batches first. Whatever the list is, the join is exact:
-    the list only orders shingles.
+    A chunk is named by its first document. Its head tells the ids and set sizes of its documents and goes along in one of
+    its buckets.
     """
-    buckets = _buckets(docs)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = _encoded(batch["text"])
-            for first, last in chunks(texts, PACKED):
-                parts = list(_first_parts(texts[first:last], np.zeros(0, np.uint64), similarity, k))
-                shingles, counts = np.unique(np.concatenate(parts), return_counts=True)
-                bucket = (shingles % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                shingles, counts = shingles[order].astype("<u8"), counts[order].astype("<u4")
-                yield pd.DataFrame([(b, shingles[at].tobytes(), counts[at].tobytes()) for b, at in _cuts(bucket[order], buckets)], columns=["bucket", "shingles", "counts"])
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        shingles, counts = (np.frombuffer(b"".join(group[c]), t) for c, t in (("shingles", "<u8"), ("counts", "<u4")))
+            texts, ids = _encoded(batch["text"]), batch["doc_id"].to_numpy(np.int64)
+            for start, stop in chunks(texts, PACKED):
+                for first in range(start, stop, 1 << 16):
+                    last = min(stop, first + (1 << 16))
+                    sets = list(shingle_sets(texts[first:last], k))
+                    sizes = np.array([len(s) for s in sets], "<i8")
+                    shingles = np.concatenate(sets) >> np.uint64(8)
+                    order = np.argsort(shingles)
+                    shingles, owner = shingles[order], np.repeat(np.arange(len(sets)).astype("<u2"), sizes)[order]
+                    edges = np.searchsorted((shingles >> np.uint64(24)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+                    chunk = int(ids[first])
+                    rows = [(chunk, chunk % buckets, True, ids[first:last].astype("<i8").tobytes(), sizes.tobytes())]
+                    rows += [(chunk, int(b), False, _squeeze(shingles[edges[b] : edges[b + 1]]), owner[edges[b] : edges[b + 1]].tobytes()) for b in np.flatnonzero(np.diff(edges))]
+                    yield pd.DataFrame(rows, columns=["chunk", "bucket", "head", "shingles", "owners"])
+
+    return docs.mapInPandas(run, "chunk long, bucket int, head boolean, shingles binary, owners binary")
+
+
+def _several(group: pd.DataFrame) -> pd.DataFrame:
+    """Of a bucket, the shingles that several documents have, with the number of these; heads pass through."""
+    heads, rows = group[group["head"]], group[~group["head"]]
+    out = [(c, True, s, o, b"") for c, s, o in zip(heads["chunk"], heads["shingles"], heads["owners"])]
+    parts = [_spread(s) for s in rows["shingles"]]
+    if parts:
+        shingles = np.concatenate(parts)
         order = np.argsort(shingles)
-        shingles = shingles[order]
-        heads = np.flatnonzero(np.concatenate([[True], shingles[1:] != shingles[:-1]]))
-        sums = np.add.reduceat(counts[order].astype(np.int64), heads)
-        often = sums >= FREQUENT
-        return pd.DataFrame({"shingle": shingles[heads][often].view(np.int64), "count": sums[often]})
-
-    packed = docs.select("text").mapInPandas(count, "bucket int, shingles binary, counts binary")
-    counts = packed.groupBy("bucket").applyInPandas(add, "shingle long, count long")
-    found = counts.orderBy(F.desc("count"), "shingle").limit(MOST_FREQUENT).select("shingle").toPandas()["shingle"].to_numpy(np.int64)
-    return np.sort(found.view(np.uint64))
-
-
-def shared_regions(docs: DataFrame, frequent: np.ndarray, similarity: int = SIMILARITY, k: int = SHINGLE) -> DataFrame:
-    """region (a shingle), doc_id: documents under their first shingles, where several documents meet.
-
-    Documents travel packed, by bucket of the shingle. A frequent
-    shingle is known to be shared, so its documents pass through, spread over all buckets.
+        ranked = shingles[order]
+        begins = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        times = np.diff(np.append(begins, len(ranked)))
+        counts = np.empty(len(ranked), "<u4")
+        counts[order] = np.repeat(times, times)
+        edge = 0
+        for chunk, part, owners in zip(rows["chunk"], parts, rows["owners"]):
+            count = counts[edge : edge + len(part)]
+            edge += len(part)
+            again = count > 1
+            if again.any():
+                out.append((chunk, False, _squeeze(part[again]), np.frombuffer(owners, "<u2")[again].tobytes(), count[again].tobytes()))
+    return pd.DataFrame(out, columns=["chunk", "head", "shingles", "owners", "counts"])
+
+
+def _sets_of(similarity: int):
+    def of_chunk(group: pd.DataFrame) -> pd.DataFrame:
+        """Documents of a chunk that may link: their shared shingles, rare ones first, and those that they stand under."""
+        head, rows = group[group["head"]].iloc[0], group[~group["head"]]
+        ids, sizes = np.frombuffer(head["shingles"], "<i8"), np.frombuffer(head["owners"], "<i8")
+        out = []
+        if len(rows):
+            shingles = np.concatenate([_spread(s) for s in rows["shingles"]])
+            owners, counts = (np.frombuffer(b"".join(rows[c]), t) for c, t in (("owners", "<u2"), ("counts", "<u4")))
+            order = np.lexsort((shingles, counts, owners))
+            shingles, edges = shingles[order].astype(np.int64), np.searchsorted(owners[order], np.arange(len(ids) + 1))
+            for doc, n, a, b in zip(ids.tolist(), sizes.tolist(), edges, edges[1:]):
+                under = first_part(n, similarity) - (n - int(b - a))  # shingles of no other document come first of all
+                if under > 0:
+                    out.append((doc, n, shingles[a:b].tobytes(), shingles[a : a + under]))
+        return pd.DataFrame(out, columns=["doc_id", "n", "shingles", "stands_under"])
+
+    return of_chunk
+
+
+def shared_sets(docs: DataFrame, total: int, similarity: int = SIMILARITY, k: int = SHINGLE) -> DataFrame:
+    """doc_id, n, shingles (those that another document has too), stands_under: of the documents that may link with another.
+
+    docs: ids and texts, no id and no set twice, total shingles together. Two shuffles: the shingles by range of their
+    hashes, and those that several documents have back to the chunks of documents that they came from.
     """
-    shared, buckets = docs.sparkSession.sparkContext.broadcast(frequent), _buckets(docs)  # at most MOST_FREQUENT
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        late = shared.value
-        for batch in batches:
-            texts, ids = _encoded(batch["text"]), batch["doc_id"].to_numpy(np.int64)
-            for first, last in chunks(texts, PACKED):
-                parts, owners = [], []
-                for doc, part in zip(ids[first:last], _first_parts(texts[first:last], late, similarity, k)):
-                    if len(part):
-                        parts.append(part)
-                        owners.append(doc)
-                if not parts:
-                    continue
-                shingles, own = np.concatenate(parts), np.repeat(np.array(owners, np.int64), [len(p) for p in parts])
-                often = late[np.minimum(np.searchsorted(late, shingles), len(late) - 1)] == shingles if len(late) else np.zeros(len(shingles), bool)
-                bucket = np.where(often, own % buckets, (shingles % np.uint64(buckets)).astype(np.int64))
-                rows = []
-                for known, mask in ((False, ~often), (True, often)):
-                    at = np.flatnonzero(mask)
-                    at = at[np.argsort(bucket[at], kind="stable")]
-                    rows += [(b, known, shingles[at[c]].astype("<u8").tobytes(), own[at[c]].astype("<i8").tobytes()) for b, c in _cuts(bucket[at], buckets)]
-                yield pd.DataFrame(rows, columns=["bucket", "known", "shingles", "docs"])
-
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
-        shingles, own = (np.frombuffer(b"".join(group[c]), t) for c, t in (("shingles", "<u8"), ("docs", "<i8")))
-        known = np.repeat(group["known"].to_numpy(bool), [len(d) // 8 for d in group["docs"]])
-        rare, rare_own = shingles[~known], own[~known]
-        order = np.argsort(rare)
-        rare, rare_own = rare[order], rare_own[order]
-        again = np.zeros(len(rare), bool)
-        again[1:] = rare[1:] == rare[:-1]
-        again[:-1] |= again[1:].copy()
-        return pd.DataFrame({"region": np.concatenate([rare[again], shingles[known]]).view(np.int64), "doc_id": np.concatenate([rare_own[again], own[known]])})
-
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInPandas(place, "bucket int, known boolean, shingles binary, docs binary").groupBy("bucket").applyInPandas(meet, "region long, doc_id long")
-
-
-def _bounds(pairs: DataFrame, similarity: int) -> DataFrame:
-    """Adds far, a lower bound of the distance, and near: whether a link is still possible."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fold = lambda c: np.frombuffer(b"".join(batch[c]), np.uint8).reshape(-1, FOLDS).astype(np.int64)
-            both = (batch["n"] + batch["pivot_n"]).to_numpy()
-            apart = np.abs(fold("fold") - fold("pivot_fold")).sum(axis=1) if len(batch) else np.zeros(0, np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "pivot": batch["pivot"], "far": 1 - (both - apart) / np.maximum(both + apart, 1), "near": 100 * (both - apart) >= similarity * (both + apart)})
-
-    return pairs.mapInPandas(run, "doc_id long, pivot long, far double, near boolean")
-
-
-def _exact(pairs: DataFrame, docs: DataFrame, similarity: int, k: int) -> DataFrame:
-    """doc_id, pivot, far (the distance), linked: from both shingle sets."""
-
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts, ids = _encoded(batch["text"]), batch["doc_id"].to_numpy()
-            for first, last in chunks(texts, PACKED):
-                yield pd.DataFrame({"set_of": ids[first:last], "shingles": [s.tobytes() for s in shingle_sets(texts[first:last], k)]})
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            far, linked = [], []
-            for x, y in zip(batch["shingles"], batch["pivot_shingles"]):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                union = len(a) + len(b) - common
-                far.append(1 - common / max(union, 1))
-                linked.append(100 * common >= similarity * union)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "pivot": batch["pivot"], "far": far, "linked": linked})
-
-    ids = cut(pairs.select("doc_id").unionByName(pairs.select(F.col("pivot").alias("doc_id"))).distinct().withColumnRenamed("doc_id", "wanted"), "wanted")
-    few = ids.count() <= BROADCAST_IDS  # else the texts are shuffled to the ids
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    needed = cut(rows.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("wanted"), "left_semi").mapInPandas(sets, "set_of long, shingles binary"), "sets")
-    of_pivot = needed.select(F.col("set_of").alias("pivot_of"), F.col("shingles").alias("pivot_shingles"))
-    whole = pairs.join(needed, F.col("doc_id") == F.col("set_of")).join(of_pivot, F.col("pivot") == F.col("pivot_of"))
-    with arrow_rows(docs.sparkSession, PAIR_ROWS):
-        out = cut(whole.select("doc_id", "pivot", "shingles", "pivot_shingles").mapInPandas(compare, "doc_id long, pivot long, far double, linked boolean"), "distances")
-    drop_cut(needed)
-    return out
-
-
-def _different(regions: DataFrame) -> DataFrame:
-    """Regions with two members at least, and of those with the same members one: they would be compared alike.
+    buckets = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
+    several = _packed(docs, buckets, k).groupBy("bucket").applyInPandas(_several, "chunk long, head boolean, shingles binary, owners binary, counts binary")
+    return several.groupBy("chunk").applyInPandas(_sets_of(similarity), "doc_id long, n long, shingles binary, stands_under array<long>")
+
+
+class _Cell:
+    """Documents of one task: sizes of their sets, shared shingles, and which of them are connected."""
+
+    def __init__(self, n: pd.Series, shingles: pd.Series, component: np.ndarray, similarity: int):
+        self.n, self.similarity = n.to_numpy(np.int64), similarity
+        sizes = np.array([len(s) // 8 for s in shingles], np.int64)
+        self.ends = np.concatenate([[0], np.cumsum(sizes)])
+        distinct, self.column = np.unique(np.frombuffer(b"".join(shingles), np.int64), return_inverse=True)
+        self.mark = np.zeros(len(distinct), np.int64)
+        self.component = component.copy()
+        self.found: list[tuple[int, int]] = []
+
+    def common(self, x: int, others: np.ndarray | None = None) -> np.ndarray:
+        """Shingles that document x has in common with all documents, or with some."""
+        own = self.column[self.ends[x] : self.ends[x + 1]]
+        self.mark[own] = 1
+        if others is None:
+            out = np.add.reduceat(self.mark[self.column], self.ends[:-1])
+        else:
+            out = np.array([self.mark[self.column[self.ends[y] : self.ends[y + 1]]].sum() for y in others], np.int64)
+        self.mark[own] = 0
+        return out
+
+    def meet(self, x: int, others: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Distances of x to all documents or some, and which are links; links that connect anything new are kept."""
+        common = self.common(x, others)
+        union = self.n[x] + (self.n if others is None else self.n[others]) - common
+        linked = 100 * common >= self.similarity * union
+        for y in np.flatnonzero(linked) if others is None else others[linked]:
+            if self.component[y] != self.component[x]:
+                self.found.append((x, int(y)))
+                self.component[self.component == self.component[y]] = self.component[x]
+        return 1 - common / union, linked
+
+
+def _join_inside(similarity: int):
+    """Links that connect the documents of a cell, of which one at least of each pair has its home there."""
+    eps = 1 - similarity / 100
+
+    def join(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["home", "doc_id"]).drop_duplicates("doc_id", keep="last").reset_index(drop=True)
+        ids, home = group["doc_id"].to_numpy(np.int64), group["home"].to_numpy(bool)
+        cell = _Cell(group["n"], group["shingles"], group["component"].to_numpy(np.int64), similarity)
+        pivots, seen = np.argsort(-np.diff(cell.ends), kind="stable")[:8], []
+        for x in pivots:
+            if (cell.component == cell.component[0]).all():
+                break
+            seen.append(cell.meet(int(x))[0])
+        far = np.array(seen).reshape(len(seen), len(ids))
+        names, counts = np.unique(cell.component, return_counts=True)
+        largest = names[counts.argmax()]
+        # of two documents that aren't connected, one at least is outside the largest component
+        for x in np.flatnonzero(cell.component != largest):
+            if x in pivots[: len(seen)]:
+                continue
+            open_to = (cell.component != cell.component[x]) & (home | home[x])
+            open_to &= (100 * cell.n >= similarity * cell.n[x]) & (100 * cell.n[x] >= similarity * cell.n)
+            open_to &= (np.abs(far - far[:, [x]]) <= eps + SLACK).all(axis=0)  # the windows of the pivots
+            others = np.flatnonzero(open_to)
+            if len(others):
+                cell.meet(int(x), others if 4 * len(others) < len(ids) else None)
+        return pd.DataFrame([(ids[x], ids[y]) for x, y in cell.found], columns=["a", "b"], dtype=np.int64)
+
+    return join
+
+
+def _deal(similarity: int):
+    """Members of a part of a cell to Voronoi cells: the nearest pivot, and pivots that are farther by two thresholds at most."""
+    eps = 1 - similarity / 100
+
+    def deal(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["pivot", "doc_id"], ascending=[False, True]).reset_index(drop=True)
+        count, ids = int(group["pivot"].sum()), group["doc_id"].to_numpy(np.int64)
+        cell = _Cell(group["n"], group["shingles"], np.arange(len(group)), similarity)
+        met = [cell.meet(p) for p in range(count)]
+        far, linked = np.stack([m[0] for m in met]), np.stack([m[1] for m in met])
+        nearest = far.argmin(axis=0)
+        window = far - far.min(axis=0) <= 2 * eps + SLACK
+        out = []
+        for x in range(len(ids)):
+            to = ids[:count][linked[:, x] & (ids[:count] != ids[x])]
+            if x < count or ids[x] in ids[:count]:  # pivots have met every member
+                out.append((group["cell"][x], ids[x], False, True, ids[x], [], to))
+            else:
+                window[nearest[x], x] = False
+                out.append((group["cell"][x], ids[x], group["home"][x], False, ids[nearest[x]], ids[:count][window[:, x]], to))
+        return pd.DataFrame(out, columns=["cell", "doc_id", "home", "pivot", "nearest", "replicas", "linked"])
+
+    return deal
+
+
+def _rank(under: Column) -> Column:
+    """Of documents, the one that stands under most shingles comes first."""
+    return F.struct((-under).alias("under"), F.xxhash64("doc_id").alias("hash"), "doc_id")
+
+
+def _different(cells: DataFrame) -> DataFrame:
+    """Of cells with the same members one, and none without two members of which one is at home.
 
     Two independent 64-bit sums stand for the members, so nothing is gathered.
     """
-    sums = [F.bit_xor(F.xxhash64("doc_id", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
-    of = regions.groupBy("region").agg(F.count(F.lit(1)).alias("members"), *sums).where("members > 1")
-    chosen = of.groupBy("members", "x1", "x2").agg(F.min("region").alias("chosen")).select("chosen")
-    return regions.join(chosen, F.col("region") == F.col("chosen"), "left_semi")
-
-
-def region_links(docs: DataFrame, described: DataFrame, similarity: int = SIMILARITY, k: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b) that connect all documents which any links connect, and the components (node, component) that they make.
-
-    Equal sets link to the smallest id among them.
+    sums = [F.bit_xor(F.xxhash64("doc_id", "home", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    of = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("members"), F.max("home").alias("any_home"), *sums).where("members > 1 AND any_home")
+    chosen = of.groupBy("members", "x1", "x2").agg(F.min("cell").alias("chosen")).select("chosen")
+    return cells.join(chosen, F.col("cell") == F.col("chosen"), "left_semi")
+
+
+def first_cells(sets: DataFrame) -> DataFrame:
+    """cell (its pivot), doc_id, home: documents with the pivots of the shingles that they stand under."""
+    placed = sets.select("doc_id", _rank(F.size("stands_under")).alias("rank"), F.explode("stands_under").alias("region"))
+    pivots = placed.groupBy("region").agg(F.min("rank").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    pivots = pivots.select(F.col("region").alias("of_region"), F.col("pivot.doc_id").alias("cell"))
+    return placed.join(pivots, F.col("region") == F.col("of_region")).select("cell", "doc_id").distinct().withColumn("home", F.lit(True))
+
+
+def _with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    return rows.join(sets.select(F.col("doc_id").alias("_of"), "n", "shingles"), F.col("doc_id") == F.col("_of")).drop("_of")
+
+
+def _blocks(cells: DataFrame) -> DataFrame:
+    """Cells whose members outside the largest component meet the whole cell, in blocks: part, other, with home for those outside."""
+    counted = cells.groupBy("cell", "component").agg(F.count(F.lit(1)).alias("size"))
+    whole = counted.groupBy("cell").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("members"))
+    whole = whole.select(F.col("cell").alias("of_cell"), F.col("top.component").alias("largest"), F.ceil(F.col("members") / LEAF).alias("parts"), F.ceil((F.col("members") - F.col("top.size")) / LEAF).alias("others"))
+    rows = cells.join(whole.where("others > 0"), F.col("cell") == F.col("of_cell"))
+    part, other = (F.pmod(F.xxhash64("doc_id", F.lit(s)), F.col(c)) for s, c in (("part", "parts"), ("other", "others")))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    inside = rows.withColumn("part", part).withColumn("other", every("others")).withColumn("home", F.lit(False))
+    outside = rows.where("component <> largest").withColumn("other", other).withColumn("part", every("parts")).withColumn("home", F.lit(True))
+    names = ["cell", "part", "other", "doc_id", "home", "component"]
+    return inside.select(names).unionByName(outside.select(names))
+
+
+def _divide(cells: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Deal the members of large cells to the Voronoi cells of pivots. Written to the shared folder."""
+    top = cells.where("home").join(sets.select(F.col("doc_id").alias("_of"), F.size("stands_under").alias("under")), F.col("doc_id") == F.col("_of"))
+    top = top.withColumn("at", F.row_number().over(Window.partitionBy("cell").orderBy(_rank(F.col("under"))))).where(F.col("at") <= PIVOTS)
+    parts = F.ceil(F.col("members") / LEAF)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
+    members = cells.withColumn("part", F.pmod(F.xxhash64("doc_id"), parts)).withColumn("pivot", F.lit(False))
+    chosen = top.withColumn("part", every).withColumn("pivot", F.lit(True))
+    names = ["cell", "part", "doc_id", "home", "pivot"]
+    both = _with_sets(members.select(names).unionByName(chosen.select(names)), sets)
+    return cut(both.groupBy("cell", "part").applyInPandas(_deal(similarity), "cell long, doc_id long, home boolean, pivot boolean, nearest long, replicas array<long>, linked array<long>"), "dealt")
+
+
+def region_links(docs: DataFrame, described: DataFrame, similarity: int = SIMILARITY, k: int = SHINGLE) -> DataFrame:
+    """Links (a, b), repeats possible, that connect all documents which any links connect. Equal sets link to the smallest id among them.
+
+    docs: doc_id, text, no id twice; described: what describe() tells of them, written to a table.
     """
     known = described.where("n > 0 AND doc_id IS NOT NULL")
-    least = known.groupBy("digest").agg(F.min("doc_id").alias("head"))
-    same = known.join(least, "digest").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).where("a <> b")
-    stands = cut(known.join(least.select("head"), F.col("doc_id") == F.col("head"), "left_semi").select(F.col("doc_id").alias("of"), "n", "fold"), "described")
-
-    placed = shared_regions(docs, frequent_shingles(docs, similarity, k), similarity, k)
-    placed = cut(placed.join(stands.select("of"), F.col("doc_id") == F.col("of"), "left_semi"), "placed")
-    regions = cut(_different(placed), "regions")
-    drop_cut(placed)
-
-    links, eps, pivots = same, 1 - similarity / 100, PIVOTS
-    member = regions.withColumn("component", F.col("doc_id")).withColumn("weight", F.lit(1).cast("long"))
-    found: list[DataFrame] = []
+    least = cut(known.groupBy("digest").agg(F.min("doc_id").alias("head"), F.min("n").alias("n")), "heads")
+    links = [known.join(least.drop("n"), "digest").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).where("a <> b")]
+
+    size = least.agg(F.count(F.lit(1)).alias("heads"), F.sum("n").alias("total")).first()
+    heads = least.select("head")
+    few = size.heads <= BROADCAST_IDS  # else the texts are shuffled to the ids
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(heads) if few else heads, F.col("doc_id") == F.col("head"), "left_semi")
+    sets = cut(shared_sets(texts, size.total or 0, similarity, k), "sets")
+
+    cells = cut(first_cells(sets).withColumn("component", F.col("doc_id")), "cells")
+    cells = _different(cells)
     while True:
-        place_in = F.struct("weight", F.xxhash64("doc_id").alias("hash"), "doc_id")
-        ranked = member.withColumn("rank", place_in)
-        by_rank = Window.partitionBy("region").orderBy("rank")
-        tops = ranked.withColumn("at", F.row_number().over(by_rank)).where(F.col("at") <= pivots)
-        tops = tops.select(F.col("region").alias("of_region"), F.col("doc_id").alias("pivot"), F.col("rank").alias("pivot_rank"), F.col("component").alias("pivot_component"))
-        apart = (F.col("region") == F.col("of_region")) & (F.col("pivot_rank") < F.col("rank")) & (F.col("component") != F.col("pivot_component"))
-        pairs = ranked.join(tops, apart).select("doc_id", "pivot").distinct()
-        sized = pairs.join(stands, F.col("doc_id") == F.col("of")).drop("of").join(stands.select(F.col("of").alias("p"), F.col("n").alias("pivot_n"), F.col("fold").alias("pivot_fold")), F.col("pivot") == F.col("p")).drop("p")
-        bounded = cut(_bounds(sized.select("doc_id", "pivot", "n", "pivot_n", "fold", "pivot_fold"), similarity), "bounds")
-        exact = _exact(bounded.where("near").select("doc_id", "pivot"), docs, similarity, k)
-        found.append(exact.where("linked").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")))
-        links = links.unionByName(found[-1])
-
-        of = cut(components(links), "components")
-        weights = of.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-        of = of.join(weights, "component").select(F.col("node"), F.col("component").alias("in_component"), "size")
-        # what is left of each region: no pivots, and more than one component
-        left = member.join(tops, (F.col("region") == F.col("of_region")) & (F.col("doc_id") == F.col("pivot")), "left_anti").select("region", "doc_id")
-        left = left.join(of, F.col("doc_id") == F.col("node"), "left").select("region", "doc_id", F.coalesce("in_component", "doc_id").alias("component"), F.coalesce("size", F.lit(1)).alias("weight"))
-        split = left.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select(F.col("region").alias("open"))
-        left = cut(_different(left.join(split, F.col("region") == F.col("open"), "left_semi")), "left")
-        if left.isEmpty():
-            return links, of.select("node", F.col("in_component").alias("component"))
-        # windows: distances of what is left to the region's pivots
-        distances = bounded.where(~F.col("near")).select("doc_id", "pivot", "far", F.lit(False).alias("linked")).unionByName(exact)
-        distances = distances.select(F.col("doc_id").alias("x"), F.col("pivot").alias("q"), "far", "linked")
-        seen = left.join(tops, F.col("region") == F.col("of_region")).select("region", "doc_id", "pivot").join(distances, (F.col("doc_id") == F.col("x")) & (F.col("pivot") == F.col("q")), "left")
-        seen = seen.select("region", "doc_id", "pivot", F.coalesce("far", F.lit(0.0)).alias("far"), F.coalesce("linked", F.lit(False)).alias("linked"))
-        outside = seen.where(~F.col("linked")).groupBy("region", "pivot").agg(F.min("far").alias("nearest"))
-        inside = seen.where("linked").join(outside, ["region", "pivot"], "left")
-        settled = inside.where(F.col("nearest").isNull() | (F.col("far") + eps + 1e-9 < F.col("nearest"))).select("region", "doc_id").distinct()
-        member = cut(left.join(settled, ["region", "doc_id"], "left_anti"), "regions")
-        pivots *= MORE_PIVOTS
+        sized = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("members")).select(F.col("cell").alias("of_cell"), "members")
+        cells = cut(cells.join(sized, F.col("cell") == F.col("of_cell")).drop("of_cell"), "cells")
+        inside = _with_sets(cells.where(F.col("members") <= LEAF).drop("members"), sets)
+        links.append(cut(inside.groupBy("cell").applyInPandas(_join_inside(similarity), "a long, b long"), "links"))
+        large = cells.where(F.col("members") > LEAF)
+        if large.isEmpty():
+            break
+        dealt = _divide(large, sets, similarity)
+        links.append(dealt.select(F.col("doc_id").alias("a"), F.explode("linked").alias("b")))
+
+        of = cut(components(_all(links)), "components").withColumnRenamed("component", "_component")
+        with_component = lambda rows: rows.join(of, F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("_component", "doc_id")).drop("node", "_component")
+        spots = F.concat(F.array(F.struct(F.col("nearest").alias("pivot"), "home")), F.transform("replicas", lambda p: F.struct(p.alias("pivot"), F.lit(False).alias("home"))))
+        deeper = dealt.where("NOT pivot").select(F.col("cell").alias("parent"), "doc_id", F.explode(spots).alias("spot"))
+        deeper = deeper.select("parent", F.xxhash64("parent", "spot.pivot").alias("cell"), "doc_id", "spot.home")
+        deeper = cut(with_component(deeper), "divided")
+        before = large.groupBy("cell").agg(F.count(F.lit(1)).alias("before"))
+        after = deeper.groupBy("parent", "cell").agg(F.count(F.lit(1)).alias("size")).groupBy(F.col("parent").alias("cell")).agg(F.sum("size").alias("after"), F.max("size").alias("most"))
+        dense = cut(before.join(after, "cell").where((F.col("after") > DENSE * F.col("before")) | (F.col("most") > SHRINK * F.col("before"))).select(F.col("cell").alias("dense")), "dense")
+        blocks = _with_sets(_blocks(with_component(large.drop("component").join(dense, F.col("cell") == F.col("dense"), "left_semi"))), sets)
+        links.append(cut(blocks.groupBy("cell", "part", "other").applyInPandas(_join_inside(similarity), "a long, b long"), "links"))
+
+        deeper = deeper.join(dense, F.col("parent") == F.col("dense"), "left_anti")
+        several = deeper.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select(F.col("cell").alias("open"))
+        divided = cells
+        cells = cut(_different(deeper.join(several, F.col("cell") == F.col("open"), "left_semi").select("cell", "doc_id", "home", "component")), "cells")
+        drop_cut(divided)
+        if cells.isEmpty():
+            break
+    return _all(links)
+
+
+def _all(links: list[DataFrame]) -> DataFrame:
+    out = links[0]
+    for more in links[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def _repeats(docs: DataFrame) -> bool:
@@ -290,8 +373,8 @@ def _row_components(rows: DataFrame, row: str, similarity: int, k: int) -> tuple
     """Described rows (_id, and doc_id as the row's key), and the components (node, component) of the keys. Rows without an id link with nothing."""
     keyed = rows.select(F.col(row).alias("doc_id"), "text", F.col("doc_id").cast("long").alias("_id"))
     described = cut(describe(keyed, k).join(keyed.select(F.col("doc_id").alias("_key"), "_id"), F.col("doc_id") == F.col("_key")).drop("_key"), "described-rows")
-    _, of = region_links(keyed.where("_id IS NOT NULL"), described.where("_id IS NOT NULL").drop("_id"), similarity, k)
-    return described, of
+    links = region_links(keyed.where("_id IS NOT NULL").drop("_id"), described.where("_id IS NOT NULL").drop("_id"), similarity, k)
+    return described, components(links)
 
 
 def jaccard_components(docs: DataFrame, similarity: int = SIMILARITY, k: int = SHINGLE) -> DataFrame:
@@ -311,7 +394,7 @@ def jaccard_components(docs: DataFrame, similarity: int = SIMILARITY, k: int = S
         described = described.select(F.col("_id").alias("doc_id"), "n")
     else:
         described = cut(describe(docs, k), "described-all")
-        _, of = region_links(docs, described, similarity, k)
+        of = components(region_links(docs.where("doc_id IS NOT NULL"), described, similarity, k))
     return described.join(of, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
