@@ -35,8 +35,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit integers) and a digest of the decoded text."""
-    encoded = sp_codec.encode_texts(docs.select("doc_id", "lang", "source", "text"), piece_model())
-    decoded = sp_codec.decode_ids(encoded, piece_model(), out_col="decoded")
+    decoded = sp_codec.encode_and_decode(docs.select("doc_id", "lang", "source", "text"), piece_model())
     return decoded.select("doc_id", "lang", "source", F.expr("octet_length(ids) div 4").alias("n_tokens"), "ids", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 

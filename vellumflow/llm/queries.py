@@ -88,7 +88,7 @@ def piece_model() -> str:
 @query()
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    decoded = sp_codec.decode_ids(sp_codec.encode_texts(docs, piece_model()), piece_model(), out_col="decoded")
+    decoded = sp_codec.encode_and_decode(docs, piece_model())
     return decoded.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 

@@ -12,18 +12,19 @@ word is remembered. Runs of space marks merge last and from the left, which a gr
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 MARK = "▁"
 NEVER = float("inf")
-WORDS_KEPT = 400_000  # remembered words of a Python worker; beyond, it starts afresh
-PAIRS_KEPT = 1_500_000
+WORDS_KEPT = 120_000  # remembered words of a Python worker, about 30 MB; as many of the time before are still at hand
+PAIRS_KEPT = 150_000  # token pairs, about 20 MB
 LONGEST_KEPT = 48
+ROWS = 256  # texts that are turned into Python objects at once
 
 
 @dataclass
@@ -41,18 +42,77 @@ class Vocabulary:
     spines: dict[int, tuple[list, list]] = field(default_factory=dict)  # id: left spine, right spine as (piece, born)
 
 
+#: Numbers of the fields of the model file's messages, and of the kinds that it uses.
+PIECES, TRAINER, NORMALIZER = 1, 2, 3
+PIECE_KIND, USER_DEFINED = 3, 4
+MODEL_TYPE, BPE, SUFFIX_SPACE, BYTE_FALLBACK = 3, 2, 24, 35
+CHARSMAP, DUMMY_PREFIX, FEWER_SPACES, ESCAPE_SPACES = 2, 3, 4, 5
+
+
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Number and value of each field of a protocol buffer message."""
+
+    def number() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            out |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return out
+
+    at = 0
+    while at < len(data):
+        key = number()
+        kind, size = key & 7, 0
+        if kind == 0:
+            yield key >> 3, number()
+            continue
+        size = number() if kind == 2 else 8 if kind == 1 else 4
+        yield key >> 3, data[at : at + size]
+        at += size
+
+
+def check_settings(proto: bytes) -> bool:
+    """Whether a model puts a space before texts; ValueError if it is none that the codec reproduces.
+
+    That is BPE with byte pieces for unknown characters, no pieces defined by the user, no normalisation of characters or
+    spaces, and spaces marked in front of words.
+    """
+    top = list(_fields(proto))
+    trainer, normalizer = (dict(_fields(next((v for f, v in top if f == part), b""))) for part in (TRAINER, NORMALIZER))
+    faults = {
+        "the model is not of the BPE kind": trainer.get(MODEL_TYPE, 1) != BPE,
+        "it has no byte fallback": not trainer.get(BYTE_FALLBACK, 0),
+        "it marks spaces behind words": bool(trainer.get(SUFFIX_SPACE, 0)),
+        "it normalises characters": bool(normalizer.get(CHARSMAP, b"")),
+        "it removes spaces": bool(normalizer.get(FEWER_SPACES, 1)),
+        "it does not mark spaces": not normalizer.get(ESCAPE_SPACES, 1),
+        "it has pieces defined by the user": any(dict(_fields(v)).get(PIECE_KIND) == USER_DEFINED for f, v in top if f == PIECES),
+    }
+    if any(faults.values()):
+        raise ValueError("this codec cannot reproduce the model: " + "; ".join(k for k, v in faults.items() if v))
+    return bool(normalizer.get(DUMMY_PREFIX, 1))
+
+
 def load_vocabulary(model_file: str) -> Vocabulary:
-    """Read a model's pieces and scores through the library, and build the merge trees. Runs once, on the driver."""
+    """Read a model's pieces and scores through the library, and build the merge trees. Runs once, on the driver.
+
+    Raises ValueError for models that this codec would encode differently: see check_settings().
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_file)
+    dummy_prefix = check_settings(model.serialized_model_proto())
     ids = range(model.get_piece_size())
     kinds = {i: "byte" if model.is_byte(i) else "control" if model.is_control(i) else "unknown" if model.is_unknown(i) else "piece" for i in ids}
     pieces = {model.id_to_piece(i): i for i in ids if kinds[i] == "piece"}
     order = {s: r for r, s in enumerate(sorted({model.get_score(i) for i in ids if kinds[i] == "piece"}, reverse=True))}
     ranks = {p: order[model.get_score(i)] for p, i in pieces.items()}
     bytes_at = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-    vocabulary = Vocabulary(pieces, ranks, bytes_at, frozenset(i for i in ids if kinds[i] == "control"), model.unk_id(), model.bos_id(), model.eos_id())
+    vocabulary = Vocabulary(pieces, ranks, bytes_at, frozenset(i for i in ids if kinds[i] == "control"), model.unk_id(), model.bos_id(), model.eos_id(), dummy_prefix)
     trees: dict[str, tuple[str, str]] = {}
     for piece in pieces:
         merge(piece, ranks, trees)
@@ -102,19 +162,18 @@ class Codec:
         self.known = {p for p in vocabulary.pieces if len(p) == 1}
         self.lengths = {i: len(p) for p, i in vocabulary.pieces.items()}
         self.marks = [vocabulary.pieces.get(MARK * k) for k in range(0, 1 + max((len(p) for p in vocabulary.pieces if p.strip(MARK) == ""), default=1))]
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
+        self.words_before: dict[str, bytes] = {}
         self.text_of = {i: p.replace(MARK, " ").encode() for p, i in vocabulary.pieces.items()} | {i: b"" for i in vocabulary.controls} | {vocabulary.unknown: " ⁇ ".encode()}
         self.byte_of = {i: bytes([b]) for b, i in enumerate(vocabulary.bytes_at)}
         self.plain = self.text_of | self.byte_of
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging the text of a and b gives a and b: no merge across their border ever comes before the merges that build them."""
-        found = self.pairs.get((a, b))
-        if found is None:
-            if len(self.pairs) >= PAIRS_KEPT:
-                self.pairs.clear()
-            found = self.pairs[a, b] = self._apart(self.v.spines[a][1], self.v.spines[b][0])
+        if len(self.pairs) >= PAIRS_KEPT:
+            self.pairs.clear()
+        found = self.pairs[a << 32 | b] = self._apart(self.v.spines[a][1], self.v.spines[b][0])
         return found
 
     def _apart(self, right: list, left: list) -> bool:
@@ -134,12 +193,16 @@ class Codec:
 
     def _known(self, word: str) -> list[int]:
         """Ids of a text whose characters are all pieces, without a space mark after the first character."""
-        last, at = [-1] * (len(word) + 1), self.automaton.iter(word)
-        for end, (token, length) in at:
+        last, known = [-1] * (len(word) + 1), self.pairs.get
+        for end, (token, length) in self.automaton.iter(word):
             if last[end + 1] < 0:
                 start = end + 1 - length
-                if start == 0 or self.compatible(last[start], token):
-                    last[end + 1] = token
+                if start:
+                    before = last[start]
+                    fits = known(before << 32 | token)
+                    if not (self.compatible(before, token) if fits is None else fits):
+                        continue
+                last[end + 1] = token
         out, end = [], len(word)
         while end:
             out.append(last[end])
@@ -186,10 +249,12 @@ class Codec:
             for word in self._cut.findall(marked):
                 ids = get(word)
                 if ids is None:
-                    ids = self._word(word)
+                    ids = self.words_before.get(word) or self._word(word)
                     if len(word) <= LONGEST_KEPT:
                         if len(words) >= WORDS_KEPT:
-                            words.clear()
+                            self.words_before = words
+                            self.words = words = {}
+                            get = words.get
                         words[word] = ids
                 out.append(ids)
         if eos:
@@ -197,12 +262,12 @@ class Codec:
         return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
-        """Text of ids: controls vanish, the space of the first piece is the dummy prefix, bytes that are no UTF-8 become U+FFFD."""
+        """Text of ids: controls vanish, the space of the first piece is the dummy prefix, bytes that are no UTF-8 become U+FFFD, ids beyond the vocabulary give nothing."""
         try:
             if not self.v.controls.isdisjoint(ids[1:-1]):
                 raise UnicodeError("a control ends a run of bytes")
             text = b"".join(map(self.plain.__getitem__, ids)).decode("utf-8")
-        except UnicodeError:
+        except (UnicodeError, KeyError):
             text, run = "", b""
             for i in [*ids, -1]:
                 if i in self.byte_of:
@@ -247,29 +312,52 @@ def share_vocabulary(spark: SparkSession, model_file: str):
     return spark.sparkContext.broadcast(load_vocabulary(model_file))
 
 
-def encode_texts(docs: DataFrame, model_file: str, text_col: str = "text", out_col: str = "ids", bos: bool = True, eos: bool = True) -> DataFrame:
-    """Replace the text column by its ids, as binary little-endian unsigned 32-bit integers. Null counts as empty."""
-    shared = share_vocabulary(docs.sparkSession, model_file)
-    schema = T.StructType([f for f in docs.schema if f.name not in (text_col, out_col)] + [T.StructField(out_col, T.BinaryType())])
+def _mapped(rows: DataFrame, model_file: str, old: str, gone: list[str], new: list[T.StructField], convert: Callable[[Codec, object], tuple]) -> DataFrame:
+    """Rows with new columns made of the values of an old one, a few hundred rows at a time; gone columns leave."""
+    shared = share_vocabulary(rows.sparkSession, model_file)
+    names = {f.name for f in new}
+    rows = rows.select(*(c for c in rows.columns if c not in names or c == old))  # columns named like the new ones are replaced
+    staying = [f for f in rows.schema if f.name not in names and f.name not in gone]
+    kinds = [pa.binary() if isinstance(f.dataType, T.BinaryType) else pa.string() for f in new]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for batch in batches:
-            yield batch.drop(columns=[text_col, *({out_col} & set(batch.columns) - {text_col})]).assign(**{out_col: [codec.encode(t or "", bos, eos) for t in batch[text_col]]})[schema.names]
+            for first in range(0, batch.num_rows, ROWS):
+                part = batch.slice(first, ROWS)
+                made = zip(*(convert(codec, v) for v in part.column(old).to_pylist()))
+                columns = [part.column(f.name) for f in staying] + [pa.array(c, k) for c, k in zip(made, kinds)]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in [*staying, *new]])
+
+    return rows.mapInArrow(run, T.StructType([*staying, *new]))
 
-    return docs.mapInPandas(run, schema)
+
+def _decoded(codec: Codec, ids: bytes | None) -> str | None:
+    return None if ids is None else codec.decode(memoryview(ids)[: len(ids) // 4 * 4].cast("I").tolist())
+
+
+def encode_texts(docs: DataFrame, model_file: str, text_col: str = "text", out_col: str = "ids", bos: bool = True, eos: bool = True) -> DataFrame:
+    """Replace the text column by its ids, as binary little-endian unsigned 32-bit integers.
+
+    Null counts as empty. Texts are encoded whole, however long. Every row stays, repeated ones too; other columns stay as
+    they are, but one that is named like the output is replaced. No rows give no rows.
+    """
+    return _mapped(docs, model_file, text_col, [text_col], [T.StructField(out_col, T.BinaryType())], lambda codec, t: (codec.encode(t or "", bos, eos),))
 
 
 def decode_ids(encoded: DataFrame, model_file: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
-    """Add the text of the ids, next to them."""
-    shared = share_vocabulary(encoded.sparkSession, model_file)
-    schema = T.StructType([f for f in encoded.schema if f.name != out_col] + [T.StructField(out_col, T.StringType())])
+    """Add the text of the ids. Null ids give null, no ids an empty text; bytes behind the last whole id and ids beyond the vocabulary give nothing.
+
+    Other columns stay as they are, but one that is named like the output is replaced. No rows give no rows.
+    """
+    return _mapped(encoded, model_file, ids_col, [], [T.StructField(out_col, T.StringType())], lambda codec, ids: (_decoded(codec, ids),))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = _codec(shared)
-        for batch in batches:
-            yield batch.assign(**{out_col: [codec.decode(memoryview(i).cast("I").tolist()) for i in batch[ids_col]]})[schema.names]
 
-    return encoded.mapInPandas(run, schema)
+def encode_and_decode(docs: DataFrame, model_file: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """encode_texts() with begin and end ids and decode_ids() of the result, in one pass and one Python worker."""
 
+    def both(codec: Codec, text: str | None) -> tuple:
+        ids = codec.encode(text or "")
+        return ids, _decoded(codec, ids)
 
+    return _mapped(docs, model_file, text_col, [text_col], [T.StructField(ids_col, T.BinaryType()), T.StructField(out_col, T.StringType())], both)
