@@ -1,13 +1,15 @@
 """Severity of toxicity by cumulative-link ordinal regression on sparse text features.
 
 Features are words and the beginnings of words (letters only, A-Z lower-cased). The labels say toxic or not; grades come
-from them: 0 is not toxic, and toxic rows fall into 1 and 2 by how much they show of toxic features, split at the median.
-One weight per feature serves all thresholds, and the sum of the probabilities of passing each threshold is the expected
-severity.
+from them: 0 is not toxic, and toxic rows fall into 1 and 2 by the share of their sentences that show a toxic feature, split
+at the median: the regression sees how often features occur, but neither sentences nor the length of a text. One weight per
+feature serves all thresholds, and the sum of the probabilities of passing each threshold is the expected severity. Above
+which probability a text is toxic is chosen on labelled rows that take no part in the fit.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +26,8 @@ FEATURES = 2048  # features that the model keeps, at most
 BEGINNINGS = (4, 5, 6, 7)  # bytes
 LEAST_SHARE, LEAST_ROWS = 0.01, 3  # of the toxic rows must have a feature
 LEVELS = 3
+HELD_OUT = 5  # every so many-th labelled row only helps to choose the threshold
+PRECISION = 4  # times that a false alarm weighs against a toxic text that is missed: the square of 1 / beta of an F score
 
 
 @dataclass
@@ -31,7 +35,7 @@ class Model:
     features: np.ndarray  # sorted hashes
     weights: np.ndarray
     cuts: np.ndarray
-    threshold: float = 0.5  # of P(toxic); the one with the best F1 on the sample
+    threshold: float = 0.5  # of P(toxic)
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,41 +97,61 @@ def select_features(sample: DataFrame, bound: int = FEATURES) -> np.ndarray:
     return np.sort(np.array([r.feature for r in best.select("feature").collect()], np.int64).view(np.uint64))
 
 
+def _shares(texts: list[bytes], wanted: np.ndarray) -> list[float]:
+    """Of each text, the share of sentences that show a feature."""
+    sentences = [[p for p in re.split(rb"[.!?\n]+", t) if p.strip()] or [b""] for t in texts]
+    flat = [p for parts in sentences for p in parts]
+    shown = np.zeros(len(flat), bool)
+    for first, of, _, _, _ in _hits(flat, wanted):
+        shown[first + of] = True
+    edges = np.concatenate([[0], np.cumsum([len(parts) for parts in sentences])])
+    return [float(shown[a:b].mean()) for a, b in zip(edges, edges[1:])]
+
+
 def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED, label: str = "toxic") -> Model:
-    """Fit on at most bound labelled documents. Without both kinds of rows, nothing is toxic."""
-    sample = sampling.labelled(docs.select("doc_id", "text"), labels, label, bound)
-    wanted = select_features(sample)
+    """Fit on at most bound labelled documents. Without toxic rows, nothing is toxic."""
+    sample = sampling.labelled(docs.select("doc_id", "text"), labels, label, bound).withColumn("_held", F.pmod(F.xxhash64("doc_id", F.lit("threshold")), F.lit(HELD_OUT)) == 0)
+    wanted = select_features(sample.where("NOT _held"))
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = _encoded(batch["text"])
             for first, of, feature, counts, words in _hits(texts, wanted):
-                cuts = np.searchsorted(of, np.arange(len(words) + 1))
-                yield pd.DataFrame({"label": batch["_label"].to_numpy()[first : first + len(words)], "columns": [feature[a:b].astype(np.int32).tobytes() for a, b in zip(cuts, cuts[1:])], "counts": [counts[a:b].astype(np.int32).tobytes() for a, b in zip(cuts, cuts[1:])]})
+                last, cuts = first + len(words), np.searchsorted(of, np.arange(len(words) + 1))
+                yield pd.DataFrame(
+                    {
+                        "doc_id": batch["doc_id"].to_numpy()[first:last],
+                        "label": batch["_label"].to_numpy()[first:last],
+                        "held": batch["_held"].to_numpy()[first:last],
+                        "columns": [feature[a:b].astype(np.int32).tobytes() for a, b in zip(cuts, cuts[1:])],
+                        "counts": [counts[a:b].astype(np.int32).tobytes() for a, b in zip(cuts, cuts[1:])],
+                        "share": _shares(texts[first:last], wanted),
+                    }
+                )
 
     # at most bound rows, each with the model's features only
-    seen = sample.select("text", "_label").mapInPandas(look, "label long, columns binary, counts binary").toPandas()
-    if len(wanted) == 0 or seen.empty:
+    seen = sample.mapInPandas(look, "doc_id long, label long, held boolean, columns binary, counts binary, share double").toPandas().sort_values("doc_id", kind="stable")
+    toxic, held = seen["label"].to_numpy(np.int64) > 0, seen["held"].to_numpy(bool)
+    if len(wanted) == 0 or not (toxic & ~held).any():
         return Model(wanted, np.zeros(len(wanted)), np.array([5.0, 6.0]))
+    share = seen["share"].to_numpy()
+    grades = np.where(toxic, 1 + (share > np.median(share[toxic & ~held])), 0).astype(np.int64)
     columns = [np.frombuffer(c, np.int32) for c in seen["columns"]]
-    counts = [np.frombuffer(c, np.int32) for c in seen["counts"]]
-    toxic = seen["label"].to_numpy() > 0
-    if not toxic.any():
-        return Model(wanted, np.zeros(len(wanted)), np.array([5.0, 6.0]))
-    found = np.array([(1 + np.log(c)).sum() for c in counts])
-    grades = np.where(toxic, 1 + (found > np.median(found[toxic])), 0).astype(np.int64)
-    rows = linear.Rows(columns, [1 + np.log(c) for c in counts])
-    weights, cuts = linear.ordinal(rows, grades, len(wanted), LEVELS)
-    return Model(wanted, weights, cuts, _best_threshold(linear.sigmoid(rows.dot(weights) - cuts[0]), toxic))
+    counts = [1 + np.log(np.frombuffer(c, np.int32)) for c in seen["counts"]]
+    pick = lambda at: linear.Rows([columns[k] for k in np.flatnonzero(at)], [counts[k] for k in np.flatnonzero(at)])
+    weights, cuts = linear.ordinal(pick(~held), grades[~held], len(wanted), LEVELS)
+    judge = held if (toxic & held).any() else ~held
+    return Model(wanted, weights, cuts, _best_threshold(linear.sigmoid(pick(judge).dot(weights) - cuts[0]), toxic[judge]))
 
 
 def _best_threshold(p: np.ndarray, toxic: np.ndarray) -> float:
-    """Half way between the neighbouring probabilities where F1 is best."""
+    """Half way between the neighbouring probabilities where hits outweigh false alarms and misses best."""
     order = np.argsort(-p, kind="stable")
     ranked, hits = p[order], np.cumsum(toxic[order])
-    f1 = 2 * hits / (np.arange(1, len(p) + 1) + toxic.sum())
-    f1[:-1][ranked[:-1] == ranked[1:]] = 0
-    k = int(f1.argmax())
+    false, missed = np.arange(1, len(p) + 1) - hits, toxic.sum() - hits
+    score = (1 + PRECISION) * hits / ((1 + PRECISION) * hits + PRECISION * false + missed)
+    score[:-1][ranked[:-1] == ranked[1:]] = 0
+    k = int(score.argmax())
     return float((ranked[k] + ranked[min(k + 1, len(p) - 1)]) / 2)
 
 
