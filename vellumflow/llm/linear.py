@@ -11,8 +11,8 @@ class Rows:
     def __init__(self, columns: list[np.ndarray], values: list[np.ndarray]):
         self.sizes = np.array([len(c) for c in columns], np.int64)
         self.columns = np.concatenate(columns) if columns else np.zeros(0, np.int32)
-        self.values = np.concatenate(values).astype(np.float64) if values else np.zeros(0)
-        self.row = np.repeat(np.arange(len(columns)), self.sizes)
+        self.values = np.concatenate(values).astype(np.float32) if values else np.zeros(0, np.float32)
+        self.row = np.repeat(np.arange(len(columns), dtype=np.int32), self.sizes)
 
     def __len__(self) -> int:
         return len(self.sizes)

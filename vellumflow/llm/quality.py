@@ -1,10 +1,12 @@
 """Quality classifier by co-training.
 
 Two views of a document: the text's content (hashed words, word endings, repeats) and the page's metadata (language,
-source, length and layout figures). Each view has its own classifier. They start from the same labelled rows; in every
-round each hands its most confident pseudo-labels on unlabelled documents to the other. Both are then calibrated on
-labelled rows that neither was fitted on, and a document's score is a logistic combination of the calibrated log odds,
-fitted on the same held-out rows.
+source, length and layout figures). Each view has its own classifier, and both start from the same labelled rows. In every
+round each view labels all other documents of the corpus, and those that it is confident of teach the other view: Spark
+sums their features by pseudo-label, and the mean of each class joins the other view's training rows with a weight of its
+own, so what is learnt grows with the corpus while the driver holds no more than a row for each class. Both views are then
+calibrated on labelled rows that neither was fitted on, and a document's score is a logistic combination of the calibrated
+log odds, fitted on the same held-out rows.
 """
 
 from __future__ import annotations
@@ -22,10 +24,9 @@ from vellumflow.llm import linear, sampling
 from vellumflow.llm.wordhash import LOWER, WORD_BYTES, byte_sums, chunks, joined, span_hashes, word_spans
 
 LABELLED = 5000  # labelled rows, at most
-POOL = 5000  # unlabelled rows that pseudo-labels may come from, at most
-ROUNDS = 4
-HANDED = 0.04  # of the pool that each view hands over in a round
+ROUNDS = 3
 CONFIDENT = 0.9  # least probability of a pseudo-label
+PSEUDO = 0.25  # weight of all pseudo-labels together, against the labelled rows
 HELD_OUT = 5  # every so many-th labelled row calibrates
 THRESHOLD = 0.5
 
@@ -127,59 +128,106 @@ def _featured(rows: DataFrame) -> pd.DataFrame:
 
 
 class _View:
-    """One classifier's rows and training set in co-training."""
+    """One classifier in co-training: its labelled rows, and the means of documents that the other view labelled."""
 
-    def __init__(self, columns: list[np.ndarray], values: list[np.ndarray], width: int, l2: float):
-        self.columns, self.values, self.width, self.l2 = columns, values, width, l2
+    def __init__(self, columns: list[np.ndarray], values: list[np.ndarray], width: int, l2: float, train: np.ndarray, y: np.ndarray):
+        self.width, self.l2, self.train, self.y = width, l2, train, y
+        self.columns, self.values = columns, values
+        self.rows = linear.Rows(columns, values)
 
-    def fit(self, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
-        self.weights = linear.logistic(linear.Rows([self.columns[k] for k in rows], [self.values[k] for k in rows]), y, self.width, l2=self.l2, steps=100)
-        return self.weights
+    def fit(self, means: dict[int, np.ndarray]) -> None:
+        """means: of each pseudo-label's documents; their weights are in the proportion of the labels."""
+        rows, y, weight = self.rows, self.y, self.train.astype(float)
+        if means:
+            every = np.arange(self.width, dtype=np.int32)
+            rows = linear.Rows([*self.columns, *([every] * len(means))], [*self.values, *means.values()])
+            share = {k: (weight * (y == k)).sum() for k in means}
+            y, weight = np.concatenate([y, list(means)]), np.concatenate([weight, [PSEUDO * share[k] for k in means]])
+        self.weights = linear.logistic(rows, y, self.width, weight, l2=self.l2, steps=100)
 
-    def scores(self, rows: np.ndarray) -> np.ndarray:
-        return linear.Rows([self.columns[k] for k in rows], [self.values[k] for k in rows]).dot(self.weights[:-1]) + self.weights[-1]
+    def scores(self, at: np.ndarray) -> np.ndarray:
+        return self.rows.dot(self.weights[:-1])[at] + self.weights[-1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS, label: str = "quality") -> Model:
-    """Co-train both views on bounded samples. Labels of one kind only give a model that keeps that kind."""
-    rows = docs.select("doc_id", "text", "lang", "source")
-    known = sampling.labelled(rows, labels, label, labelled)
-    extra = sampling.unlabelled(rows, labels, pool).withColumn("_label", F.lit(-1).cast("long"))
-    data = _featured(known.unionByName(extra))
-    y = data["label"].to_numpy(np.int64)
-    ours = np.flatnonzero(y >= 0)
-    if len(ours) == 0:
+def _pseudo_means(rows: DataFrame, content: np.ndarray, meta: np.ndarray) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
+    """For the content view and the metadata view: means of the features of all documents that the other one is confident of, by pseudo-label.
+
+    Each task sums its documents; Spark adds the sums by place. The result has a row for each feature and label at most.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((content, meta))  # bounded by the feature dimensions
+    width = {"content": CONTENT_DIM, "meta": META_DIM}
+
+    def sure(z: np.ndarray) -> np.ndarray:
+        p = linear.sigmoid(z)
+        return np.where(p >= CONFIDENT, 1, np.where(p <= 1 - CONFIDENT, 0, 2))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights, bias = (shared.value[0][:-1], shared.value[1][:-1]), (shared.value[0][-1], shared.value[1][-1])
+        sums = {v: np.zeros((2, w + 1)) for v, w in width.items()}  # the last place counts documents
+        for batch in batches:
+            texts = _encoded(batch["text"])
+            figures = _meta(batch, texts)
+            said = sure(figures @ weights[1] + bias[1])
+            for first, last in chunks(texts):
+                columns, of, words = _tokens(texts[first:last])
+                scale = SCALE / np.maximum(words, 1)
+                by_content = sure(np.bincount(of, weights[0][columns], len(words)) * scale + bias[0])
+                by_meta = said[first:last]
+                for k in (0, 1):
+                    taught = by_meta == k
+                    at = taught[of]
+                    sums["content"][k, :-1] += np.bincount(columns[at], scale[of[at]], CONTENT_DIM)
+                    sums["content"][k, -1] += taught.sum()
+                    taught = by_content == k
+                    sums["meta"][k, :-1] += figures[first:last][taught].sum(axis=0)
+                    sums["meta"][k, -1] += taught.sum()
+        for view, table in sums.items():
+            k, place = np.nonzero(table)
+            yield pd.DataFrame({"view": view, "label": k, "place": place, "total": table[k, place]})
+
+    added = rows.select("text", "lang", "source").mapInPandas(run, "view string, label int, place int, total double").groupBy("view", "label", "place").agg(F.sum("total").alias("total")).toPandas()
+    out = []
+    for view, w in width.items():
+        means = {}
+        for k in (0, 1):
+            one = added[(added["view"] == view) & (added["label"] == k)]
+            total = np.zeros(w + 1)
+            total[one["place"].to_numpy(np.int64)] = one["total"]
+            if total[-1]:
+                means[k] = (total[:-1] / total[-1]).astype(np.float32)
+        out.append(means)
+    return out[0], out[1]
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, label: str = "quality") -> Model:
+    """Co-train both views: on at most so many labelled rows, and on all other documents by their pseudo-labels.
+
+    Labels of one kind only give a model that keeps that kind; without labels everything is kept.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source")
+    data = _featured(sampling.labelled(rows, labels, label, labelled))
+    if data.empty:
         keep = (np.zeros(CONTENT_DIM + 1), np.zeros(META_DIM + 1))
         return Model(*keep, (1.0, 1.0), (1.0, 1.0), np.array([0.5, 0.5, 0.0]))
-    held, train = ours[::HELD_OUT], np.setdiff1d(ours, ours[::HELD_OUT]) if len(ours) > HELD_OUT else ours
-    free = np.flatnonzero(y < 0)
-    every = np.arange(META_DIM, dtype=np.int32)
-    content = _View([np.frombuffer(c, np.int32) for c in data["columns"]], [np.frombuffer(v, np.float32) for v in data["values"]], CONTENT_DIM, 1e-4)
-    meta = _View([every] * len(data), [np.frombuffer(m, np.float32) for m in data["meta"]], META_DIM, 1e-3)
-    views = (content, meta)
-    sets = [(train, (y[train] > 0).astype(float)) for _ in views]
-    for turn in range(rounds + 1):
-        for view, (at, target) in zip(views, sets, strict=True):
-            view.fit(at, target)
-        if turn == rounds or len(free) == 0:
-            break
-        handed = []
-        for k, view in enumerate(views):
-            p = linear.sigmoid(view.scores(free))
-            good = max(target.mean() for _, target in sets)
-            n = max(1, int(HANDED * len(data)))
-            top = [j for j in np.argsort(-p, kind="stable")[: max(1, int(n * good))] if p[j] >= CONFIDENT]
-            low = [j for j in np.argsort(p, kind="stable")[: max(1, int(n * (1 - good)))] if p[j] <= 1 - CONFIDENT]
-            picks = np.array(top + low, np.int64)
-            handed.append(picks)
-            at, target = sets[1 - k]  # to the other view
-            sets[1 - k] = (np.concatenate([at, free[picks]]), np.concatenate([target, (p[picks] > 0.5).astype(float)]))
-        free = np.delete(free, np.unique(np.concatenate(handed)))
-    truth = (y[held] > 0).astype(float)
+    y = (data["label"].to_numpy(np.int64) > 0).astype(float)
+    held = np.arange(len(y)) % HELD_OUT == 0
+    train = ~held if len(y) > HELD_OUT else np.ones(len(y), bool)
+    columns, values, figures = ([np.frombuffer(v, t) for v in data[c]] for c, t in (("columns", np.int32), ("values", np.float32), ("meta", np.float32)))
+    content = _View(columns, values, CONTENT_DIM, 1e-4, train, y)
+    meta = _View([np.arange(META_DIM, dtype=np.int32)] * len(y), figures, META_DIM, 1e-3, train, y)
+    used = docs.sparkSession.createDataFrame(data[["doc_id"]].rename(columns={"doc_id": "_used"}))  # at most `labelled` ids
+    others = rows.join(F.broadcast(used), F.col("doc_id") == F.col("_used"), "left_anti")
+    content.fit({})
+    meta.fit({})
+    for _ in range(rounds):
+        of_content, of_meta = _pseudo_means(others, content.weights, meta.weights)
+        content.fit(of_content)
+        meta.fit(of_meta)
+    views, truth = (content, meta), y[held]
     lines = [linear.platt(view.scores(held), truth) for view in views]
     odds = np.stack([slope * view.scores(held) + shift for view, (slope, shift) in zip(views, lines, strict=True)], axis=1)
     two = np.arange(2, dtype=np.int32)
-    both = linear.logistic(linear.Rows([two] * len(held), list(odds)), truth, 2, l2=1e-2, steps=300) if 0 < truth.sum() < len(truth) else np.array([0.5, 0.5, 0.0])
+    both = linear.logistic(linear.Rows([two] * len(odds), list(odds)), truth, 2, l2=1e-2, steps=300) if 0 < truth.sum() < len(truth) else np.array([0.5, 0.5, 0.0])
     return Model(content.weights, meta.weights, *lines, both)
 
 
@@ -213,11 +261,15 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that the classifier keeps, all columns as they came. Rows are dropped where they are read: no exchange."""
+    """The rows of docs that the classifier keeps, all columns as they came. Rows are dropped where they are read: no exchange.
+
+    Only text, language and source go to Python. Nulls in them count as empty; rows with a null or repeated id are judged
+    each by its own text. No rows give no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[_scores(shared.value, batch)[0] >= threshold]
+    @F.pandas_udf("boolean")
+    def good(text: pd.Series, lang: pd.Series, source: pd.Series) -> pd.Series:
+        return pd.Series(_scores(shared.value, pd.DataFrame({"text": text, "lang": lang, "source": source}))[0] >= threshold)
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.where(good("text", "lang", "source"))

@@ -12,14 +12,13 @@ def smallest_hashes(rows: DataFrame, key: str, bound: int) -> DataFrame:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """Documents of at most bound labelled rows, with their label as a long. Of repeated labels the largest counts, null labels don't."""
-    known = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("long").alias("_label"))
-    picked = smallest_hashes(known, "doc_id", bound)  # bounded, so it may be broadcast
-    return docs.join(F.broadcast(picked.withColumnRenamed("doc_id", "_label_of")), F.col("doc_id") == F.col("_label_of")).drop("_label_of")
-
-
-def unlabelled(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
-    """At most bound documents without a label."""
-    ids = docs.select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti").distinct()
-    picked = smallest_hashes(ids, "doc_id", bound).withColumnRenamed("doc_id", "_picked")
-    return docs.join(F.broadcast(picked), F.col("doc_id") == F.col("_picked")).drop("_picked")
+    """Documents of at most bound labelled rows, with their label as a long. Of repeated labels the largest counts, null labels don't.
+
+    Of rows that repeat an id one is taken, by the smallest digest of its text, so there are at most bound rows.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("long").alias("_label"))
+    picked = smallest_hashes(known, "doc_id", bound).withColumnRenamed("doc_id", "_label_of")  # bounded, so it may be broadcast
+    found = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("_label_of")).drop("_label_of")
+    digest = F.coalesce(F.sha2(F.encode("text", "UTF-8"), 256), F.lit(""))
+    one = found.groupBy("doc_id").agg(F.min_by(F.struct(*(c for c in found.columns if c != "doc_id")), digest).alias("_row"))
+    return one.select("doc_id", *(F.col("_row")[c].alias(c) for c in found.columns if c != "doc_id"))
