@@ -190,6 +190,46 @@ def test_decode_of_any_ids(both, ids, more):
     assert codec.decode(ids + more + ids) == library.decode(ids + more + ids)
 
 
+def test_models_with_other_settings_are_refused():
+    field = lambda number, value: bytes([number << 3 & 255 | 2, len(value)]) + value if isinstance(value, bytes) else _varint(number << 3) + _varint(value)
+    trainer = field(3, 2) + field(35, 1)
+    normalizer = field(3, 1) + field(4, 0)
+    assert sp_codec.check_settings(field(2, trainer) + field(3, normalizer)) is True
+    assert sp_codec.check_settings(field(2, trainer) + field(3, field(3, 0) + field(4, 0))) is False
+    other = [(field(35, 1), normalizer), (field(3, 2), normalizer), (trainer + field(24, 1), normalizer), (trainer, field(2, b"x") + normalizer), (trainer, b""), (trainer, normalizer + field(5, 0))]
+    for train, norm in other:
+        with pytest.raises(ValueError):
+            sp_codec.check_settings(field(2, train) + field(3, norm))
+    with pytest.raises(ValueError):
+        sp_codec.check_settings(field(1, field(3, 4)) + field(2, trainer) + field(3, normalizer))
+
+
+def _varint(value: int) -> bytes:
+    out = b""
+    while value > 127:
+        out, value = out + bytes([value & 127 | 128]), value >> 7
+    return out + bytes([value])
+
+
+def test_codec_memory_is_bounded(both, monkeypatch):
+    """Words and pairs are forgotten in turn, and the ids stay those of the library."""
+    monkeypatch.setattr(sp_codec, "WORDS_KEPT", 5)
+    monkeypatch.setattr(sp_codec, "PAIRS_KEPT", 7)
+    codec = sp_codec.Codec(both[0].v)
+    text = " ".join(f"word{k % 9} thing{k % 4}s {k}" for k in range(60))
+    assert memoryview(codec.encode(text)).cast("I").tolist() == both[1].encode(text, add_bos=True, add_eos=True)
+    assert len(codec.words) <= 5 and len(codec.pairs) <= 7
+
+
+def test_codec_on_odd_ids_and_columns(spark):
+    rows = spark.createDataFrame([(1, None, "x"), (2, b"", "y"), (3, b"\x01\x00\x00\x00\xff\xff\xff\x7f\x05", "z")], "doc_id long, ids binary, text string")
+    assert {r.doc_id: r.text for r in sp_codec.decode_ids(rows, piece_model()).collect()} == {1: None, 2: "", 3: ""}
+    encoded = sp_codec.encode_texts(rows, piece_model())
+    assert encoded.columns == ["doc_id", "ids"] and encoded.count() == 3
+    both_ways = sp_codec.encode_and_decode(rows, piece_model()).collect()
+    assert {r.doc_id: r.decoded for r in both_ways} == {1: "x", 2: "y", 3: "z"}
+
+
 def test_codec_on_given_texts(both, spark, sf, odd, nothing):
     rows = sp_codec.decode_ids(sp_codec.encode_texts(odd, piece_model()), piece_model(), out_col="decoded").collect()
     texts = {r.doc_id: r.text or "" for r in odd.collect()}

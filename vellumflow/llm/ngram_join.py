@@ -278,6 +278,7 @@ def first_cells(sets: DataFrame) -> DataFrame:
 
 
 def _with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows with the sets of their documents. rows: a written table, so that the smaller side is known and small ones are not shuffled for."""
     return rows.join(sets.select(F.col("doc_id").alias("_of"), "n", "shingles"), F.col("doc_id") == F.col("_of")).drop("_of")
 
 
@@ -304,7 +305,7 @@ def _divide(cells: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     members = cells.withColumn("part", F.pmod(F.xxhash64("doc_id"), parts)).withColumn("pivot", F.lit(False))
     chosen = top.withColumn("part", every).withColumn("pivot", F.lit(True))
     names = ["cell", "part", "doc_id", "home", "pivot"]
-    both = _with_sets(members.select(names).unionByName(chosen.select(names)), sets)
+    both = _with_sets(cut(members.select(names).unionByName(chosen.select(names)), "members"), sets)
     return cut(both.groupBy("cell", "part").applyInPandas(_deal(similarity), "cell long, doc_id long, home boolean, pivot boolean, nearest long, replicas array<long>, linked array<long>"), "dealt")
 
 
@@ -345,7 +346,7 @@ def region_links(docs: DataFrame, described: DataFrame, similarity: int = SIMILA
         before = large.groupBy("cell").agg(F.count(F.lit(1)).alias("before"))
         after = deeper.groupBy("parent", "cell").agg(F.count(F.lit(1)).alias("size")).groupBy(F.col("parent").alias("cell")).agg(F.sum("size").alias("after"), F.max("size").alias("most"))
         dense = cut(before.join(after, "cell").where((F.col("after") > DENSE * F.col("before")) | (F.col("most") > SHRINK * F.col("before"))).select(F.col("cell").alias("dense")), "dense")
-        blocks = _with_sets(_blocks(with_component(large.drop("component").join(dense, F.col("cell") == F.col("dense"), "left_semi"))), sets)
+        blocks = _with_sets(cut(_blocks(with_component(large.drop("component").join(dense, F.col("cell") == F.col("dense"), "left_semi"))), "blocks"), sets)
         links.append(cut(blocks.groupBy("cell", "part", "other").applyInPandas(_join_inside(similarity), "a long, b long"), "links"))
 
         deeper = deeper.join(dense, F.col("parent") == F.col("dense"), "left_anti")
