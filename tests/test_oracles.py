@@ -5,7 +5,7 @@ import pytest
 
 from vellumflow.plans import catalog
 
-STREAMS = ("x1_absorbed", "x2_current_only", "x3_run_states", "x4_rate_limit")
+STREAMS = ("x1_absorbed", "x2_current_only", "x3_run_states", "x4_rate_limit", "k4_event_sink")
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))

@@ -1,7 +1,10 @@
 """Rules that refuse, borders and literal cases."""
 
 import datetime as dt
+import hashlib
+import os
 from decimal import Decimal
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings
@@ -16,6 +19,7 @@ from vellumflow.operators import relations as R
 from vellumflow.operators import search as S
 from vellumflow.sources import derived as D
 from vellumflow.sources import files
+from vellumflow.streaming import events as E
 
 
 def refused(code, call):
@@ -138,19 +142,43 @@ def test_slicer(spark):
     assert cut_up(spark, "# A\none", ["# A", "# B"]) is None
     assert cut_up(spark, "a\n<b> c\nd", ["a", "&lt;b> c"]) == ["a", "<b> c\nd"]
     assert cut_up(spark, "mid # A", ["# A"]) is None
+    assert cut_up(spark, "a\n \nb", ["a", " "]) is None and cut_up(spark, "a", []) is None and cut_up(spark, "", ["a"]) is None
+    schema = "t string, m array<struct<marker:string,is_sub_document:boolean>>"
+    text = "head\n*[Image OCR p:2]*\nread\n*[End OCR]*\ntail"
+    row = spark.createDataFrame([(text, [("head", False), ("*[Image OCR p:2]*", True), ("tail", False)])], schema).select(X.slices(F.col("t"), F.col("m"))).first()[0]
+    assert [(s.ordinal, s.is_sub_document, s.is_figure) for s in row] == [(0, False, False), (1, True, True), (2, False, False)]
+
+
+def test_figures_are_segments_of_any_bundle(spark):
+    schema = "conv_id long, is_container boolean, markdown string, markers array<struct<marker:string,is_sub_document:boolean>>"
+    figure = "*[Image OCR]*\n{}\n*[End OCR]*"
+    rows = [
+        (1, False, "own\n" + figure.format("photo"), [("own", True), ("*[Image OCR]*", True)]),  # only the figure is spawned, without its marks
+        (2, True, "a\n" + figure.format("inside") + "\nb\nb2", [("a", True), ("b", True)]),  # a text that folds a figure in
+        (3, True, "a\nb", [("a", True), ("b", False)]),  # a container needs two
+        (4, True, "a\na", [("a", True), ("a", True)]),  # equal ones
+        (5, False, "a\nb", [("a", True), ("b", True)]),  # neither container nor figure
+    ]
+    got = G.segment(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.conv_id, r.text) for r in got) == [(1, "photo"), (2, "a\ninside"), (2, "b\nb2")]
 
 
 def test_titles(spark):
     title = lambda t: one(spark, t, X.title_of)
     assert title("text\n## **Big** [title](x) ##\nmore") == "Big title"
     assert title("```\ncode\n```\n---\n|---|---|\n> - First `line` here") == "First line here"
-    assert title("#\n\n") is None or title("#\n\n") == "#"
+    assert title("#\n\n") == "#" and title("---\n\n```\nx\n```\n ") is None and title("   ") is None
+    assert title("1. *one* two\n###\n# __Real__ title #") == "Real title" and title("### ###") == "#"
+    assert title("> - item\n") == "item" and title("~~~\na\n~~~\r\n\tplain\t text") == "plain text"
     assert len(title("# " + "x" * 500)) == 256
 
 
 def test_repetition_guard(spark):
     loops = lambda t: one(spark, t, X.repeats_itself)
     assert loops("x\n" * 24) and not loops("x\n" * 23)
+    assert not loops(None) and not loops(" \n ") and loops("a\r\n \r\n" * 24)
+    assert loops("0" * 200) and not loops("0" * 199) and loops("ab c1" * 50) and not loops("|---" * 100) and not loops("-" * 500)
+    assert loops(("x" * 119 + "y") * 8) and not loops(("x" * 120 + "y") * 8) and not loops(("x" * 119 + "y") * 7 + "x" * 60)
     assert loops("\n".join(f"l{k % 10}" for k in range(40))) and not loops("\n".join(f"l{k}" for k in range(400)))
 
 
@@ -164,10 +192,90 @@ def test_slug_has_no_odd_characters(spark, text):
 @settings(max_examples=40, deadline=None)
 @given(st.text(max_size=60))
 def test_ocr_markup_round_trip(spark, text):
-    if "image-ocr" not in text:
+    if "\n" not in text and "OCR]" not in text:
         wrapped = spark.createDataFrame([(text,)], "t string").select(X.wrap_ocr(F.col("t"), F.lit(3)).alias("w"))
-        row = wrapped.select(X.ocr_bodies(F.col("w")).alias("b"), X.ocr_page(F.col("w")).alias("p"), X.has_ocr(F.col("w")).alias("h")).first()
-        assert row.b == [text] and row.p == 3 and row.h
+        row = wrapped.select(X.ocr_bodies(F.col("w")).alias("b"), X.ocr_page(F.split("w", "\n")[0]).alias("p"), X.has_ocr(F.col("w")).alias("h"), X.strip_ocr(F.col("w")).alias("s")).first()
+        assert (row.b, row.p, row.h, row.s) == (text, 3, True, text)
+
+
+def test_ocr_marks(spark):
+    bare, paged = "*[Image OCR]*\na\n\nb\n*[End OCR]*", " *[Image OCR p:12]* \nc"
+    rows = [(f"x\n{bare}\ny\n{paged}",), ("see *[Image OCR]* here",), ("*[Image OCR p:]*\nq",), ("*[End OCR]*",), (None,)]
+    got = spark.createDataFrame(rows, "t string").select(X.has_ocr(F.col("t")), X.ocr_bodies(F.col("t")), X.strip_ocr(F.col("t")), X.ocr_page(F.col("t"))).collect()
+    assert tuple(got[0]) == (True, "a\n\nb\nc", "x\na\n\nb\ny\nc", None)
+    assert [tuple(r) for r in got[1:]] == [(False, "", t[0] or "", None) for t in rows[1:]]
+    assert one(spark, "*[Image OCR p:12]*", X.ocr_page) == 12 and one(spark, "*[Image OCR]*", X.ocr_page) is None
+    assert one(spark, "t", lambda t: X.wrap_ocr(t, F.lit(0))) == "*[Image OCR]*\nt\n*[End OCR]*"
+
+
+def test_plain_text(spark):
+    plain = lambda t: one(spark, t, X.plain_text)
+    cases = {
+        "# Title\n\nsome **bold** and _it_ `code`": "Title\n\nsome bold and it code",
+        "![alt](u) and [text](v \"t\")": "alt and text",
+        "| a | b |\n|---|---|\n| 1 | 2 |": "a   b  \n\n  1   2",
+        "> quote\n- item\n12. more\n": "quote\nitem\nmore",
+        "***\nx\n\n\n\n\ny": "x\n\ny",
+        "```py\ncode\n```\nafter": "code\nafter",
+        "snake_case_name __init__ 2*3*4 <b>tag</b>": "snake_case_name init 2*3*4 <b>tag</b>",
+        "\u3000wide\u00a0": "wide",
+    }
+    assert {t: plain(t) for t in cases} == cases and plain(None) == ""
+
+
+def test_fingerprints(spark):
+    """The canonical text by hand: which values count, in which order, and when there is none."""
+    definitions = [(1, 10, "n", "Number", True, False), (2, 10, "t", "Text", True, False), (3, 10, "l", "LongText", True, False), (4, 20, "d", "Date", True, False), (5, 30, "x", "Text", False, False), (6, 20, "gone", "Text", True, True)]
+    definitions = spark.createDataFrame(definitions, "id long, document_type_id long, name string, data_type string, is_unique_key boolean, is_deleted boolean")
+    schema = "document_id long, field_definition_id long, order_no long, text_value string, long_text_value string, number_value decimal(38,12), boolean_value boolean, date_value date, datetime_value timestamp_ntz"
+    row = lambda doc, field, order=0, text=None, long=None, number=None, day=None: (doc, field, order, text, long, None if number is None else Decimal(number), None, day, None)
+    fields = [
+        row(1, 2, 1, "Two\t WORDS "), row(1, 2, 0, " one"), row(1, 1, number="100.000000100"), row(1, 3, long="A  long\nText"),
+        row(2, 1, number="100"), row(2, 2, text=" "), row(2, 3, long="x"),  # a blank value
+        row(3, 1, number="100"), row(3, 3, long="x"),  # no value
+        row(4, 4, day=dt.date(2024, 2, 29)), row(5, 5, text="x"),
+        row(6, 1, number="0"), row(6, 2, text="a"), row(6, 2, 1, " "), row(6, 3, long="x"),  # one of two is blank
+        row(7, 1, text="100"), row(7, 2, text="a"), row(7, 3, long="x"),  # of another type
+    ]
+    docs = spark.createDataFrame([(1, 10), (2, 10), (3, 10), (4, 20), (5, 30), (6, 10), (7, 10), (8, None)], "id long, document_type_id long")
+    got = {r.id: r.fingerprint for r in R.fingerprints(docs, spark.createDataFrame(fields, schema), definitions).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {1: sha("1=100.0000001\x1e2=one\x1ftwo words\x1e3=a long text\x1e"), 4: sha("4=2024-02-29\x1e")} | dict.fromkeys((2, 3, 5, 6, 7, 8))
+
+
+def test_running_lines(spark):
+    page = lambda doc, k, *lines: (doc, k, list(lines))
+    rows = [page(1, k, "Report  7", f"page {k} of 10", "body", f"only {'x' * k}", "body2", "Total", "\uff11\uff12 end") for k in range(1, 11) if k % 2]
+    rows += [page(1, k, "a", "b", "c", "d", "e", "f", "g" * k) for k in range(2, 11, 2)] + [page(2, 1, "x", "x"), page(3, 1, "x"), page(3, 2, "X")]
+    got = {(r.document, r.band, r.line, r.pages) for r in R.running_lines(spark.createDataFrame(rows, "document long, page long, lines array<string>")).collect()}
+    odd = {(1, "top", "report #", 5), (1, "top", "page # of #", 5), (1, "top", "body", 5), (1, "bottom", "body#", 5), (1, "bottom", "total", 5), (1, "bottom", "# end", 5)}
+    even = {(1, "top", t, 5) for t in "abc"} | {(1, "bottom", t, 5) for t in "ef"}
+    assert got == odd | even | {(3, "top", "x", 2), (3, "bottom", "x", 2)}
+
+
+def test_run_states_over_batches(spark, tmp_path):
+    """New attempts, runs that collide, stale changes and a retry in place, in three batches of a stream."""
+    schema = "document_id long, pipeline string, attempt long, run_id long, status long, event_time timestamp, event_id long"
+    at = lambda k: dt.datetime(2024, 1, 1, 0, k)
+    batches = [
+        [(1, "p", 1, 7, 10, at(0), 0), (1, "p", 1, 7, 20, at(1), 1), (2, "p", 1, 3, 10, at(0), 2)],
+        [(1, "p", 1, 8, 10, at(2), 3), (1, "p", 1, 7, 90, at(3), 4), (1, "p", 1, 7, 20, at(4), 5), (1, "p", 1, 7, 90, at(5), 6)],
+        [(1, "p", 3, 9, 20, at(6), 7), (1, "p", 2, 6, 30, at(7), 8), (1, "p", 3, 9, 30, at(8), 9), (1, "q", 1, 5, 95, at(0), 10)],
+    ]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        os.utime(next(Path(f"{tmp_path}/in/{k}").glob("*.parquet")), (k + 1, k + 1))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
+    got = E.latest(E.collect_stream(E.run_states(stream), "update", "test-states"), "document_id", "pipeline").collect()
+    assert {tuple(r) for r in got} == {(1, "p", 2, 3, 9, 30, 2, 1, 1), (1, "q", 1, 1, 5, 95, 0, 0, 0), (2, "p", 1, 1, 3, 10, 0, 0, 0)}
+
+
+def test_draft_fields(spark):
+    draft = lambda t, new=True: tuple(one(spark, t, lambda c: G.draft_field(c, F.lit(new))))
+    assert draft(None) == draft("[1]") == draft("nonsense") == ("", "", "Text", False, False)
+    assert draft('{"displayName": "  A\\tb ", "name": "Due Date!", "dataType": " DATE", "isRequired": 1, "allowMultiple": true}') == ("A b", "due_date", "Date", True, False)
+    assert draft('{"name": "x", "dataType": 3, "isRequired": " True ", "allowMultiple": "true"}', new=False) == ("", "", "Text", True, True)
+    assert draft('{"displayName": 5, "dataType": "datetime", "isRequired": "1", "allowMultiple": null}') == ("", "", "DateTime", False, False)
 
 
 @pytest.mark.parametrize("value,kind,ok", [("2024-02-29", "Date", True), ("2023-02-29", "Date", False), ("2024-1-1", "Date", False), ("2024-01-01T10:00:00Z", "DateTime", False), ("2024-01-01T10:00:00", "DateTime", True), ("x" * 257, "Text", False), ("x" * 257, "LongText", True), ("1e3", "Number", True), ("1,0", "Number", False), ("True", "Boolean", False), ("x", "Unknown", False)])

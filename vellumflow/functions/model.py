@@ -12,6 +12,7 @@ DATA_TYPES = ("Text", "Number", "Boolean", "Date", "DateTime", "LongText")
 
 UPLOADED, PROCESSING, PENDING_REVIEW, READY, FAILED = 10, 20, 25, 30, 99
 REJECTED, CONFIRMED = 30, 20
+RUN_PENDING, RUN_RUNNING, RUN_SUCCEEDED, RUN_FAILED, RUN_SKIPPED = 10, 20, 30, 90, 95
 UNRESOLVED, MISSING_REQUIRED, SEGMENTATION_INCOMPLETE, DUPLICATE, EXTRACTION_INCOMPLETE, WARNING = 1, 2, 4, 8, 16, 32
 
 TEXT_LIMIT, LONG_TEXT_LIMIT, VALUES_LIMIT, WARNINGS_LIMIT, WARNING_TEXT_LIMIT = 256, 8000, 100, 32, 512

@@ -25,28 +25,40 @@ def cut(text: Column, most: int) -> Column:
     return F.substr(text, F.lit(1), F.lit(most))
 
 
-#: What plain text keeps of Markdown, step by step.
-_STRIP = (
-    (r"(?m)^[ \t]*(```|~~~).*$", ""),  # fences
-    (r"<[^<>\n]+>", ""),  # tags
-    (r"!\[([^\]\n]*)\]\([^)\n]*\)", "$1"),  # images
-    (r"\[([^\]\n]*)\]\([^)\n]*\)", "$1"),  # links
-    (r"(?m)^[ \t]{0,3}#{1,6}[ \t]+", ""),  # headings
-    (r"(?m)^[ \t]*>[ \t]?", ""),  # quotes
-    (r"(?m)^[ \t]*[-*+][ \t]+", ""),  # bullets
-    (r"(?m)^[ \t]*\d+[.)][ \t]+", ""),  # numbers of lists
-    (r"(?m)^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(\|[ \t]*:?-{3,}:?[ \t]*)*\|?[ \t]*$", ""),  # table rules
-    (r"\*\*([^*\n]+)\*\*", "$1"),
-    (r"\*([^*\n]+)\*", "$1"),
-    (r"`([^`\n]*)`", "$1"),
+#: The patterns of Markdown and what plain text keeps of each, in the order in which they apply. (?d) makes only
+#: \n a line end, (?U) makes \s, \w and \d those of Unicode.
+_IMAGE = (r"!\[([^\]]*)\]\([^)]*\)", "$1")
+_LINK = (r"\[([^\]]+)\]\([^)]*\)", "$1")
+_STRONG = (r"(?d)(\*\*|__)(.+?)\1", "$2")
+_EMPHASIS = (r"(?dU)(?<!\w)([*_])(.+?)\1(?!\w)", "$2")
+_CODE = (r"`([^`]+)`", "$1")
+_PLAIN = (
+    (r"(?dm)^```[^\n]*\n", ""),
+    (r"(?dmU)\n```\s*$", ""),
+    _IMAGE,
+    _LINK,
+    (r"(?dmU)^\s*\|?[\s:\-|]+\|\s*$", ""),
     (r"\|", " "),
-    (r"[ \t\n\r]+", " "),
+    (r"(?dmU)^\s{0,3}#{1,6}\s*", ""),
+    (r"(?dmU)^\s{0,3}>\s?", ""),
+    (r"(?dmU)^\s{0,3}([-*+]|\d+\.)\s+", ""),
+    (r"(?dmU)^\s{0,3}([-*_]\s*){3,}$", ""),
+    _STRONG,
+    _EMPHASIS,
+    _CODE,
+    (r"\n{3,}", "\n\n"),
 )
+_INLINE = (_IMAGE, _LINK, _STRONG, _EMPHASIS, _CODE)
+
+
+def strip(text: Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def plain_text(markdown: Column) -> Column:
-    """Markdown without its marks, white space folded."""
-    return F.btrim(_chain(markdown, _STRIP), F.lit(" "))
+    """Markdown without its marks; lines and single blank lines stay. Null gives an empty text."""
+    return F.coalesce(strip(_chain(markdown, _PLAIN)), F.lit(""))
 
 
 def fold(text: Column) -> Column:
@@ -55,17 +67,18 @@ def fold(text: Column) -> Column:
 
 
 def title_of(markdown: Column, most: int = M.TEXT_LIMIT) -> Column:
-    """The first heading with a text; else the first line that is no fence, rule or table rule, without quote and list marks; folded and cut."""
-    lines = F.split(markdown, r"\r?\n")
-    clean = lambda t: fold(_chain(t, _STRIP[1:5] + _STRIP[9:12]))
-    headings = F.filter(F.transform(F.filter(lines, lambda t: t.rlike(r"^ {0,3}#{1,6}[ \t]+\S")), lambda t: clean(F.regexp_replace(t, r"[ \t]+#+[ \t]*$", ""))), lambda t: t != "")
+    """The first heading with a text; else the first line with one outside fenced blocks, no table or other rule, without its quote and list mark. Folded and cut."""
+    lines = F.transform(F.split(F.replace(markdown, F.lit("\r\n"), F.lit("\n")), "\n"), strip)
+    clean = lambda t: F.nullif(cut(fold(_chain(t, _INLINE)), most), F.lit(""))
+    heading = r"(?dU)^#{1,6}\s+(.+?)\s*#*\s*$"
+    headings = F.filter(F.transform(F.filter(lines, lambda t: t.rlike(heading)), lambda t: clean(F.regexp_replace(t, heading, "$1"))), lambda t: t.isNotNull())
+    body = lambda t: clean(_chain(t, ((r"(?U)^>\s*", ""), (r"(?U)^([-*+]|\d+\.)\s+", ""))))
     # inside: whether a line stands in a fenced block, by the fences before it
     start = F.struct(F.lit(False).alias("inside"), F.lit(None).cast("string").alias("first"))
-    fence = lambda t: t.rlike(r"^[ \t]*(```|~~~)")
-    skip = lambda t: t.rlike(r"^[ \t]*([-*_][ \t]*){3,}$") | t.rlike(r"^[ \t|:-]*$")
-    body = lambda t: clean(_chain(t, _STRIP[5:8]))
-    line = F.aggregate(lines, start, lambda s, t: F.struct((s["inside"] != fence(t)).alias("inside"), F.coalesce(s["first"], F.when(~s["inside"] & ~fence(t) & ~skip(t), F.nullif(body(t), F.lit("")))).alias("first")))["first"]
-    return cut(F.coalesce(F.try_element_at(headings, F.lit(1)), line), most)
+    fence = lambda t: t.rlike(r"^(```|~~~)")
+    rule = lambda t: t.rlike(r"(?U)^\|?[\s:\-|]+\|?$|^([-*_]\s*){3,}$")
+    step = lambda s, t: F.struct((s["inside"] != fence(t)).alias("inside"), F.coalesce(s["first"], F.when(~s["inside"] & ~fence(t) & ~rule(t), body(t))).alias("first"))
+    return F.coalesce(F.try_element_at(headings, F.lit(1)), F.aggregate(lines, start, step)["first"])
 
 
 def title_chain(model: Column, markdown: Column, file_name: Column) -> Column:
@@ -94,43 +107,72 @@ def boundary(text: Column, tag: str = "document") -> Column:
     return F.concat(F.lit(f"<{tag}>\n"), F.replace(text, F.lit("<"), F.lit("&lt;")), F.lit(f"\n</{tag}>"))
 
 
-OCR_OPEN, OCR_CLOSE = "<image-ocr", "</image-ocr>"
+#: The lines around a text that was read from an embedded image.
+OCR_OPEN, OCR_PAGE, OCR_PAGE_END, OCR_CLOSE = "*[Image OCR]*", "*[Image OCR p:", "]*", "*[End OCR]*"
 
 
 def wrap_ocr(text: Column, page: Column | None = None) -> Column:
-    attribute = F.lit(">") if page is None else F.coalesce(F.concat(F.lit(' page="'), page.cast("string"), F.lit('">')), F.lit(">"))
-    return F.concat(F.lit(OCR_OPEN), attribute, F.lit("\n"), text, F.lit("\n" + OCR_CLOSE))
+    """A text between the marks, each on a line of its own. A page that is null or not positive leaves no number."""
+    mark = F.lit(OCR_OPEN) if page is None else F.when(page > 0, F.concat(F.lit(OCR_PAGE), page.cast("string"), F.lit(OCR_PAGE_END))).otherwise(OCR_OPEN)
+    return F.concat(mark, F.lit("\n"), F.coalesce(text, F.lit("")), F.lit("\n" + OCR_CLOSE))
+
+
+def is_ocr_open(line: Column) -> Column:
+    return strip(line).rlike(r"^\*\[Image OCR(?: p:[0-9]+)?\]\*$")
+
+
+def is_ocr_close(line: Column) -> Column:
+    return strip(line) == OCR_CLOSE
 
 
 def has_ocr(text: Column) -> Column:
-    return F.contains(text, F.lit(OCR_OPEN)) & F.contains(text, F.lit(OCR_CLOSE))
+    """Whether a line is an opening mark; one that a longer line only mentions does not count."""
+    return F.coalesce(F.exists(F.split(text, "\n"), is_ocr_open), F.lit(False))
 
 
 def strip_ocr(text: Column) -> Column:
-    """The text without the marks, bodies kept."""
-    return F.regexp_replace(text, r"<image-ocr(?: page=\"\d+\")?>\n?|\n?</image-ocr>", "")
+    """The text without the lines of the marks, bodies kept. Without an opening mark it stays as it is; null gives an empty text."""
+    bare = F.array_join(F.filter(F.split(text, "\n"), lambda t: ~is_ocr_open(t) & ~is_ocr_close(t)), "\n")
+    return F.coalesce(F.when(has_ocr(text), bare).otherwise(text), F.lit(""))
 
 
 def ocr_bodies(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"(?s)<image-ocr(?: page=\"\d+\")?>\n(.*?)\n</image-ocr>"), 1)
+    """What stands between the marks, joined by line ends; a mark that is never closed opens the rest."""
+    start = F.struct(F.lit(False).alias("inside"), F.lit("").alias("body"))
+    marked = lambda t: is_ocr_open(t) | is_ocr_close(t)
+    more = lambda s, t: F.when(s["inside"] & ~marked(t), F.concat(s["body"], F.when(s["body"] != "", F.lit("\n")).otherwise(""), t)).otherwise(s["body"])
+    step = lambda s, t: F.struct((is_ocr_open(t) | (s["inside"] & ~is_ocr_close(t))).alias("inside"), more(s, t).alias("body"))
+    return F.coalesce(F.aggregate(F.split(text, "\n"), start, step)["body"], F.lit(""))
 
 
-def ocr_page(text: Column) -> Column:
-    return F.regexp_extract(text, r'<image-ocr page="(\d+)">', 1).try_cast("int")
+def ocr_page(line: Column) -> Column:
+    """The page of an opening line; null without one."""
+    return F.regexp_extract(strip(line), r"^\*\[Image OCR p:([0-9]+)\]\*$", 1).try_cast("int")
 
 
-def repeats_itself(text: Column, run: int = 24, lines: int = 40, ratio: float = 0.3) -> Column:
-    """Output of a model that fell into a loop: a long run of equal lines, or many lines with few different ones."""
-    full = F.filter(F.transform(F.split(text, r"\r?\n"), lambda t: fold(t)), lambda t: t != "")
+def repeats_itself(text: Column, run: int = 24, ratio: float = 0.3, lines: int = 40, longest: int = 200, period: int = 120, times: int = 8) -> Column:
+    """Output of a model that fell into a loop, by any of three rules. Lines are stripped, empty ones don't count.
+
+    At least so many equal lines in a row (2 at least); with so many lines, a share of different ones below the ratio; or a
+    line of at least `longest` characters, most of them letters or digits, that repeats a unit of at most `period`
+    characters at least so many times.
+    """
+    full = F.filter(F.transform(F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n"), strip), lambda t: t != "")
     start = F.struct(F.lit("").alias("last"), F.lit(0).alias("n"), F.lit(0).alias("most"))
-    step = lambda s, t: F.struct(t.alias("last"), F.when(t == s["last"], s["n"] + 1).otherwise(1).alias("n"), F.greatest(s["most"], F.when(t == s["last"], s["n"] + 1).otherwise(1)).alias("most"))
-    most = F.aggregate(full, start, step)["most"]
+    count = lambda s, t: F.when(t == s["last"], s["n"] + 1).otherwise(1)
+    most = F.aggregate(full, start, lambda s, t: F.struct(t.alias("last"), count(s, t).alias("n"), F.greatest(s["most"], count(s, t)).alias("most")))["most"]
     few = (F.size(full) >= lines) & (F.size(F.array_distinct(full)) / F.greatest(F.size(full), F.lit(1)) < ratio)
-    return (most >= run) | few
+    n = F.char_length
+    # a unit of p characters tiles a line that is the same when shifted by p
+    tiled = lambda t: F.exists(F.sequence(F.lit(1), F.lit(period)), lambda p: (F.floor(n(t) / p) >= times) & (F.substr(t, p + 1) == F.left(t, n(t) - p)))
+    heavy = lambda t: n(F.regexp_replace(t, r"[^\p{L}\p{Nd}]", "")) * 2 > n(t)
+    loop = F.exists(full, lambda t: F.when(n(t) >= longest, F.when(heavy(t), tiled(t)).otherwise(False)).otherwise(False))
+    return F.coalesce((most >= max(2, run)) | few | loop, F.lit(False))
 
 
 def drop_fences(text: Column) -> Column:
-    return F.array_join(F.filter(F.split(text, "\n"), lambda t: ~t.rlike(r"^\s*(```|~~~)")), "\n")
+    """Without the lines that open or close a code fence, wherever they stand: three marks or more and an info text without a backtick."""
+    return F.array_join(F.filter(F.split(text, "\n"), lambda t: ~strip(t).rlike(r"(?s)^(```+|~~~+)[^`]*$")), "\n")
 
 
 def unwrap_fence(text: Column) -> Column:
@@ -174,10 +216,12 @@ def valid_field_name(text: Column) -> Column:
 
 
 def slices(markdown: Column, markers: Column) -> Column:
-    """Array of (ordinal, text, is_sub_document) between markers (struct marker, is_sub_document); null if any marker is missing.
+    """Array of (ordinal, text, is_sub_document, is_figure) between markers (struct marker, is_sub_document).
 
+    Null where the cut cannot be trusted: no text or no markers, a marker that is blank or is not found, or no slice left.
     Markers stand at line starts, in order, each searched behind the one before; a marker with '&lt;' is tried with '<' as
-    well. The first slice begins at the start of the text, the last ends with it; slices are trimmed, empty ones left out.
+    well. The first slice begins at the start of the text, the last ends with it; slices are stripped, empty ones left out.
+    A slice is a figure if its marker is the opening line of an image's text.
     """
     end = F.char_length(markdown) + 1
 
@@ -188,18 +232,18 @@ def slices(markdown: Column, markers: Column) -> Column:
 
     def step(state: Column, m: Column) -> Column:
         start = state["next"]
-        found = F.coalesce(at_line(m["marker"], start), at_line(F.replace(m["marker"], F.lit("&lt;"), F.lit("<")), start))
-        return F.struct(F.when(state["ok"] & found.isNotNull(), found + 1).otherwise(start).cast("int").alias("next"), (state["ok"] & found.isNotNull()).alias("ok"), F.concat(state["starts"], F.array(F.struct(F.coalesce(found, F.lit(0)).cast("int").alias("at"), m["is_sub_document"].alias("sub")))).alias("starts"))
+        found = F.when(~m["marker"].rlike(r"(?U)^\s*$"), F.coalesce(at_line(m["marker"], start), at_line(F.replace(m["marker"], F.lit("&lt;"), F.lit("<")), start)))
+        return F.struct(F.when(state["ok"] & found.isNotNull(), found + 1).otherwise(start).cast("int").alias("next"), (state["ok"] & found.isNotNull()).alias("ok"), F.concat(state["starts"], F.array(F.struct(F.coalesce(found, F.lit(0)).cast("int").alias("at"), m["is_sub_document"].alias("sub"), is_ocr_open(m["marker"]).alias("figure")))).alias("starts"))
 
-    zero = F.struct(F.lit(1).alias("next"), F.lit(True).alias("ok"), F.slice(F.transform(markers, lambda m: F.struct(F.lit(0).alias("at"), m["is_sub_document"].alias("sub"))), 1, 0).alias("starts"))
+    zero = F.struct(F.lit(1).alias("next"), F.lit(True).alias("ok"), F.slice(F.transform(markers, lambda m: F.struct(F.lit(0).alias("at"), m["is_sub_document"].alias("sub"), is_ocr_open(m["marker"]).alias("figure"))), 1, 0).alias("starts"))
     run = F.aggregate(markers, zero, step)
     starts = run["starts"]
 
     def piece(s: Column, k: Column) -> Column:
         first = F.when(k == 0, F.lit(1)).otherwise(s["at"])
         after = F.when(k + 1 < F.size(starts), F.try_element_at(starts, k + 2)["at"]).otherwise(end)
-        return F.struct(F.regexp_replace(F.substr(markdown, first, after - first), r"(?U)^\s+|\s+$", "").alias("text"), s["sub"].alias("is_sub_document"))
+        return F.struct(strip(F.substr(markdown, first, after - first)).alias("text"), s["sub"].alias("is_sub_document"), s["figure"].alias("is_figure"))
 
     parts = F.filter(F.transform(starts, piece), lambda p: p["text"] != "")
-    numbered = F.transform(parts, lambda p, k: F.struct(k.cast("long").alias("ordinal"), p["text"].alias("text"), p["is_sub_document"].alias("is_sub_document")))
-    return F.when(run["ok"], numbered)
+    numbered = F.transform(parts, lambda p, k: F.struct(k.cast("long").alias("ordinal"), p["text"].alias("text"), p["is_sub_document"].alias("is_sub_document"), p["is_figure"].alias("is_figure")))
+    return F.when(run["ok"] & (F.size(numbered) > 0), numbered)

@@ -16,6 +16,12 @@ def plain_number(number: Column) -> Column:
     return F.when(number == 0, F.lit("0")).otherwise(F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", ""))
 
 
+def full_number(number: Column) -> Column:
+    """A decimal with all its digits, without trailing zeros behind the point."""
+    text = number.cast("string")
+    return F.when(number == 0, F.lit("0")).when(F.contains(text, F.lit(".")), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+
+
 def cell_text(text: str = "text_value", long_text: str = "long_text_value", number: str = "number_value", boolean: str = "boolean_value", date: str = "date_value", moment: str = "datetime_value") -> Column:
     """The typed value of a field row as text; the column that is set decides."""
     return F.coalesce(F.col(text), F.col(long_text), plain_number(F.col(number)), F.when(F.col(boolean), "true").when(~F.col(boolean), "false"), F.date_format(date, "yyyy-MM-dd"), F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss"))

@@ -13,9 +13,15 @@ def field_map(fields: DataFrame, definitions: DataFrame) -> DataFrame:
     """id, fields: map of field name to JSON text. Several values give an array in order, single ones the value of the least order; values of unknown definitions are left out."""
     dims = definitions.select(F.col("id").alias("field_definition_id"), "name", "data_type", "allow_multiple")
     rows = fields.join(dims, "field_definition_id").withColumn("json", V.json_text(F.col("data_type"))).where("json IS NOT NULL")
-    each = rows.groupBy("document_id", "name", "allow_multiple").agg(F.transform(F.array_sort(F.collect_list(F.struct("order_no", "json"))), lambda v: v["json"]).alias("list"))
-    value = F.when(F.col("allow_multiple"), F.concat(F.lit("["), F.array_join("list", ","), F.lit("]"))).otherwise(F.element_at("list", 1))
-    return each.groupBy(F.col("document_id").alias("id")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", value.alias("value"))))).alias("fields"))
+    found = rows.groupBy(F.col("document_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("name", "order_no", "json", "allow_multiple"))).alias("found"))
+
+    def entry(name: Column) -> Column:
+        own = F.filter("found", lambda v: v["name"] == name)
+        several = F.concat(F.lit("["), F.array_join(F.transform(own, lambda v: v["json"]), ","), F.lit("]"))
+        return F.struct(name.alias("name"), F.when(own[0]["allow_multiple"], several).otherwise(own[0]["json"]).alias("value"))
+
+    # one grouping by document: a document has few fields, so their values are told apart inside its row
+    return found.select("id", F.map_from_entries(F.transform(F.array_distinct(F.transform("found", lambda v: v["name"])), entry)).alias("fields"))
 
 
 def list_items(docs: DataFrame, fields: DataFrame, definitions: DataFrame, types: DataFrame) -> DataFrame:
@@ -131,3 +137,25 @@ def import_actions(existing: DataFrame, incoming: DataFrame, key: str, update: b
     have = existing.select(F.col(key).alias("_have")).distinct()
     found = incoming.join(have, F.col(key) == F.col("_have"), "left")
     return found.select(key, F.when(F.col("_have").isNull(), "Created").when(F.lit(update), "Updated").otherwise("Skipped").alias("action"))
+
+
+# -- recycle bin -----------------------------------------------------------------------------------------------------------------
+
+
+def restore_conflicts(docs: DataFrame) -> DataFrame:
+    """id, conflict: for deleted documents, whether a live one of the same tenant has the same content, which forbids to restore it."""
+    same = ["content_hash", "_tenant"]
+    rows = docs.select("id", "is_deleted", "content_hash", F.coalesce("tenant_id", F.lit(-1)).alias("_tenant"))
+    live = rows.where("NOT is_deleted AND content_hash IS NOT NULL").select(*same).distinct().withColumn("_live", F.lit(True))
+    return rows.where("is_deleted").join(live, same, "left").select("id", F.coalesce("_live", F.lit(False)).alias("conflict"))
+
+
+def hard_delete(docs: DataFrame, ids: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(documents that stay, contents to remove): deleted documents leave for good, and a content goes once no document has it any more.
+
+    Only documents in the recycle bin are removed; other ids are left alone.
+    """
+    gone = docs.where("is_deleted").join(ids.select(F.col(id_col).alias("_gone")), F.col("id") == F.col("_gone"), "left_semi")
+    stay = docs.join(gone.select(F.col("id").alias("_gone")), F.col("id") == F.col("_gone"), "left_anti")
+    contents = gone.select("content_hash").where("content_hash IS NOT NULL").distinct()
+    return stay, contents.join(stay.select(F.col("content_hash").alias("_used")), F.col("content_hash") == F.col("_used"), "left_anti")

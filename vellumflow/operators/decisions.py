@@ -94,15 +94,19 @@ def expand_values(rows: DataFrame, json: str, keep: list[str]) -> DataFrame:
 
 
 def segment(bundles: DataFrame, most: int = M.SEGMENTS_LIMIT) -> DataFrame:
-    """conv_id, ordinal, segment_key, text of the sub-documents of containers; nothing for a bundle whose cut fails.
+    """conv_id, ordinal, segment_key, text: sub-documents of containers, and figures of any bundle; nothing where the cut fails.
 
-    A cut fails if a marker is missing, if two slices are equal, if fewer than two sub-documents or more than most come out.
+    A figure's text is what stands between its marks; other texts lose the lines of such marks. A cut fails if a marker is
+    missing, if two sub-documents are equal, if there are more than most, or fewer than two in a container.
     """
-    cut_up = bundles.where("is_container").select("conv_id", X.slices(F.col("markdown"), F.col("markers")).alias("slices"))
-    subs = F.filter("slices", lambda s: s["is_sub_document"])
-    keys = F.transform(subs, lambda s: F.sha2(s["text"], 256))
-    fine = F.col("slices").isNotNull() & F.size(subs).between(2, most) & (F.size(F.array_distinct(keys)) == F.size(keys))
-    return cut_up.where(fine).select("conv_id", F.explode(subs).alias("s")).select("conv_id", "s.ordinal", F.sha2("s.text", 256).alias("segment_key"), "s.text")
+    cut_up = bundles.select("conv_id", "is_container", X.slices(F.col("markdown"), F.col("markers")).alias("slices"))
+    wanted = F.filter("slices", lambda s: s["is_sub_document"] & (F.col("is_container") | s["is_figure"]))
+    clean = lambda s: F.when(s["is_figure"], X.ocr_bodies(s["text"])).otherwise(X.strip_ocr(s["text"]))
+    subs = F.transform(wanted, lambda s: F.struct(s["ordinal"].alias("ordinal"), clean(s).alias("text")))
+    cut_up = cut_up.withColumn("subs", subs)
+    keys = F.transform("subs", lambda s: F.sha2(s["text"], 256))
+    fine = F.col("slices").isNotNull() & F.size("subs").between(F.when(F.col("is_container"), 2).otherwise(1), F.lit(most)) & (F.size(F.array_distinct(keys)) == F.size(keys))
+    return cut_up.where(fine).select("conv_id", F.explode("subs").alias("s")).select("conv_id", "s.ordinal", F.sha2("s.text", 256).alias("segment_key"), "s.text")
 
 
 def segmentation_incomplete(bundles: DataFrame, segments: DataFrame) -> DataFrame:
@@ -151,3 +155,35 @@ def flags_after_extraction(docs: DataFrame, missing: DataFrame, duplicates: Data
     for name, bit in (("_m", M.MISSING_REQUIRED), ("_d", M.DUPLICATE), ("_w", M.WARNING)):
         flags = F.when(F.col(name), V.with_flag(flags, bit)).otherwise(flags)
     return rows.select("id", flags.alias("review_reasons"))
+
+
+#: Data types by the names that a model may give them; any other name is a text.
+DRAFT_TYPES = {"number": "Number", "boolean": "Boolean", "date": "Date", "datetime": "DateTime", "longtext": "LongText"}
+
+
+def draft_field(answer: Column, new_field: Column) -> Column:
+    """A field definition from a model's JSON answer: struct (display_name, name, data_type, is_required, allow_multiple).
+
+    Whatever is no JSON object gives an empty draft. Names and types count only as JSON strings. Booleans may be JSON
+    booleans, the texts true and false in any case, or numbers (0 is false); all else is false. Only new fields get a
+    name, and only texts may have several values.
+    """
+    root = F.try_parse_json(F.trim(answer))
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(root, path, "variant"))
+    whole = F.schema_of_variant(root).startswith("OBJECT")
+    text = lambda name: F.when(whole & (kind(f"$.{name}") == "STRING"), F.try_variant_get(root, f"$.{name}", "string"))
+
+    def flag(name: str) -> Column:
+        path = f"$.{name}"
+        by_kind = F.when(kind(path) == "BOOLEAN", F.try_variant_get(root, path, "boolean")).when(kind(path) == "STRING", F.lower(X.strip(F.try_variant_get(root, path, "string"))) == "true")
+        return F.coalesce(F.when(whole, by_kind.when(kind(path).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(root, path, "double") != 0)), F.lit(False))
+
+    said = F.lower(X.strip(text("dataType")))
+    data_type = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in DRAFT_TYPES.items() for x in kv]), said), F.lit("Text"))
+    return F.struct(
+        F.coalesce(X.tidy_name(text("displayName")), F.lit("")).alias("display_name"),
+        F.when(new_field, F.coalesce(X.slug(text("name")), F.lit(""))).otherwise("").alias("name"),
+        data_type.alias("data_type"),
+        flag("isRequired").alias("is_required"),
+        ((data_type == "Text") & flag("allowMultiple")).alias("allow_multiple"),
+    )

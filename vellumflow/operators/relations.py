@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vellumflow.functions import model as M
 from vellumflow.functions import values as V
+from vellumflow.functions.text import fold
 
 # -- statistics ------------------------------------------------------------------------------------------------------------
 
@@ -38,22 +39,55 @@ def missing_required(docs: DataFrame, fields: DataFrame, definitions: DataFrame)
 
 
 def fingerprints(docs: DataFrame, fields: DataFrame, definitions: DataFrame) -> DataFrame:
-    """id, fingerprint: sha256 over the canonical values of the type's unique-key fields; null unless every one has a value.
+    """id, fingerprint: sha256 over the canonical values of the type's unique-key fields.
 
-    A field is written as 'definition(count)=value', values parted by 0x1F, and ends with 0x1E; fields come by definition.
+    A field is written as 'definition=value', further values behind 0x1F each, and ends with 0x1E; fields come by
+    definition, values by order. Texts are folded and lower-cased, numbers keep all digits. Null if the type has no such
+    field, or if one of them has no value or a value that is blank or of another type than the field's.
     """
-    keys = definitions.where("is_unique_key AND NOT is_deleted").select("document_type_id", F.col("id").alias("field_definition_id"))
+    keys = definitions.where("is_unique_key AND NOT is_deleted").select("document_type_id", F.col("id").alias("field_definition_id"), "data_type")
     needed = keys.groupBy("document_type_id").agg(F.count(F.lit(1)).alias("needed"))
-    text = F.lower(F.trim(F.regexp_replace("text_value", r"(?U)\s+", " ")))
-    canonical = F.coalesce(F.when(text != "", text), V.plain_number(F.col("number_value")), F.when(F.col("boolean_value"), "true").when(~F.col("boolean_value"), "false"), F.date_format("date_value", "yyyy-MM-dd"), F.date_format("datetime_value", "yyyy-MM-dd'T'HH:mm:ss"))
-    valued = fields.join(keys.select("field_definition_id"), "field_definition_id", "left_semi").select("document_id", "field_definition_id", "order_no", canonical.alias("value")).where("value IS NOT NULL")
-    each = valued.groupBy("document_id", "field_definition_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("order_no", "value"))), lambda v: v["value"]).alias("list"))
-    part = F.concat(F.col("field_definition_id"), F.lit("("), F.size("list"), F.lit(")="), F.array_join("list", "\x1f"), F.lit("\x1e"))
-    whole = each.groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).alias("have"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("field_definition_id", part.alias("part")))), lambda p: p["part"]), "").alias("joined"))
+    folded = lambda c: F.nullif(F.lower(fold(F.col(c))), F.lit(""))
+    kind = F.col("data_type")
+    canonical = (
+        F.when(kind == "Text", folded("text_value"))
+        .when(kind == "LongText", folded("long_text_value"))
+        .when(kind == "Number", V.full_number(F.col("number_value")))
+        .when(kind == "Boolean", F.when(F.col("boolean_value"), "true").when(~F.col("boolean_value"), "false"))
+        .when(kind == "Date", F.date_format("date_value", "yyyy-MM-dd"))
+        .when(kind == "DateTime", F.date_format("datetime_value", "yyyy-MM-dd'T'HH:mm:ss"))
+    )
+    valued = fields.join(keys.select("field_definition_id", "data_type"), "field_definition_id").select("document_id", "field_definition_id", "order_no", canonical.alias("value"))
+    each = valued.groupBy("document_id", "field_definition_id").agg(F.array_sort(F.collect_list(F.struct("order_no", "value"))).alias("list"), F.bool_and(F.col("value").isNotNull()).alias("whole"))
+    part = F.concat(F.col("field_definition_id").cast("string"), F.lit("="), F.array_join(F.transform("list", lambda v: v["value"]), "\x1f"), F.lit("\x1e"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("field_definition_id", part.alias("part")))), lambda p: p["part"]), "")
+    whole = each.groupBy(F.col("document_id").alias("id")).agg(F.count_if("whole").alias("have"), joined.alias("joined"))
     rows = docs.select("id", "document_type_id").join(needed, "document_type_id", "left").join(whole, "id", "left")
     return rows.select("id", F.when(F.col("have") == F.col("needed"), F.sha2(F.col("joined"), 256)).alias("fingerprint"))
 
 
+def duplicate_basis(docs: DataFrame, document_type_id: int) -> DataFrame:
+    """Documents of a type, deleted ones too, whose duplicates may have to be looked at again: with a fingerprint, or suspected before."""
+    return docs.where((F.col("document_type_id") == document_type_id) & (F.col("fingerprint").isNotNull() | V.has(F.col("review_reasons"), M.DUPLICATE)))
+
+
+def running_lines(pages: DataFrame, edge: int = 3, share: float = 0.5, least: int = 2) -> DataFrame:
+    """document, band, line, pages: running headers and footers, from pages (document, page, lines: array of texts).
+
+    A line counts if it stands among the first or last `edge` lines of a page and not only blank; digits are one '#', white
+    space is folded, case ignored. It runs if at least max(least, ceil(share * pages)) pages of the document have it in the
+    same band.
+    """
+    same = lambda t: F.lower(fold(F.regexp_replace(t, "[0-9\uff10-\uff19]+", "#")))
+    band = lambda name, lines: F.transform(lines, lambda t: F.struct(F.lit(name).alias("band"), same(t).alias("line")))
+    last = F.slice("lines", F.greatest(F.size("lines") - edge + 1, F.lit(1)), F.lit(edge))
+    edges = pages.select("document", "page", F.explode(F.concat(band("top", F.slice("lines", 1, edge)), band("bottom", last))).alias("e")).select("document", "page", "e.*")
+    counts = edges.where("line <> ''").groupBy("document", "band", "line").agg(F.count_distinct("page").alias("pages"))
+    of = pages.groupBy("document").agg(F.count_distinct("page").alias("all_pages"))
+    running = counts.join(of, "document").where(F.col("pages") >= F.greatest(F.lit(least), F.ceil(F.col("all_pages") * share)))
+    return running.select("document", "band", "line", "pages")
+
+
 def duplicate_candidates(docs: DataFrame, most: int = M.DUPLICATE_CANDIDATES) -> DataFrame:
     """id, candidate: other documents of the same tenant, type and fingerprint, the first by creation time and id.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vellumflow.functions import model as M
@@ -10,7 +12,7 @@ from vellumflow.operators import decisions as G
 from vellumflow.operators import relations as R
 from vellumflow.operators import search as S
 from vellumflow.plans.registry import query
-from vellumflow.plans.relation_queries import _PRINTS
+from vellumflow.plans.relation_queries import _PRINTS, _printed
 from vellumflow.sources import derived as D
 from vellumflow.sources.derived import oracle
 from vellumflow.streaming import events as E
@@ -96,11 +98,18 @@ def g12(spark, sf):
     return D.documents(spark, sf).select("id", G.suggest_cabinet(F.col("cabinet_id"), F.col("id") % 8, (F.col("id") % 10) / 10, F.lit(5)).alias("cabinet"))
 
 
-@query("g13_reprocess_batches", oracle("SELECT id, (row_number() OVER (ORDER BY id) - 1) // 100 AS batch FROM d_documents WHERE tenant_id IS NULL AND NOT is_deleted AND document_type_id = 3 ORDER BY id LIMIT 300"))
+@query("g13_reprocess_batches", oracle("SELECT id, (row_number() OVER (ORDER BY id) - 1) // 100 AS batch FROM d_documents WHERE tenant_id IS NULL AND NOT is_deleted AND document_type_id = 3"))
 def g13(spark, sf):
     return S.batches(S.to_reprocess(S.scope(D.documents(spark, sf)), type_id=3), 100)
 
 
+@query("f16_duplicate_basis", oracle(f"""WITH prints AS ({_PRINTS}
+)
+SELECT d.id, d.is_deleted FROM d_documents d JOIN prints p ON p.id = d.id WHERE d.document_type_id = 1 AND (p.fingerprint IS NOT NULL OR (d.review_reasons & 8) <> 0)"""))
+def f16(spark, sf):
+    return R.duplicate_basis(_printed(spark, sf), 1).select("id", "is_deleted")
+
+
 @query("g14_cleanup", oracle("SELECT id, CASE WHEN document_type_id = 1 THEN review_reasons & ~8 ELSE review_reasons END AS review_reasons FROM d_documents WHERE (review_reasons & 8) <> 0"))
 def g14(spark, sf):
     keyed = D.field_definitions(spark).where("is_unique_key AND document_type_id <> 1").select("document_type_id").distinct().withColumn("_keyed", F.lit(True))
@@ -159,9 +168,20 @@ def t5_warnings(spark, sf):
     return G.warnings_of(answers, declared)
 
 
-@query("x1_absorbed", "SELECT event_id, user_id AS document_id, event_type FROM events")
+@query("x1_absorbed", "SELECT DISTINCT user_id AS document_id, event_type, ts AS event_time FROM events")
 def x1(spark, sf):
-    return E.collect_stream(E.absorb(E.read_events(spark, sf)), "append", "absorbed").select("event_id", "document_id", "event_type")
+    """Redelivered under other ids, and each once."""
+    rows = E.collect_stream(E.absorb(E.read_events(spark, sf)), "append", "absorbed")
+    return rows.select("document_id", "event_type", F.col("event_time").cast("timestamp_ntz").alias("event_time"))
+
+
+@query("k4_event_sink", "SELECT user_id AS document_id, event_type, ts AS event_time, CAST(ts AS DATE) AS day FROM events GROUP BY ALL")
+def k4(spark, sf):
+    """All events delivered twice by two streams, into a table that has each once."""
+    base = f"{E.shared_folder(spark)}/sink-{uuid.uuid4().hex}"
+    for delivery in ("first", "again"):
+        E.deliver(E.read_events(spark, sf), f"{base}/table", f"{base}/{delivery}")
+    return spark.read.parquet(f"{base}/table").select("document_id", "event_type", F.col("event_time").cast("timestamp_ntz").alias("event_time"), "day")
 
 
 @query("x2_current_only", oracle("SELECT event_id, e.user_id AS document_id FROM events e WHERE event_type = 'purchase' AND user_id IN (SELECT id FROM d_documents WHERE lifecycle_status = 30 AND NOT is_container)"))
@@ -170,13 +190,47 @@ def x2(spark, sf):
     return E.collect_stream(live, "append", "current").select("event_id", "document_id")
 
 
-@query("x3_run_states", "SELECT user_id AS document_id, count(*) AS events, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY user_id")
+#: Events as changes of runs: a run per day and pipeline, and every seventh event of another run with the same number.
+_CHANGES = """SELECT event_id, user_id AS document_id, ['text-extraction', 'classification', 'field-extraction'][event_id % 3 + 1] AS pipeline, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) + 1 AS BIGINT) AS attempt,
+    CASE WHEN event_id % 7 = 0 THEN -CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) + 1 AS BIGINT) ELSE CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) + 1 AS BIGINT) END AS run_id,
+    CASE event_type WHEN 'signup' THEN 10 WHEN 'view' THEN 20 WHEN 'purchase' THEN 30 WHEN 'error' THEN 90 ELSE 95 END AS status, ts FROM events"""
+
+
+@query("x3_run_states", f"""WITH changes AS ({_CHANGES}),
+owned AS (SELECT *, first_value(run_id) OVER (PARTITION BY document_id, pipeline, attempt ORDER BY ts, event_id) AS owner FROM changes),
+own AS (SELECT *, row_number() OVER (PARTITION BY document_id, pipeline ORDER BY ts DESC, event_id DESC) AS back FROM owned WHERE run_id = owner)
+SELECT o.document_id, o.pipeline, count(DISTINCT o.attempt) AS attempts, max(o.attempt) AS attempt, max(run_id) FILTER (back = 1) AS run_id, CAST(max(o.status) FILTER (back = 1) AS BIGINT) AS status, count(*) FILTER (o.status = 90) AS failed,
+    (SELECT count(*) FROM owned c WHERE c.document_id = o.document_id AND c.pipeline = o.pipeline AND c.run_id <> c.owner) AS collisions, CAST(0 AS BIGINT) AS stale FROM own o GROUP BY o.document_id, o.pipeline""")
 def x3(spark, sf):
-    rows = E.collect_stream(E.run_states(E.read_events(spark, sf, None)), "update", "states")
-    return rows.groupBy("document_id").agg(F.max("events").alias("events"), F.max("errors").alias("errors"))
+    attempt = F.date_diff(F.to_date("event_time"), F.lit("2024-01-01").cast("date")).cast("long") + 1
+    status = F.expr("case event_type when 'signup' then 10 when 'view' then 20 when 'purchase' then 30 when 'error' then 90 else 95 end").cast("long")
+    changes = E.read_events(spark, sf, None).select(
+        "event_id", "document_id", "event_time", status.alias("status"), attempt.alias("attempt"),
+        F.element_at(F.array(*map(F.lit, M.PIPELINES)), (F.col("event_id") % 3 + 1).cast("int")).alias("pipeline"),
+        F.when(F.col("event_id") % 7 == 0, -attempt).otherwise(attempt).alias("run_id"),
+    )
+    return E.latest(E.collect_stream(E.run_states(changes), "update", "states"), "document_id", "pipeline")
 
 
 @query("x4_rate_limit", "SELECT user_id AS document_id, time_bucket(INTERVAL 1 DAY, ts) AS window_start, count(*) AS requests, greatest(count(*) - 2, 0) AS rejected FROM events GROUP BY ALL")
 def x4(spark, sf):
-    rows = E.rate(E.read_events(spark, sf, None), limit=2, width="1 day")
-    return E.collect_stream(rows, "complete", "rates").select("document_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "requests", "rejected")
+    rows = E.rate(E.read_events(spark, sf, None), limit=2, width="1 day", watermark="1 hour")
+    last = E.latest(E.collect_stream(rows, "update", "rates"), "document_id", "window_start")
+    return last.select("document_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "requests", "rejected")
+
+
+@query("t35_draft_field", """SELECT event_id, CASE WHEN k = 5 THEN '' ELSE 'Field ' || event_type END AS display_name, CASE WHEN k = 5 OR event_id % 2 = 1 THEN '' ELSE 'field_' || event_type END AS name,
+    CASE k WHEN 0 THEN 'Number' WHEN 2 THEN 'Date' WHEN 3 THEN 'LongText' ELSE 'Text' END AS data_type, k IN (0, 1, 2) AS is_required, k IN (1, 4) AS allow_multiple FROM (SELECT event_id, event_type, event_id % 6 AS k FROM events)""")
+def t35(spark, sf):
+    """Answers with JSON booleans, texts and numbers for flags, odd type names, and no JSON at all."""
+    rest = F.element_at(F.array(*[F.lit(x) for x in (
+        '"dataType": " NUMBER ", "isRequired": true, "allowMultiple": true}',
+        '"dataType": "text", "isRequired": "TRUE", "allowMultiple": 1}',
+        '"dataType": "date", "isRequired": 2.5, "allowMultiple": "true"}',
+        '"dataType": "LongText", "isRequired": "1", "allowMultiple": null}',
+        '"dataType": 7, "isRequired": 0, "allowMultiple": true}',
+        '"dataType": "text", "isRequired": true',
+    )]), (F.col("event_id") % 6 + 1).cast("int"))
+    answer = F.concat(F.lit(' {"displayName": "Field\\n'), F.col("event_type"), F.lit('", "name": "Field '), F.col("event_type"), F.lit('!", '), rest)
+    draft = G.draft_field(answer, F.col("event_id") % 2 == 0)
+    return D.table(spark, sf, "events").select("event_id", draft.alias("d")).select("event_id", "d.*")

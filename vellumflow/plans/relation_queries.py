@@ -16,8 +16,8 @@ from vellumflow.sources import derived as D
 from vellumflow.sources.derived import oracle
 
 _CANON = """CASE WHEN f.text_value IS NOT NULL THEN nullif(lower(trim(regexp_replace(f.text_value, '\\s+', ' ', 'g'))), '') WHEN f.boolean_value IS NOT NULL THEN CASE WHEN f.boolean_value THEN 'true' ELSE 'false' END END"""
-_PRINTS = f"""SELECT d.id, CASE WHEN count(f.document_id) = 2 THEN sha256(string_agg(f.field_definition_id || '(1)=' || {_CANON} || chr(30), '' ORDER BY f.field_definition_id)) END AS fingerprint
-    FROM d_documents d LEFT JOIN d_extracted_fields f ON f.document_id = d.id AND f.field_definition_id IN (SELECT id FROM d_field_definitions WHERE is_unique_key) AND {_CANON} IS NOT NULL GROUP BY d.id"""
+_PRINTS = """SELECT d.id, CASE WHEN t.id IS NOT NULL AND b.boolean_value IS NOT NULL AND trim(c.text_value) <> '' THEN sha256(t.id * 100 + 5 || '=' || CASE WHEN b.boolean_value THEN 'true' ELSE 'false' END || chr(30) || t.id * 100 + 6 || '=' || lower(trim(regexp_replace(c.text_value, '\\s+', ' ', 'g'))) || chr(30)) END AS fingerprint
+    FROM d_documents d LEFT JOIN d_document_types t ON t.id = d.document_type_id LEFT JOIN d_extracted_fields b ON b.document_id = d.id AND b.field_definition_id = t.id * 100 + 5 LEFT JOIN d_extracted_fields c ON c.document_id = d.id AND c.field_definition_id = t.id * 100 + 6"""
 _REASONS = "CASE WHEN {0} <> 0 THEN array_to_string(list_filter([" + ", ".join(f"CASE WHEN ({{0}} & {b}) <> 0 THEN '{n}' END" for b, n in M.REASONS.items()) + "], lambda x: x IS NOT NULL), ', ') END"
 _STATUS = "CASE lifecycle_status WHEN 10 THEN 'Uploaded' WHEN 20 THEN 'Processing' WHEN 25 THEN 'PendingReview' WHEN 30 THEN 'Ready' WHEN 99 THEN 'Failed' END"
 _DISPOSITION = "CASE review_disposition WHEN 0 THEN 'NotReviewed' WHEN 20 THEN 'Confirmed' WHEN 30 THEN 'Rejected' END"
@@ -31,7 +31,8 @@ def _docs(spark, sf):
 
 def _printed(spark, sf):
     docs = D.documents(spark, sf)
-    return docs.join(R.fingerprints(docs, D.extracted_fields(spark, sf), D.field_definitions(spark)), "id")
+    keys = tuple(f[0] for f in D.FIELDS if f[5])  # only the unique-key fields are read
+    return docs.join(R.fingerprints(docs, D.extracted_fields(spark, sf, keys), D.field_definitions(spark)), "id")
 
 
 @query("a1_statistics", oracle(f"""SELECT count(*) FILTER (NOT is_container) AS total, count(*) FILTER (NOT is_container AND lifecycle_status = 10) AS uploaded, count(*) FILTER (NOT is_container AND lifecycle_status = 20) AS processing,
@@ -97,16 +98,19 @@ def a11(spark, sf):
     return counts.groupBy("p_brand").agg(F.max(F.struct("n", "p_size"))["p_size"].alias("body_size"))
 
 
-_EDGE = """WITH lines AS (SELECT doc_id, source, trim(l) AS line, i, n FROM (SELECT doc_id, source, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS i, len(ls) AS n FROM (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents)))
-SELECT source, band, line, count(DISTINCT doc_id) AS pages FROM (SELECT doc_id, source, 'top' AS band, line FROM lines WHERE i <= 3 UNION ALL SELECT doc_id, source, 'bottom', line FROM lines WHERE i > n - 3) WHERE line <> '' GROUP BY ALL HAVING count(DISTINCT doc_id) >= 2"""
+#: Orders as documents, their lines as pages of seven text lines.
+_SHEETS = "['Order ' || l_orderkey, 'Status  ' || l_linestatus, 'Supplier ' || l_suppkey, 'Price ' || CAST(l_quantity AS BIGINT), 'Flag ' || l_returnflag, 'PART ' || l_partkey, 'Page ' || l_linenumber || ' of 7']"
+_EDGE = f"""WITH pages AS (SELECT l_orderkey AS document, l_linenumber AS page, {_SHEETS} AS ls FROM lineitem),
+bands AS (SELECT document, page, 'top' AS band, unnest(ls[1:3]) AS line FROM pages UNION ALL SELECT document, page, 'bottom', unnest(ls[5:7]) FROM pages),
+counted AS (SELECT document, band, lower(trim(regexp_replace(regexp_replace(line, '[0-9]+', '#', 'g'), '\\s+', ' ', 'g'))) AS line, count(DISTINCT page) AS pages FROM bands GROUP BY ALL)
+SELECT c.document, band, line, c.pages FROM counted c JOIN (SELECT document, count(DISTINCT page) AS n FROM pages GROUP BY document) USING (document) WHERE c.pages >= greatest(2, CAST(ceil(n * 0.5) AS BIGINT))"""
 
 
 @query("a12_running_lines", _EDGE)
 def a12(spark, sf):
-    docs = D.table(spark, sf, "documents").select("doc_id", "source", F.split("text", "\n").alias("lines"))
-    edges = F.concat(F.transform(F.slice("lines", 1, 3), lambda t: F.struct(F.lit("top").alias("band"), F.trim(t).alias("line"))), F.transform(F.slice("lines", F.greatest(F.size("lines") - 2, F.lit(1)), F.lit(3)), lambda t: F.struct(F.lit("bottom").alias("band"), F.trim(t).alias("line"))))
-    rows = docs.select("doc_id", "source", F.explode(edges).alias("e")).where("e.line <> ''").select("doc_id", "source", "e.*").distinct()
-    return rows.groupBy("source", "band", "line").agg(F.count(F.lit(1)).alias("pages")).where("pages >= 2")
+    lines = F.expr("array(concat('Order ', l_orderkey), concat('Status  ', l_linestatus), concat('Supplier ', l_suppkey), concat('Price ', cast(l_quantity as bigint)), concat('Flag ', l_returnflag), concat('PART ', l_partkey), concat('Page ', l_linenumber, ' of 7'))")
+    pages = D.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("document"), F.col("l_linenumber").alias("page"), lines.alias("lines"))
+    return R.running_lines(pages)
 
 
 @query("a13_median_positive", "SELECT event_type, median(value) FILTER (value > 0) AS middle FROM events GROUP BY event_type")
@@ -288,7 +292,7 @@ def p7(spark, sf):
     return D.documents(spark, sf).select("id", V.flag_names(F.col("review_reasons")).alias("names"))
 
 
-@query("p8_tool_fields", oracle(f"SELECT document_id AS id, field_definition_id, CASE WHEN number_value IS NOT NULL OR boolean_value IS NOT NULL THEN {_JSON} ELSE '\"<field>' || replace({_CELL}, '<', '&lt;') || '</field>\"' END AS shown FROM d_extracted_fields WHERE field_definition_id % 100 NOT IN (8)"))
+@query("p8_tool_fields", oracle(f"SELECT document_id AS id, field_definition_id, CASE WHEN number_value IS NOT NULL OR boolean_value IS NOT NULL THEN {_JSON} ELSE '\"<field>' || replace({_CELL}, '<', '&lt;') || '</field>\"' END AS shown FROM d_extracted_fields"))
 def p8(spark, sf):
     rows = D.extracted_fields(spark, sf)
     kind = F.when(F.col("number_value").isNotNull(), "Number").when(F.col("boolean_value").isNotNull(), "Boolean").otherwise("Text")
@@ -331,11 +335,17 @@ def k6(spark, sf):
     return D.documents(spark, sf).select("id", F.when(F.col("cabinet_id") == 3, None).otherwise(F.col("cabinet_id")).alias("cabinet_id"))
 
 
-@query("k7_restore_conflicts", oracle("SELECT id FROM d_documents d WHERE is_deleted AND NOT EXISTS (SELECT 1 FROM d_documents o WHERE NOT o.is_deleted AND o.content_hash = d.content_hash AND o.tenant_id IS NOT DISTINCT FROM d.tenant_id)"))
+@query("k7_restore_conflicts", oracle("SELECT id, EXISTS (SELECT 1 FROM d_documents o WHERE NOT o.is_deleted AND o.content_hash = d.content_hash AND o.tenant_id IS NOT DISTINCT FROM d.tenant_id) AS conflict FROM d_documents d WHERE is_deleted"))
 def k7(spark, sf):
-    docs = D.documents(spark, sf).withColumn("tenant", F.coalesce("tenant_id", F.lit(-1)))
-    live = docs.where(~F.col("is_deleted")).select("content_hash", "tenant")
-    return docs.where("is_deleted").join(live, ["content_hash", "tenant"], "left_anti").select("id")
+    return A.restore_conflicts(D.documents(spark, sf))
+
+
+@query("k7_hard_delete", oracle("SELECT id, NULL AS content_hash FROM d_documents WHERE NOT is_deleted UNION ALL SELECT NULL, content_hash FROM d_documents WHERE is_deleted AND content_hash NOT IN (SELECT content_hash FROM d_documents WHERE NOT is_deleted) GROUP BY content_hash"))
+def k7_hard(spark, sf):
+    """The whole recycle bin: documents that stay, and contents that nobody has any more."""
+    docs = D.documents(spark, sf)
+    stay, contents = A.hard_delete(docs, docs.where("is_deleted"))
+    return stay.select("id").unionByName(contents, allowMissingColumns=True)
 
 
 @query("k8_payload_manifest", "SELECT page_id, sha256(html) AS sha256, strlen(html) AS size_bytes FROM pages WHERE strlen(html) <= 16777216")

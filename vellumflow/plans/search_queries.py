@@ -69,7 +69,7 @@ def s5(spark, sf):
 @query("s6_natural_key", oracle("SELECT n_nationkey, n_name FROM nation WHERE lower(n_name) = lower((SELECT min(n_name) FROM nation))"))
 def s6(spark, sf):
     nation = D.table(spark, sf, "nation")
-    return S.by_natural_key(nation, "n_name", nation.agg(F.min("n_name")).first()[0].swapcase(), ignore_case=True).select("n_nationkey", "n_name")
+    return S.by_natural_key(nation, "n_name", (nation.agg(F.min("n_name")).first()[0] or "").swapcase(), ignore_case=True).select("n_nationkey", "n_name")
 
 
 @query("f1_metadata", oracle(f"SELECT {TEXTUAL} FROM d_documents WHERE {LIVE} AND lifecycle_status = 30 AND document_type_id = 2 AND cabinet_id = 3 AND review_disposition = 0"))
@@ -77,9 +77,10 @@ def f1(spark, sf):
     return S.filter_metadata(S.scope(_docs(spark, sf)), lifecycle=30, type_id=2, cabinet=3, disposition=0).select("id", "creation_time", "lifecycle_status")
 
 
-@query("f1_origin", oracle(f"SELECT {TEXTUAL} FROM d_documents WHERE {LIVE} AND origin_document_id = 20"))
+@query("f1_origin", oracle(f"SELECT {TEXTUAL} FROM d_documents WHERE {LIVE} AND origin_document_id = (SELECT max(origin_document_id) FROM d_documents WHERE {LIVE})"))
 def f1_origin(spark, sf):
-    return S.filter_metadata(S.scope(_docs(spark, sf)), origin=20).select("id", "creation_time", "lifecycle_status")
+    docs = S.scope(_docs(spark, sf))
+    return S.filter_metadata(docs, origin=docs.agg(F.max("origin_document_id")).first()[0] or 0).select("id", "creation_time", "lifecycle_status")
 
 
 @query("f2_requires_attention", oracle(f"SELECT id, review_reasons FROM d_documents WHERE {LIVE} AND review_reasons <> 0 AND review_disposition <> 30"))
@@ -137,9 +138,9 @@ def f11(spark, sf):
     return _searched(spark, sf, [S.FieldFilter("priority", "1-URGENT"), S.FieldFilter("amount", min="100000", max="200000")], lifecycle=30)
 
 
-@query("f11_multi_value", oracle("SELECT d.id FROM d_documents d WHERE tenant_id IS NULL AND NOT is_deleted AND document_type_id = 1 AND EXISTS (SELECT 1 FROM d_extracted_fields f WHERE f.document_id = d.id AND f.field_definition_id = 108 AND f.text_value = (SELECT min(p_name) FROM part)) AND EXISTS (SELECT 1 FROM d_extracted_fields f WHERE f.document_id = d.id AND f.field_definition_id = 101 AND f.number_value > 0)"))
+@query("f11_multi_value", oracle("SELECT d.id FROM d_documents d WHERE tenant_id IS NULL AND NOT is_deleted AND document_type_id = 1 AND id IN (SELECT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_name = (SELECT min(p_name) FROM part)) AND id IN (SELECT o_orderkey FROM orders WHERE o_totalprice >= 0.000001)"))
 def f11_multi(spark, sf):
-    name = D.table(spark, sf, "part").agg(F.min("p_name")).first()[0]
+    name = D.table(spark, sf, "part").agg(F.min("p_name")).first()[0] or ""
     return _searched(spark, sf, [S.FieldFilter("parts", name), S.FieldFilter("amount", min="0.000001")]).select("id")
 
 

@@ -101,13 +101,13 @@ def t3(spark, sf):
     return D.table(spark, sf, "events").select("event_id", G.valid_value(value, kind).alias("valid"))
 
 
-@query("t4_expand", "SELECT doc_id, i - 1 AS order_no, w AS value FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+')[1:5] AS ws FROM documents))")
+@query("t4_expand", "SELECT doc_id, i - 1 AS order_no, w AS value FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS ws FROM documents))")
 def t4(spark, sf):
     rows = _docs(spark, sf).select("doc_id", F.to_json(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1)).alias("json"))
     return G.expand_values(rows, "json", ["doc_id"]).withColumn("order_no", F.col("order_no").cast("long"))
 
 
-@query("t5_parse_answer", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 3 = 0")
+@query("t5_parse_answer", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def t5(spark, sf):
     answer = F.concat(F.lit('{"values": '), F.col("props"), F.lit("}"))
     rows = D.table(spark, sf, "events").withColumn("answer", G.parse_answer(answer))
@@ -119,20 +119,51 @@ def t6(spark, sf):
     return _docs(spark, sf).select("doc_id", X.cut(F.col("text"), 256).alias("head"))
 
 
-@query("t7_plain_text", f"SELECT doc_id, trim({_re2('text', X._STRIP)}, ' ') AS plain FROM documents")
+#: A Markdown page around each text: marks in front that are known, then the whole text in a paragraph of its own.
+_PAGE = {
+    0: "## *Deep* [link](u) and ![pic](v) ##\n\n",
+    1: "---\n|---|---|\n> 1. quoted **strong** `code` line\n\n",
+    2: "```sql\nselect 1\n```\n\n- first _point_\n\n",
+    3: "a | b\n\n\n\n",
+    4: "",
+}
+#: What plain text and the title keep of these fronts, by hand.
+_PLAIN_FRONT = {0: "Deep link and pic ##\n\n", 1: "quoted strong code line\n\n", 2: "select 1\n\nfirst point\n\n", 3: "a   b\n\n", 4: ""}
+_TITLE_FRONT = {0: "Deep link and pic", 1: "quoted strong code line", 2: "first point", 3: "a | b"}
+
+
+def _fronted(texts: dict[int, str]) -> str:
+    return "CASE doc_id % 5 " + " ".join(f"WHEN {k} THEN {_quote(v)}" for k, v in texts.items()) + " END"
+
+
+def _marked_up(spark, sf):
+    front = F.element_at(F.array(*[F.lit(_PAGE[k]) for k in sorted(_PAGE)]), (F.col("doc_id") % 5 + 1).cast("int"))
+    return _docs(spark, sf).select("doc_id", F.concat(front, F.lit("words: "), F.col("text")).alias("markdown"))
+
+
+#: The rules in RE2, which has neither look-around nor back-references: written out for each mark.
+_STRIPPED = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(
+    'words: ' || text, '!\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '|', ' '), '(?m)^\s{0,3}#{1,6}\s*', '', 'g'), '(?m)^\s{0,3}>\s?', '', 'g'), '(?m)^\s{0,3}([-*+]|\d+\.)\s+', '', 'g'), '(?m)^\s{0,3}([-*_]\s*){3,}$', '', 'g'),
+    '\*\*(.+?)\*\*', '\1', 'g'), '__(.+?)__', '\1', 'g'), '(^|[^\pL\pN_])\*([^*\n]+)\*([^\pL\pN_]|$)', '\1\2\3', 'g'), '`([^`]+)`', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(13))"""
+
+
+@query("t7_plain_text", f"SELECT doc_id, {_fronted(_PLAIN_FRONT)} || {_STRIPPED} AS plain FROM documents")
 def t7(spark, sf):
-    return _docs(spark, sf).select("doc_id", X.plain_text(F.col("text")).alias("plain"))
+    return _marked_up(spark, sf).select("doc_id", X.plain_text(F.col("markdown")).alias("plain"))
 
 
-@query("t8_title")
+@query("t8_title", rf"SELECT doc_id, CASE WHEN doc_id % 5 < 4 THEN {_fronted(_TITLE_FRONT)} ELSE substr(trim(regexp_replace('words: ' || regexp_extract(text, '^[^\n]*'), '\s+', ' ', 'g')), 1, 256) END AS title FROM documents")
 def t8(spark, sf):
-    return _pages(spark, sf).select("page_id", X.title_of(F.col("markdown")).alias("title"))
+    return _marked_up(spark, sf).select("doc_id", X.title_of(F.col("markdown")).alias("title"))
 
 
-@query("t9_title_chain", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Model ' || page_id ELSE 'report' || page_id END AS title FROM pages")
+@query("t9_title_chain", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Model ' || doc_id WHEN 1 THEN 'About ' || lang ELSE 'report' || doc_id END AS title FROM documents")
 def t9(spark, sf):
-    rows = D.table(spark, sf, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("Model "), F.col("page_id"))).alias("model"), F.concat(F.lit("/in/report"), F.col("page_id"), F.lit(".pdf")).alias("file"))
-    return rows.select("page_id", X.title_chain(F.col("model"), F.lit("\n \n"), F.col("file")).alias("title"))
+    """A third of the documents has a title of the model, a third a heading, a third only a file name."""
+    model = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Model "), F.col("doc_id"))).otherwise(" ")
+    page = F.when(F.col("doc_id") % 3 == 2, F.lit("\n \n---\n")).otherwise(F.concat(F.lit("# About "), F.col("lang"), F.lit("\n\n"), F.col("text")))
+    rows = _docs(spark, sf).select("doc_id", model.alias("model"), page.alias("page"), F.concat(F.lit("/in/report"), F.col("doc_id"), F.lit(".pdf")).alias("file"))
+    return rows.select("doc_id", X.title_chain(F.col("model"), F.col("page"), F.col("file")).alias("title"))
 
 
 _FOLD = "trim(regexp_replace({0}, '\\s+', ' ', 'g'), ' ')"
@@ -159,25 +190,44 @@ def t13(spark, sf):
     return D.table(spark, sf, "pages").select("page_id", X.boundary(F.col("html")).alias("prompt"))
 
 
-@query("t14_ocr_markup", "SELECT doc_id, true AS has, text AS stripped, text AS body, CAST(doc_id % 9 AS INTEGER) AS page FROM documents")
+@query("t14_ocr_markup", """SELECT doc_id, doc_id % 4 <> 3 AS has, CASE WHEN doc_id % 4 = 3 THEN 'see *[Image OCR]* here' || chr(10) || text ELSE 'before' || chr(10) || text || CASE WHEN doc_id % 4 = 0 THEN '' ELSE chr(10) || 'after' END END AS stripped,
+    CASE doc_id % 4 WHEN 3 THEN '' ELSE text END AS body, CASE WHEN doc_id % 4 = 1 AND doc_id % 9 > 0 THEN CAST(doc_id % 9 AS INTEGER) END AS page FROM documents""")
 def t14(spark, sf):
-    marked = _docs(spark, sf).select("doc_id", X.wrap_ocr(F.col("text"), F.col("doc_id") % 9).alias("m"))
-    return marked.select("doc_id", X.has_ocr(F.col("m")).alias("has"), X.strip_ocr(F.col("m")).alias("stripped"), F.element_at(X.ocr_bodies(F.col("m")), 1).alias("body"), X.ocr_page(F.col("m")).alias("page"))
+    """Figures that are never closed, with a page, without one, and a text that only mentions the mark."""
+    kind, text = F.col("doc_id") % 4, F.col("text")
+    whole = lambda figure: F.concat(F.lit("before\n"), figure, F.lit("\nafter"))
+    marked = F.when(kind == 0, F.concat(F.lit("before\n *[Image OCR]* \n"), text)).when(kind == 1, whole(X.wrap_ocr(text, F.col("doc_id") % 9))).when(kind == 2, whole(X.wrap_ocr(text))).otherwise(F.concat(F.lit("see *[Image OCR]* here\n"), text))
+    rows = _docs(spark, sf).select("doc_id", marked.alias("m"))
+    return rows.select("doc_id", X.has_ocr(F.col("m")).alias("has"), X.strip_ocr(F.col("m")).alias("stripped"), X.ocr_bodies(F.col("m")).alias("body"), X.ocr_page(F.try_element_at(F.split("m", "\n"), F.lit(2))).alias("page"))
+
+
+#: Each text word by word on lines, by turns followed by a line 25 times, by 30 lines that alternate, or by one line that repeats a unit.
+_LOOPING = """SELECT doc_id, replace(text, ' ', chr(10)) || chr(10) || CASE doc_id % 4 WHEN 0 THEN repeat('again' || chr(10), 25) WHEN 1 THEN repeat('row ' || lang || chr(10) || 'sum' || chr(10), 30) WHEN 2 THEN repeat('unit ' || lang || ';', 40) ELSE repeat('-=', 200) END AS t FROM documents"""
 
 
-@query("t15_repetition")
+@query("t15_repetition", f"""WITH lines AS (SELECT doc_id, i, trim(l, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS l FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l, unnest(range(len(string_split(t, chr(10))))) AS i FROM ({_LOOPING})) WHERE trim(l, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - row_number() OVER (PARTITION BY doc_id, l ORDER BY i) AS island FROM lines),
+islands AS (SELECT doc_id, count(*) AS n FROM numbered GROUP BY doc_id, l, island),
+shares AS (SELECT doc_id, count(*) AS n, count(DISTINCT l) AS d FROM lines GROUP BY doc_id),
+tiled AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, l, unnest(range(1, 121)) AS p FROM (SELECT DISTINCT doc_id, l FROM lines WHERE length(l) >= 200 AND 2 * length(regexp_replace(l, '[^\\pL\\p{{Nd}}]', '', 'g')) > length(l))) WHERE length(l) // p >= 8 AND substr(l, p + 1) = substr(l, 1, length(l) - p))
+SELECT doc_id, doc_id IN (SELECT doc_id FROM islands WHERE n >= 24) OR doc_id IN (SELECT doc_id FROM shares WHERE n >= 40 AND d / n < 0.3) OR doc_id IN (SELECT doc_id FROM tiled) AS loops FROM documents""")
 def t15(spark, sf):
-    return _docs(spark, sf).select("doc_id", X.repeats_itself(F.regexp_replace("text", " ", "\n")).alias("loops"))
+    more = F.expr("case doc_id % 4 when 0 then repeat('again\n', 25) when 1 then repeat(concat('row ', lang, '\nsum\n'), 30) when 2 then repeat(concat('unit ', lang, ';'), 40) else repeat('-=', 200) end")
+    return _docs(spark, sf).select("doc_id", X.repeats_itself(F.concat(F.replace(F.col("text"), F.lit(" "), F.lit("\n")), F.lit("\n"), more)).alias("loops"))
 
 
-@query("t16_drop_fences", "SELECT doc_id, text AS text FROM documents")
+@query("t16_drop_fences", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN 'head' || chr(10) || text ELSE '```not `one``' || chr(10) || text END AS text FROM documents")
 def t16(spark, sf):
-    return _docs(spark, sf).select("doc_id", X.drop_fences(F.concat(F.lit("```md\n"), F.col("text"), F.lit("\n```"))).alias("text"))
+    """Fences around the whole, around a part and never closed, and a line that is none."""
+    fenced = F.expr("case doc_id % 3 when 0 then concat('```md\n', text, '\n```') when 1 then concat('head\n  ~~~~\n', text) else concat('```not `one``\n', text, '\n```` x') end")
+    return _docs(spark, sf).select("doc_id", X.drop_fences(fenced).alias("text"))
 
 
-@query("t17_unwrap_fence", "SELECT doc_id, trim(text, ' ') AS text FROM documents")
+@query("t17_unwrap_fence", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN trim(text, ' ') ELSE trim('head ```' || chr(10) || text || chr(10) || '```', ' ') END AS text FROM documents")
 def t17(spark, sf):
-    return _docs(spark, sf).select("doc_id", X.unwrap_fence(F.concat(F.lit("```\n"), F.col("text"), F.lit("\n```\n"))).alias("text"))
+    """Wrapped texts lose their fence; a fence behind other words is none."""
+    wrapped = F.expr("case when doc_id % 2 = 0 then concat('```\n', text, '\n```\n') else concat('head ```\n', text, '\n```') end")
+    return _docs(spark, sf).select("doc_id", X.unwrap_fence(wrapped).alias("text"))
 
 
 @query("t18_slices", oracle("SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ordinal, regexp_replace('## Turn ' || turn || chr(10) || text, '^\\s+|\\s+$', '', 'g') AS text, role <> 'system' AS is_sub_document FROM conversations WHERE conv_id IN (SELECT conv_id FROM d_bundles)"))

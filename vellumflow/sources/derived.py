@@ -66,8 +66,11 @@ def field_definitions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "id long, document_type_id long, name string, data_type string, is_required boolean, allow_multiple boolean, is_unique_key boolean, display_order long, is_deleted boolean")
 
 
-def extracted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per value, one typed column per data type. Single values come from one scan, by exploding an array."""
+def extracted_fields(spark: SparkSession, sf_dir: str, numbers: tuple[int, ...] = tuple(f[0] for f in FIELDS)) -> DataFrame:
+    """One row per value, one typed column per data type, of the fields with these numbers. Single values come from one scan, by exploding an array.
+
+    Tables that none of the fields needs are not read.
+    """
 
     def value(n: int, when: Column | None = None, **typed: Column) -> Column:
         kinds = {"text": "string", "long_text": "string", "number": "decimal(38,6)", "boolean": "boolean", "date": "date", "datetime": "timestamp_ntz"}
@@ -75,18 +78,20 @@ def extracted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         return row if when is None else F.when(when, row)
 
     key = F.col("o_orderkey")
-    single = [
-        value(1, number=F.col("o_totalprice").cast("decimal(38,6)")),
-        value(2, text=F.col("o_orderpriority")),
-        value(3, date=F.to_date("o_orderdate")),
-        value(4, datetime=F.expr(_CREATED)),
-        value(5, boolean=F.col("o_orderpriority").startswith("1-")),
-        value(6, when=key % 9 != 0, text=F.col("c_name")),
-        value(7, long_text=F.concat(F.lit("note for "), key)),
-        value(9, when=key % 2 == 0, text=F.concat(F.lit("L"), key)),
-    ]
+    single = {
+        1: value(1, number=F.col("o_totalprice").cast("decimal(38,6)")),
+        2: value(2, text=F.col("o_orderpriority")),
+        3: value(3, date=F.to_date("o_orderdate")),
+        4: value(4, datetime=F.expr(_CREATED)),
+        5: value(5, boolean=F.col("o_orderpriority").startswith("1-")),
+        6: value(6, when=key % 9 != 0, text=F.col("c_name")),
+        7: value(7, long_text=F.concat(F.lit("note for "), key)),
+        9: value(9, when=key % 2 == 0, text=F.concat(F.lit("L"), key)),
+    }
     rows = _orders(spark, sf_dir).withColumn("type", F.expr(_TYPE)).where("type IS NOT NULL")
-    ones = rows.withColumn("v", F.explode(F.array_compact(F.array(*single)))).select(key.alias("document_id"), (F.col("type") * 100 + F.col("v.n")).alias("field_definition_id"), F.lit(0).cast("long").alias("order_no"), *[F.col(f"v.{k}").alias(f"{k}_value") for k in ("text", "long_text", "number", "boolean", "date", "datetime")])
+    ones = rows.withColumn("v", F.explode(F.array_compact(F.array(*[s for n, s in single.items() if n in numbers])))).select(key.alias("document_id"), (F.col("type") * 100 + F.col("v.n")).alias("field_definition_id"), F.lit(0).cast("long").alias("order_no"), *[F.col(f"v.{k}").alias(f"{k}_value") for k in ("text", "long_text", "number", "boolean", "date", "datetime")])
+    if 8 not in numbers:
+        return ones
     lines, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     along = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     parts = lines.withColumn("order_no", (F.row_number().over(along) - 1).cast("long")).join(part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
