@@ -128,7 +128,7 @@ _PAGE = {
     4: "",
 }
 #: What plain text and the title keep of these fronts, by hand.
-_PLAIN_FRONT = {0: "Deep link and pic ##\n\n", 1: "quoted strong code line\n\n", 2: "select 1\n\nfirst point\n\n", 3: "a   b\n\n", 4: ""}
+_PLAIN_FRONT = {0: "Deep link and pic ##\n\n", 1: "quoted strong code line\n\n", 2: "select 1\nfirst point\n\n", 3: "a   b\n\n", 4: ""}
 _TITLE_FRONT = {0: "Deep link and pic", 1: "quoted strong code line", 2: "first point", 3: "a | b"}
 
 
@@ -138,13 +138,14 @@ def _fronted(texts: dict[int, str]) -> str:
 
 def _marked_up(spark, sf):
     front = F.element_at(F.array(*[F.lit(_PAGE[k]) for k in sorted(_PAGE)]), (F.col("doc_id") % 5 + 1).cast("int"))
-    return _docs(spark, sf).select("doc_id", F.concat(front, F.lit("words: "), F.col("text")).alias("markdown"))
+    return _docs(spark, sf).select("doc_id", F.concat(front, F.lit("words: "), F.translate("text", "*_", "~~")).alias("markdown"))
 
 
-#: The rules in RE2, which has neither look-around nor back-references: written out for each mark.
-_STRIPPED = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(
-    'words: ' || text, '!\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '|', ' '), '(?m)^\s{0,3}#{1,6}\s*', '', 'g'), '(?m)^\s{0,3}>\s?', '', 'g'), '(?m)^\s{0,3}([-*+]|\d+\.)\s+', '', 'g'), '(?m)^\s{0,3}([-*_]\s*){3,}$', '', 'g'),
-    '\*\*(.+?)\*\*', '\1', 'g'), '__(.+?)__', '\1', 'g'), '(^|[^\pL\pN_])\*([^*\n]+)\*([^\pL\pN_]|$)', '\1\2\3', 'g'), '`([^`]+)`', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(13))"""
+#: The rules in RE2, which has neither look-around nor back-references: so the texts' own stars and underscores become '~' first.
+_WORDS = "'words: ' || translate(text, '*_', '~~')"
+_STRIPPED = rf"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(
+    {_WORDS}, '!\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '|', ' '), '(?m)^\s{{0,3}}#{{1,6}}\s*', '', 'g'), '(?m)^\s{{0,3}}>\s?', '', 'g'), '(?m)^\s{{0,3}}([-*+]|\d+\.)\s+', '', 'g'),
+    '`([^`]+)`', '\1', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(13))"""
 
 
 @query("t7_plain_text", f"SELECT doc_id, {_fronted(_PLAIN_FRONT)} || {_STRIPPED} AS plain FROM documents")
@@ -152,7 +153,7 @@ def t7(spark, sf):
     return _marked_up(spark, sf).select("doc_id", X.plain_text(F.col("markdown")).alias("plain"))
 
 
-@query("t8_title", rf"SELECT doc_id, CASE WHEN doc_id % 5 < 4 THEN {_fronted(_TITLE_FRONT)} ELSE substr(trim(regexp_replace('words: ' || regexp_extract(text, '^[^\n]*'), '\s+', ' ', 'g')), 1, 256) END AS title FROM documents")
+@query("t8_title", rf"SELECT doc_id, CASE WHEN doc_id % 5 < 4 THEN {_fronted(_TITLE_FRONT)} ELSE substr(trim(regexp_replace(regexp_extract({_WORDS}, '^[^\n]*'), '\s+', ' ', 'g')), 1, 256) END AS title FROM documents")
 def t8(spark, sf):
     return _marked_up(spark, sf).select("doc_id", X.title_of(F.col("markdown")).alias("title"))
 
