@@ -9,6 +9,15 @@ from vellumflow.functions import model as M
 from vellumflow.functions import values as V
 from vellumflow.functions.text import fold
 
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have yet."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
 # -- statistics ------------------------------------------------------------------------------------------------------------
 
 
@@ -142,11 +151,14 @@ def retry_verdict(status: Column) -> Column:
 
 
 def first_per_key(rows: DataFrame, keys: list[str], place: str, cap: int | None = None, within: list[str] | None = None) -> DataFrame:
-    """The first row of each key by place; at most cap rows within a group, in the order of place."""
-    out = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(place))).where("_n = 1")
+    """The first row of each key by place; with a cap at most so many rows within each group of `within`, in the order of place."""
+    if cap is not None and not within:
+        raise ValueError("a cap needs the columns of the group that it holds for")
+    n = unused(rows, "_n")
+    out = rows.withColumn(n, F.row_number().over(Window.partitionBy(*keys).orderBy(place))).where(F.col(n) == 1)
     if cap is not None:
-        out = out.withColumn("_n", F.row_number().over(Window.partitionBy(*(within or [])).orderBy(place))).where(F.col("_n") <= cap)
-    return out.drop("_n")
+        out = out.withColumn(n, F.row_number().over(Window.partitionBy(*within).orderBy(place))).where(F.col(n) <= cap)
+    return out.drop(n)
 
 
 def fill_forward(rows: DataFrame, column: str, keys: list[str], place: str) -> DataFrame:
@@ -157,8 +169,9 @@ def fill_forward(rows: DataFrame, column: str, keys: list[str], place: str) -> D
 def uncovered(rows: DataFrame, keys: list[str], start: str, stop: str) -> DataFrame:
     """keys, gap_start, gap_stop: stretches that no interval covers, between the first and the last. A running maximum of stops tells them."""
     window = Window.partitionBy(*keys).orderBy(start, stop).rowsBetween(Window.unboundedPreceding, -1)
-    reach = rows.withColumn("_reach", F.max(stop).over(window))
-    return reach.where(F.col(start) > F.col("_reach")).select(*keys, F.col("_reach").alias("gap_start"), F.col(start).alias("gap_stop"))
+    reach = unused(rows, "_reach")
+    reached = rows.withColumn(reach, F.max(stop).over(window))
+    return reached.where(F.col(start) > F.col(reach)).select(*keys, F.col(reach).alias("gap_start"), F.col(start).alias("gap_stop"))
 
 
 # -- differences ------------------------------------------------------------------------------------------------------------------

@@ -208,6 +208,16 @@ def search(docs: DataFrame, fields: DataFrame, definitions: DataFrame, types: Da
     return rows
 
 
+def document_probes(docs: DataFrame) -> DataFrame:
+    """id, has_children (deleted ones count), has_live_copy: whether a live document of the same origin has the same content."""
+    children = docs.select(F.col("origin_document_id").alias("id")).where("id IS NOT NULL").distinct().withColumn("_child", F.lit(True))
+    same = ["origin_document_id", "content_hash"]
+    copies = docs.where("NOT is_deleted AND origin_document_id IS NOT NULL").groupBy(*same).agg(F.count(F.lit(1)).alias("_live"))
+    rows = docs.select("id", "is_deleted", *same).join(children, "id", "left").join(copies, same, "left")
+    others = F.coalesce("_live", F.lit(0)) - F.when(F.col("is_deleted") | F.col("origin_document_id").isNull(), 0).otherwise(1)
+    return rows.select("id", F.coalesce("_child", F.lit(False)).alias("has_children"), (others > 0).alias("has_live_copy"))
+
+
 def search_scope(type_code: str | None, origin: str | None, cabinet: str | None, limit: int | None, lifecycle: str | None = None) -> dict:
     """The guarded search of the tools: needs a type, an origin or a cabinet; clamps the limit; a bad cabinet is an error, a bad origin or lifecycle counts as not given."""
     if not any((type_code, origin, cabinet)):

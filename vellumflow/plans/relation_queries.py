@@ -227,6 +227,18 @@ def o3(spark, sf):
     return D.document_types(spark).join(used, "id", "left_semi").select("id", F.row_number().over(Window.orderBy(F.desc("priority"), "type_code")).cast("long").alias("place"))
 
 
+@query("o3_field_order", oracle("SELECT id, row_number() OVER (PARTITION BY document_type_id ORDER BY display_order, name) AS place FROM d_field_definitions WHERE NOT is_deleted AND document_type_id IN (SELECT document_type_id FROM d_documents)"))
+def o3_fields(spark, sf):
+    used = D.documents(spark, sf).select("document_type_id").distinct()
+    place = F.row_number().over(Window.partitionBy("document_type_id").orderBy("display_order", "name"))
+    return D.field_definitions(spark).where("NOT is_deleted").join(used, "document_type_id", "left_semi").select("id", place.cast("long").alias("place"))
+
+
+@query("o3_run_order", oracle("SELECT event_id, row_number() OVER (PARTITION BY document_id ORDER BY pipeline, attempt) AS place FROM d_runs"))
+def o3_runs(spark, sf):
+    return D.runs(spark, sf).select("event_id", F.row_number().over(Window.partitionBy("document_id").orderBy("pipeline", "attempt")).cast("long").alias("place"))
+
+
 @query("o5_top_candidates", "SELECT s_suppkey, s_acctbal FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 50")
 def o5(spark, sf):
     return D.table(spark, sf, "supplier").orderBy(F.desc("s_acctbal"), "s_suppkey").limit(M.TYPE_CANDIDATES).select("s_suppkey", "s_acctbal")
@@ -260,11 +272,6 @@ def u4(spark, sf):
     return D.table(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-@query("p2_list_items", oracle(f"SELECT d.id, d.title, t.type_code, {_STATUS} AS lifecycle FROM d_documents d LEFT JOIN d_document_types t ON t.id = d.document_type_id WHERE {LIVE}"))
-def p2(spark, sf):
-    return A.list_items(_docs(spark, sf), D.extracted_fields(spark, sf), D.field_definitions(spark), D.document_types(spark)).drop("fields")
-
-
 _JSON = f"CASE WHEN number_value IS NOT NULL THEN {_NUMBER} WHEN boolean_value IS NOT NULL THEN CASE WHEN boolean_value THEN 'true' ELSE 'false' END ELSE to_json({_CELL}) END"
 
 
@@ -273,18 +280,32 @@ def p3(spark, sf):
     return A.field_map(D.extracted_fields(spark, sf), D.field_definitions(spark)).select("id", F.explode("fields").alias("name", "value"))
 
 
+@query("p2_list_items", oracle(f"""WITH maps AS (SELECT id, string_agg(name || '=' || value, chr(10) ORDER BY name) AS shown FROM (SELECT document_id AS id, d.name, CASE WHEN d.allow_multiple THEN '[' || string_agg({_JSON}, ',' ORDER BY order_no) || ']' ELSE min({_JSON}) END AS value FROM d_extracted_fields f JOIN d_field_definitions d ON d.id = f.field_definition_id GROUP BY document_id, d.name, d.allow_multiple) GROUP BY id
+)
+SELECT d.id, d.title, t.type_code, {_STATUS} AS lifecycle, m.shown FROM d_documents d LEFT JOIN d_document_types t ON t.id = d.document_type_id LEFT JOIN maps m ON m.id = d.id WHERE {LIVE}"""))
+def p2(spark, sf):
+    items = A.list_items(_docs(spark, sf), D.extracted_fields(spark, sf), D.field_definitions(spark), D.document_types(spark))
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("fields")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "\n")
+    return items.select("id", "title", "type_code", "lifecycle", shown.alias("shown"))
+
+
 @query("p4_cells", oracle(f"SELECT document_id, field_definition_id, order_no, {_CELL} AS cell FROM d_extracted_fields"))
 def p4(spark, sf):
     return D.extracted_fields(spark, sf).select("document_id", "field_definition_id", "order_no", V.cell_text().alias("cell"))
 
 
-@query("p5_reason_details", oracle(f"""SELECT id, CASE WHEN review_reasons <> 0 AND review_disposition <> 30 THEN array_to_string(list_filter([CASE WHEN (review_reasons & 1) <> 0 THEN 'UnresolvedClassification' END, CASE WHEN (review_reasons & 2) <> 0 THEN 'MissingRequiredFields' || coalesce(': ' || names, '') END,
- CASE WHEN (review_reasons & 4) <> 0 THEN 'SegmentationIncomplete' END, CASE WHEN (review_reasons & 8) <> 0 THEN 'DuplicateSuspected' END, CASE WHEN (review_reasons & 16) <> 0 THEN 'FieldExtractionIncomplete' END, CASE WHEN (review_reasons & 32) <> 0 THEN 'FieldValidationWarning' END], lambda x: x IS NOT NULL), '; ') END AS details
- FROM (SELECT d.id, d.review_reasons, d.review_disposition, string_agg(f.name, ', ' ORDER BY f.name) AS names FROM d_documents d LEFT JOIN d_field_definitions f ON f.document_type_id = d.document_type_id AND f.is_required AND NOT f.is_deleted AND NOT EXISTS (SELECT 1 FROM d_extracted_fields v WHERE v.document_id = d.id AND v.field_definition_id = f.id) WHERE d.tenant_id IS NULL AND NOT d.is_deleted GROUP BY ALL)"""))
+@query("p5_reason_details", oracle(f"""WITH prints AS ({_PRINTS}
+), live AS (SELECT d.*, p.fingerprint FROM d_documents d JOIN prints p ON p.id = d.id WHERE d.tenant_id IS NULL AND NOT d.is_deleted),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY document_type_id, fingerprint ORDER BY creation_time, id) AS place FROM live WHERE fingerprint IS NOT NULL),
+copies AS (SELECT a.id, string_agg(b.id, ', ' ORDER BY b.id) AS others FROM firsts a JOIN firsts b ON a.document_type_id = b.document_type_id AND a.fingerprint = b.fingerprint AND a.id <> b.id AND b.place <= CASE WHEN a.place <= 20 THEN 21 ELSE 20 END GROUP BY a.id),
+missing AS (SELECT d.id, string_agg(f.name, ', ' ORDER BY f.name) AS names FROM live d JOIN d_field_definitions f ON f.document_type_id = d.document_type_id AND f.is_required AND NOT f.is_deleted LEFT JOIN d_extracted_fields v ON v.document_id = d.id AND v.field_definition_id = f.id WHERE v.document_id IS NULL GROUP BY d.id
+)
+SELECT d.id, CASE WHEN review_reasons <> 0 AND review_disposition <> 30 THEN array_to_string(list_filter([CASE WHEN (review_reasons & 1) <> 0 THEN 'UnresolvedClassification' END, CASE WHEN (review_reasons & 2) <> 0 THEN 'MissingRequiredFields' || coalesce(': ' || names, '') END,
+ CASE WHEN (review_reasons & 4) <> 0 THEN 'SegmentationIncomplete' END, CASE WHEN (review_reasons & 8) <> 0 THEN 'DuplicateSuspected' || coalesce(': ' || others, '') END, CASE WHEN (review_reasons & 16) <> 0 THEN 'FieldExtractionIncomplete' END, CASE WHEN (review_reasons & 32) <> 0 THEN 'FieldValidationWarning' END], lambda x: x IS NOT NULL), '; ') END AS details
+ FROM live d LEFT JOIN copies c ON c.id = d.id LEFT JOIN missing m ON m.id = d.id"""))
 def p5(spark, sf):
-    docs = _docs(spark, sf)
-    none = docs.select("id", F.col("id").alias("candidate")).where("false")
-    return A.reason_details(docs, R.missing_required(docs, D.extracted_fields(spark, sf), D.field_definitions(spark)), none)
+    docs = S.scope(_printed(spark, sf))
+    return A.reason_details(docs, R.missing_required(docs, D.extracted_fields(spark, sf), D.field_definitions(spark)), R.duplicate_candidates(docs))
 
 
 @query("p7_flag_names", oracle(f"SELECT id, {_REASONS.format('review_reasons')} AS names FROM d_documents"))

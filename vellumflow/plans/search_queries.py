@@ -180,6 +180,11 @@ def f18(spark, sf):
     return D.field_definitions(spark).select("id").join(used, "id", "left").select("id", F.coalesce("has_values", F.lit(False)).alias("has_values"))
 
 
+@query("f18_document_probes", oracle("SELECT id, id IN (SELECT origin_document_id FROM d_documents WHERE origin_document_id IS NOT NULL) AS has_children, EXISTS (SELECT 1 FROM d_documents o WHERE o.origin_document_id = d.origin_document_id AND o.content_hash = d.content_hash AND NOT o.is_deleted AND o.id <> d.id) AS has_live_copy FROM d_documents d"))
+def f18_documents(spark, sf):
+    return S.document_probes(D.documents(spark, sf))
+
+
 @query("p1_ids", oracle(f"SELECT id FROM d_documents WHERE {LIVE} AND document_type_id = 2"))
 def p1(spark, sf):
     return S.filter_metadata(S.scope(_docs(spark, sf)), type_id=2).select("id")
