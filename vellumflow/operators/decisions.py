@@ -157,6 +157,26 @@ def flags_after_extraction(docs: DataFrame, missing: DataFrame, duplicates: Data
     return rows.select("id", flags.alias("review_reasons"))
 
 
+def drop_warnings(docs: DataFrame, warnings: DataFrame, field_definition_id: int) -> tuple[DataFrame, DataFrame]:
+    """(id, review_reasons of all documents, warnings that stay) once a field is gone: documents without any warning left lose the flag.
+
+    warnings: id, field_definition_id. Deleted documents are cleaned as well, so that none comes back with the flag.
+    """
+    stay = warnings.where(F.col("field_definition_id") != field_definition_id)
+    touched = warnings.where(F.col("field_definition_id") == field_definition_id).select("id").distinct()
+    free = touched.join(stay.select("id"), "id", "left_anti").withColumn("_free", F.lit(True))
+    rows = docs.select("id", "review_reasons").join(free, "id", "left")
+    return rows.select("id", F.when(F.col("_free"), V.without_flag(F.col("review_reasons"), M.WARNING)).otherwise(F.col("review_reasons")).alias("review_reasons")), stay
+
+
+def clear_duplicate_flag(docs: DataFrame, definitions: DataFrame) -> DataFrame:
+    """id, review_reasons: suspected duplicates of types without any unique-key field left lose the flag; untyped documents keep it."""
+    keyed = definitions.where("is_unique_key AND NOT is_deleted").select("document_type_id").distinct().withColumn("_keyed", F.lit(True))
+    rows = docs.select("id", "document_type_id", "review_reasons").join(keyed, "document_type_id", "left")
+    keep = F.col("_keyed") | F.col("document_type_id").isNull()
+    return rows.select("id", F.when(F.coalesce(keep, F.lit(False)), F.col("review_reasons")).otherwise(V.without_flag(F.col("review_reasons"), M.DUPLICATE)).alias("review_reasons"))
+
+
 #: Data types by the names that a model may give them; any other name is a text.
 DRAFT_TYPES = {"number": "Number", "boolean": "Boolean", "date": "Date", "datetime": "DateTime", "longtext": "LongText"}
 

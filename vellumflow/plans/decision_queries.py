@@ -112,10 +112,15 @@ def f16(spark, sf):
 
 @query("g14_cleanup", oracle("SELECT id, CASE WHEN document_type_id = 1 THEN review_reasons & ~8 ELSE review_reasons END AS review_reasons FROM d_documents WHERE (review_reasons & 8) <> 0"))
 def g14(spark, sf):
-    keyed = D.field_definitions(spark).where("is_unique_key AND document_type_id <> 1").select("document_type_id").distinct().withColumn("_keyed", F.lit(True))
-    rows = D.documents(spark, sf).where("(review_reasons & 8) <> 0").join(keyed, "document_type_id", "left")
-    untyped = F.col("document_type_id").isNull()
-    return rows.select("id", F.when(F.col("_keyed") | untyped, F.col("review_reasons")).otherwise(F.col("review_reasons").bitwiseAND(F.lit(~8).cast("long"))).alias("review_reasons"))
+    suspected = D.documents(spark, sf).where("(review_reasons & 8) <> 0")
+    return G.clear_duplicate_flag(suspected, D.field_definitions(spark).where("document_type_id <> 1"))
+
+
+@query("g14_warnings", oracle("SELECT d.id, CASE WHEN EXISTS (SELECT 1 FROM d_extracted_fields f WHERE f.document_id = d.id AND f.field_definition_id = 109) AND NOT EXISTS (SELECT 1 FROM d_extracted_fields f WHERE f.document_id = d.id AND f.field_definition_id = 106) THEN review_reasons & ~32 ELSE review_reasons END AS review_reasons FROM d_documents d"))
+def g14_warnings(spark, sf):
+    """Values of two fields as warnings, of which one field goes."""
+    warnings = D.extracted_fields(spark, sf, (6, 9)).select(F.col("document_id").alias("id"), "field_definition_id")
+    return G.drop_warnings(D.documents(spark, sf), warnings, 109)[0]
 
 
 @query("g15_change_guard", oracle("SELECT id, EXISTS (SELECT 1 FROM d_extracted_fields f WHERE f.field_definition_id = d.id) AND (name = 'amount' OR allow_multiple) AS blocked FROM d_field_definitions d"))
