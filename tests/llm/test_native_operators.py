@@ -1,6 +1,7 @@
 """Exact dedup, mixing, chat windows and sharding against plain Python."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -122,6 +123,21 @@ def test_chat_round_trip(spark):
     assert chat.digests(chat.format_windows(turns.where("false"))).count() == 0
 
 
+def test_windows_keep_to_their_budget(spark):
+    """System, history and span together, unless one turn and the system turns alone are more; spans are well filled."""
+    r = random.Random(4)
+    rows = [(c, 0, "system", " ".join(["s"] * (c % 4 * 5 + 1))) for c in range(30)] + [(c, k, r.choice(["user", "assistant"]), " ".join(["w"] * r.choice([1, 5, 20, 48, 200 if c % 9 == 0 else 30]))) for c in range(30) for k in range(1, 40)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    spent = lambda piece: len(piece.split(chat.COLON, 1)[1].split()) + chat.MARK_TOKENS
+    windows = chat.format_windows(turns, budget=120, history=30).collect()
+    for w in windows:
+        pieces = [spent(p) for p in w.text.split(chat.CLOSE)[:-1]]
+        system, history, span = sum(pieces[: w.n_system]), pieces[w.n_system : w.n_system + w.n_history], pieces[w.n_system + w.n_history :]
+        assert sum(history) <= 30
+        assert sum(pieces) <= 120 or (len(span) == 1 and not history and system + span[0] > 120), pieces
+    assert sum(len(w.text.split()) for w in windows) / len(windows) > 50
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(1, 5000), st.integers(0, 10**9))
 def test_feistel_is_a_permutation(n, seed):

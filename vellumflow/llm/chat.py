@@ -3,9 +3,12 @@
 A turn is written as '### role: text</turn>' and a line end. Inside roles and texts the characters of these marks are
 escaped (see ESCAPES), so no text can forge a turn, and unescaping gives the text back.
 
-Prefix sums of turn tokens cut a conversation into turn-aligned spans. Each span is one window: the leading system turns
-again, then as many last turns of the span before as fit into the history budget, then the span. The loss mask lists the
-assistant texts of the span itself; repeated turns are never targets, so each assistant text is a target exactly once.
+Prefix sums of turn tokens cut a conversation into turn-aligned spans. What the system turns and the history leave of the
+budget is the room of a span: room by room, the turns that lie inside one are a span, and a turn across the border joins the
+span behind it if both fit, else it is a span of its own. Each span is one window: the leading system turns again, then as
+many last turns of the span before as fit into the history budget, then the span. A window keeps to the budget unless a
+single turn and the system turns exceed it. The loss mask lists the assistant texts of the span itself; repeated turns are
+never targets, so each assistant text is a target exactly once.
 """
 
 from __future__ import annotations
@@ -17,8 +20,8 @@ from pyspark.sql import functions as F
 
 from vellumflow.llm.shared import words_of
 
-BUDGET = 512  # tokens (words and MARK_TOKENS) that the turns of a span may start within
-HISTORY = 128  # tokens of repeated turns
+BUDGET = 512  # tokens (words and MARK_TOKENS) of a window
+HISTORY = 128  # of these, for repeated turns
 MARK_TOKENS = 2
 OPEN, COLON, CLOSE = "### ", ": ", "</turn>\n"
 #: Fixed values, in the order of escaping; after the first, a backslash always starts an escape.
@@ -38,8 +41,8 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     """conv_id, window (from 1), text, loss: array of (start, length) in code points, n_system, n_history.
 
     turns: conv_id, turn, role, text. Turns come by number (null last), ties by role and text; rows that repeat a turn are
-    turns of their own. Null roles and texts count as empty, a null conv_id is one conversation. A turn longer than the
-    budget stays whole. System turns count as such only before the first other turn. No rows give no rows; extra columns
+    turns of their own. Null roles and texts count as empty, a null conv_id is one conversation. A turn longer than its
+    room stays whole, alone in its span. System turns count as such only before the first other turn. No rows give no rows; extra columns
     are ignored. One exchange, by conversation.
     """
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -51,12 +54,21 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     by_place = conv.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("leading", F.max((F.col("role") != system_role).cast("int")).over(so_far) == 0)
     before = F.sum(F.when(F.col("leading"), 0).otherwise(F.col("tokens"))).over(by_place) - F.col("tokens")
-    rows = rows.withColumn("part", F.when(~F.col("leading"), F.floor(before / budget)))
+    system = F.coalesce(F.sum(F.when(F.col("leading"), F.col("tokens"))).over(conv), F.lit(0))
+    rows = rows.withColumns({"before": before, "system": system, "room": F.greatest(budget - system - history, F.lit(1))})
+    # where a turn ends: in its own room, or beyond the border, where the next turn begins
+    after = F.col("before") + F.col("tokens")
+    rows = rows.withColumn("across", F.floor((after - 1) / F.col("room")) > F.floor(F.col("before") / F.col("room")))
+    rows = rows.withColumn("at", F.when(~F.col("leading"), F.floor(F.when(F.col("across"), after).otherwise(F.col("before")) / F.col("room"))))
+    inside = F.coalesce(F.sum(F.when(~F.col("across"), F.col("tokens"))).over(Window.partitionBy("conv_id", "at")), F.lit(0))
+    rows = rows.withColumn("part", F.col("at") * 2 + F.when(F.col("across") & (F.col("tokens") + inside > F.col("room")), 0).otherwise(1))
     opens = F.col("part").isNotNull() & ~F.col("part").eqNullSafe(F.lag("part").over(conv.orderBy("place")))
     rows = rows.withColumn("span", F.sum(opens.cast("int")).over(by_place))
     rows = rows.withColumn("spans", F.max("span").over(conv))
     to_end = F.sum("tokens").over(Window.partitionBy("conv_id", "span").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("repeats", (to_end <= history) & (F.col("span") < F.col("spans")))
+    rows = rows.withColumn("span_tokens", F.sum(F.when(~F.col("leading"), F.col("tokens"))).over(Window.partitionBy("conv_id", "span")))
+    follows = F.first("span_tokens").over(conv.orderBy("span").rangeBetween(1, 1))
+    rows = rows.withColumn("repeats", (to_end <= F.least(F.lit(history), budget - F.col("system") - follows)) & (F.col("span") < F.col("spans")))
     # kind: 0 system, 1 history, 2 the span itself
     spot = lambda window, kind: F.struct(window.cast("int").alias("window"), F.lit(kind).alias("kind"))
     own = F.array(spot(F.col("span"), 2))
