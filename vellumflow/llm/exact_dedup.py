@@ -3,8 +3,8 @@
 Sampled splitters range-partition the normalised text, each partition is sorted externally so that equal texts lie
 side by side, and neighbouring rows are compared in full. One exchange carries the text.
 
-A text that a large part of all rows share cannot be split by ranges of the text alone. A sample shows such texts (at
-most 1 / HOT_SHARE of them); their rows get a salt as second sort key, so splitters may fall inside the run, and the few
+A text that a large part of a partition's rows share cannot be split by ranges of the text alone. A sample shows such texts
+(a few for each partition at most); their rows get a salt as second sort key, so splitters may fall inside the run, and the few
 rows that sum up the salted runs are put together afterwards.
 """
 
@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from vellumflow.llm.shared import SPACE, cut, unused
 
-#: A text counts as hot from this share of the sampled rows on.
+#: A text counts as hot from this share of the sampled rows on, and in any case if it has a quarter of what a partition holds.
 HOT_SHARE = 0.005
+PARTITION_SHARE = 0.25
 SAMPLE = 0.05
 SALTS = 64
 HEAD = 64  # characters that splitters look at
@@ -27,8 +28,9 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE + "+", "")
 
 
-def hot_hashes(docs: DataFrame, text: str = "text", share: float = HOT_SHARE, sample: float = SAMPLE) -> list[int]:
+def hot_hashes(docs: DataFrame, text: str = "text", sample: float = SAMPLE) -> list[int]:
     """Hashes of texts that hold more than a share of the sampled rows: at most 1 / share values. Only a hint for the layout."""
+    share = min(HOT_SHARE, PARTITION_SHARE / int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     seen = docs.sample(fraction=sample, seed=7).select(F.xxhash64(normalised(F.col(text))).alias("h")).groupBy("h").count()
     total = seen.agg(F.sum("count")).first()[0] or 0
     if total < 100:
@@ -66,7 +68,7 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not hot:
         return runs.select("doc_id", F.col("run_keep").alias("keep_id"), F.col("run_size").alias("group_size"), F.col("leads").alias("kept"), "text_sha256")
     runs = cut(runs, "content-sort")
-    # One row per salted run of a hot text: at most salts / share rows.
+    # One row per hot text, of which there are a few for each partition, so it may be broadcast.
     whole = (
         runs.where((F.col("salt") > 0) & F.col("leads"))
         .groupBy(F.col("text_sha256").alias("hot_sha256"))
