@@ -268,6 +268,32 @@ def test_broken_files_give_a_reason(spark):
     assert [r.width for r in rows if r.id == 6] == [64]
 
 
+def test_bytes_written_by_hand():
+    """Examples that do not come from our own encoder: PackBits, LZW codes, and a big-endian file of short values."""
+    packed = bytes.fromhex("fe aa 02 80 00 2a fd aa 03 80 00 2a 22 f7 aa")
+    assert tiff_media.unpackbits(packed, 24) == bytes.fromhex("aaaaaa80002aaaaaaaaa80002a22") + b"\xaa" * 10
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]
+    bits = "".join(f"{c:09b}" for c in codes)
+    data = int(bits + "0" * (-len(bits) % 8), 2).to_bytes(-(-len(bits) // 8), "big")
+    assert tiff_media.unlzw(data, 9) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    entries = [(256, 3, 1, "0003 0000"), (257, 3, 1, "0002 0000"), (258, 3, 1, "0008 0000"), (259, 3, 1, "0001 0000"), (262, 3, 1, "0001 0000"), (273, 4, 1, "0000 0008"), (277, 3, 1, "0001 0000"), (278, 3, 1, "0002 0000"), (279, 4, 1, "0000 0006")]
+    file = bytes.fromhex("4d4d 002a 0000 000e 0102 0304 0506".replace(" ", "")) + len(entries).to_bytes(2, "big")
+    file += b"".join(t.to_bytes(2, "big") + k.to_bytes(2, "big") + n.to_bytes(4, "big") + bytes.fromhex(v) for t, k, n, v in entries) + bytes(4)
+    (page,) = tiff_media.decode(file)
+    assert (page["error"], page["width"], page["height"], page["pixels"]) == (None, 3, 2, bytes([1, 2, 3, 4, 5, 6]))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.data())
+def test_no_file_raises(data):
+    """Any four bytes of a good file replaced: huge sizes, wild offsets and counts give a reason or a page, never an error."""
+    pixels = np.arange(640, dtype=np.uint8).reshape(10, 64)
+    file = bytearray(tiff_media.encode([pixels], data.draw(st.sampled_from([1, 5, 8, 32773])), tile=data.draw(st.sampled_from([None, (16, 16)]))))
+    at = data.draw(st.integers(0, len(file) - 4))
+    file[at : at + 4] = data.draw(st.one_of(st.binary(min_size=4, max_size=4), st.sampled_from([b"\xff\xff\xff\x7f", b"\0\0\0\x40"])))
+    assert all(p["error"] is not None or p["pixels"] is not None for p in tiff_media.decode(bytes(file)))
+
+
 def test_pages_of_odd_rows(odd, nothing):
     from pyspark.sql import functions as F
 

@@ -38,8 +38,8 @@ def adam(start: np.ndarray, gradient, steps: int = 150, rate: float = 0.1) -> np
     return x
 
 
-def logistic(rows: Rows, y: np.ndarray, width: int, weight: np.ndarray | None = None, l2: float = 1e-3, steps: int = 150) -> np.ndarray:
-    """Weights, the last one the bias. weight: how much each row counts."""
+def logistic(rows: Rows, y: np.ndarray, width: int, weight: np.ndarray | None = None, l2: float = 1e-3, steps: int = 150, start: np.ndarray | None = None) -> np.ndarray:
+    """Weights, the last one the bias. weight: how much each row counts; start: weights to begin with."""
     weight = np.ones(len(y)) if weight is None else weight
     total = max(weight.sum(), 1.0)
 
@@ -47,7 +47,7 @@ def logistic(rows: Rows, y: np.ndarray, width: int, weight: np.ndarray | None =
         errors = (sigmoid(rows.dot(w[:-1]) + w[-1]) - y) * weight / total
         return np.append(rows.back(errors, width) + l2 * w[:-1], errors.sum())
 
-    return adam(np.zeros(width + 1), gradient, steps)
+    return adam(np.zeros(width + 1) if start is None else start, gradient, steps)
 
 
 def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumflow.llm.components import components
-from vellumflow.llm.shared import cut, drop_cut, unused
+from vellumflow.llm.shared import cut, drop_cut, map_slices, unused
 from vellumflow.llm.wordhash import chunks, shingle_sets
 
 SIMILARITY = 80  # hundredths
@@ -66,7 +66,7 @@ def describe(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
                 sets = list(shingle_sets(texts[first:last], k))
                 yield pd.DataFrame({"doc_id": ids[first:last], "n": [len(s) for s in sets], "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n long, digest binary")
+    return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n long, digest binary")
 
 
 def _squeeze(rising: np.ndarray) -> bytes:
@@ -105,7 +105,7 @@ def _packed(docs: DataFrame, buckets: int, k: int) -> DataFrame:
                     rows += [(chunk, int(b), False, _squeeze(shingles[edges[b] : edges[b + 1]]), owner[edges[b] : edges[b + 1]].tobytes()) for b in np.flatnonzero(np.diff(edges))]
                     yield pd.DataFrame(rows, columns=["chunk", "bucket", "head", "shingles", "owners"])
 
-    return docs.mapInPandas(run, "chunk long, bucket int, head boolean, shingles binary, owners binary")
+    return map_slices(docs, run, "chunk long, bucket int, head boolean, shingles binary, owners binary")
 
 
 def _several(group: pd.DataFrame) -> pd.DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellumflow.llm import linear, sampling
+from vellumflow.llm.shared import map_slices
 from vellumflow.llm.wordhash import LOWER, WORD_BYTES, byte_sums, chunks, joined, span_hashes, word_spans
 
 LABELLED = 5000  # labelled rows, at most
@@ -124,7 +125,7 @@ def _featured(rows: DataFrame) -> pd.DataFrame:
                 )
 
     slim = rows.select(F.col("doc_id").cast("long"), "text", "lang", "source", "_label")
-    return slim.mapInPandas(run, "doc_id long, label long, columns binary, values binary, meta binary").toPandas().sort_values("doc_id", kind="stable").reset_index(drop=True)
+    return map_slices(slim, run, "doc_id long, label long, columns binary, values binary, meta binary").toPandas().sort_values("doc_id", kind="stable").reset_index(drop=True)
 
 
 class _View:
@@ -132,7 +133,7 @@ class _View:
 
     def __init__(self, columns: list[np.ndarray], values: list[np.ndarray], width: int, l2: float, train: np.ndarray, y: np.ndarray):
         self.width, self.l2, self.train, self.y = width, l2, train, y
-        self.columns, self.values = columns, values
+        self.columns, self.values, self.weights = columns, values, None
         self.rows = linear.Rows(columns, values)
 
     def fit(self, means: dict[int, np.ndarray]) -> None:
@@ -143,7 +144,8 @@ class _View:
             rows = linear.Rows([*self.columns, *([every] * len(means))], [*self.values, *means.values()])
             share = {k: (weight * (y == k)).sum() for k in means}
             y, weight = np.concatenate([y, list(means)]), np.concatenate([weight, [PSEUDO * share[k] for k in means]])
-        self.weights = linear.logistic(rows, y, self.width, weight, l2=self.l2, steps=100)
+        steps = 100 if self.weights is None else 40  # later rounds go on from the round before
+        self.weights = linear.logistic(rows, y, self.width, weight, l2=self.l2, steps=steps, start=self.weights)
 
     def scores(self, at: np.ndarray) -> np.ndarray:
         return self.rows.dot(self.weights[:-1])[at] + self.weights[-1]
@@ -185,7 +187,7 @@ def _pseudo_means(rows: DataFrame, content: np.ndarray, meta: np.ndarray) -> tup
             k, place = np.nonzero(table)
             yield pd.DataFrame({"view": view, "label": k, "place": place, "total": table[k, place]})
 
-    added = rows.select("text", "lang", "source").mapInPandas(run, "view string, label int, place int, total double").groupBy("view", "label", "place").agg(F.sum("total").alias("total")).toPandas()
+    added = map_slices(rows.select("text", "lang", "source"), run, "view string, label int, place int, total double").groupBy("view", "label", "place").agg(F.sum("total").alias("total")).toPandas()
     out = []
     for view, w in width.items():
         means = {}
@@ -257,7 +259,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": p, "p_content": content, "p_meta": meta, "keep": p >= threshold})
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in ("quality", "p_content", "p_meta")), T.StructField("keep", T.BooleanType())])
-    return docs.select(F.col("doc_id").cast("long"), "text", "lang", "source").mapInPandas(run, schema)
+    return map_slices(docs.select(F.col("doc_id").cast("long"), "text", "lang", "source"), run, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import atexit
-import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: The white space of all word and normalisation rules here: space and the bytes 9 to 13.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+SLICE = 2048  # rows that a Python worker turns into objects at once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without, and gets one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         found = "file://" + tempfile.mkdtemp(prefix="vellumflow-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -53,16 +60,24 @@ def drop_cut(df: DataFrame) -> None:
         _remove(df.sparkSession, path)
 
 
-@contextlib.contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Within, actions hand Python at most so many rows at once: for rows that may be long. The setting is put back."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def map_slices(rows: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str | T.StructType) -> DataFrame:
+    """mapInPandas() with frames of at most SLICE rows, so that a worker holds few texts as Python objects at once.
+
+    Whole numbers stay whole beside nulls.
+    """
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(schema)
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, SLICE):
+                yield batch.slice(first, SLICE).to_pandas(integer_object_nulls=True)
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in run(slices(batches)):
+            yield pa.RecordBatch.from_pandas(frame, schema=arrow, preserve_index=False)
+
+    return rows.mapInArrow(convert, schema)
 
 
 def words_of(text: Column) -> Column:

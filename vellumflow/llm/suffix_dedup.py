@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumflow.llm.shared import cut, drop_cut
+from vellumflow.llm.shared import cut, drop_cut, map_slices
 from vellumflow.llm.suffix_array import permuted_common_prefixes, suffix_array
 from vellumflow.llm.wordhash import byte_sums, chunks, span_hashes
 
@@ -33,7 +33,7 @@ WINDOW = 20  # bytes of an anchor
 SHARD_BYTES = 4 << 20
 CHUNK = 1 << 20  # bytes of text whose anchors are found at once
 FLUSH = 8  # chunks whose anchors or slices are packed together
-SEPARATOR = 0xFF  # no byte of UTF-8
+SEPARATOR = b"\xff"  # no byte of UTF-8
 
 
 def _encoded(texts: pd.Series) -> list[bytes]:
@@ -79,6 +79,13 @@ class Anchors:
         self.hash = hashes[at[heads]]
 
 
+def _different(data: bytes, starts: np.ndarray, sizes: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The different ones among slices of some bytes, compared in full, and which of them each slice is."""
+    seen: dict[bytes, int] = {}
+    number = np.array([seen.setdefault(data[a : a + n], len(seen)) for a, n in zip(starts.tolist(), sizes.tolist())], np.int64)
+    return list(seen), number
+
+
 def _numbers(blobs, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), kind)
 
@@ -137,50 +144,39 @@ def shared_anchors(docs: DataFrame, length: int = LENGTH, window: int = WINDOW)
         return pd.DataFrame({"doc_id": np.concatenate([ids[several], _numbers(passed["docs"], "<i8")]), "place": np.concatenate([places[several], _numbers(passed["places"], "<u4")]).astype(np.int32)})
 
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    packed = rows.mapInPandas(pack, "bucket int, kind int, hashes binary, docs binary, places binary")
+    packed = map_slices(rows, pack, "bucket int, kind int, hashes binary, docs binary, places binary")
     found = packed.groupBy("bucket").applyInPandas(compare, "doc_id long, place int")
     return found.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
 
 
 def _slices(docs: DataFrame, shards: int, length: int, window: int) -> DataFrame:
-    """Rows of (shard, text: different slices one after the other, their sizes and hashes, and what occurs where)."""
+    """Rows of (shard, text: different slices one after the other, their sizes, and what occurs where)."""
 
-    def found(a: Anchors, ids: np.ndarray, marked: list) -> tuple[np.ndarray, ...]:
-        """Of a chunk: shard, digest, size, document and start of each slice, and the slices' bytes one after the other."""
+    def found(a: Anchors, ids: np.ndarray, marked: list) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of a chunk: the different slices; and of each occurrence the number of its slice, shard, document and start."""
         wanted = (np.repeat(np.arange(len(ids)), [len(m) for m in marked]) << 32) | (np.concatenate(marked).astype(np.int64) & 0xFFFFFFFF)
         at = np.flatnonzero(np.isin((a.owner << 32) | a.place, wanted))
-        size = a.run[at] + length - 1
-        digest = span_hashes(a.sums, a.first[at], a.first[at] + size)
-        # within the chunk equal slices are written once
-        _, once, number = np.unique(digest, return_index=True, return_inverse=True)
-        ends = np.cumsum(size[once])
-        spots = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size[once], size[once]) + np.repeat(a.first[at[once]], size[once])
-        return (a.hash[at] % np.uint64(shards)).astype(np.int64), digest, number, once, size[once], a.data[spots], ids[a.owner[at]], a.first[at] - a.begins[a.owner[at]]
-
-    def packed_rows(parts: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
-        rows = []
-        shard = np.concatenate([p[0] for p in parts])
-        digest = np.concatenate([p[1] for p in parts])
-        fresh = np.cumsum([0] + [len(p[3]) for p in parts])
-        number = np.concatenate([p[2] + n for p, n in zip(parts, fresh)])  # of the slice's text
-        sizes = np.concatenate([p[4] for p in parts])
-        data = np.concatenate([p[5] for p in parts])
-        own, starts = np.concatenate([p[6] for p in parts]), np.concatenate([p[7] for p in parts])
-        begins = np.cumsum(sizes) - sizes
-        order = np.lexsort((digest, shard))
-        shard, digest, number, own, starts = shard[order], digest[order], number[order], own[order], starts[order]
+        texts, number = _different(a.data.tobytes(), a.first[at], a.run[at] + length - 1)
+        return texts, number, (a.hash[at] % np.uint64(shards)).astype(np.int64), ids[a.owner[at]], a.first[at] - a.begins[a.owner[at]]
+
+    def packed_rows(parts: list[tuple]) -> pd.DataFrame:
+        seen: dict[bytes, int] = {}
+        names = [np.array([seen.setdefault(t, len(seen)) for t in p[0]], np.int64) for p in parts]
+        texts = list(seen)
+        number = np.concatenate([name[p[1]] for name, p in zip(names, parts)])
+        shard, own, starts = (np.concatenate([p[k] for p in parts]) for k in (2, 3, 4))
+        order = np.lexsort((number, shard))  # equal slices have equal anchors, and so the same shard
+        shard, number, own, starts = shard[order], number[order], own[order], starts[order]
         new = np.ones(len(order), bool)
-        new[1:] = (digest[1:] != digest[:-1]) | (shard[1:] != shard[:-1])
-        heads = np.flatnonzero(new)
-        place = np.cumsum(new) - 1
-        size = sizes[number[heads]]
-        ends = np.cumsum(size)
-        text = data[np.arange(ends[-1]) - np.repeat(ends - size, size) + np.repeat(begins[number[heads]], size)].tobytes()
+        new[1:] = number[1:] != number[:-1]
+        heads, place = np.flatnonzero(new), np.cumsum(new) - 1
+        rows = []
         edge = np.append(np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])), len(shard))
         for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
             s0, s1 = place[lo], place[hi - 1] + 1
-            rows.append((int(shard[lo]), text[ends[s0] - size[s0] : ends[s1 - 1]], size[s0:s1].astype("<u2").tobytes(), digest[heads[s0:s1]].astype("<u8").tobytes(), (place[lo:hi] - s0).astype("<u4").tobytes(), own[lo:hi].astype("<i8").tobytes(), starts[lo:hi].astype("<u4").tobytes()))
-        return pd.DataFrame(rows, columns=["shard", "text", "sizes", "digests", "of", "docs", "starts"])
+            here = [texts[k] for k in number[heads[s0:s1]]]
+            rows.append((int(shard[lo]), b"".join(here), np.array([len(t) for t in here], "<u2").tobytes(), (place[lo:hi] - s0).astype("<u4").tobytes(), own[lo:hi].astype("<i8").tobytes(), starts[lo:hi].astype("<u4").tobytes()))
+        return pd.DataFrame(rows, columns=["shard", "text", "sizes", "of", "docs", "starts"])
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = []
@@ -189,7 +185,7 @@ def _slices(docs: DataFrame, shards: int, length: int, window: int) -> DataFrame
             marked = batch["places"].tolist()
             for first, last in chunks(texts, CHUNK):
                 slices = found(Anchors(texts[first:last], length, window), ids[first:last], marked[first:last])
-                if len(slices[0]):
+                if slices[0]:
                     parts.append(slices)
                 if len(parts) == FLUSH:
                     yield packed_rows(parts)
@@ -197,30 +193,25 @@ def _slices(docs: DataFrame, shards: int, length: int, window: int) -> DataFrame
         if parts:
             yield packed_rows(parts)
 
-    return docs.mapInPandas(pack, "shard int, text binary, sizes binary, digests binary, of binary, docs binary, starts binary")
+    return map_slices(docs, pack, "shard int, text binary, sizes binary, of binary, docs binary, starts binary")
 
 
 def mark_shard(group: pd.DataFrame, length: int = LENGTH) -> pd.DataFrame:
     """doc_id, start, stop: ranges of bytes to remove, from one shard's slices."""
     sizes = _numbers(group["sizes"], "<u2").astype(np.int64)
-    digests = _numbers(group["digests"], "<u8")
     in_row = np.array([len(s) // 2 for s in group["sizes"]], np.int64)
     occurs = np.array([len(o) // 4 for o in group["of"]], np.int64)
     of = _numbers(group["of"], "<u4").astype(np.int64) + np.repeat(np.cumsum(in_row) - in_row, occurs)
     docs, starts = _numbers(group["docs"], "<i8"), _numbers(group["starts"], "<u4").astype(np.int64)
-    data = np.frombuffer(b"".join(group["text"]), np.uint8)
-    begins = np.cumsum(sizes) - sizes
 
     # each different slice once, behind it a separator
-    _, once, number = np.unique(digests, return_index=True, return_inverse=True)
-    of, sizes, begins = number[of], sizes[once], begins[once]
-    least = np.full(len(once), np.iinfo(np.int64).max)
+    slices, number = _different(b"".join(group["text"]), np.cumsum(sizes) - sizes, sizes)
+    of, sizes = number[of], np.array([len(t) for t in slices], np.int64)
+    least = np.full(len(slices), np.iinfo(np.int64).max)
     np.minimum.at(least, of, docs)
     offsets = np.cumsum(sizes + 1) - sizes - 1
-    text = np.full(int((sizes + 1).sum()), SEPARATOR, np.uint8)
-    inside = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    text[inside + np.repeat(offsets, sizes)] = data[inside + np.repeat(begins, sizes)]
-    del data, inside
+    text = np.frombuffer(SEPARATOR.join([*slices, b""]), np.uint8)
+    del slices
 
     # strings start where a slice has room for them; others leave the array
     strings = sizes - length + 1
@@ -297,4 +288,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "kept": kept, "spans": [[{"start": a, "stop": b} for a, b in s] for s in spans], "n_bytes": [len(t) for t in texts]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ranges, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "ranges")
-    return rows.mapInPandas(strip, "doc_id long, kept binary, spans array<struct<start:int,stop:int>>, n_bytes long")
+    return map_slices(rows, strip, "doc_id long, kept binary, spans array<struct<start:int,stop:int>>, n_bytes long")

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from vellumflow.llm.shared import map_slices
+
 # Fixed values of the TIFF format.
 NONE, LZW, DEFLATE, DEFLATE_OLD, PACKBITS = 1, 5, 8, 32946, 32773
 NAMES = {NONE: "none", LZW: "lzw", DEFLATE: "deflate", DEFLATE_OLD: "deflate", PACKBITS: "packbits"}
@@ -149,7 +151,7 @@ def _unpack(data: bytes, compression: int, size: int) -> bytes:
     if compression == PACKBITS:
         return unpackbits(data, size)
     if compression in (DEFLATE, DEFLATE_OLD):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, size)  # no more than the page has room for
     raise ValueError(f"compression {compression} is not supported")
 
 
@@ -207,6 +209,10 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, list[int]],
     return tags, follows
 
 
+#: Bytes that one byte of a file can stand for at most: a code of LZW gives up to 3 837 bytes and takes more than one.
+MOST_EXPANDED = 4096
+
+
 def _page(data: bytes, tags: dict[int, list[int]]) -> tuple[np.ndarray, int, int, bool]:
     one = lambda tag, default: tags.get(tag, [default])[0]
     width, height, compression, predictor, samples = one(WIDTH, 0), one(HEIGHT, 0), one(COMPRESSION, NONE), one(PREDICTOR, 1), one(SAMPLES, 1)
@@ -215,9 +221,14 @@ def _page(data: bytes, tags: dict[int, list[int]]) -> tuple[np.ndarray, int, int
     tiled = TILE_AT in tags
     rows = min(one(STRIP_ROWS, height), height)
     block_h, block_w = (one(TILE_HEIGHT, 0), one(TILE_WIDTH, 0)) if tiled else (rows, width)
+    blocks = tags[TILE_AT if tiled else STRIP_AT]
+    if min(block_h, block_w, samples) < 1 or -(-height // block_h) * -(-width // block_w) != len(blocks):
+        raise ValueError(f"{len(blocks)} blocks of {block_w}x{block_h} do not make a page of {width}x{height}")
+    if max(height * width, len(blocks) * block_h * block_w) * samples > MOST_EXPANDED * len(data):
+        raise ValueError(f"a page of {width}x{height} cannot come from {len(data)} bytes")
     out = np.zeros((height, width, samples), np.uint8)
     places = [(y, x) for y in range(0, height, block_h) for x in range(0, width, block_w)]
-    for (y, x), at, size in zip(places, tags[TILE_AT if tiled else STRIP_AT], tags[TILE_BYTES if tiled else STRIP_BYTES], strict=True):
+    for (y, x), at, size in zip(places, blocks, tags[TILE_BYTES if tiled else STRIP_BYTES], strict=True):
         high = block_h if tiled else min(block_h, height - y)
         need = high * block_w * samples
         got = _unpack(data[at : at + size], compression, need)
@@ -250,7 +261,7 @@ def decode(data: bytes | None) -> Iterator[dict]:
             feature = f"{pixels.shape[1]}x{pixels.shape[0]} mean={pixels.mean():.4f} hist={','.join(map(str, counts.tolist()))}"
             yield {"page": len(seen) - 1, "width": pixels.shape[1], "height": pixels.shape[0], "compression": NAMES[compression], "predictor": predictor, "tiled": tiled, "pixels": pixels.tobytes(), "feature": feature, "error": None}
             at = follows
-    except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+    except (ValueError, KeyError, IndexError, OverflowError, MemoryError, struct.error, zlib.error) as e:
         yield blank | {"error": f"{type(e).__name__}: {e}"}
 
 
@@ -265,8 +276,12 @@ def payload(data: bytes | None, width: int = 64) -> bytes:
 
 
 def store(rows: DataFrame, data_col: str, media_col: str = "media", width: int = 64) -> DataFrame:
-    """Replace a binary column by one that holds its payload as a one-page TIFF file. Null counts as empty."""
-    schema = T.StructType([f for f in rows.schema if f.name != data_col] + [T.StructField(media_col, T.BinaryType())])
+    """Replace a binary column by one that holds its payload as a one-page TIFF file.
+
+    Null counts as empty. Every row gives one, repeated ones too, and whatever its length the whole payload is stored. Other
+    columns stay as they are; one that is named like the output is replaced. No rows give no rows.
+    """
+    schema = T.StructType([f for f in rows.schema if f.name not in (data_col, media_col)] + [T.StructField(media_col, T.BinaryType())])
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -274,13 +289,17 @@ def store(rows: DataFrame, data_col: str, media_col: str = "media", width: int =
             for data in batch[data_col]:
                 whole = payload(data, width)
                 files.append(encode([np.frombuffer(whole, np.uint8).reshape(-1, width)], **LAYOUTS[zlib.crc32(whole) % len(LAYOUTS)]))
-            yield batch.drop(columns=[data_col]).assign(**{media_col: files})
+            yield batch.drop(columns=[data_col]).assign(**{media_col: files})[schema.names]
 
-    return rows.mapInPandas(write, schema)
+    return map_slices(rows, write, schema)
 
 
 def pages(media: DataFrame, media_col: str = "media") -> DataFrame:
-    """One row per page: the other columns of the row, then those of PAGE_SCHEMA (which replace columns of these names)."""
+    """One row per page: the other columns of the row, then those of PAGE_SCHEMA (which replace columns of these names).
+
+    Files that are null, empty, broken or larger than their bytes can tell give one row with the reason in error, after the
+    pages that could be read. Repeated rows give their pages each. No rows give no rows.
+    """
     new = set(PAGE_SCHEMA.names)
     others = [f for f in media.schema if f.name != media_col and f.name not in new]
     schema = T.StructType(others + list(PAGE_SCHEMA))
@@ -293,4 +312,4 @@ def pages(media: DataFrame, media_col: str = "media") -> DataFrame:
                 out = [{**{n: v[i] for n, v in kept.items()}, **page} for i in range(k, min(k + 256, len(files))) for page in decode(files[i])]
                 yield pd.DataFrame(out, columns=schema.names)
 
-    return media.select(media_col, *[f.name for f in others]).mapInPandas(read, schema)
+    return map_slices(media.select(media_col, *[f.name for f in others]), read, schema)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumflow.llm import linear, sampling
+from vellumflow.llm.shared import map_slices
 from vellumflow.llm.wordhash import LETTER_BYTES, LOWER, byte_sums, chunks, joined, span_hashes, word_spans
 
 LABELLED = 8000  # labelled rows that the model is fitted on, at most
@@ -89,7 +90,7 @@ def select_features(sample: DataFrame, bound: int = FEATURES) -> np.ndarray:
 
     sums = sample.groupBy().agg(F.sum((F.col("_label") > 0).cast("long")).alias("toxic"), F.count(F.lit(1)).alias("rows")).first()
     toxic, clean = sums.toxic or 0, (sums.rows or 0) - (sums.toxic or 0)
-    counted = sample.select("text", "_label").mapInPandas(count, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = map_slices(sample.select("text", "_label"), count, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     p, q = F.col("toxic") / max(toxic, 1), F.col("clean") / max(clean, 1)
     share = (F.col("toxic") + F.col("clean")) / max(toxic + clean, 1)
     speaks = (F.col("toxic") >= max(LEAST_ROWS, int(LEAST_SHARE * toxic))) & (p > 4 * q)
@@ -130,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED, label: str =
                 )
 
     # at most bound rows, each with the model's features only
-    seen = sample.mapInPandas(look, "doc_id long, label long, held boolean, columns binary, counts binary, share double").toPandas().sort_values("doc_id", kind="stable")
+    seen = map_slices(sample, look, "doc_id long, label long, held boolean, columns binary, counts binary, share double").toPandas().sort_values("doc_id", kind="stable")
     toxic, held = seen["label"].to_numpy(np.int64) > 0, seen["held"].to_numpy(bool)
     if len(wanted) == 0 or not (toxic & ~held).any():
         return Model(wanted, np.zeros(len(wanted)), np.array([5.0, 6.0]))
@@ -172,4 +173,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             chances = -np.diff(np.concatenate([np.ones((len(z), 1)), above, np.zeros((len(z), 1))], axis=1), axis=1)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "severity": above.sum(axis=1), "p_toxic": above[:, 0], "p_severe": above[:, 1], "grade": chances.argmax(axis=1).astype(np.int32), "toxic": above[:, 0] >= m.threshold})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, severity double, p_toxic double, p_severe double, grade int, toxic boolean")
+    return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, severity double, p_toxic double, p_severe double, grade int, toxic boolean")
