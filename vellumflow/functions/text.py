@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -51,6 +52,11 @@ _PLAIN = (
 _INLINE = (_IMAGE, _LINK, _STRONG, _EMPHASIS, _CODE)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What use makes of a value that is worked out once, however often use names it: inside a lambda it is a variable."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(text: Column) -> Column:
     """Without white space at the ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -236,14 +242,16 @@ def slices(markdown: Column, markers: Column) -> Column:
         return F.struct(F.when(state["ok"] & found.isNotNull(), found + 1).otherwise(start).cast("int").alias("next"), (state["ok"] & found.isNotNull()).alias("ok"), F.concat(state["starts"], F.array(F.struct(F.coalesce(found, F.lit(0)).cast("int").alias("at"), m["is_sub_document"].alias("sub"), is_ocr_open(m["marker"]).alias("figure")))).alias("starts"))
 
     zero = F.struct(F.lit(1).alias("next"), F.lit(True).alias("ok"), F.slice(F.transform(markers, lambda m: F.struct(F.lit(0).alias("at"), m["is_sub_document"].alias("sub"), is_ocr_open(m["marker"]).alias("figure"))), 1, 0).alias("starts"))
-    run = F.aggregate(markers, zero, step)
-    starts = run["starts"]
 
-    def piece(s: Column, k: Column) -> Column:
-        first = F.when(k == 0, F.lit(1)).otherwise(s["at"])
-        after = F.when(k + 1 < F.size(starts), F.try_element_at(starts, k + 2)["at"]).otherwise(end)
-        return F.struct(strip(F.substr(markdown, first, after - first)).alias("text"), s["sub"].alias("is_sub_document"), s["figure"].alias("is_figure"))
+    def cut_at(run: Column) -> Column:
+        starts = run["starts"]
+
+        def piece(s: Column, k: Column) -> Column:
+            first = F.when(k == 0, F.lit(1)).otherwise(s["at"])
+            after = F.when(k + 1 < F.size(starts), F.try_element_at(starts, k + 2)["at"]).otherwise(end)
+            return F.struct(strip(F.substr(markdown, first, after - first)).alias("text"), s["sub"].alias("is_sub_document"), s["figure"].alias("is_figure"))
+
+        parts = F.filter(F.transform(starts, piece), lambda p: p["text"] != "")
+        return F.when(run["ok"], F.transform(parts, lambda p, k: F.struct(k.cast("long").alias("ordinal"), p["text"].alias("text"), p["is_sub_document"].alias("is_sub_document"), p["is_figure"].alias("is_figure"))))
 
-    parts = F.filter(F.transform(starts, piece), lambda p: p["text"] != "")
-    numbered = F.transform(parts, lambda p, k: F.struct(k.cast("long").alias("ordinal"), p["text"].alias("text"), p["is_sub_document"].alias("is_sub_document"), p["is_figure"].alias("is_figure")))
-    return F.when(run["ok"] & (F.size(numbered) > 0), numbered)
+    return once(once(F.aggregate(markers, zero, step), cut_at), lambda found: F.when(F.size(found) > 0, found))

@@ -99,14 +99,18 @@ def segment(bundles: DataFrame, most: int = M.SEGMENTS_LIMIT) -> DataFrame:
     A figure's text is what stands between its marks; other texts lose the lines of such marks. A cut fails if a marker is
     missing, if two sub-documents are equal, if there are more than most, or fewer than two in a container.
     """
-    cut_up = bundles.select("conv_id", "is_container", X.slices(F.col("markdown"), F.col("markers")).alias("slices"))
-    wanted = F.filter("slices", lambda s: s["is_sub_document"] & (F.col("is_container") | s["is_figure"]))
     clean = lambda s: F.when(s["is_figure"], X.ocr_bodies(s["text"])).otherwise(X.strip_ocr(s["text"]))
-    subs = F.transform(wanted, lambda s: F.struct(s["ordinal"].alias("ordinal"), clean(s).alias("text")))
-    cut_up = cut_up.withColumn("subs", subs)
-    keys = F.transform("subs", lambda s: F.sha2(s["text"], 256))
-    fine = F.col("slices").isNotNull() & F.size("subs").between(F.when(F.col("is_container"), 2).otherwise(1), F.lit(most)) & (F.size(F.array_distinct(keys)) == F.size(keys))
-    return cut_up.where(fine).select("conv_id", F.explode("subs").alias("s")).select("conv_id", "s.ordinal", F.sha2("s.text", 256).alias("segment_key"), "s.text")
+    least = F.when(F.col("is_container"), 2).otherwise(1)
+
+    def wanted(slices: Column) -> Column:
+        subs = F.filter(slices, lambda s: s["is_sub_document"] & (F.col("is_container") | s["is_figure"]))
+        return F.transform(subs, lambda s: X.once(clean(s), lambda t: F.struct(s["ordinal"].alias("ordinal"), F.sha2(t, 256).alias("key"), t.alias("text"))))
+
+    def whole(subs: Column) -> Column:
+        return F.when(F.size(subs).between(least, F.lit(most)) & (F.size(F.array_distinct(F.transform(subs, lambda s: s["key"]))) == F.size(subs)), subs)
+
+    found = X.once(X.once(X.slices(F.col("markdown"), F.col("markers")), wanted), whole)
+    return bundles.select("conv_id", F.explode(found).alias("s")).select("conv_id", "s.ordinal", F.col("s.key").alias("segment_key"), "s.text")
 
 
 def segmentation_incomplete(bundles: DataFrame, segments: DataFrame) -> DataFrame:
