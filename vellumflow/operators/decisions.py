@@ -73,6 +73,20 @@ def valid_value(value: Column, data_type: Column) -> Column:
     return F.when(ok, value)
 
 
+def valid_values(json: Column, data_type: Column) -> Column:
+    """The values of a JSON array if there are at most VALUES_LIMIT and every one is valid for the type; else null."""
+    values = F.from_json(json, "array<string>")
+    fine = lambda v: (F.size(v) <= M.VALUES_LIMIT) & F.forall(v, lambda t: valid_value(t, data_type).isNotNull())
+    return X.once(values, lambda v: F.when(fine(v), v))
+
+
+def typed_answers(answers: DataFrame, definitions: DataFrame, id_col: str = "id", answer: str = "answer") -> DataFrame:
+    """id, field, value: the values of declared fields (definitions: name, data_type) in parsed answers; null where a value is not valid for its type."""
+    rows = answers.select(id_col, F.explode(F.col(f"{answer}.values")).alias("field", "value"))
+    dims = definitions.select(F.col("name").alias("field"), "data_type")
+    return rows.join(dims, "field").select(id_col, "field", valid_value(F.col("value"), F.col("data_type")).alias("value"))
+
+
 def parse_answer(json: Column) -> Column:
     """A model's answer {values: {name: text}, validationWarnings: [{field, message}]}; null if it is no such JSON."""
     return F.from_json(json, "struct<values:map<string,string>,validationWarnings:array<struct<field:string,message:string>>>")

@@ -346,9 +346,9 @@ def k3(spark, sf):
     return A.csv_lines(A.export_table(_docs(spark, sf), D.extracted_fields(spark, sf), D.field_definitions(spark), 1, rows=None), ["LifecycleStatus", "ReviewStatus", "ReviewReasons", "Title", "amount", "customer", "parts"])
 
 
-@query("k5_resource_text", "SELECT doc_id, '# ' || source || chr(10) || chr(10) || CASE WHEN length(text) > 2000 THEN substr(text, 1, 2000) || chr(10) || '[truncated]' ELSE text END AS resource FROM documents")
+@query("k5_resource_text", "SELECT doc_id, '# ' || source || chr(10) || chr(10) || CASE WHEN length(text) > 200000 THEN substr(text, 1, 200000) || chr(10) || '[truncated]' ELSE text END AS resource FROM documents")
 def k5(spark, sf):
-    return D.table(spark, sf, "documents").select("doc_id", A.resource_text(F.col("source"), F.col("text"), 2000).alias("resource"))
+    return D.table(spark, sf, "documents").select("doc_id", A.resource_text(F.col("source"), F.col("text"), M.EXTRACT_CHARS).alias("resource"))
 
 
 @query("k6_clear_cabinet", oracle("SELECT id, CASE WHEN cabinet_id = 3 THEN NULL ELSE cabinet_id END AS cabinet_id FROM d_documents"))

@@ -146,8 +146,12 @@ def f11_multi(spark, sf):
 
 @query("f12_resolution", oracle("SELECT id, name, data_type FROM d_field_definitions WHERE document_type_id = 1 AND NOT is_deleted AND id IN (SELECT field_definition_id FROM d_extracted_fields)"))
 def f12(spark, sf):
-    definitions = D.field_definitions(spark).where("document_type_id = 1 AND NOT is_deleted")
-    return definitions.join(D.extracted_fields(spark, sf).select(F.col("field_definition_id").alias("id")).distinct(), "id", "left_semi").select("id", "name", "data_type")
+    """Every live name of a type is resolved, and those definitions that have values are given."""
+    definitions = D.field_definitions(spark)
+    names = [f[1] for f in D.FIELDS if not f[7]]
+    ids = [q.definition_id for q in S.resolve([S.FieldFilter(n, value="x") for n in names], definitions, 1)]
+    used = D.extracted_fields(spark, sf).select(F.col("field_definition_id").alias("id")).where(F.col("id").isin(ids)).distinct()
+    return definitions.join(used, "id", "left_semi").select("id", "name", "data_type")
 
 
 @query("f13_id_in", _field_oracle(_exists(106, "text_value LIKE '%1'")).replace(TEXTUAL, "id"))

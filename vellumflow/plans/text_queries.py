@@ -101,6 +101,12 @@ def t3(spark, sf):
     return D.table(spark, sf, "events").select("event_id", G.valid_value(value, kind).alias("valid"))
 
 
+@query("t3_valid_values", "SELECT doc_id, CASE WHEN len(ws) <= 100 AND len(list_filter(ws, lambda w: length(w) > 256)) = 0 THEN array_to_string(ws, '/') END AS valid FROM (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents)")
+def t3_values(spark, sf):
+    words = F.to_json(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1))
+    return _docs(spark, sf).select("doc_id", F.array_join(G.valid_values(words, F.lit("Text")), "/").alias("valid"))
+
+
 @query("t4_expand", "SELECT doc_id, i - 1 AS order_no, w AS value FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS ws FROM documents))")
 def t4(spark, sf):
     rows = _docs(spark, sf).select("doc_id", F.to_json(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1)).alias("json"))
@@ -114,6 +120,16 @@ def t5(spark, sf):
     return rows.select("event_id", F.col("answer.values")["k"].cast("long").alias("k"))
 
 
+@query("t5_typed_values", "SELECT event_id AS id, field, CASE field WHEN 'k' THEN json_extract_string(props, '$.k') WHEN 'type' THEN event_type WHEN 'day' THEN CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%Y-%m-%d') END END AS value FROM events CROSS JOIN (VALUES ('k'), ('type'), ('day')) f(field)")
+def t5_typed(spark, sf):
+    """Answers with a number, a text, a date that half of them spell wrongly, and a field that nobody declared."""
+    day = F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd")).otherwise(F.date_format("ts", "d.M.yyyy"))
+    values = F.create_map(F.lit("k"), F.get_json_object("props", "$.k"), F.lit("type"), F.col("event_type"), F.lit("day"), day, F.lit("other"), F.lit("x"))
+    answers = D.table(spark, sf, "events").select(F.col("event_id").alias("id"), G.parse_answer(F.to_json(F.struct(values.alias("values")))).alias("answer"))
+    definitions = spark.createDataFrame([("k", "Number"), ("type", "Text"), ("day", "Date")], "name string, data_type string")
+    return G.typed_answers(answers, definitions)
+
+
 @query("t6_cut", "SELECT doc_id, substr(text, 1, 256) AS head FROM documents")
 def t6(spark, sf):
     return _docs(spark, sf).select("doc_id", X.cut(F.col("text"), 256).alias("head"))
