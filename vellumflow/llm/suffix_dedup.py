@@ -31,6 +31,7 @@ from vellumflow.llm.wordhash import byte_sums, chunks, span_hashes
 LENGTH = 50
 WINDOW = 20  # bytes of an anchor
 SHARD_BYTES = 4 << 20
+BUCKET_BYTES = 64 << 20  # bytes of text whose anchors make a bucket, about
 CHUNK = 1 << 20  # bytes of text whose anchors are found at once
 FLUSH = 8  # chunks whose anchors or slices are packed together
 SEPARATOR = b"\xff"  # no byte of UTF-8
@@ -96,7 +97,8 @@ def shared_anchors(docs: DataFrame, length: int = LENGTH, window: int = WINDOW)
     Anchors travel packed, by bucket of their hash. What a batch already knows to be shared passes through, and only one
     sign of it is compared, so a frequent anchor costs a bucket one entry per batch.
     """
-    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
 
     def packed_rows(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pd.DataFrame:
         hashes, docs_of, places = (np.concatenate(p) for p in zip(*parts))
