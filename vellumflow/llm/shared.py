@@ -17,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 #: The white space of all word and normalisation rules here: space and the bytes 9 to 13.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SLICE = 2048  # rows that a Python worker turns into objects at once
 
 
@@ -46,10 +47,18 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame as a table in the shared folder and read it again: lost executors cost no recomputation."""
+    """Write a frame as a table in the shared folder and read it again: lost executors cost no recomputation.
+
+    Nothing reads the shuffles behind the table any more, so their files go as soon as it is written.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_SHUFFLES)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
