@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumflow.llm import chat, exact_dedup, mixing, ngram_join, quality, sharding, sp_codec, suffix_dedup, tiff_media, toxicity
+from vellumflow.llm import bpe_codec, chat, exact_dedup, mixing, ngram_join, quality, sharding, sp_codec, suffix_dedup, tiff_media, toxicity
 from vellumflow.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     removed = (F.col("n_bytes") - F.octet_length("kept")).cast("long")
     return rest.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def word_model() -> str:
+    """The public BPE model with word ends that the contract names; the operators take any such model file."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query()
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = bpe_codec.encode_and_decode(docs, word_model())
+    decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.encode(decimal, "UTF-8"), 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
