@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumflow.llm import bpe_codec, chat, exact_dedup, mixing, ngram_join, quality, sharding, sp_codec, suffix_dedup, tiff_media, toxicity
-from vellumflow.llm.shared import table
+from vellumflow.llm import bpe_codec, chat, exact_dedup, mixing, ngram_join, periodic_runs, quality, sharding, sp_codec, suffix_dedup, tiff_media, toxicity
+from vellumflow.llm.shared import WORD, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,3 +129,29 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = bpe_codec.encode_and_decode(docs, word_model())
     decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.encode(decimal, "UTF-8"), 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id, text: a tenth of the texts, chosen by the checksum of the id, goes on periodically from some word on."""
+    h = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
+    picked = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"), F.floor(h / 10).alias("g"))
+    n = F.size("words")
+    start = (F.col("g") % n).cast("int")
+    period = (1 + F.floor((n - start) / (3 + F.col("g") % 8))).cast("int")
+    rest = F.transform(F.sequence(F.lit(0), n - start - 1), lambda i: F.element_at("words", start + i % period + 1))
+    return picked.select("doc_id", F.when(F.col("words").isNotNull() & (n > 0), F.array_join(F.concat(F.slice("words", 1, start), rest), " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query()
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_planted_periods(table(spark, sf_dir, "documents"))
+    found = periodic_runs.find_runs(docs).withColumn("best", periodic_runs.best_run(F.col("runs")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"), F.col("best.length").alias("length"), F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.encode(lines, "UTF-8"), 256).alias("runs_sha256"),
+        F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"),
+    )
