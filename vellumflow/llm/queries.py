@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumflow.llm import bpe_codec, chat, exact_dedup, mixing, ngram_join, periodic_runs, quality, sharding, sp_codec, suffix_dedup, tiff_media, toxicity
+from vellumflow.llm import bpe_codec, chat, collocations, exact_dedup, mixing, ngram_join, periodic_runs, quality, sharding, sp_codec, suffix_dedup, tiff_media, toxicity
 from vellumflow.llm.shared import WORD, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,49 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.encode(lines, "UTF-8"), 256).alias("runs_sha256"),
         F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"),
     )
+
+
+#: Independent of the operator: every phrase of two to five words is counted, and every slice of every candidate is looked up.
+COLLOCATIONS_SQL = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), worded AS (
+    SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS words FROM pieces
+), totals AS MATERIALIZED (
+    SELECT lang, sum(len(words)) AS n FROM worded GROUP BY lang
+), placed AS (
+    SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM worded WHERE len(words) > 0
+), reached AS (
+    SELECT lang, words, i, unnest(range(1, least(5, len(words) - i + 1) + 1)) AS k FROM placed
+), f AS MATERIALIZED (
+    SELECT lang, array_to_string(words[i:i + k - 1], ' ') AS phrase, k, count(*) AS f FROM reached GROUP BY ALL HAVING count(*) >= 100
+), candidates AS MATERIALIZED (
+    SELECT lang, phrase, string_split(phrase, ' ') AS g, k, f AS a FROM f WHERE k >= 2
+), starts AS (
+    SELECT lang, g, a, k, unnest(range(1, k + 1)) AS i FROM candidates
+), slices AS (
+    SELECT lang, g, a, k, i, unnest(range(1, k - i + 2)) AS size FROM starts
+), inside AS MATERIALIZED (
+    SELECT lang, array_to_string(g[i:i + size - 1], ' ') AS phrase, max(a) AS longer FROM slices WHERE size < k GROUP BY ALL
+), alone AS MATERIALIZED (
+    SELECT c.* FROM candidates c LEFT JOIN inside p ON p.lang = c.lang AND p.phrase = c.phrase WHERE p.longer IS NULL OR 100 * p.longer < 100 * c.a
+), cuts AS MATERIALIZED (
+    SELECT lang, phrase, a, unnest(range(1, k)) AS c, g FROM alone
+), halves AS MATERIALIZED (
+    SELECT lang, phrase, a, c, array_to_string(g[1:c], ' ') AS head, array_to_string(g[c + 1:], ' ') AS tail FROM cuts
+), rated AS (
+    SELECT h.lang, h.phrase, h.a, h.c, l.f AS l, r.f AS r, t.n, (1000::HUGEINT * h.a * t.n) // (l.f::HUGEINT * r.f) AS score
+    FROM halves h JOIN f l ON l.lang = h.lang AND l.phrase = h.head JOIN f r ON r.lang = h.lang AND r.phrase = h.tail JOIN totals t ON t.lang = h.lang
+), best AS (
+    SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM best QUALIFY rank <= 2000
+"""
+
+
+@query(COLLOCATIONS_SQL)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
