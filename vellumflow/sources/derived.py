@@ -170,6 +170,32 @@ VIEWS = {
 }
 
 
+_BOX = {
+    "d_boxes": "SELECT l_suppkey AS page, l_orderkey * 10 + l_linenumber AS id, CAST(max((l_partkey * 7) % 500) AS DOUBLE) AS x0, CAST(max((l_partkey * 7) % 500) + max(l_quantity) + 4 AS DOUBLE) AS x1, CAST(max((l_orderkey * 13) % 700) AS DOUBLE) AS y0, CAST(max((l_orderkey * 13) % 700) + max(l_linenumber) + 6 AS DOUBLE) AS y1, CAST(max(l_linenumber) AS BIGINT) AS kind FROM lineitem GROUP BY l_suppkey, l_orderkey * 10 + l_linenumber",
+    "d_cells": "SELECT CAST(floor(l_orderkey / 8) AS BIGINT) AS page, l_orderkey % 8 AS line, CAST((l_partkey % 4) * 100 + l_orderkey % 30 AS DOUBLE) AS x0, CAST((l_partkey % 4) * 100 + l_orderkey % 30 + 10 + l_quantity / 2 + CASE WHEN l_partkey % 10 = 0 THEN 100 ELSE 0 END AS DOUBLE) AS x1, CAST(10 AS DOUBLE) AS gutter FROM lineitem",
+    "d_drawn": """SELECT CAST(floor(o_orderkey / 12) AS BIGINT) AS page, o_orderkey AS id,
+        CAST(CASE WHEN j < 5 THEN 50 WHEN j < 9 THEN 50 + (j - 5) * 60 + jit WHEN j = 10 THEN 350 WHEN j = 11 AND o_custkey % 2 = 1 THEN 310 ELSE 300 END AS DOUBLE) AS x0,
+        CAST(CASE WHEN j < 5 THEN 250 WHEN j < 9 THEN 51 + (j - 5) * 60 + jit WHEN j = 10 THEN 350 WHEN j = 11 AND o_custkey % 2 = 1 THEN 315 ELSE 400 END AS DOUBLE) AS x1,
+        CAST(CASE WHEN j < 4 THEN 100 + j * 30 + jit WHEN j = 4 THEN 191 WHEN j < 9 THEN 95 WHEN j = 11 THEN 130 ELSE 100 END AS DOUBLE) AS y0,
+        CAST(CASE WHEN j < 4 THEN 101 + j * 30 + jit WHEN j = 4 THEN 191 WHEN j < 9 THEN 225 WHEN j = 11 THEN 130 ELSE 160 END AS DOUBLE) AS y1
+        FROM (SELECT o_orderkey, o_custkey, o_orderkey % 12 AS j, o_custkey % 3 AS jit FROM orders) o""",
+    "d_points": "SELECT CAST(floor(l_orderkey / 12) AS BIGINT) AS page, (l_partkey * 7) % 420 + CAST(0.5 AS DOUBLE) AS x, (l_suppkey * 11) % 250 + CAST(0.25 AS DOUBLE) AS y FROM lineitem",
+    "d_groups": """SELECT p_partkey AS id, CASE WHEN p_partkey % 160 = 144 THEN p_partkey + 15 WHEN p_partkey % 16 = 0 THEN NULL ELSE p_partkey - 1 END AS parent,
+        (p_partkey * 37) % 900 AS offset_x, CAST(p_size * 10 AS BIGINT) AS offset_y, p_partkey % 50 AS child_offset_x, CAST(p_size AS BIGINT) AS child_offset_y, 1000 + p_partkey % 700 AS extent_x, CAST(900 AS BIGINT) AS extent_y,
+        CASE WHEN p_partkey % 7 = 0 THEN 0 WHEN p_partkey % 7 = 1 THEN NULL ELSE 800 + p_size END AS child_extent_x, 1000 + p_partkey % 13 AS child_extent_y FROM part""",
+}
+VIEWS |= _BOX
+
+
+def drawn(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The tables of page geometry, whose SQL both engines read: boxes (d_boxes), table cells (d_cells), drawn boxes (d_drawn), points (d_points), shape groups (d_groups)."""
+    text = _BOX[name]
+    for t in ("lineitem", "orders", "part"):
+        text = text.replace(f"FROM {t}", f"FROM {{{t}}}")
+    used = {t: table(spark, sf_dir, t) for t in ("lineitem", "orders", "part") if f"{{{t}}}" in text}
+    return spark.sql(text, **used)
+
+
 def oracle(sql: str) -> str:
     """The SQL behind a WITH of the derived tables that it needs."""
     needed = set()
@@ -182,9 +208,11 @@ def oracle(sql: str) -> str:
 
     add(sql)
     body = sql.strip()
-    more = ""
+    more, start = "", "WITH "
+    if body[:15].upper() == "WITH RECURSIVE ":
+        start, body = "WITH RECURSIVE ", "WITH " + body[15:]
     if body[:5].upper() == "WITH ":
         at = body.index("\n)\nSELECT") if "\n)\nSELECT" in body else -1
         if at > 0:
             more, body = ", " + body[5:at] + "\n)", body[at + 3 :]
-    return "WITH " + ", ".join(f"{n} AS ({VIEWS[n]})" for n in VIEWS if n in needed) + more + "\n" + body if needed else sql.strip()
+    return start + ", ".join(f"{n} AS ({VIEWS[n]})" for n in VIEWS if n in needed) + more + "\n" + body if needed else sql.strip()
