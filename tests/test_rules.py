@@ -2,6 +2,7 @@
 
 import datetime as dt
 import hashlib
+import json
 import os
 from decimal import Decimal
 from pathlib import Path
@@ -99,7 +100,7 @@ def test_duplicate_candidates_are_the_first_twenty(spark):
         assert sorted(r.candidate for r in got if r.id == k) == [c for c in range(22) if c != k][:20]
 
 
-@pytest.mark.parametrize("cell,want", [("a,b", '"a,b"'), ('say "hi"', '"say ""hi"""'), ("line\nbreak", '"line\nbreak"'), (None, ""), ("=1+1", "'=1+1"), ("+1", "'+1"), ("-1+2", "'-1+2"), ("@SUM(A1)", "'@SUM(A1)"), ("  =evil", "'  =evil"), ("\t=evil", "'\t=evil"), ("normal", "normal"), ("123", "123"), ("a=b", "a=b"), ("-5", "'-5")])
+@pytest.mark.parametrize("cell,want", [("a,b", '"a,b"'), ('say "hi"', '"say ""hi"""'), ("line\nbreak", '"line\nbreak"'), (None, ""), ("=1+1", "'=1+1"), ("+1", "'+1"), ("-1+2", "'-1+2"), ("@SUM(A1)", "'@SUM(A1)"), ("  =evil", "'  =evil"), ("\t=evil", "'\t=evil"), ("normal", "normal"), ("123", "123"), ("a=b", "a=b"), ("-5", "'-5"), ("\n=1+1", '"\'\n=1+1"'), ("\u00a0=1", "'\u00a0=1"), ("\x1c=1", "\x1c=1")])
 def test_csv_cells(spark, cell, want):
     assert spark.createDataFrame([(cell,)], "c string").select(A.csv_cell(F.col("c"))).first()[0] == want
 
@@ -278,14 +279,84 @@ def test_draft_fields(spark):
     assert draft('{"displayName": 5, "dataType": "datetime", "isRequired": "1", "allowMultiple": null}') == ("", "", "DateTime", False, False)
 
 
-@pytest.mark.parametrize("value,kind,ok", [("2024-02-29", "Date", True), ("2023-02-29", "Date", False), ("2024-1-1", "Date", False), ("2024-01-01T10:00:00Z", "DateTime", False), ("2024-01-01T10:00:00", "DateTime", True), ("x" * 257, "Text", False), ("x" * 257, "LongText", True), ("1e3", "Number", True), ("1,0", "Number", False), ("True", "Boolean", False), ("x", "Unknown", False)])
-def test_valid_values(spark, value, kind, ok):
-    assert (spark.createDataFrame([(value, kind)], "v string, k string").select(G.valid_value(F.col("v"), F.col("k"))).first()[0] is not None) == ok
+VALUES = [
+    ('"2024-02-29"', "Date", True), ('"2023-02-29"', "Date", False), ('"2024-1-1"', "Date", False), ('"0000-01-01"', "Date", False), ("20240101", "Date", False), ('"2024-01-01T10:00:00Z"', "DateTime", False), ('"2024-01-01T10:00:00"', "DateTime", True),
+    ('"2024-01-01"', "DateTime", True), ('"2024-01-01T10:00:00+02:00"', "DateTime", False), ('"' + "x" * 257 + '"', "Text", False), ('"' + "x" * 257 + '"', "LongText", True), ("12", "Text", False), ("1e3", "Number", True), ("1e40", "Number", False), ('"12"', "Number", False),
+    ("1,0", "Number", False), ("True", "Boolean", False), ("true", "Boolean", True), ('"true"', "Boolean", False), ('"x"', "Unknown", False), ("null", "Text", False), (None, "Text", False), ('["a"]', "Text", False), ("{}", "Text", False),
+]
 
 
-def test_bad_answers_are_null(spark):
-    rows = spark.createDataFrame([("{bad",), ('{"values": {"a": "1"}}',)], "j string").select(G.parse_answer(F.col("j")).alias("a")).collect()
-    assert (rows[0].a is None or rows[0].a["values"] is None) and rows[1].a["values"] == {"a": "1"}
+def test_valid_values(spark):
+    rows = spark.createDataFrame([(k, v, t) for k, (v, t, _) in enumerate(VALUES)], "n int, v string, k string").select("n", G.valid_value(F.col("v"), F.col("k")).isNotNull().alias("ok")).collect()
+    assert {r.n: r.ok for r in rows} == {k: ok for k, (_, _, ok) in enumerate(VALUES)}
+
+
+def test_several_values(spark):
+    cases = {"[1, 2.5]": True, '["1", "2"]': False, "[]": True, "1": False, "[1, null]": False, str(list(range(100))): True, str(list(range(101))): False, "[[1]]": False, None: False}
+    rows = spark.createDataFrame([(k,) for k in cases], "v string").select("v", G.valid_value(F.col("v"), F.lit("Number"), True).isNotNull().alias("ok")).collect()
+    assert {r.v: r.ok for r in rows} == cases
+
+
+def test_answers_by_field(spark):
+    """Every declared field has a row; values keep their kind; halves are read on their own."""
+    answers = [(1, 1, '{"values": {"a": 12, "b": "x", "c": ["p", "q"], "zz": 1}, "validationWarnings": 5}'), (2, 1, "{bad"), (3, 1, '{"values": [], "validationWarnings": [{"fieldName": "a", "message": " m "}]}'), (4, 1, None), (5, 9, '{"values": {"a": 1}}'), (6, 1, '{"values": {"a": "12", "b": null, "c": "p"}}'), (7, 1, "[1]")]
+    declared = spark.createDataFrame([(1, "a", "Number", False), (1, "b", "Text", False), (1, "c", "Text", True), (2, "d", "Text", False)], "document_type_id long, name string, data_type string, allow_multiple boolean")
+    parsed = spark.createDataFrame(answers, "id long, document_type_id long, j string").withColumn("answer", G.parse_answer(F.col("j")))
+    got = {(r.id, r.field): r.value for r in G.typed_answers(parsed, declared).collect()}
+    none = {(k, f): None for k in (1, 2, 3, 4, 6, 7) for f in "abc"}
+    assert got == none | {(1, "a"): "12", (1, "b"): '"x"', (1, "c"): '["p","q"]'}
+    assert [tuple(r) for r in G.warnings_of(parsed, declared).collect()] == [(3, "a", "m")]
+
+
+def test_warnings(spark):
+    said = [{"fieldName": "a", "message": "\u00a0first "}, {"fieldName": "a", "message": "second"}, {"fieldName": "zz", "message": "m"}, {"fieldName": "b", "message": " "}, {"fieldName": "b", "message": 5}, "x", {"field": "b", "message": "m"}, {"fieldName": "b", "message": "y" * 600}]
+    many = [{"fieldName": f"f{k}", "message": "m"} for k in range(40)]
+    rows = [(1, 1, json.dumps({"validationWarnings": said})), (2, 1, json.dumps({"validationWarnings": many}))]
+    declared = spark.createDataFrame([(1, n) for n in ["a", "b", *(f"f{k}" for k in range(40))]], "document_type_id long, name string")
+    got = G.warnings_of(spark.createDataFrame(rows, "id long, document_type_id long, j string").withColumn("answer", G.parse_answer(F.col("j"))), declared).collect()
+    assert {(r.field, r.message) for r in got if r.id == 1} == {("a", "first"), ("b", "y" * 512)}
+    assert {r.field for r in got if r.id == 2} == {f"f{k}" for k in range(32)}
+
+
+def texts(spark, values, function):
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "n int, t string").select("n", function(F.col("t")).alias("got")).collect()
+    return [r.got for r in sorted(rows)]
+
+
+def test_escaped_inline(spark):
+    cases = {"a*b": r"a\*b", "_under_": r"\_under\_", "`code`": r"\`code\`", "[link](x)": r"\[link\](x)", "a\\b": r"a\\b", "<http://x>": r"\<http://x>", "snake_case": "snake_case", "a__b": r"a\_\_b", "é_1": "é_1", "a|b>c": "a|b>c", None: "", "": ""}
+    assert texts(spark, cases, X.escape_inline) == list(cases.values())
+
+
+def test_escaped_line_starts(spark):
+    """What starts a block, and what only looks like it."""
+    marked = ["# Heading", "###### six", "> quote", "- bullet", "+ bullet", "* bullet", "---", "***", "___", "===", "--- | ---", "| --- |", ":---:", "-\titem", "_ _ _", "-- -", "#", "==  "]
+    plain = ["Hello world", "3.14 is pi", "12:00 noon", "-5 degrees", "well-known", "#hashtag", "--", "１. x", "١. item", "#\u00a0heading", "-", "1.", "1234567890. x", "    # code", "     > x", "####### seven", "|x|", "|", "", "== x"]
+    assert texts(spark, marked, X.escape_line) == ["\\" + t for t in marked]
+    assert texts(spark, plain, X.escape_line) == plain
+    assert texts(spark, ["1. ordered", "12) ordered", "1.\titem", "  # x", "   123456789. x", None], X.escape_line) == [r"1\. ordered", r"12\) ordered", "1\\.\titem", r"  \# x", r"   123456789\. x", ""]
+    assert texts(spark, ["# a_\n- *b*\nc", None], X.escape_block) == ["\\# a\\_\n\\- \\*b\\*\nc", ""]
+
+
+def test_escaped_cells(spark):
+    assert texts(spark, [" a|b\\c\r\nd\u00a0", "a  b", None], X.escape_cell) == ["a\\|b\\\\c  d", "a  b", ""]
+    assert texts(spark, [" a|b*\nc_d ", None], X.escape_inline_cell) == ["a\\|b\\* c_d", ""]
+
+
+def test_fences_tags_names(spark):
+    assert texts(spark, ["```md\nx\n```", " ```\nx", "```", "``` x ```", "x ```", " \n", None, "```\n \n```"], X.unwrap_fence) == ["x", "x", None, None, "x ```", None, None, None]
+    assert texts(spark, [" en ", "de-CH\n", "e n", "en_x", "a" * 17, "", None], X.language_tag) == ["en", "de-CH", None, None, None, None, None]
+    assert texts(spark, ["  ", "\x01", " a \t b", None], X.tidy_name) == [None, None, "a b", None]
+    assert texts(spark, ["MyField-1", "9a", "a.b", "a b", "a\n", "x" * 65, ""], X.valid_field_name) == [True, True, False, False, False, False, False]
+    assert texts(spark, ["Order.General-2", "9", "a..b", ".a", "a.\n"], X.valid_type_code) == [True, True, False, False, False]
+
+
+def test_resource_text(spark):
+    doc = {"id": F.lit(7), "type": F.lit(None), "lifecycle": F.lit("Ready"), "language": F.lit(""), "created": F.expr("timestamp_ntz '2024-01-02 03:04:05'"), "cabinet": F.lit(None), "is_container": F.lit(True), "origin": F.lit(3)}
+    (got, short) = spark.range(1).select(A.resource_text(doc, F.lit("a</document>b"), 3), A.resource_text(doc, F.lit(None).cast("string"))).first()
+    head = "<!-- extract document metadata\nid: 7\nlifecycle: Ready\ncreatedAt: 2024-01-02T03:04:05.0000000\nisContainer: true\noriginDocumentId: 3\n"
+    assert got.startswith(head) and "markdownTotalChars: 13\n" in got and got.endswith("-->\n\n<document>\na&lt;/\n</document>")
+    assert "markdownTruncated" not in short and short.endswith("<document>\n\n</document>")
 
 
 def test_sniffing_and_encodings(spark, tmp_path):

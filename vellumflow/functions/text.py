@@ -94,12 +94,14 @@ def title_chain(model: Column, markdown: Column, file_name: Column) -> Column:
 
 
 def tidy_name(text: Column, most: int = M.TEXT_LIMIT) -> Column:
-    """A display name: control characters as spaces, folded, cut, no space at the end."""
-    return F.rtrim(cut(fold(F.regexp_replace(text, r"\p{Cc}", " ")), most))
+    """A display name: control characters as spaces, folded, cut, no space at the end; null if nothing is left."""
+    return F.nullif(F.rtrim(cut(fold(F.regexp_replace(text, r"\p{Cc}", " ")), most)), F.lit(""))
 
 
 def language_tag(text: Column) -> Column:
-    return F.when(text.rlike(r"^[A-Za-z0-9-]{1,16}$"), text)
+    """The text without white space at its ends if that is a tag of letters, digits and hyphens, else null."""
+    tag = strip(text)
+    return F.when(tag.rlike(r"^[A-Za-z0-9-]{1,16}\z"), tag)
 
 
 def slug(text: Column, most: int = 64) -> Column:
@@ -182,31 +184,55 @@ def drop_fences(text: Column) -> Column:
 
 
 def unwrap_fence(text: Column) -> Column:
-    """A text that is wrapped in one code fence, without it."""
-    whole = r"(?s)^\s*```[^\n]*\n(.*?)\n?```\s*$"
-    return F.trim(F.when(text.rlike(whole), F.regexp_extract(text, whole, 1)).otherwise(text))
+    """A text without the fence that it begins with and, if there is one, the fence at its end; null if nothing is left."""
+    inner = F.regexp_replace(F.regexp_replace(strip(text), r"^```[^\n]*(\n|\z)", ""), r"```\z", "")
+    return F.nullif(F.when(strip(text).startswith("```"), strip(inner)).otherwise(strip(text)), F.lit(""))
+
+
+#: What is a mark inside a line, and what is a block at the start of one, behind three spaces at most.
+INLINE_MARKS = r"[\\`*\[\]<]|(?<![\p{L}\p{Nd}])_|_(?![\p{L}\p{Nd}])"
+_HEADING, _QUOTE, _SETEXT, _BREAK = r"#{1,6}(?:[ \t]|\z)", ">", r"=+[ \t]*\z", r"([-*_])(?:[ \t]*\2){2,}[ \t]*\z"
+_TABLE_RULE, _BULLET = r"(?=[-:|])(?=[^-]*-)(?=[^|:]*[|:])[-|: \t]+\z", r"[-+*][ \t]"
+BLOCK_START = "^( {0,3})(?=" + "|".join((_HEADING, _QUOTE, _SETEXT, _BREAK, _TABLE_RULE, _BULLET)) + ")"
+ORDERED_START = r"^( {0,3}[0-9]{1,9})(?=[.)][ \t])"
 
 
 def escape_inline(text: Column) -> Column:
-    return F.regexp_replace(text, r"([\\`*_\[\]<>|])", r"\\$1")
+    """Marks with a backslash before them; an underscore inside a word is none. Null gives an empty text."""
+    return F.coalesce(F.regexp_replace(text, INLINE_MARKS, r"\\$0"), F.lit(""))
 
 
 def escape_line(text: Column) -> Column:
-    """A line that would start a block (heading, quote, bullet, number, rule) with a backslash before the mark."""
-    return _chain(text, ((r"^(\s*)(#{1,6}(?:\s|$)|>|[-+*](?:\s|$)|[-=]{3,}\s*$)", r"$1\\$2"), (r"^(\s*\d+)([.)](?:\s|$))", r"$1\\$2")))
+    """A line that would start a heading, quote, list, rule or table with a backslash before its mark. Null gives an empty text."""
+    return F.coalesce(_chain(text, ((BLOCK_START, r"$1\\"), (ORDERED_START, r"$1\\"))), F.lit(""))
+
+
+def escape_block(text: Column) -> Column:
+    """A text of several lines whose marks stand for themselves, inside the lines and at their starts."""
+    return F.array_join(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda t: escape_line(escape_inline(t))), "\n")
+
+
+def _one_line(text: Column) -> Column:
+    return strip(F.translate(text, "\r\n", "  "))
 
 
 def escape_cell(text: Column) -> Column:
-    return fold(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")))
+    """A table cell: backslashes and bars escaped, line ends as spaces, no white space at its ends."""
+    return F.coalesce(_one_line(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))), F.lit(""))
+
+
+def escape_inline_cell(text: Column) -> Column:
+    """A table cell whose marks stand for themselves."""
+    return _one_line(F.replace(escape_inline(text), F.lit("|"), F.lit("\\|")))
 
 
 def table_text(rows: Column) -> Column:
-    """An array of arrays as a Markdown table: short rows padded, a rule behind the first."""
+    """An array of arrays as a Markdown table: short rows padded, a rule behind the first. Cells stay as they are: see escape_cell(). No cells give an empty text."""
     width = F.array_max(F.transform(rows, lambda r: F.size(r)))
-    line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), lambda c: escape_cell(c)), " | "), F.lit(" |"))
+    line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), lambda c: F.coalesce(c, F.lit(""))), " | "), F.lit(" |"))
     rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
     lines = F.transform(rows, line)
-    return F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))), "\n")
+    return F.when(width > 0, F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))), "\n")).otherwise("")
 
 
 def meaningful(text: Column) -> Column:
@@ -214,11 +240,13 @@ def meaningful(text: Column) -> Column:
 
 
 def valid_type_code(text: Column) -> Column:
-    return text.rlike(r"^[a-z][a-z0-9_]*(\.[a-z][a-z0-9_]*)*$")
+    """Letters, digits, underscores and hyphens, in parts between dots."""
+    return text.rlike(r"^[A-Za-z0-9_\-]+(\.[A-Za-z0-9_\-]+)*\z")
 
 
 def valid_field_name(text: Column) -> Column:
-    return text.rlike(r"^[a-z][a-z0-9_]{0,63}$")
+    """At most 64 letters, digits, underscores and hyphens."""
+    return text.rlike(r"^[A-Za-z0-9_\-]{1,64}\z")
 
 
 def slices(markdown: Column, markers: Column) -> Column:

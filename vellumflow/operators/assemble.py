@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumflow.functions import model as M
+from vellumflow.functions import text as X
 from vellumflow.functions import values as V
 
 
@@ -86,11 +87,15 @@ def export_table(docs: DataFrame, fields: DataFrame, definitions: DataFrame, typ
     return system.join(wide, "id", "left")
 
 
+#: White space of Unicode, that of (?U)\\s.
+WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and not "\x1c" <= c <= "\x1f")
+
+
 def csv_cell(value: Column) -> Column:
     """A cell of the CSV export: formulas made harmless by an apostrophe, quoted where it must be, null as empty."""
     text = F.coalesce(value, F.lit(""))
     first = F.substr(text, F.lit(1), F.lit(1))
-    inner = F.substr(F.ltrim(text), F.lit(1), F.lit(1))
+    inner = F.substr(F.regexp_replace(text, r"(?U)^\s+", ""), F.lit(1), F.lit(1))
     risky = first.isin("=", "+", "-", "@", "\t", "\r") | inner.isin("=", "+", "-", "@", "\t", "\r")
     safe = F.when(risky, F.concat(F.lit("'"), text)).otherwise(text)
     return F.when(safe.rlike('[,"\\n\\r]'), F.concat(F.lit('"'), F.replace(safe, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(safe)
@@ -104,7 +109,7 @@ def csv_lines(rows: DataFrame, columns: list[str]) -> DataFrame:
 def csv_header(columns: list[str]) -> str:
     """Byte order mark and the header line."""
     def cell(name: str) -> str:
-        name = "'" + name if name[:1] in "=+-@\t\r" or name.lstrip(" ")[:1] in tuple("=+-@\t\r") else name
+        name = "'" + name if name[:1] in tuple("=+-@\t\r") or name.lstrip(WHITE)[:1] in tuple("=+-@") else name
         return '"' + name.replace('"', '""') + '"' if any(c in name for c in ',"\n\r') else name
 
     return "﻿" + ",".join(cell(c) for c in columns)
@@ -118,10 +123,31 @@ def write_csv(rows: DataFrame, columns: list[str], path: str, order: list[str] |
     lines.write.mode("overwrite").text(f"{path}/rows")
 
 
-def resource_text(title: Column, body: Column, most: int = M.EXTRACT_CHARS) -> Column:
-    """A document as a tool resource: a header with the title, then the body, cut at most characters with a note."""
-    short = F.when(F.char_length(body) > most, F.concat(F.substr(body, F.lit(1), F.lit(most)), F.lit("\n[truncated]"))).otherwise(body)
-    return F.concat(F.lit("# "), F.coalesce(title, F.lit("(untitled)")), F.lit("\n\n"), F.coalesce(short, F.lit("")))
+def resource_text(doc: dict[str, Column], body: Column, most: int = M.RESOURCE_CHARS) -> Column:
+    """A document as a resource of a tool: a header of its metadata, then the body, cut, inside a boundary that it cannot leave.
+
+    doc has id, type, lifecycle, language, created, cabinet, is_container and origin; of these type, language, cabinet and origin may
+    be null and then have no line. A null body is empty. Cut bodies are announced in the header.
+    """
+    text = F.coalesce(body, F.lit(""))
+    line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), F.nullif(value.cast("string"), F.lit("")), F.lit("\n")), F.lit(""))
+    when = lambda condition, *lines: F.when(condition, F.concat(*lines)).otherwise("")
+    container, total = F.coalesce(doc["is_container"], F.lit(False)), F.char_length(text)
+    return F.concat(
+        F.lit("<!-- extract document metadata\n"),
+        line("id", doc["id"]),
+        line("type", doc["type"]),
+        line("lifecycle", doc["lifecycle"]),
+        line("language", doc["language"]),
+        line("createdAt", F.concat(F.date_format(doc["created"], "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("0"))),
+        line("cabinetId", doc["cabinet"]),
+        line("isContainer", container),
+        line("originDocumentId", doc["origin"]),
+        when(container, F.lit(M.CONTAINER_NOTICE)),
+        when(total > most, F.lit("markdownTruncated: true\nmarkdownTotalChars: "), total.cast("string"), F.lit("\n" + M.TRUNCATED_NOTICE)),
+        F.lit(M.UNTRUSTED_NOTICE + "-->\n\n"),
+        X.boundary(X.cut(text, most)),
+    )
 
 
 def pack_json(types: DataFrame, definitions: DataFrame) -> DataFrame:

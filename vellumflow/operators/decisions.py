@@ -59,44 +59,77 @@ def decline_oversized(text: Column, flags: Column, most: int = M.EXTRACT_CHARS)
     return F.when(F.char_length(text) > most, V.with_flag(flags, M.EXTRACTION_INCOMPLETE)).otherwise(flags)
 
 
-def valid_value(value: Column, data_type: Column) -> Column:
-    """The text of an extracted value if it is valid for its type, else null: exact dates, times without offset, bounded lengths."""
-    moment = value.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d(:\d\d(\.\d{1,6})?)?$") & value.try_cast("timestamp_ntz").isNotNull()
-    ok = (
-        F.when(data_type == "Text", F.char_length(value) <= M.TEXT_LIMIT)
-        .when(data_type == "LongText", F.char_length(value) <= M.LONG_TEXT_LIMIT)
-        .when(data_type == "Number", value.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$") & value.try_cast("decimal(38,6)").isNotNull())
-        .when(data_type == "Boolean", value.isin("true", "false"))
-        .when(data_type == "Date", value.rlike(r"^\d{4}-\d\d-\d\d$") & value.try_cast("date").isNotNull())
-        .when(data_type == "DateTime", moment)
-    )
-    return F.when(ok, value)
+#: Numbers from here on have no exact decimal form.
+DECIMAL_LIMIT = 79_228_162_514_264_337_593_543_950_335
+
+
+def _kind(value: Column) -> Column:
+    """The JSON kind of a variant, as Spark names it: STRING, BOOLEAN, BIGINT, DECIMAL(p,s), DOUBLE, ARRAY<..>, OBJECT<..>, VOID."""
+    return F.schema_of_variant(value)
+
+
+def _fits(value: Column, data_type: Column) -> Column:
+    """Whether one JSON value, as a variant, is of the type: its kind must agree, nothing is converted."""
+    kind = _kind(value)
+    text = F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
+    number = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (F.abs(F.try_variant_get(value, "$", "double")) <= F.lit(float(DECIMAL_LIMIT)))
+    day = text.rlike(r"^(?!0000)\d{4}-\d\d-\d\d\z") & text.try_cast("date").isNotNull()
+    moment = text.rlike(r"^(?!0000)\d{4}-\d\d-\d\d([T ]\d\d:\d\d(:\d\d(\.\d{1,6})?)?)?\z") & text.try_cast("timestamp_ntz").isNotNull()
+    fits = F.when(data_type == "Text", F.char_length(text) <= M.TEXT_LIMIT).when(data_type == "LongText", F.char_length(text) <= M.LONG_TEXT_LIMIT)
+    fits = fits.when(data_type == "Number", number).when(data_type == "Boolean", kind == "BOOLEAN").when(data_type == "Date", day).when(data_type == "DateTime", moment)
+    return F.coalesce(fits, F.lit(False))
+
 
+def fits(value: Column, data_type: Column, allow_multiple: Column) -> Column:
+    """Whether a JSON value, as a variant, may stand in a field: one value of the field's type or, where it takes several, an array of at most VALUES_LIMIT of them.
 
-def valid_values(json: Column, data_type: Column) -> Column:
-    """The values of a JSON array if there are at most VALUES_LIMIT and every one is valid for the type; else null."""
-    values = F.from_json(json, "array<string>")
-    fine = lambda v: (F.size(v) <= M.VALUES_LIMIT) & F.forall(v, lambda t: valid_value(t, data_type).isNotNull())
-    return X.once(values, lambda v: F.when(fine(v), v))
+    Dates are yyyy-MM-dd; times are ISO dates with or without a time of day, never with an offset. A null value or type fits nothing.
+    """
+    many = F.try_variant_get(value, "$", "array<variant>")
+    all_of = X.once(F.when(_kind(value).startswith("ARRAY"), many), lambda vs: (F.size(vs) <= M.VALUES_LIMIT) & F.forall(vs, lambda v: v.isNotNull() & _fits(v, data_type)))
+    return F.coalesce(F.when(allow_multiple, all_of).otherwise(X.once(value, lambda v: _fits(v, data_type))), F.lit(False))
 
 
-def typed_answers(answers: DataFrame, definitions: DataFrame, id_col: str = "id", answer: str = "answer") -> DataFrame:
-    """id, field, value: the values of declared fields (definitions: name, data_type) in parsed answers; null where a value is not valid for its type."""
-    rows = answers.select(id_col, F.explode(F.col(f"{answer}.values")).alias("field", "value"))
-    dims = definitions.select(F.col("name").alias("field"), "data_type")
-    return rows.join(dims, "field").select(id_col, "field", valid_value(F.col("value"), F.col("data_type")).alias("value"))
+def valid_value(json: Column, data_type: Column, allow_multiple: Column | bool = False) -> Column:
+    """The JSON text of a value if it may stand in a field (see fits()), else null. What is no JSON is not valid."""
+    multiple = F.lit(allow_multiple) if isinstance(allow_multiple, bool) else allow_multiple
+    return X.once(F.try_parse_json(json), lambda v: F.when(fits(v, data_type, multiple), F.to_json(v)))
 
 
 def parse_answer(json: Column) -> Column:
-    """A model's answer {values: {name: text}, validationWarnings: [{field, message}]}; null if it is no such JSON."""
-    return F.from_json(json, "struct<values:map<string,string>,validationWarnings:array<struct<field:string,message:string>>>")
+    """A model's answer {"values": {name: value}, "validationWarnings": [{"fieldName", "message"}]} as struct (values: map of variants, warnings: array of variants).
+
+    Both halves are read on their own: one that is missing or of another kind is null, and so are both if the text is no JSON object.
+    """
+    def halves(root: Column) -> Column:
+        values, warnings = F.try_variant_get(root, "$.values", "variant"), F.try_variant_get(root, "$.validationWarnings", "variant")
+        return F.struct(
+            F.when(_kind(values).startswith("OBJECT"), F.try_variant_get(root, "$.values", "map<string,variant>")).alias("values"),
+            F.when(_kind(warnings).startswith("ARRAY"), F.try_variant_get(root, "$.validationWarnings", "array<variant>")).alias("warnings"),
+        )
 
+    return X.once(F.try_parse_json(json), halves)
 
-def warnings_of(answers: DataFrame, declared: DataFrame, id_col: str = "id", answer: str = "answer") -> DataFrame:
-    """id, field, message: warnings of declared fields, not blank, the first per field, at most WARNINGS_LIMIT, messages cut."""
-    rows = answers.select(id_col, F.posexplode(F.col(f"{answer}.validationWarnings")).alias("place", "w")).select(id_col, "place", F.col("w.field").alias("field"), F.trim("w.message").alias("message"))
-    rows = rows.where("message <> ''").join(declared.select(F.col("name").alias("field")).distinct(), "field", "left_semi")
-    first = rows.withColumn("n", F.row_number().over(Window.partitionBy(id_col, "field").orderBy("place"))).where("n = 1")
+
+def typed_answers(answers: DataFrame, definitions: DataFrame, id_col: str = "id", type_col: str = "document_type_id", answer: str = "answer") -> DataFrame:
+    """id, field, value: a row for every declared field of each answer's document type, with the JSON text of its value.
+
+    definitions: document_type_id, name, data_type, allow_multiple. The value is null where the answer has none, or one that may
+    not stand in the field. Fields that are not declared are left out.
+    """
+    dims = definitions.select(F.col("document_type_id").alias(type_col), F.col("name").alias("field"), "data_type", F.coalesce("allow_multiple", F.lit(False)).alias("allow_multiple"))
+    rows = answers.select(id_col, type_col, F.col(f"{answer}.values").alias("values")).join(dims, type_col)
+    value = X.once(F.try_element_at("values", F.col("field")), lambda v: F.when(fits(v, F.col("data_type"), F.col("allow_multiple")), F.to_json(v)))
+    return rows.select(id_col, "field", value.alias("value"))
+
+
+def warnings_of(answers: DataFrame, definitions: DataFrame, id_col: str = "id", type_col: str = "document_type_id", answer: str = "answer") -> DataFrame:
+    """id, field, message: warnings about declared fields of the answer's document type: both parts JSON texts, the message not blank and cut; the first of each field, at most WARNINGS_LIMIT."""
+    text = lambda name: F.when(_kind(F.try_variant_get("w", f"$.{name}", "variant")) == "STRING", F.try_variant_get("w", f"$.{name}", "string"))
+    rows = answers.select(id_col, type_col, F.posexplode(F.col(f"{answer}.warnings")).alias("place", "w"))
+    rows = rows.select(id_col, type_col, "place", text("fieldName").alias("field"), X.strip(text("message")).alias("message")).where("message <> ''")
+    declared = definitions.select(F.col("document_type_id").alias(type_col), F.col("name").alias("field")).distinct()
+    first = rows.join(declared, [type_col, "field"], "left_semi").groupBy(id_col, "field").agg(F.min_by("message", "place").alias("message"), F.min("place").alias("place"))
     first = first.withColumn("n", F.row_number().over(Window.partitionBy(id_col).orderBy("place"))).where(F.col("n") <= M.WARNINGS_LIMIT)
     return first.select(id_col, "field", X.cut(F.col("message"), M.WARNING_TEXT_LIMIT).alias("message"))
 

@@ -89,22 +89,42 @@ def t1(spark, sf):
     return _docs(spark, sf).select("doc_id", X.sha256_hex(F.col("text")).alias("sha"))
 
 
-_TYPE_OF = "CASE i % 6 WHEN 0 THEN 'Text' WHEN 1 THEN 'Number' WHEN 2 THEN 'Boolean' WHEN 3 THEN 'Date' WHEN 4 THEN 'DateTime' ELSE 'LongText' END"
-_SAMPLE = "CASE (i // 6) % 6 WHEN 0 THEN CAST(value AS VARCHAR) WHEN 1 THEN 'true' WHEN 2 THEN strftime(ts, '%Y-%m-%d') WHEN 3 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') WHEN 4 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') ELSE '2024-02-30' END"
+#: JSON values of every kind, each tried against every type, once as a single value and once as several.
+_SAMPLES = ("'\"' || user_id || '\"'", "CAST(user_id AS VARCHAR)", "CAST(user_id AS VARCHAR) || '.25'", "'true'", "'\"true\"'", "'\"' || strftime(ts, '%Y-%m-%d') || '\"'", "'\"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '\"'", "'\"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '\"'", "'\"2024-02-30\"'", "'null'", "'{\"a\":1}'", "'[' || user_id || ',2]'", "'[\"' || event_type || '\",\"x\"]'", "'[1,\"x\"]'", "'no json'", "'\"' || repeat(event_type, 60) || '\"'")
+_KINDS = ("Text", "Number", "Boolean", "Date", "DateTime", "LongText")
 
 
-@query("t3_valid_value", f"""SELECT i AS event_id, CASE {_TYPE_OF} WHEN 'Text' THEN v WHEN 'LongText' THEN v WHEN 'Number' THEN CASE WHEN regexp_full_match(v, '-?[0-9]+(\\.[0-9]+)?([eE][+-]?[0-9]+)?') THEN v END WHEN 'Boolean' THEN CASE WHEN v IN ('true', 'false') THEN v END
- WHEN 'Date' THEN CASE WHEN regexp_full_match(v, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND try_cast(v AS DATE) IS NOT NULL THEN v END ELSE CASE WHEN regexp_full_match(v, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}') THEN v END END AS valid FROM (SELECT event_id AS i, {_SAMPLE.replace("CAST(value AS VARCHAR)", "CAST(user_id AS VARCHAR)").replace("(i //", "(event_id //")} AS v FROM events)""")
+def _fits_sql(v: str) -> str:
+    """The rule over DuckDB's own kinds of JSON values."""
+    text, kind = f"({v}->>'$')", f"json_type({v})"
+    return f"""coalesce(CASE kind WHEN 'Text' THEN {kind} = 'VARCHAR' AND length({text}) <= 256 WHEN 'LongText' THEN {kind} = 'VARCHAR' AND length({text}) <= 8000 WHEN 'Number' THEN {kind} IN ('UBIGINT', 'BIGINT', 'DOUBLE') WHEN 'Boolean' THEN {kind} = 'BOOLEAN'
+      WHEN 'Date' THEN {kind} = 'VARCHAR' AND regexp_full_match({text}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND try_cast({text} AS DATE) IS NOT NULL
+      WHEN 'DateTime' THEN {kind} = 'VARCHAR' AND regexp_full_match({text}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}})?') AND try_cast({text} AS TIMESTAMP) IS NOT NULL END, false)"""
+
+
+@query("t3_valid_value", f"""WITH v AS (
+  SELECT event_id, ['{"', '".join(_KINDS)}'][CAST(event_id % 6 AS INTEGER) + 1] AS kind, event_id // 96 % 2 = 1 AS several, CASE event_id // 6 % 16 {" ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_SAMPLES))} END AS j FROM events
+), parsed AS (
+  SELECT *, CASE WHEN json_valid(j) THEN CAST(j AS JSON) END AS p FROM v
+)
+SELECT event_id, CASE WHEN several THEN CASE WHEN json_type(p) = 'ARRAY' AND json_array_length(p) <= 100 AND len(list_filter(CAST(p AS JSON[]), lambda e: NOT {_fits_sql("e")})) = 0 THEN j END WHEN p IS NOT NULL AND {_fits_sql("p")} THEN j END AS valid FROM parsed""")
 def t3(spark, sf):
-    kind = F.expr("case event_id % 6 when 0 then 'Text' when 1 then 'Number' when 2 then 'Boolean' when 3 then 'Date' when 4 then 'DateTime' else 'LongText' end")
-    value = F.expr("case (event_id div 6) % 6 when 0 then cast(user_id as string) when 1 then 'true' when 2 then date_format(ts, 'yyyy-MM-dd') when 3 then date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\") when 4 then date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") else '2024-02-30' end")
-    return D.table(spark, sf, "events").select("event_id", G.valid_value(value, kind).alias("valid"))
+    """Values of all kinds for fields of all types that take one or several."""
+    samples = []
+    for x in _SAMPLES:
+        x = x.replace("'\"' || user_id || '\"'", "concat('\"', user_id, '\"')").replace("'\"' || repeat(event_type, 60) || '\"'", "concat('\"', repeat(event_type, 60), '\"')")
+        samples.append(x.replace("VARCHAR", "STRING").replace("strftime(ts, '%Y-%m-%d')", "date_format(ts, 'yyyy-MM-dd')").replace("strftime(ts, '%Y-%m-%dT%H:%M:%S')", "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\")").replace("strftime(ts, '%Y-%m-%dT%H:%M:%SZ')", "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"))
+    json = F.expr("case event_id div 6 % 16 " + " ".join(f"when {i} then {x}" for i, x in enumerate(samples)) + " end")
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("event_id") % 6 + 1).cast("int"))
+    rows = D.table(spark, sf, "events").select("event_id", json.alias("json"), kind.alias("kind"), F.expr("event_id div 96 % 2 = 1").alias("several"))
+    return rows.select("event_id", G.valid_value(F.col("json"), F.col("kind"), F.col("several")).alias("valid"))
 
 
 @query("t3_valid_values", "SELECT doc_id, CASE WHEN len(ws) <= 100 AND len(list_filter(ws, lambda w: length(w) > 256)) = 0 THEN array_to_string(ws, '/') END AS valid FROM (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents)")
 def t3_values(spark, sf):
     words = F.to_json(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1))
-    return _docs(spark, sf).select("doc_id", F.array_join(G.valid_values(words, F.lit("Text")), "/").alias("valid"))
+    valid = G.valid_value(words, F.lit("Text"), True)
+    return _docs(spark, sf).select("doc_id", F.array_join(F.from_json(valid, "array<string>"), "/").alias("valid"))
 
 
 @query("t4_expand", "SELECT doc_id, i - 1 AS order_no, w AS value FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS ws FROM documents))")
@@ -113,21 +133,27 @@ def t4(spark, sf):
     return G.expand_values(rows, "json", ["doc_id"]).withColumn("order_no", F.col("order_no").cast("long"))
 
 
-@query("t5_parse_answer", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+@query("t5_parse_answer", "SELECT event_id, CASE WHEN event_id % 5 > 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, CASE WHEN event_id % 3 = 0 THEN 1 WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 3 = 1 THEN 0 END AS warnings FROM events WHERE event_id % 15 > 0")
 def t5(spark, sf):
-    answer = F.concat(F.lit('{"values": '), F.col("props"), F.lit("}"))
-    rows = D.table(spark, sf, "events").withColumn("answer", G.parse_answer(answer))
-    return rows.select("event_id", F.col("answer.values")["k"].cast("long").alias("k"))
+    """Answers of which one half or the other is missing or of another kind."""
+    values = F.when(F.col("event_id") % 5 > 0, F.col("props")).otherwise(F.lit('"none"'))
+    warnings = F.when(F.col("event_id") % 3 == 0, '[{"fieldName": "k"}]').when((F.col("event_id") % 3 == 1) & (F.col("event_id") % 5 > 0), "[]").otherwise("{}")
+    answer = F.concat(F.lit('{"values": '), values, F.lit(', "validationWarnings": '), warnings, F.lit("}"))
+    rows = D.table(spark, sf, "events").where("event_id % 15 > 0").withColumn("answer", G.parse_answer(answer))
+    return rows.select("event_id", F.try_variant_get(F.try_element_at("answer.values", F.lit("k")), "$", "long").alias("k"), F.when(F.col("answer.warnings").isNotNull(), F.size("answer.warnings")).cast("long").alias("warnings"))
 
 
-@query("t5_typed_values", "SELECT event_id AS id, field, CASE field WHEN 'k' THEN json_extract_string(props, '$.k') WHEN 'type' THEN event_type WHEN 'day' THEN CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%Y-%m-%d') END END AS value FROM events CROSS JOIN (VALUES ('k'), ('type'), ('day')) f(field)")
+@query("t5_typed_values", """SELECT event_id AS id, field, CASE field WHEN 'k' THEN json_extract_string(props, '$.k') WHEN 'type' THEN '"' || event_type || '"' WHEN 'day' THEN CASE WHEN event_id % 2 = 0 THEN '"' || strftime(ts, '%Y-%m-%d') || '"' END WHEN 'tags' THEN CASE WHEN event_id % 3 = 0 THEN '["' || event_type || '","x"]' END END AS value
+  FROM events JOIN (VALUES (0, 'k'), (0, 'type'), (0, 'day'), (1, 'k'), (1, 'spelt'), (1, 'tags'), (1, 'never')) f(type_id, field) ON type_id = event_id % 2""")
 def t5_typed(spark, sf):
-    """Answers with a number, a text, a date that half of them spell wrongly, and a field that nobody declared."""
+    """Answers with a number, the same as a text, a date that some spell wrongly, several texts or one where several belong, and a field that nobody declared."""
     day = F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd")).otherwise(F.date_format("ts", "d.M.yyyy"))
-    values = F.create_map(F.lit("k"), F.get_json_object("props", "$.k"), F.lit("type"), F.col("event_type"), F.lit("day"), day, F.lit("other"), F.lit("x"))
-    answers = D.table(spark, sf, "events").select(F.col("event_id").alias("id"), G.parse_answer(F.to_json(F.struct(values.alias("values")))).alias("answer"))
-    definitions = spark.createDataFrame([("k", "Number"), ("type", "Text"), ("day", "Date")], "name string, data_type string")
-    return G.typed_answers(answers, definitions)
+    k = F.get_json_object("props", "$.k")
+    tags = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('["'), F.col("event_type"), F.lit('", "x"]'))).when(F.col("event_id") % 3 == 1, F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))).otherwise('["x", 1]')
+    json = F.concat(F.lit('{"values": {"k": '), k, F.lit(', "spelt": "'), k, F.lit('", "type": "'), F.col("event_type"), F.lit('", "day": "'), day, F.lit('", "tags": '), tags, F.lit(', "other": "x"}}'))
+    answers = D.table(spark, sf, "events").select(F.col("event_id").alias("id"), (F.col("event_id") % 2).alias("document_type_id"), G.parse_answer(json).alias("answer"))
+    declared = [(0, "k", "Number", False), (0, "type", "Text", False), (0, "day", "Date", False), (1, "k", "Number", False), (1, "spelt", "Number", False), (1, "tags", "Text", True), (1, "never", "Boolean", None)]
+    return G.typed_answers(answers, spark.createDataFrame(declared, "document_type_id long, name string, data_type string, allow_multiple boolean"))
 
 
 @query("t6_cut", "SELECT doc_id, substr(text, 1, 256) AS head FROM documents")
@@ -191,9 +217,10 @@ def t10(spark, sf):
     return _docs(spark, sf).select("doc_id", X.tidy_name(F.col("text")).alias("name"))
 
 
-@query("t11_language", "SELECT doc_id, CASE WHEN regexp_full_match(tag, '[A-Za-z0-9-]{1,16}') THEN tag END AS tag FROM (SELECT doc_id, lang || CASE WHEN doc_id % 3 = 0 THEN '_x' ELSE '-' || doc_id END AS tag FROM documents)")
+@query("t11_language", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN lang || '-' || doc_id WHEN 2 THEN lang WHEN 3 THEN NULL ELSE NULL END AS tag FROM documents")
 def t11(spark, sf):
-    tag = F.concat("lang", F.when(F.col("doc_id") % 3 == 0, F.lit("_x")).otherwise(F.concat(F.lit("-"), F.col("doc_id"))))
+    """Tags with white space around them, inside them, with an underscore, too long, and good ones."""
+    tag = F.expr("case doc_id % 5 when 0 then concat(lang, '_x') when 1 then concat(chr(160), lang, '-', doc_id, '\\n') when 2 then concat(' ', lang, '\t') when 3 then concat(lang, ' x') else concat(lang, '-abcdefghijklmn') end")
     return _docs(spark, sf).select("doc_id", X.language_tag(tag).alias("tag"))
 
 
@@ -240,11 +267,12 @@ def t16(spark, sf):
     return _docs(spark, sf).select("doc_id", X.drop_fences(fenced).alias("text"))
 
 
-@query("t17_unwrap_fence", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN trim(text, ' ') ELSE trim('head ```' || chr(10) || text || chr(10) || '```', ' ') END AS text FROM documents")
+@query("t17_unwrap_fence", r"SELECT doc_id, CASE doc_id % 5 WHEN 4 THEN NULL WHEN 2 THEN 'head ```' || chr(10) || nullif(regexp_replace(text, '[\s\x{85}\x{A0}]+$', ''), '') || chr(10) || '```' ELSE nullif(regexp_replace(text, '^[\s\x{85}\x{A0}]+|[\s\x{85}\x{A0}]+$', '', 'g'), '') END AS text FROM documents WHERE text NOT LIKE '%```%'")
 def t17(spark, sf):
-    """Wrapped texts lose their fence; a fence behind other words is none."""
-    wrapped = F.expr("case when doc_id % 2 = 0 then concat('```\n', text, '\n```\n') else concat('head ```\n', text, '\n```') end")
-    return _docs(spark, sf).select("doc_id", X.unwrap_fence(wrapped).alias("text"))
+    """Texts in a fence, in one that is never closed, behind other words, without one, and a fence around nothing."""
+    text = "regexp_replace(text, '(?U)\\\\s+$', '')"
+    wrapped = F.expr(f"case doc_id % 5 when 0 then concat(' \n```md\n', text, '\n```\n') when 1 then concat('```\n', text) when 2 then concat('head ```\n', nullif({text}, ''), '\n```') when 3 then text else '```md\n \n```' end")
+    return _docs(spark, sf).where("text NOT LIKE '%```%'").select("doc_id", X.unwrap_fence(wrapped).alias("text"))
 
 
 @query("t18_slices", oracle("SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ordinal, regexp_replace('## Turn ' || turn || chr(10) || text, '^\\s+|\\s+$', '', 'g') AS text, role <> 'system' AS is_sub_document FROM conversations WHERE conv_id IN (SELECT conv_id FROM d_bundles)"))
@@ -253,17 +281,49 @@ def t18(spark, sf):
     return cut_up.select("conv_id", "s.ordinal", "s.text", "s.is_sub_document")
 
 
-@query("t19_escaped", "SELECT doc_id, regexp_replace(text, '([\\\\`*_\\[\\]<>|])', '\\\\\\1', 'g') AS escaped FROM documents")
+#: Underscores inside words are set aside, then every mark is escaped.
+_BETWEEN = "'([\\p{L}\\p{Nd}])_([\\p{L}\\p{Nd}])', '\\1' || chr(57344) || '\\2', 'g'"
+_INLINE_SQL = f"replace(regexp_replace(regexp_replace(regexp_replace(t, {_BETWEEN}), {_BETWEEN}), '[\\\\`*_\\[\\]<]', '\\\\\\0', 'g'), chr(57344), '_')"
+
+
+@query("t19_escaped", f"SELECT doc_id, {_INLINE_SQL} AS escaped FROM (SELECT doc_id, translate(text, 'aeiu', '_*[\\') || 'snake_case_ a_b_c <a|b>' AS t FROM documents)")
 def t19(spark, sf):
-    return _docs(spark, sf).select("doc_id", X.escape_inline(F.col("text")).alias("escaped"))
+    """All texts with letters in the place of marks."""
+    marked = F.concat(F.translate("text", "aeiu", "_*[\\"), F.lit("snake_case_ a_b_c <a|b>"))
+    return _docs(spark, sf).select("doc_id", X.escape_inline(marked).alias("escaped"))
+
+
+_STARTS = ("# ", "######", "#######", "#x ", "> ", ">", "=== ", "==x", "* * *", "-- -\t", "--", "_ _ _", "--- | :--", ":-:", "|x|", "- ", "-", "+\t", "*x", "1. ", "123456789) ", "1234567890. ", "3.14 ", "1.", "   # ", "    # ", "     > ", "１. ", "", "** *", "*-*-", "|-")
 
 
-@query("t19_escaped_line", r"SELECT doc_id, regexp_replace(regexp_replace(line, '^(\s*)(#{1,6}(?:\s|$)|>|[-+*](?:\s|$)|[-=]{3,}\s*$)', '\1\\\2'), '^(\s*\d+)([.)](?:\s|$))', '\1\\\2') AS escaped FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '# ' WHEN 1 THEN '- ' WHEN 2 THEN '12. ' WHEN 3 THEN '>' ELSE '' END || lang AS line FROM documents)")
+def _line_sql(t: str) -> str:
+    """The rules one after the other, on the line behind up to three spaces."""
+    rest = f"regexp_replace({t}, '^ {{0,3}}', '')"
+    packed = f"regexp_replace({rest}, '[ \\t]', '', 'g')"
+    whole = f"(regexp_full_match({rest}, '#{{1,6}}([ \\t].*)?', 's') OR starts_with({rest}, '>') OR regexp_full_match({rest}, '=+[ \\t]*') OR ({rest} NOT LIKE ' %' AND {rest} NOT LIKE chr(9) || '%' AND length({packed}) >= 3 AND (regexp_full_match({packed}, '-+') OR regexp_full_match({packed}, '\\*+') OR regexp_full_match({packed}, '_+'))) OR ({rest} NOT LIKE ' %' AND {rest} NOT LIKE chr(9) || '%' AND regexp_full_match({packed}, '[-:|]+') AND {packed} LIKE '%-%' AND regexp_matches({packed}, '[:|]')) OR regexp_full_match({rest}, '[-+*][ \\t].*', 's'))"
+    number = f"regexp_extract({rest}, '^([0-9]{{1,9}})[.)][ \\t]', 1)"
+    spaces = f"substr({t}, 1, length({t}) - length({rest}))"
+    return f"CASE WHEN {whole} THEN {spaces} || '\\' || {rest} WHEN {number} <> '' THEN {spaces} || {number} || '\\' || substr({rest}, length({number}) + 1) ELSE {t} END"
+
+
+@query("t19_escaped_line", f"SELECT doc_id, {_line_sql('t')} AS escaped FROM (SELECT doc_id, CASE doc_id % {len(_STARTS)} " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_STARTS)) + " END || CASE WHEN doc_id % 3 > 0 THEN regexp_extract(text, '^[^\n]*') ELSE '' END AS t FROM documents)")
 def t19_line(spark, sf):
-    line = F.concat(F.expr("case doc_id % 5 when 0 then '# ' when 1 then '- ' when 2 then '12. ' when 3 then '>' else '' end"), F.col("lang"))
+    """The first lines of texts, or none, behind everything that may start a block and what only looks like it."""
+    start = F.element_at(F.array(*map(F.lit, _STARTS)), (F.col("doc_id") % len(_STARTS) + 1).cast("int"))
+    line = F.concat(start, F.when(F.col("doc_id") % 3 > 0, F.regexp_extract("text", r"^[^\n]*", 0)).otherwise(""))
     return _docs(spark, sf).select("doc_id", X.escape_line(line).alias("escaped"))
 
 
+@query("t19_escaped_block", f"SELECT doc_id, array_to_string(list_transform(string_split({_INLINE_SQL}, chr(10)), lambda u: {_line_sql('u')}), chr(10)) AS escaped FROM (SELECT doc_id, text AS t FROM documents)")
+def t19_block(spark, sf):
+    return _docs(spark, sf).select("doc_id", X.escape_block(F.col("text")).alias("escaped"))
+
+
+@query("t19_escaped_cell", r"SELECT doc_id, trim(replace(replace(replace(replace(text, '\', '\\'), '|', '\|'), chr(13), ' '), chr(10), ' '), ' ' || chr(9) || chr(11) || chr(12) || chr(133) || chr(160)) AS cell FROM documents")
+def t19_cell(spark, sf):
+    return _docs(spark, sf).select("doc_id", X.escape_cell(F.col("text")).alias("cell"))
+
+
 @query("t20_table", "SELECT n_regionkey, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) || chr(10) || '| end |  |' AS md FROM nation GROUP BY n_regionkey")
 def t20(spark, sf):
     rows = D.table(spark, sf, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("l"))
@@ -286,9 +346,10 @@ def t23(spark, sf):
     return _docs(spark, sf).select("doc_id", X.meaningful(F.regexp_replace("text", "[a-zA-Z]", "")).alias("ok"))
 
 
-@query("t34_identifiers", "SELECT p_partkey, regexp_full_match(c, '[a-z][a-z0-9_]*(\\.[a-z][a-z0-9_]*)*') AS code_ok, regexp_full_match(c, '[a-z][a-z0-9_]{0,63}') AS name_ok FROM (SELECT p_partkey, lower(replace(p_type, ' ', CASE WHEN p_partkey % 2 = 0 THEN '.' ELSE '_' END)) AS c FROM part)")
+@query("t34_identifiers", r"SELECT p_partkey, len(list_filter(string_split(c, '.'), lambda x: x = '' OR translate(lower(x), 'abcdefghijklmnopqrstuvwxyz0123456789_-', '') <> '')) = 0 AS code_ok, length(c) BETWEEN 1 AND 64 AND translate(lower(c), 'abcdefghijklmnopqrstuvwxyz0123456789_-', '') = '' AS name_ok FROM (SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN p_type WHEN 1 THEN replace(p_type, ' ', '.') WHEN 2 THEN replace(p_type, ' ', '_') || '-1' WHEN 3 THEN p_partkey || 'a' WHEN 4 THEN replace(p_type, ' ', '..') WHEN 5 THEN repeat(p_brand[1:5], 1 + p_size // 2) ELSE p_type || chr(10) END AS c FROM part)")
 def t34(spark, sf):
-    code = F.lower(F.replace(F.col("p_type"), F.lit(" "), F.when(F.col("p_partkey") % 2 == 0, F.lit(".")).otherwise(F.lit("_"))))
+    """Codes with capitals, digits first, hyphens, spaces, empty parts, a line end, and too long ones."""
+    code = F.expr("case p_partkey % 7 when 0 then p_type when 1 then replace(p_type, ' ', '.') when 2 then concat(replace(p_type, ' ', '_'), '-1') when 3 then concat(p_partkey, 'a') when 4 then replace(p_type, ' ', '..') when 5 then repeat(substr(p_brand, 1, 5), cast(1 + p_size div 2 as int)) else concat(p_type, '\n') end")
     return D.table(spark, sf, "part").select("p_partkey", X.valid_type_code(code).alias("code_ok"), X.valid_field_name(code).alias("name_ok"))
 
 
