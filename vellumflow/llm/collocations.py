@@ -32,6 +32,7 @@ LEAST, LONGEST, KEEP = 100, 5, 2000
 UNKNOWN = "und"
 BYTES = 8 << 20  # of text whose words are Python objects at once; one text may be longer
 WORDS = 4 << 20  # words that are counted together; one block may have more
+PACK = 1 << 16  # phrases that are spelt out at once
 GATE_BITS = 26  # of a gate's address: 8 MB at any size of the data
 SLOTS = 1024  # parts in which a gate is put together
 SALTS = 64
@@ -98,16 +99,21 @@ def gate(phrases: DataFrame):
 
 def _phrases(words: list[bytes], ids: np.ndarray, links: np.ndarray, low: int, high: int) -> Iterator[tuple[list[bytes], np.ndarray]]:
     """Different phrases of low to high words with their counts. links[i]: words i and i + 1 may stand in a frequent phrase."""
-    at, made = np.flatnonzero(links), words
+    at, shorter = np.flatnonzero(links), words
     name = ids[at]
     for k in range(2, high + 1):
         if k > 2:
             going = links[at + k - 2]
             at, name = at[going], name[going]
         keys, name, counts = np.unique(name.astype(np.int64) << 32 | ids[at + k - 1], return_inverse=True, return_counts=True)
-        made = [made[a] + b" " + words[b] for a, b in zip((keys >> 32).tolist(), (keys & 0xFFFFFFFF).tolist())]
+        def spelt(first: int, last: int) -> list[bytes]:
+            return [shorter[a] + b" " + words[b] for a, b in zip((keys[first:last] >> 32).tolist(), (keys[first:last] & 0xFFFFFFFF).tolist())]
+
         if k >= low:
-            yield made, counts
+            for first in range(0, len(keys), PACK):
+                yield spelt(first, first + PACK), counts[first : first + PACK]
+        if k < high:
+            shorter = spelt(0, len(keys))
 
 
 def _counted(rows: DataFrame, low: int, high: int, least: int, bits=None) -> DataFrame:
@@ -117,7 +123,7 @@ def _counted(rows: DataFrame, low: int, high: int, least: int, bits=None) -> Dat
         words, ids = list(number), np.concatenate([*parts, np.zeros(high, np.int32)])
         if high == 1:
             counts = np.bincount(ids, minlength=len(words))[1:]
-            found = [(words[1:], counts), ([None], np.array([counts.sum()]))]
+            found = [*((words[k : k + PACK], counts[k - 1 : k - 1 + PACK]) for k in range(1, len(words), PACK)), ([None], np.array([counts.sum()]))]
         else:
             allowed, hashes = np.frombuffer(bits.value, np.uint8), word_hashes(words, lang)
             if low == 2:
@@ -130,9 +136,8 @@ def _counted(rows: DataFrame, low: int, high: int, least: int, bits=None) -> Dat
                 links[at] = _passes(allowed, pair_hashes(hashes[ids[at]], hashes[ids[at + 1]]))
             found = _phrases(words, ids, np.append(links, np.zeros(high, bool)), low, high)
         for phrases, counts in found:
-            for first in range(0, len(phrases), 1 << 16):
-                some = pa.array(phrases[first : first + (1 << 16)], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), some, pa.array(counts[first : first + (1 << 16)].astype(np.int64))], names=["lang", "phrase", "f"])
+            some = pa.array(phrases, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), some, pa.array(counts.astype(np.int64))], names=["lang", "phrase", "f"])
 
     def count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers: dict[str, dict[bytes, int]] = {}
