@@ -157,3 +157,84 @@ def test_transforms_along_chains_circles_and_orphans(spark):
     assert (got[300].off_x, got[300].scale_x, got[301].off_x, got[301].depth) == (0.0, 1.0, 4.0, 1)
     short = L.group_transforms(spark.createDataFrame(rows, "id long, parent long, " + ", ".join(f"{n} long" for n in names)), deepest=3)
     assert {r.id for r in short.where("depth IS NULL").collect()} == {*range(4, 16), 100, 101, 102, 200}
+
+
+def rows_by_hand(boxes):
+    """Rows of (place, top, bottom): a box joins the first whose last box it overlaps by half."""
+    rows = []
+    for place, top, bottom in sorted(boxes, key=lambda b: (-b[1], b[0])):
+        for row in rows:
+            t, b = row[-1][1:]
+            least = min(t - b, top - bottom)
+            if least > 0 and (min(t, top) - max(b, bottom)) / least >= 0.5:
+                row.append((place, top, bottom))
+                break
+        else:
+            rows.append([(place, top, bottom)])
+    return rows
+
+
+def random_boxes(seed, pages, n, across=40, height=60):
+    r = random.Random(seed)
+    out = []
+    for p in range(pages):
+        for k in range(r.randrange(n)):
+            left, bottom = r.randrange(across), r.randrange(height)
+            out.append((p, k, float(left), float(left + r.choice((1, 2, 5, 9))), float(bottom), float(bottom + r.choice((0, 1, 2, 4, 12)))))
+    return out
+
+
+SIDES = "page long, place long, left double, right double, bottom double, top double"
+
+
+def test_rows_and_lines(spark):
+    boxes = random_boxes(7, 12, 60)
+    df = spark.createDataFrame([*boxes, (0, 900, 1.0, 2.0, None, 5.0)], SIDES)
+    got = {}
+    for row in L.in_rows(df, ["page"]).collect():
+        got.setdefault((row.page, row.strip, row.row), set()).add(row.place)
+    want = [(p, row) for p in range(12) for row in rows_by_hand([(b[1], b[5], b[4]) for b in boxes if b[0] == p])]
+    assert sorted((p, sorted(s)) for (p, _, _), s in got.items()) == sorted((p, sorted(x[0] for x in row)) for p, row in want)
+    words = df.withColumn("text", F.when(F.col("place") % 9 == 0, "  ").otherwise(F.concat(F.lit("w"), "place")))
+    lines = {(r.page, r.line): r.text for r in L.text_lines(words, ["page"]).collect()}
+    sides = {(b[0], b[1]): b for b in boxes}
+    for p in range(12):
+        expected = []
+        for row in rows_by_hand([(b[1], b[5], b[4]) for b in boxes if b[0] == p and b[1] % 9]):
+            left = lambda place: sides[p, place][2]
+            expected.append((-max(x[1] for x in row), min(left(x[0]) for x in row), " ".join(f"w{x[0]}" for x in sorted(row, key=lambda x: left(x[0])))))
+        shown = [lines[p, k] for k in range(len(expected))]
+        assert sorted(shown) == sorted(e[2] for e in expected)
+        assert [e[:2] for e in sorted(expected, key=lambda e: e[:2])] == [next(e[:2] for e in expected if e[2] == text) for text in shown]
+    assert L.text_lines(words.where("false"), ["page"]).count() == 0
+
+
+def test_reading_order(spark):
+    """A title over the page, two columns side by side, a rule over the page, a block below."""
+    blocks = [(1, 0, 0.0, 100.0, 90.0, 99.0), (1, 1, 55.0, 99.0, 60.0, 80.0), (1, 2, 0.0, 45.0, 58.0, 79.0), (1, 3, 60.0, 70.0, 82.0, 88.0), (1, 4, 5.0, 98.0, 50.0, 51.0), (1, 5, 0.0, 20.0, 10.0, 20.0), (1, 6, None, 1.0, 1.0, 1.0), (2, 0, 0.0, 1.0, 0.0, 1.0)]
+    got = {(r.page, r.place): (r.band, r.position) for r in L.reading_order(spark.createDataFrame(blocks, SIDES), ["page"]).collect()}
+    assert got == {(1, 0): (0, 0), (1, 3): (1, 1), (1, 2): (1, 2), (1, 1): (1, 3), (1, 4): (2, 4), (1, 5): (3, 5), (2, 0): (0, 0)}
+
+
+def cut_by_hand(boxes, gap_x, gap_y, path=""):
+    """place: path of (place, left, right, bottom, top)."""
+    best = (0, 0, 0)
+    by_x, by_y = sorted(boxes, key=lambda b: b[1]), sorted(boxes, key=lambda b: -b[4])
+    for k in range(1, len(boxes)):
+        best = max(best, ((by_x[k][1] - max(b[2] for b in by_x[:k])) / gap_x, 1, -by_x[k][1]))
+    for k in range(1, len(boxes)):
+        best = max(best, ((min(b[3] for b in by_y[:k]) - by_y[k][4]) / gap_y, 0, by_y[k][4]))
+    if best[0] < 1:
+        return {b[0]: path for b in boxes}
+    behind = [b for b in boxes if (b[1] >= -best[2] if best[1] else b[4] <= best[2])]
+    front = [b for b in boxes if b not in behind]
+    return cut_by_hand(front, gap_x, gap_y, path + "0") | cut_by_hand(behind, gap_x, gap_y, path + "1")
+
+
+def test_xy_cut(spark):
+    boxes = random_boxes(8, 10, 14, 120, 150)
+    got = {(r.page, r.place): r.path for r in L.xy_cut(spark.createDataFrame([*boxes, (0, 900, None, 1.0, 1.0, 1.0)], SIDES), ["page"], 3.0, 2.0).collect()}
+    want = {(p, place): path for p in range(10) for place, path in cut_by_hand([b[1:] for b in boxes if b[0] == p], 3.0, 2.0).items()}
+    assert got == want | {(0, 900): None} and max(len(p) for p in want.values()) > 4
+    flat = L.xy_cut(spark.createDataFrame(boxes, SIDES), ["page"], 3.0, 2.0, deepest=1).collect()
+    assert max(len(r.path) for r in flat) == 1

@@ -5,6 +5,9 @@ Boxes and points are rows; a page is a key. Nothing gathers a page in a task: wh
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -218,3 +221,113 @@ def group_transforms(groups: DataFrame, deepest: int = 64) -> DataFrame:
 def on_slide(local: Column, off: Column, scale: Column) -> Column:
     """Where a local offset lies on the slide, cut to a whole number; without one, where the group's frame begins."""
     return F.when(local.isNull(), off).otherwise(off + scale * local).cast("long")
+
+
+ROW_OVERLAP, FULL_WIDTH = 0.5, 0.7  # share of the smaller height that puts two boxes in a row; share of the content's width that makes a block a band
+
+
+def _fold_rows(rows: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Numbers of rows within a strip, from boxes sorted by strip and downwards. Only rows that a further box can join are held."""
+    strip, numbers, open_rows = None, 0, []
+    for batch in rows:
+        out = []
+        for at, top, bottom in zip(zip(*(batch[k].tolist() for k in keys)), batch["top"].tolist(), batch["bottom"].tolist()):
+            if at != strip:
+                strip, numbers, open_rows = at, 0, []
+            open_rows = [r for r in open_rows if r[1] < top]
+            for r in open_rows:
+                least = min(r[0] - r[1], top - bottom)
+                if least > 0 and (min(r[0], top) - max(r[1], bottom)) / least >= ROW_OVERLAP:
+                    r[:2] = top, bottom
+                    out.append(r[2])
+                    break
+            else:
+                open_rows.append([top, bottom, numbers])
+                out.append(numbers)
+                numbers += 1
+        yield batch.assign(row=out)
+
+
+def in_rows(items: DataFrame, keys: list[str]) -> DataFrame:
+    """items (keys, place, top, bottom, ...) with strip and row: boxes side by side have the same of both.
+
+    From the top down, a box joins the first row whose last box it overlaps by half of the smaller height; boxes equally high
+    come by place. A strip is what lies between heights that no box reaches over, so strips of a page are dealt out and a task
+    holds the open rows of one. Boxes with a null are left out; keys are compared as texts; one without height is a row of its own.
+    """
+    known = items.where("top IS NOT NULL AND bottom IS NOT NULL")
+    down = Window.partitionBy(*keys).orderBy(F.desc("top"), "place")
+    lowest = F.min("bottom").over(down.rowsBetween(Window.unboundedPreceding, -1))
+    marked = known.withColumn("starts", F.when(lowest.isNull() | (lowest >= F.col("top")), 1).otherwise(0))
+    marked = marked.withColumn("strip", F.sum("starts").over(down.rowsBetween(Window.unboundedPreceding, 0))).drop("starts")
+    # what a task needs is the order, so only the geometry goes through it
+    slim = marked.select(F.concat_ws("\x1f", *(F.coalesce(F.col(k).cast("string"), F.lit("\x1e")) for k in keys)).alias("of"), "strip", "place", "top", "bottom")
+    spread = slim.repartition("of", "strip").sortWithinPartitions("of", "strip", F.desc("top"), "place")
+    numbered = spread.mapInPandas(lambda batches: _fold_rows(batches, ["of", "strip"]), "of string, strip long, place long, top double, bottom double, row long")
+    of = F.concat_ws("\x1f", *(F.coalesce(F.col(k).cast("string"), F.lit("\x1e")) for k in keys))
+    found = numbered.select(F.col("of").alias("_of"), F.col("place").alias("_place"), "row")
+    return marked.join(found, (of == F.col("_of")) & (F.col("place") == F.col("_place"))).drop("_of", "_place")
+
+
+def text_lines(words: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, line, text, left, right, bottom, top, words: the lines of each page's words, from the top, then the left, numbered from 0.
+
+    Words have keys, place (their order, unique within the keys), text and the four sides. Blank words are none. Words of a line
+    stand from left to right.
+    """
+    placed = in_rows(words.where(F.length(F.regexp_replace("text", r"(?U)\s+", "")) > 0), keys)
+    ordered = F.array_sort(F.collect_list(F.struct("left", (-F.col("top")).alias("down"), "place", "text")))
+    lines = placed.groupBy(*keys, "strip", "row").agg(ordered.alias("w"), F.min("left").alias("left"), F.max("right").alias("right"), F.min("bottom").alias("bottom"), F.max("top").alias("top"))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("top"), "left", "strip", "row")) - 1
+    return lines.select(*keys, number.cast("long").alias("line"), F.array_join(F.transform("w", lambda w: w["text"]), " ").alias("text"), "left", "right", "bottom", "top", F.size("w").cast("long").alias("words"))
+
+
+def reading_order(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """blocks (keys, place, left, right, bottom, top) with band and position, from 0, in which they are read.
+
+    A block nearly as wide as its page's content is a band of its own; between such, the others are. Bands are read downwards,
+    inside them rows (see in_rows()), and in a row from left to right. Blocks with a null are left out.
+    """
+    known = blocks.where("left IS NOT NULL AND right IS NOT NULL AND top IS NOT NULL AND bottom IS NOT NULL")
+    page, down = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(F.desc("top"), "place")
+    width = F.max(F.greatest("left", "right")).over(page) - F.min(F.least("left", "right")).over(page)
+    wide = known.withColumn("wide", (F.abs(F.col("right") - F.col("left")) >= width * FULL_WIDTH).cast("int"))
+    # a wide block starts a band, and so does the block after it
+    breaks = F.greatest("wide", F.coalesce(F.lag("wide").over(down), F.lit(1)))
+    banded = wide.withColumn("breaks", breaks).withColumn("band", F.sum("breaks").over(down) - 1).drop("wide", "breaks")
+    placed = in_rows(banded, [*keys, "band"])
+    highest = F.max("top").over(Window.partitionBy(*keys, "band", "strip", "row"))
+    ranked = placed.withColumn("highest", highest)
+    position = F.row_number().over(Window.partitionBy(*keys).orderBy("band", F.desc("highest"), "strip", "row", "left", F.desc("top"), "place")) - 1
+    return ranked.withColumn("position", position.cast("long")).drop("highest", "strip", "row")
+
+
+def xy_cut(boxes: DataFrame, keys: list[str], gap_x: float, gap_y: float, deepest: int = 32) -> DataFrame:
+    """boxes (keys, left, right, bottom, top, ...) with path: where each lies when its page is cut in two at the widest gap, and the parts again.
+
+    A gap counts in units of the least gap of its direction, and must have one at least; of equally wide ones the upright cut
+    goes first, then the one further left or up. 0 is the left or upper part, so paths in order are a reading order. All parts
+    of all pages are cut in one round; a part is not cut deeper than deepest. Boxes with a null have a null path.
+    """
+    sides = ["left", "right", "bottom", "top"]
+    missing = " OR ".join(f"{s} IS NULL" for s in sides)
+    state = boxes.where(f"NOT ({missing})").withColumn("path", F.lit("")).withColumn("going", F.lit(True))
+    done = boxes.where(missing).withColumn("path", F.lit(None).cast("string"))
+    part = [*keys, "path"]
+    for _ in range(deepest):
+        across, down = Window.partitionBy(*part).orderBy("left", "right"), Window.partitionBy(*part).orderBy(F.desc("top"), F.desc("bottom"))
+        before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+        free_x = (F.col("left") - F.max("right").over(before(across))) / gap_x
+        free_y = (F.min("bottom").over(before(down)) - F.col("top")) / gap_y
+        gaps = state.where("going").select(*part, free_x.alias("fx"), free_y.alias("fy"), "left", "top")
+        widest = lambda free, edge: F.max(F.struct(F.col(free).alias("free"), (-F.col(edge) if edge == "left" else F.col(edge)).alias("edge")))
+        cuts = gaps.groupBy(*part).agg(widest("fx", "left").alias("x"), widest("fy", "top").alias("y"))
+        upright = (F.col("x.free") >= 1) & (F.col("x.free") >= F.coalesce("y.free", F.lit(0.0)))
+        cuts = cuts.select(*part, F.when(upright, -F.col("x.edge")).alias("cut_x"), F.when(~F.coalesce(upright, F.lit(False)) & (F.col("y.free") >= 1), F.col("y.edge")).alias("cut_y"))
+        cuts = cuts.where("cut_x IS NOT NULL OR cut_y IS NOT NULL")
+        behind = F.when(F.col("cut_x").isNotNull(), F.col("left") >= F.col("cut_x")).otherwise(F.col("top") <= F.col("cut_y"))
+        met = state.drop("going").join(cuts, part, "left")
+        state = cut(met.withColumn("going", behind.isNotNull()).withColumn("path", F.when(behind.isNull(), F.col("path")).otherwise(F.concat("path", F.when(behind, "1").otherwise("0")))).drop("cut_x", "cut_y"), "parts")
+        if state.where("going").isEmpty():
+            break
+    return state.drop("going").unionByName(done)

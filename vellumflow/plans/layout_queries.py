@@ -149,3 +149,48 @@ def t33(spark, sf):
         L.on_slide(F.lit(None), *frame["x"]).alias("origin_x"), L.on_slide(F.lit(None), *frame["y"]).alias("origin_y"),
         L.on_slide(F.col("id") % 400, *frame["x"]).alias("x"), L.on_slide(F.col("id") % 300, *frame["y"]).alias("y"),
     )
+
+
+def _leaves(spark, sf):
+    """Boxes on pages of some twenty."""
+    boxes = D.drawn(spark, sf, "d_boxes").groupBy("id").agg(*(F.max(c).alias(c) for c in ("x0", "x1", "y0", "y1")))
+    wide = F.when(F.col("id") % 11 == 0, 600.0).otherwise(0.0)
+    return boxes.select(F.expr("id div 50").alias("page"), F.col("id").alias("place"), F.col("x0").alias("left"), (F.col("x1") + wide).alias("right"), F.col("y0").alias("bottom"), F.col("y1").alias("top"), F.when(F.col("id") % 13 == 0, "  ").otherwise(F.concat(F.lit("w"), "id")).alias("text"))
+
+
+#: Rows by a walk over each page's boxes from the top, with the last box of every row so far.
+_ROWS = """WITH RECURSIVE leaves AS MATERIALIZED (
+  SELECT id // 50 AS page, id AS place, max(x0) AS l, max(x1) + CASE WHEN id % 11 = 0 THEN 600 ELSE 0 END AS r, max(y0) AS b, max(y1) AS t FROM d_boxes GROUP BY id
+), wide AS (
+  SELECT *, abs(r - l) >= (max(r) OVER (PARTITION BY page) - min(l) OVER (PARTITION BY page)) * CAST(0.7 AS DOUBLE) AS full_width FROM leaves
+), lagged AS (
+  SELECT *, CASE WHEN full_width OR coalesce(lag(full_width) OVER (PARTITION BY page ORDER BY t DESC, place), true) THEN 1 ELSE 0 END AS starts FROM wide
+), banded AS MATERIALIZED (
+  SELECT *, {band} AS band FROM lagged{where}
+), ordered AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY page, band ORDER BY t DESC, place) AS k FROM banded
+), walk(page, band, k, place, hit, lasts) AS (
+  SELECT page, band, k, place, CAST(1 AS BIGINT), [[b, t]] FROM ordered WHERE k = 1
+  UNION ALL
+  SELECT page, band, k, place, coalesce(hit, len(lasts) + 1), CASE WHEN hit IS NULL THEN list_append(lasts, [b, t]) ELSE list_concat(lasts[1:hit - 1], [[b, t]], lasts[hit + 1:]) END
+  FROM (SELECT o.page, o.band, o.k, o.place, o.b, o.t, w.lasts, CAST(list_position(list_transform(w.lasts, lambda q: least(q[2] - q[1], o.t - o.b) > 0 AND (least(q[2], o.t) - greatest(q[1], o.b)) / least(q[2] - q[1], o.t - o.b) >= 0.5), true) AS BIGINT) AS hit
+        FROM walk w JOIN ordered o ON o.page = w.page AND o.band = w.band AND o.k = w.k + 1) n
+), rowed AS MATERIALIZED (
+  SELECT o.*, w.hit FROM ordered o JOIN walk w ON w.page = o.page AND w.place = o.place
+)
+"""
+
+
+@query("t24_text_lines", oracle(_ROWS.format(band="0", where=" WHERE place % 13 > 0") + """SELECT page, row_number() OVER (PARTITION BY page ORDER BY max(t) DESC, min(l), hit) - 1 AS line, string_agg('w' || place, ' ' ORDER BY l, t DESC, place) AS text, min(l) AS "left", max(r) AS "right", min(b) AS bottom, max(t) AS top, count(*) AS words FROM rowed GROUP BY page, hit"""))
+def t24(spark, sf):
+    return L.text_lines(_leaves(spark, sf), ["page"])
+
+
+@query("t26_reading_order", oracle(_ROWS.format(band="sum(starts) OVER (PARTITION BY page ORDER BY t DESC, place) - 1", where="") + """SELECT page, place, CAST(band AS BIGINT) AS band, row_number() OVER (PARTITION BY page ORDER BY band, high DESC, hit, l, t DESC, place) - 1 AS position FROM (SELECT *, max(t) OVER (PARTITION BY page, band, hit) AS high FROM rowed) h"""))
+def t26(spark, sf):
+    return L.reading_order(_leaves(spark, sf), ["page"]).select("page", "place", "band", "position")
+
+
+@query("t26_xy_cut")
+def t26_cut(spark, sf):
+    return L.xy_cut(_leaves(spark, sf).drop("text"), ["page"], 8.0, 5.0).select("page", "place", "path")
