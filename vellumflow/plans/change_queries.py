@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from vellumflow.operators import changes as C
 from vellumflow.plans.registry import query
+from vellumflow.sources import blobs
 from vellumflow.sources import derived as D
 from vellumflow.sources.derived import oracle
 from vellumflow.sources.versions import VersionedTable
@@ -111,3 +112,13 @@ def g16_delete(spark, sf):
     table.upsert(C.restore_types(table.read(), names))
     refused = names.select("type_code").join(refusals.select("type_code", F.lit(True).alias("refused")), "type_code", "left").fillna(False)
     return table.read().select(*C.KEY, "is_deleted").join(binned, C.KEY).join(refused, "type_code")
+
+
+@query("s8_blob_round_trip", "SELECT 'page/' || page_id || '.html' AS name, strlen(html) AS size_bytes, sha256(html) AS sha256 FROM pages WHERE page_id % 7 > 0")
+def s8_blobs(spark, sf):
+    """All pages go into a blob store, every seventh is deleted, the others are read again."""
+    path = f"{shared_folder(spark)}/blobs-{uuid.uuid4().hex}"
+    pages = D.table(spark, sf, "pages").select("page_id", F.concat(F.lit("page/"), "page_id", F.lit(".html")).alias("name"), F.encode("html", "UTF-8").alias("content"))
+    blobs.store(pages.repartition(8), path)
+    blobs.delete(pages.where("page_id % 7 = 0"), path)
+    return blobs.load(spark, path).select("name", F.octet_length("content").cast("long").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
