@@ -4,6 +4,7 @@ import datetime as dt
 import hashlib
 import json
 import os
+import random
 from decimal import Decimal
 from pathlib import Path
 
@@ -377,3 +378,38 @@ def test_plans_prune_and_push_down(spark, sf):
     assert "o_totalprice" not in plan
     two = S.matching_ids(D.extracted_fields(spark, sf), [S.FieldQuery(102, "Text", "1-URGENT"), S.FieldQuery(101, "Number", min="5")])
     assert two._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+def test_slices_as_a_table_function(spark):
+    """Random texts and markers give the rows of the expression; other arguments are refused."""
+    from pyspark.errors import PySparkException
+
+    from vellumflow.operators import table_functions
+
+    table_functions.register(spark)
+    r = random.Random(9)
+    lines = ["# A", "# B", "<b> c", " ", "", "text", "*[Image OCR p:3]*", "*[Image OCR]*", " x"]
+    rows = [(k, "\n".join(r.choice(lines) for _ in range(r.randrange(9))), [(r.choice([*lines[:3], "&lt;b> c", *lines[6:8], "x"]), r.random() < 0.5) for _ in range(r.randrange(4))]) for k in range(900)] + [(900, None, [("a", True)]), (901, "a", None), (902, "a", [(None, True)])]
+    df = spark.createDataFrame(rows, "id long, t string, m array<struct<marker:string,is_sub_document:boolean>>")
+    got = spark.sql("SELECT d.id, s.* FROM {d} d, LATERAL document_slices(d.t, d.m) s", d=df)
+    want = df.select("id", F.explode(X.slices(F.col("t"), F.col("m"))).alias("s")).select("id", "s.*")
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 50
+    for call in ("document_slices(1, array())", "document_slices('a', array('b'))"):
+        with pytest.raises(PySparkException, match="document_slices"):
+            spark.sql(f"SELECT * FROM {call}").collect()
+
+
+def test_helper_columns_do_not_clash(spark):
+    docs = spark.createDataFrame([(1, 0.9, False, False, 5, 6)], "type_id long, confidence double, is_container boolean, is_derived boolean, threshold long, least long")
+    types = spark.createDataFrame([(1, 0.7)], "id long, threshold double")
+    row = G.route(docs, types).first()
+    assert (row.outcome, row.threshold, row.least) == ("Classified", 5, 6)
+
+
+def test_null_ids_are_in_no_batch(spark):
+    rows = S.batches(spark.createDataFrame([(1,), (None,), (3,)], "id long"), 2).collect()
+    assert {r.id: r.batch for r in rows} == {1: 0, 3: 0}
+
+
+def test_any_gif(spark):
+    assert spark.createDataFrame([(b"GIF8xx",)], "b binary").select(files.sniff(F.col("b"))).first()[0] == "gif"

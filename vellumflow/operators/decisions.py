@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from vellumflow.functions import model as M
 from vellumflow.functions import text as X
 from vellumflow.functions import values as V
+from vellumflow.operators.graph import unused
 
 
 def call_model(rows: DataFrame, prompt: str, answer: str, model: Callable[[list[str]], list[str]]) -> DataFrame:
@@ -27,11 +28,12 @@ def call_model(rows: DataFrame, prompt: str, answer: str, model: Callable[[list[
 
 def route(docs: DataFrame, types: DataFrame) -> DataFrame:
     """Adds outcome: Container, Classified or Review, from is_container, is_derived, type_id and confidence."""
-    known = types.select(F.col("id").alias("_type"), "threshold")
+    key, least = unused(docs, "of_type"), unused(docs, "least")
+    known = types.select(F.col("id").alias(key), F.col("threshold").alias(least))
     confidence = V.normal_confidence(F.col("confidence"))
-    sure = F.coalesce(confidence >= F.col("threshold"), F.lit(False))
+    sure = F.coalesce(confidence >= F.col(least), F.lit(False))
     outcome = F.when(F.col("is_container") & ~F.col("is_derived"), "Container").when(sure, "Classified").otherwise("Review")
-    return docs.join(known, F.col("type_id") == F.col("_type"), "left").withColumn("outcome", outcome).drop("_type", "threshold")
+    return docs.join(known, F.col("type_id") == F.col(key), "left").withColumn("outcome", outcome).drop(key, least)
 
 
 def apply_route(docs: DataFrame) -> DataFrame:

@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 from vellumflow.streaming.events import shared_folder
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have yet."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it again, so that the next round neither recomputes it nor depends on lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

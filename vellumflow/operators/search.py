@@ -290,11 +290,11 @@ def after(df: DataFrame, cursor: int | None, take: int) -> DataFrame:
 
 
 def batches(df: DataFrame, size: int) -> DataFrame:
-    """id, batch: all ids in order, dealt into batches of a size from 0 on. What after() gives page by page, in one scan.
+    """id, batch: all ids in order, dealt into batches of a size from 0 on. What after() gives page by page, in one scan. Null ids are in none.
 
     Ids are numbered within ranges between quantiles, behind the counts of the ranges before: one row per range is gathered.
     """
-    ids = df.select("id")
+    ids = df.select("id").where("id IS NOT NULL")
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     marks = sorted(set(ids.approxQuantile("id", [k / ranges for k in range(1, ranges)], 0.25 / ranges))) if ranges > 1 else []
     # any marks number rightly, they only make ranges alike; two at least, as the class asks for three splits

@@ -54,7 +54,7 @@ def a3(spark, sf):
 
 @query("a4_ordered_values", oracle("SELECT document_id, field_definition_id, string_agg(text_value, '|' ORDER BY order_no) AS parts FROM d_extracted_fields WHERE field_definition_id % 100 = 8 GROUP BY ALL"))
 def a4(spark, sf):
-    rows = D.extracted_fields(spark, sf).where("field_definition_id % 100 = 8")
+    rows = D.extracted_fields(spark, sf, (8,)).where("field_definition_id % 100 = 8")
     return rows.groupBy("document_id", "field_definition_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order_no", "text_value"))), lambda v: v["text_value"]), "|").alias("parts"))
 
 
@@ -130,7 +130,7 @@ def j3(spark, sf):
 
 @query("j4_missing_required", oracle(f"SELECT d.id, f.name FROM d_documents d JOIN d_field_definitions f ON f.document_type_id = d.document_type_id AND f.is_required AND NOT f.is_deleted WHERE {LIVE.replace('is_deleted', 'd.is_deleted')} AND NOT EXISTS (SELECT 1 FROM d_extracted_fields v WHERE v.document_id = d.id AND v.field_definition_id = f.id)"))
 def j4(spark, sf):
-    return R.missing_required(_docs(spark, sf), D.extracted_fields(spark, sf), D.field_definitions(spark))
+    return R.missing_required(_docs(spark, sf), D.extracted_fields(spark, sf, D.REQUIRED), D.field_definitions(spark))
 
 
 @query("t2_fingerprint", oracle(_PRINTS))
@@ -258,7 +258,7 @@ def u1(spark, sf):
 
 @query("u2_distinct", oracle("SELECT DISTINCT field_definition_id, text_value FROM d_extracted_fields WHERE field_definition_id % 100 = 2"))
 def u2(spark, sf):
-    return D.extracted_fields(spark, sf).where("field_definition_id % 100 = 2").select("field_definition_id", "text_value").distinct()
+    return D.extracted_fields(spark, sf, (2,)).where("field_definition_id % 100 = 2").select("field_definition_id", "text_value").distinct()
 
 
 @query("u3_reconcile", "SELECT coalesce(a.l_partkey, b.l_partkey) AS part, coalesce(b.n, a.n) AS n, CASE WHEN b.n IS NULL THEN 'Remove' WHEN a.n IS NULL THEN 'Add' WHEN a.n = b.n THEN 'Keep' ELSE 'Update' END AS action FROM (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) a FULL JOIN (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) b ON a.l_partkey = b.l_partkey")
@@ -305,7 +305,7 @@ SELECT d.id, CASE WHEN review_reasons <> 0 AND review_disposition <> 30 THEN arr
  FROM live d LEFT JOIN copies c ON c.id = d.id LEFT JOIN missing m ON m.id = d.id"""))
 def p5(spark, sf):
     docs = S.scope(_printed(spark, sf))
-    return A.reason_details(docs, R.missing_required(docs, D.extracted_fields(spark, sf), D.field_definitions(spark)), R.duplicate_candidates(docs))
+    return A.reason_details(docs, R.missing_required(docs, D.extracted_fields(spark, sf, D.REQUIRED), D.field_definitions(spark)), R.duplicate_candidates(docs))
 
 
 @query("p7_flag_names", oracle(f"SELECT id, {_REASONS.format('review_reasons')} AS names FROM d_documents"))

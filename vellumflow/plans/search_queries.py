@@ -21,7 +21,7 @@ def _docs(spark, sf):
 
 
 def _searched(spark, sf, filters, code="order.general", **metadata):
-    rows = S.search(_docs(spark, sf), D.extracted_fields(spark, sf), D.field_definitions(spark), D.document_types(spark), code, filters, **metadata)
+    rows = S.search(_docs(spark, sf), D.extracted_fields(spark, sf, D.numbers_of(f.name for f in filters)), D.field_definitions(spark), D.document_types(spark), code, filters, **metadata)
     return rows.select("id", "creation_time", "lifecycle_status")
 
 
@@ -156,7 +156,7 @@ def f12(spark, sf):
 
 @query("f13_id_in", _field_oracle(_exists(106, "text_value LIKE '%1'")).replace(TEXTUAL, "id"))
 def f13(spark, sf):
-    ids = D.extracted_fields(spark, sf).where("field_definition_id = 106 AND text_value LIKE '%1'").select(F.col("document_id").alias("id")).distinct()
+    ids = D.extracted_fields(spark, sf, (6,)).where("field_definition_id = 106 AND text_value LIKE '%1'").select(F.col("document_id").alias("id")).distinct()
     return S.filter_metadata(S.scope(_docs(spark, sf)), type_id=1).join(ids, "id", "left_semi").select("id")
 
 

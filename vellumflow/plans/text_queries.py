@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from vellumflow.functions import text as X
 from vellumflow.functions import values as V
 from vellumflow.operators import decisions as G
-from vellumflow.plans.registry import query
+from vellumflow.operators import table_functions
+from vellumflow.plans.registry import ORACLES, query
 from vellumflow.sources import derived as D
 from vellumflow.sources import files as S
 from vellumflow.sources.derived import oracle
@@ -281,6 +282,13 @@ def t18(spark, sf):
     return cut_up.select("conv_id", "s.ordinal", "s.text", "s.is_sub_document")
 
 
+@query("t18_slices_sql", ORACLES["t18_slices"])
+def t18_sql(spark, sf):
+    """The same rows from a SQL text with a lateral join."""
+    table_functions.register(spark)
+    return spark.sql("SELECT b.conv_id, s.ordinal, s.text, s.is_sub_document FROM {bundles} b, LATERAL document_slices(b.markdown, b.markers) s", bundles=D.bundles(spark, sf))
+
+
 #: Underscores inside words are set aside, then every mark is escaped.
 _BETWEEN = "'([\\p{L}\\p{Nd}])_([\\p{L}\\p{Nd}])', '\\1' || chr(57344) || '\\2', 'g'"
 _INLINE_SQL = f"replace(regexp_replace(regexp_replace(regexp_replace(t, {_BETWEEN}), {_BETWEEN}), '[\\\\`*_\\[\\]<]', '\\\\\\0', 'g'), chr(57344), '_')"

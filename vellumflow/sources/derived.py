@@ -23,6 +23,14 @@ FIELDS = (
     (9, "legacy", "Text", False, False, False, 7, True),
 )
 
+REQUIRED = tuple(f[0] for f in FIELDS if f[3])
+
+
+def numbers_of(names) -> tuple[int, ...]:
+    """Numbers of the fields with these names, so that a search reads no table that it does not ask about; of all fields if there are no names."""
+    names = {n.strip().lower() for n in names if n}
+    return tuple(f[0] for f in FIELDS if not names or f[1] in names)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -89,7 +97,10 @@ def extracted_fields(spark: SparkSession, sf_dir: str, numbers: tuple[int, ...]
         9: value(9, when=key % 2 == 0, text=F.concat(F.lit("L"), key)),
     }
     rows = _orders(spark, sf_dir).withColumn("type", F.expr(_TYPE)).where("type IS NOT NULL")
-    ones = rows.withColumn("v", F.explode(F.array_compact(F.array(*[s for n, s in single.items() if n in numbers])))).select(key.alias("document_id"), (F.col("type") * 100 + F.col("v.n")).alias("field_definition_id"), F.lit(0).cast("long").alias("order_no"), *[F.col(f"v.{k}").alias(f"{k}_value") for k in ("text", "long_text", "number", "boolean", "date", "datetime")])
+    wanted = [s for n, s in single.items() if n in numbers]
+    if not wanted:
+        rows, wanted = rows.where("false"), [single[1]]
+    ones = rows.withColumn("v", F.explode(F.array_compact(F.array(*wanted)))).select(key.alias("document_id"), (F.col("type") * 100 + F.col("v.n")).alias("field_definition_id"), F.lit(0).cast("long").alias("order_no"), *[F.col(f"v.{k}").alias(f"{k}_value") for k in ("text", "long_text", "number", "boolean", "date", "datetime")])
     if 8 not in numbers:
         return ones
     lines, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")

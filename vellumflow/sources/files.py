@@ -15,7 +15,7 @@ from vellumflow.functions import model as M
 UPLOADS = {"pdf": "application/pdf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation", "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "txt": "text/plain", "csv": "text/csv", "html": "text/html", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "tiff": "image/tiff"}
 IMAGES = ("png", "jpg", "jpeg", "gif", "bmp", "webp", "tif", "tiff")
 #: First bytes of media files, as hexadecimal digits.
-MAGIC = {"FFD8FF": "jpeg", "89504E470D0A1A0A": "png", "474946383761": "gif", "474946383961": "gif", "424D": "bmp", "49492A00": "tiff", "4D4D002A": "tiff", "255044462D": "pdf"}
+MAGIC = {"FFD8FF": "jpeg", "89504E470D0A1A0A": "png", "47494638": "gif", "424D": "bmp", "49492A00": "tiff", "4D4D002A": "tiff", "255044462D": "pdf"}
 
 
 def uploads(spark: SparkSession, path: str) -> DataFrame:

@@ -7,7 +7,6 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,11 +122,9 @@ def deliver(stream: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...]
     def write(batch: DataFrame, number: int) -> None:
         name = f"{writer}-{number}"
         rows = batch.dropDuplicates(list(keys)).withColumn("day", day).withColumn("delivery", F.lit(name))
-        try:
-            there = spark.read.parquet(path).where(F.col("delivery") != name)
-        except AnalysisException:  # nothing was delivered yet
-            there = None
-        if there is not None:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):  # something was delivered before
+            there = spark.read.schema(rows.schema).parquet(path).where(F.col("delivery") != name)
             days = rows.select("day").distinct()
             there = there.join(F.broadcast(days), "day", "left_semi")  # the days of one batch
             rows = rows.join(there.select(*keys), list(keys), "left_anti")
