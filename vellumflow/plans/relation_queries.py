@@ -397,7 +397,8 @@ def k8(spark, sf):
     return D.table(spark, sf, "pages").select("page_id", F.sha2(data, 256).alias("sha256"), F.octet_length(data).cast("long").alias("size_bytes")).where("size_bytes <= 16777216")
 
 
-@query("k9_config_pack")
+@query("k9_config_pack", oracle("""SELECT t.type_code, '{"version":1,"type_code":"' || t.type_code || '","display_name":"' || t.display_name || '","priority":' || t.priority || ',"fields":[' || string_agg('{"display_order":' || f.display_order || ',"name":"' || f.name || '","data_type":"' || f.data_type || '","is_required":' || f.is_required || ',"allow_multiple":' || f.allow_multiple || ',"is_unique_key":' || f.is_unique_key || '}', ',' ORDER BY f.display_order, f.name) || ']}' AS pack
+  FROM d_document_types t JOIN d_field_definitions f ON f.document_type_id = t.id AND NOT f.is_deleted WHERE t.id IN (SELECT document_type_id FROM d_documents) GROUP BY t.type_code, t.display_name, t.priority"""))
 def k9(spark, sf):
     used = D.documents(spark, sf).select(F.col("document_type_id").alias("id")).distinct()
     return A.pack_json(D.document_types(spark).join(used, "id", "left_semi"), D.field_definitions(spark))
