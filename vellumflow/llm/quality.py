@@ -16,12 +16,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellumflow.llm import linear, sampling
-from vellumflow.llm.shared import map_slices
+from vellumflow.llm.shared import SLICE, map_slices
 from vellumflow.llm.wordhash import LOWER, WORD_BYTES, byte_sums, chunks, joined, span_hashes, word_spans
 
 LABELLED = 5000  # labelled rows, at most
@@ -265,13 +266,16 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that the classifier keeps, all columns as they came. Rows are dropped where they are read: no exchange.
 
-    Only text, language and source go to Python. Nulls in them count as empty; rows with a null or repeated id are judged
-    each by its own text. No rows give no rows.
+    Nulls in text, language and source count as empty; rows with a null or repeated id are judged each by its own text. No rows
+    give no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
-    @F.pandas_udf("boolean")
-    def good(text: pd.Series, lang: pd.Series, source: pd.Series) -> pd.Series:
-        return pd.Series(_scores(shared.value, pd.DataFrame({"text": text, "lang": lang, "source": source}))[0] >= threshold)
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, SLICE):
+                part = batch.slice(first, SLICE)
+                seen = pd.DataFrame({c: part.column(c).to_pandas() for c in ("text", "lang", "source")})
+                yield part.filter(pa.array(_scores(shared.value, seen)[0] >= threshold))
 
-    return docs.where(good("text", "lang", "source"))
+    return docs.mapInArrow(good, docs.schema)
