@@ -23,10 +23,14 @@ def test_upsert_and_remove(spark, table):
     assert rows_of(actions) == [(3, "Updated"), (100, "Created")]
     now = dict(rows_of(table.read().fillna("null")))
     assert now[3] == "new" and now[100] == "null" and len(now) == 41 and dict(rows_of(table.read(1)))[3] == "v3"
-    table.remove(spark.createDataFrame([(3,), (999,)], "k long"))
-    assert 3 not in dict(rows_of(table.read())) and table.versions() == [1, 2, 3]
+    table.remove(spark.createDataFrame([(3,), (999,)], "k int"))  # of another type, and by a handle with another number of buckets
+    again = VersionedTable(spark, table.path, ["k"], 99)
+    again.upsert(spark.createDataFrame([(5, "five")], "k int, v string"))
+    assert dict(rows_of(table.read().fillna("null")))[5] == "five" and table.read().count() == 40
+    table.upsert(spark.createDataFrame([(5, "v5")], "k long, v string"))
+    assert 3 not in dict(rows_of(table.read())) and table.versions() == [1, 2, 3, 4, 5]
     table.upsert(spark.createDataFrame([], "k long, v string"))
-    assert table.versions() == [1, 2, 3]
+    assert table.versions() == [1, 2, 3, 4, 5]
 
 
 def test_only_touched_buckets_are_written(spark, table):

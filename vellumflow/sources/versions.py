@@ -68,8 +68,9 @@ class VersionedTable:
 
     # -- rows --------------------------------------------------------------------------------------------------------------
 
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+    def _bucket(self, state: dict) -> Column:
+        """The bucket of a row, by the number of buckets that the table was made with."""
+        return F.pmod(F.xxhash64(*self.keys), F.lit(state["buckets"])).cast("int")
 
     def _checked(self, rows: DataFrame) -> DataFrame:
         """Rows with unique keys, or an error when they are read: the change then fails before it is published."""
@@ -80,7 +81,7 @@ class VersionedTable:
 
     def _write(self, rows: DataFrame, touched: list[int], state: dict) -> int:
         name = uuid.uuid4().hex
-        rows.withColumn("bucket_no", self._bucket()).repartition("bucket_no").write.partitionBy("bucket_no").parquet(f"{self.path}/data/{name}")
+        rows.withColumn("bucket_no", self._bucket(state)).repartition("bucket_no").write.partitionBy("bucket_no").parquet(f"{self.path}/data/{name}")
         jvm, files = self._files()
         filled = [k for k in touched if files.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/data/{name}/bucket_no={k}"))]
         folders = {k: v for k, v in state["folders"].items() if int(k) not in touched} | {str(k): name for k in filled}
@@ -110,7 +111,7 @@ class VersionedTable:
         state = self._state()
         schema = T.StructType.fromJson(json.loads(state["schema"]))
         rows = self._checked(rows.select(*(F.col(f"`{f.name}`").cast(f.dataType) for f in schema)))
-        touched = [r.b for r in rows.select(self._bucket().alias("b")).distinct().collect()]  # at most as many as buckets
+        touched = [r.b for r in rows.select(self._bucket(state).alias("b")).distinct().collect()]  # at most as many as buckets
         have = self._folder_rows(state, touched)
         known = have.select(*self.keys, F.lit(True).alias("known_before"))
         actions = rows.select(*self.keys).join(known, self.keys, "left").select(*self.keys, F.when(F.col("known_before"), "Updated").otherwise("Created").alias("action"))
@@ -121,8 +122,9 @@ class VersionedTable:
     def remove(self, keys: DataFrame) -> None:
         """Take the rows with these keys out. Keys that are not there do no harm."""
         state = self._state()
-        gone = keys.select(*self.keys).distinct()
-        touched = [r.b for r in gone.select(self._bucket().alias("b")).distinct().collect()]
+        schema = T.StructType.fromJson(json.loads(state["schema"]))
+        gone = keys.select(*(F.col(k).cast(schema[k].dataType).alias(k) for k in self.keys)).distinct()
+        touched = [r.b for r in gone.select(self._bucket(state).alias("b")).distinct().collect()]
         if touched:
             have = self._folder_rows(state, touched)
             self._write(have.join(gone, self.keys, "left_anti").select(*have.columns), touched, state)
