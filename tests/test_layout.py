@@ -238,3 +238,18 @@ def test_xy_cut(spark):
     assert got == want | {(0, 900): None} and max(len(p) for p in want.values()) > 4
     flat = L.xy_cut(spark.createDataFrame(boxes, SIDES), ["page"], 3.0, 2.0, deepest=1).collect()
     assert max(len(r.path) for r in flat) == 1
+
+
+def test_shape_positions(spark):
+    """Own offsets, groups, placeholders of the layout and of the master, a lost group."""
+    slots = "of long, place long, x long, y long, index long, type string"
+    layouts = spark.createDataFrame([(1, 2, 70, 71, 0, "title"), (1, 1, None, 5, None, "title"), (1, 3, 80, 81, 0, "title"), (1, 4, 90, 91, 1, None)], slots)
+    masters = spark.createDataFrame([(9, 1, 50, 51, 2, "body"), (9, 2, 60, 61, 0, "ctrTitle")], slots)
+    shapes = [
+        (1, None, 3, 4, True, None, "title", 1, 9), (2, None, None, None, True, None, "ctrTitle", 1, 9), (3, None, None, None, True, 1, "body", 1, 9), (4, None, None, None, True, 2, None, 1, 9),
+        (5, None, None, None, True, 7, None, 1, 9), (6, None, None, None, False, None, "title", 1, 9), (7, 100, 10, 20, True, None, "title", 1, 9), (8, 100, None, None, True, None, "title", 1, 9),
+        (9, 555, 1, 1, False, None, None, 1, 9), (10, None, 5, None, True, None, "title", 2, 9), (11, None, None, None, True, None, "title", None, None),
+    ]
+    frames = spark.createDataFrame([(100, 1000.5, 2000.0, 2.0, 0.5)], "id long, off_x double, off_y double, scale_x double, scale_y double")
+    got = L.shape_positions(spark.createDataFrame(shapes, "id long, parent long, x long, y long, is_placeholder boolean, index long, type string, layout long, master long"), frames, layouts, masters)
+    assert {r.id: (r.pos_x, r.pos_y) for r in got.collect()} == {1: (3, 4), 2: (70, 71), 3: (90, 91), 4: (50, 51), 5: (0, 0), 6: (0, 0), 7: (1020, 2010), 8: (1000, 2000), 9: (None, None), 10: (60, 61), 11: (0, 0)}

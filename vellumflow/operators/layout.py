@@ -331,3 +331,41 @@ def xy_cut(boxes: DataFrame, keys: list[str], gap_x: float, gap_y: float, deepes
         if state.where("going").isEmpty():
             break
     return state.drop("going").unionByName(done)
+
+
+#: A placeholder without a type is a body, and a centred title is a title.
+BODY, TITLES = "body", {"ctrTitle": "title"}
+
+
+def _placeholder(rows: DataFrame, *keep: str) -> DataFrame:
+    kind = F.coalesce("type", F.lit(BODY))
+    for name, same in TITLES.items():
+        kind = F.when(kind == name, same).otherwise(kind)
+    return rows.select(*keep, F.coalesce("index", F.lit(0)).cast("long").alias("index"), kind.alias("type"))
+
+
+def shape_positions(shapes: DataFrame, frames: DataFrame, layouts: DataFrame, masters: DataFrame) -> DataFrame:
+    """id, pos_x, pos_y: where each shape lies on its slide, as whole numbers.
+
+    shapes: id, parent (its group, null on the slide itself), x, y (its own offset), is_placeholder, index, type, layout, master.
+    frames: what group_transforms() gives. layouts and masters: of (a layout's or master's id), place, x, y, index, type. A shape with an
+    offset lies where its group puts that; a half offset counts as none. Without one, in a group, it lies where the group begins; on
+    the slide, a placeholder takes the offset of the first placeholder with its index (null is 0) and type in its layout, else in
+    its master; all others lie at 0. Shapes in a group that no root reaches have nulls. Ids are unique; nulls match no layout.
+    """
+    known = shapes.withColumn("own", F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.struct("x", "y")))
+    slots = _placeholder(known.where("own IS NULL AND parent IS NULL AND is_placeholder"), "id", "layout", "master")
+    for name, source in (("layout", layouts), ("master", masters)):
+        whole = source.where("x IS NOT NULL AND y IS NOT NULL").withColumn("at", F.struct("x", "y"))
+        first = _placeholder(whole, "of", "place", "at").groupBy("of", "index", "type").agg(F.min_by("at", "place").alias(f"by_{name}")).withColumnRenamed("of", name)
+        slots = slots.join(first, [name, "index", "type"], "left")
+    inherited = slots.select("id", F.coalesce("by_layout", "by_master").alias("inherited"))
+    placed = frames.select(F.col("id").alias("parent"), *(F.col(f"{n}_{a}").alias(f"frame_{n}_{a}") for n in ("off", "scale") for a in "xy"), F.lit(True).alias("framed"))
+    met = known.join(placed, "parent", "left").join(inherited, "id", "left")
+
+    def at(axis: str) -> Column:
+        off, scale = F.col(f"frame_off_{axis}"), F.col(f"frame_scale_{axis}")
+        in_group = on_slide(F.col("own")[axis], off, scale)
+        return F.when(F.col("parent").isNotNull(), in_group).otherwise(F.coalesce(F.col("own")[axis], F.col("inherited")[axis], F.lit(0))).cast("long").alias(f"pos_{axis}")
+
+    return met.select("id", at("x"), at("y"))

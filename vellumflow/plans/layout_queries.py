@@ -194,3 +194,41 @@ def t26(spark, sf):
 @query("t26_xy_cut")
 def t26_cut(spark, sf):
     return L.xy_cut(_leaves(spark, sf).drop("text"), ["page"], 8.0, 5.0).select("page", "place", "path")
+
+
+#: Shapes from lines of orders, placeholders of layouts and masters from suppliers.
+_SHAPES = """SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN max(l_partkey) % 3 = 0 THEN max(l_partkey) END AS parent, CASE WHEN max(l_suppkey) % 2 = 0 THEN max(l_partkey) % 900 END AS x, CASE WHEN max(l_suppkey) % 2 = 0 THEN max(l_suppkey) * 3 END AS y,
+  max(l_partkey) % 4 > 0 AS is_placeholder, CASE WHEN l_orderkey % 4 > 0 THEN l_orderkey % 4 END AS "index", CASE l_orderkey % 3 WHEN 0 THEN 'title' WHEN 1 THEN 'ctrTitle' END AS type, l_orderkey % 7 AS layout, l_orderkey % 2 AS master FROM lineitem GROUP BY l_orderkey, l_linenumber"""
+_SLOTS = """SELECT s_suppkey % {0} AS "of", s_suppkey AS place, CASE WHEN s_suppkey % 5 > 0 THEN s_suppkey * 11 END AS x, s_suppkey * 7 AS y, s_suppkey % 3 AS "index", CASE s_suppkey // 3 % 3 WHEN 0 THEN 'title' WHEN 1 THEN 'body' END AS type FROM supplier"""
+_KIND = "CASE coalesce({0}.type, 'body') WHEN 'ctrTitle' THEN 'title' ELSE coalesce({0}.type, 'body') END"
+
+
+def _first_slot(name: str, column: str) -> str:
+    return f"(SELECT arg_min({column}, m.place) FROM {name} m WHERE m.x IS NOT NULL AND m.\"of\" = s.{name[:-1]} AND coalesce(m.\"index\", 0) = coalesce(s.\"index\", 0) AND {_KIND.format('m')} = {_KIND.format('s')})"
+
+
+@query("t33_shape_positions", oracle(f"""WITH RECURSIVE scaled AS (
+  SELECT id, parent, CAST(offset_x AS DOUBLE) AS ox, CAST(offset_y AS DOUBLE) AS oy, CAST(child_offset_x AS DOUBLE) AS cx, CAST(child_offset_y AS DOUBLE) AS cy,
+    CASE WHEN child_extent_x <> 0 THEN CAST(extent_x AS DOUBLE) / child_extent_x ELSE 1 END AS sx, CASE WHEN child_extent_y <> 0 THEN CAST(extent_y AS DOUBLE) / child_extent_y ELSE 1 END AS sy FROM d_groups
+), placed(id, fx, fy, kx, ky) AS (
+  SELECT id, ox - cx * sx, oy - cy * sy, sx, sy FROM scaled WHERE parent IS NULL
+  UNION ALL SELECT c.id, p.fx + p.kx * c.ox - p.kx * c.cx * c.sx, p.fy + p.ky * c.oy - p.ky * c.cy * c.sy, p.kx * c.sx, p.ky * c.sy FROM scaled c JOIN placed p ON p.id = c.parent
+), shapes AS MATERIALIZED (
+  {_SHAPES}
+), layouts AS (
+  {_SLOTS.format(7)}
+), masters AS (
+  {_SLOTS.format(2)}
+), wanted AS (
+  SELECT DISTINCT layout, master, "index", type FROM shapes s
+), slots AS MATERIALIZED (
+  SELECT s.*, coalesce({_first_slot('layouts', 'm.x')}, {_first_slot('masters', 'm.x')}) AS ix, coalesce({_first_slot('layouts', 'm.y')}, {_first_slot('masters', 'm.y')}) AS iy FROM wanted s
+)
+SELECT s.id, CAST(CASE WHEN s.parent IS NOT NULL THEN trunc(CASE WHEN s.x IS NULL THEN p.fx ELSE p.fx + p.kx * s.x END) WHEN s.x IS NOT NULL THEN s.x WHEN s.is_placeholder THEN coalesce(t.ix, 0) ELSE 0 END AS BIGINT) AS pos_x,
+  CAST(CASE WHEN s.parent IS NOT NULL THEN trunc(CASE WHEN s.x IS NULL THEN p.fy ELSE p.fy + p.ky * s.y END) WHEN s.x IS NOT NULL THEN s.y WHEN s.is_placeholder THEN coalesce(t.iy, 0) ELSE 0 END AS BIGINT) AS pos_y
+FROM shapes s LEFT JOIN placed p ON p.id = s.parent LEFT JOIN slots t ON t.layout = s.layout AND t.master = s.master AND t."index" IS NOT DISTINCT FROM s."index" AND t.type IS NOT DISTINCT FROM s.type"""))
+def t33_positions(spark, sf):
+    spelt = lambda text: text.replace('"', "`").replace("s_suppkey // 3", "s_suppkey div 3")
+    shapes = spark.sql(spelt(_SHAPES).replace("FROM lineitem", "FROM {lineitem}"), lineitem=D.table(spark, sf, "lineitem"))
+    slots = [spark.sql(spelt(_SLOTS).replace("{0}", str(n)).replace("FROM supplier", "FROM {supplier}"), supplier=D.table(spark, sf, "supplier")) for n in (7, 2)]
+    return L.shape_positions(shapes, L.group_transforms(D.drawn(spark, sf, "d_groups")), *slots)
