@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellumflow.operators import layout as L
+from vellumflow.operators import paragraphs as P
 from vellumflow.plans.registry import query
 from vellumflow.sources import derived as D
 from vellumflow.sources.derived import oracle
@@ -232,3 +233,55 @@ def t33_positions(spark, sf):
     shapes = spark.sql(spelt(_SHAPES).replace("FROM lineitem", "FROM {lineitem}"), lineitem=D.table(spark, sf, "lineitem"))
     slots = [spark.sql(spelt(_SLOTS).replace("{0}", str(n)).replace("FROM supplier", "FROM {supplier}"), supplier=D.table(spark, sf, "supplier")) for n in (7, 2)]
     return L.shape_positions(shapes, L.group_transforms(D.drawn(spark, sf, "d_groups")), *slots)
+
+
+_SIZED = """sized AS (
+  SELECT page, line, CAST(round_even(size, 0) AS INTEGER) AS pt, bold, length(text) AS letters FROM d_textlines
+), body AS (
+  SELECT page, pt AS body FROM (SELECT page, pt, sum(letters) AS n FROM sized GROUP BY page, pt) c QUALIFY row_number() OVER (PARTITION BY page ORDER BY n DESC, pt DESC) = 1
+), ranked AS (
+  SELECT page, pt, body, row_number() OVER (PARTITION BY page ORDER BY pt DESC) AS place FROM (SELECT DISTINCT page, pt FROM sized) JOIN body USING (page) WHERE pt > body
+), leveled AS (
+  SELECT s.page, s.line, CAST(CASE WHEN r.place <= 6 AND (s.bold OR s.pt > r.body + 1) THEN r.place ELSE 0 END AS INTEGER) AS level FROM sized s LEFT JOIN ranked r ON r.page = s.page AND r.pt = s.pt
+)"""
+_MODEL = """heights AS (
+  SELECT page, median(top - bottom) AS height, count(*) AS n, list_sort(list("right")) AS ends FROM d_textlines GROUP BY page
+), margins AS (
+  SELECT page, height, n, ends[n // 2 + (n - n // 2) // 2 + 1] AS margin FROM heights
+), steps AS (
+  SELECT t.page, m.height, m.n, m.margin, list(u.top - t.top) FILTER (u.top > t.top AND u."right" >= m.margin - 2 * m.height) AS wraps
+  FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY top DESC, line) AS d FROM d_textlines) t JOIN margins m ON m.page = t.page
+  LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY page ORDER BY top DESC, line) AS d FROM d_textlines) u ON u.page = t.page AND u.d = t.d - 1 GROUP BY ALL
+), model AS (
+  SELECT page, height, n > 3 AND coalesce(len(wraps), 0) > 2 AS sure, margin, 2 * height AS tolerance, list_median(wraps) * 1.2 AS pitch FROM steps
+)"""
+
+
+def _leveled(spark, sf):
+    lines = D.drawn(spark, sf, "d_textlines")
+    return P.with_levels(lines, lines.select("page", "size", F.length("text").alias("count")), ["page"])
+
+
+@query("a11_heading_levels", oracle(f"WITH {_SIZED[:-2]}\n)\nSELECT page, line, level FROM leveled"))
+def a11_levels(spark, sf):
+    return _leveled(spark, sf).select("page", "line", "level")
+
+
+@query("w8_paragraph_model", oracle(f"WITH {_MODEL[:-2]}\n)\nSELECT page, height, CASE WHEN sure THEN pitch END AS pitch, CASE WHEN sure THEN margin END AS margin, CASE WHEN sure THEN tolerance END AS tolerance FROM model"))
+def w8_model(spark, sf):
+    return P.paragraph_model(D.drawn(spark, sf, "d_textlines"), ["page"])
+
+
+@query("t24_paragraphs", oracle(f"""WITH {_SIZED}, {_MODEL}, along AS (
+  SELECT t.page, t.line, t.text, v.level, lag(v.level) OVER w AS level_before, lag(t.text) OVER w AS text_before, lag(t."right") OVER w AS right_before, lag(t.top) OVER w - t.top AS step, m.*EXCLUDE(page)
+  FROM d_textlines t JOIN leveled v ON v.page = t.page AND v.line = t.line JOIN model m ON m.page = t.page WINDOW w AS (PARTITION BY t.page ORDER BY t.line)
+), marked AS (
+  SELECT *, CASE WHEN level_before IS NULL THEN true WHEN level <> level_before THEN true WHEN level > 0 THEN false WHEN sure THEN right_before < margin - tolerance OR step > pitch ELSE step > height * 1.6 END AS opens FROM along
+), numbered AS (
+  SELECT *, count(*) FILTER (WHERE opens) OVER (PARTITION BY page ORDER BY line) - 1 AS block FROM marked
+)
+SELECT page, block, min(level) AS level, count(*) AS lines, string_agg(CASE WHEN opens OR (level = 0 AND text_before LIKE '%条' AND text LIKE '第%') THEN '' ELSE ' ' END || text, '' ORDER BY line) AS text,
+  CASE WHEN min(level) > 0 THEN repeat('#', min(level)) || ' ' ELSE '' END || string_agg(CASE WHEN opens OR (level = 0 AND text_before LIKE '%条' AND text LIKE '第%') THEN '' ELSE ' ' END || replace(text, '*', chr(92) || '*'), '' ORDER BY line) AS markdown
+FROM numbered GROUP BY page, block"""))
+def t24_paragraphs(spark, sf):
+    return P.paragraphs(_leveled(spark, sf), ["page"])

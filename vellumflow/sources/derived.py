@@ -190,6 +190,11 @@ _BOX = {
         CAST(CASE WHEN j < 4 THEN 100 + j * 30 + jit WHEN j = 4 THEN 191 WHEN j < 9 THEN 95 WHEN j = 11 THEN 130 ELSE 100 END AS DOUBLE) AS y0,
         CAST(CASE WHEN j < 4 THEN 101 + j * 30 + jit WHEN j = 4 THEN 191 WHEN j < 9 THEN 225 WHEN j = 11 THEN 130 ELSE 160 END AS DOUBLE) AS y1
         FROM (SELECT o_orderkey, o_custkey, o_orderkey % 12 AS j, o_custkey % 3 AS jit FROM orders) o""",
+    "d_textlines": """SELECT CAST(floor(k / 4) AS BIGINT) AS page, CAST((k % 4) * 8 + n AS BIGINT) AS line, CASE WHEN p % 6 = 0 THEN '第' || p || '条' ELSE 'Part ' || p || CASE WHEN p % 7 = 0 THEN ' *' ELSE '' END END AS text,
+        CAST(50 AS DOUBLE) AS left, CAST(CASE WHEN p % 4 = 0 THEN 300 + q ELSE 480 + p % 11 END AS DOUBLE) AS right,
+        CAST(1000 - (k % 4) * 106 - n * 12.5 - (p % 2) * 0.25 - 9 - (s % 3) * 0.5 AS DOUBLE) AS bottom, CAST(1000 - (k % 4) * 106 - n * 12.5 - (p % 2) * 0.25 AS DOUBLE) AS top,
+        CAST(CASE WHEN p % 9 = 0 THEN 11 + (s % 8) * 1.5 ELSE 10 + (k % 3) * 0.25 END AS DOUBLE) AS size, s % 2 = 0 AS bold
+        FROM (SELECT l_orderkey AS k, l_linenumber AS n, max(l_partkey) AS p, max(l_suppkey) AS s, max(l_quantity) AS q FROM lineitem GROUP BY l_orderkey, l_linenumber) t""",
     "d_points": "SELECT CAST(floor(l_orderkey / 12) AS BIGINT) AS page, (l_partkey * 7) % 420 + CAST(0.5 AS DOUBLE) AS x, (l_suppkey * 11) % 250 + CAST(0.25 AS DOUBLE) AS y FROM lineitem",
     "d_groups": """SELECT p_partkey AS id, CASE WHEN p_partkey % 160 = 144 THEN p_partkey + 15 WHEN p_partkey % 16 = 0 THEN NULL ELSE p_partkey - 1 END AS parent,
         (p_partkey * 37) % 900 AS offset_x, CAST(p_size * 10 AS BIGINT) AS offset_y, p_partkey % 50 AS child_offset_x, CAST(p_size AS BIGINT) AS child_offset_y, 1000 + p_partkey % 700 AS extent_x, CAST(900 AS BIGINT) AS extent_y,
@@ -199,7 +204,7 @@ VIEWS |= _BOX
 
 
 def drawn(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The tables of page geometry, whose SQL both engines read: boxes (d_boxes), table cells (d_cells), drawn boxes (d_drawn), points (d_points), shape groups (d_groups)."""
+    """The tables of page geometry, whose SQL both engines read: boxes (d_boxes), table cells (d_cells), drawn boxes (d_drawn), points (d_points), lines of text (d_textlines), shape groups (d_groups)."""
     text = _BOX[name]
     for t in ("lineitem", "orders", "part"):
         text = text.replace(f"FROM {t}", f"FROM {{{t}}}")
