@@ -91,11 +91,17 @@ def _numbers(blobs, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), kind)
 
 
+def _aside(docs: np.ndarray, groups: int) -> int:
+    """A number below 0 for the group of rows that need no comparison, from the documents they come from."""
+    mixed = int(docs.sum(dtype=np.int64)) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+    return -1 - (mixed >> 33) % groups
+
+
 def shared_anchors(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
     """doc_id, places: where each document has anchors that another document has as well (or, rarely, one with the same 32-bit hash).
 
-    Anchors travel packed, by bucket of their hash. What a batch already knows to be shared passes through, and only one
-    sign of it is compared, so a frequent anchor costs a bucket one entry per batch.
+    Anchors travel packed, by bucket of their hash. What a batch already knows to be shared needs no comparison and goes to groups of its
+    own, dealt by batch; only one sign of it is compared, so a frequent anchor costs its bucket one entry per batch.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
@@ -112,13 +118,17 @@ def shared_anchors(docs: DataFrame, length: int = LENGTH, window: int = WINDOW)
         bucket = (hashes % np.uint64(buckets)).astype(np.int64)
         short = (hashes >> np.uint64(32)).astype("<u4")
         rows = []
-        for kind, mask in ((0, ~known), (1, known), (2, sign)):
+        for kind, mask in ((0, ~known), (2, sign)):
             at = np.flatnonzero(mask)
             at = at[np.argsort(bucket[at], kind="stable")]
             cuts = np.searchsorted(bucket[at], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(cuts)):
                 own = at[cuts[b] : cuts[b + 1]]
-                rows.append((int(b), kind, short[own].tobytes() if kind != 1 else b"", docs_of[own].astype("<i8").tobytes() if kind != 2 else b"", places[own].astype("<u4").tobytes() if kind != 2 else b""))
+                rows.append((int(b), kind, short[own].tobytes(), docs_of[own].astype("<i8").tobytes() if kind == 0 else b"", places[own].astype("<u4").tobytes() if kind == 0 else b""))
+        if known.any():
+            docs_of, places = docs_of[known], places[known]
+            order = np.lexsort((places, docs_of))
+            rows.append((_aside(docs_of, buckets), 1, b"", docs_of[order].astype("<i8").tobytes(), places[order].astype("<u4").tobytes()))
         return pd.DataFrame(rows, columns=["bucket", "kind", "hashes", "docs", "places"])
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,8 +161,23 @@ def shared_anchors(docs: DataFrame, length: int = LENGTH, window: int = WINDOW)
     return found.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
 
 
+def _lost(docs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, shards: int) -> tuple:
+    """The row of what is known to go: ranges of each document, joined where they overlap or touch."""
+    order = np.lexsort((starts, docs))
+    docs, starts, stops = docs[order], starts[order], (starts + sizes)[order]
+    new = np.ones(len(docs), bool)
+    new[1:] = (docs[1:] != docs[:-1]) | (starts[1:] > stops[:-1])
+    first = np.flatnonzero(new)
+    docs, starts, stops = docs[first], starts[first], np.maximum.reduceat(stops, first)
+    return _aside(docs, shards), b"", (stops - starts).astype("<u4").tobytes(), b"", docs.astype("<i8").tobytes(), starts.astype("<u4").tobytes()
+
+
 def _slices(docs: DataFrame, shards: int, length: int, window: int) -> DataFrame:
-    """Rows of (shard, text: different slices one after the other, their sizes, and what occurs where)."""
+    """Rows of (shard, text: different slices one after the other, their sizes, and what occurs where).
+
+    Of a batch's occurrences of a slice only those in the smallest document have to be compared. The others lose all of it whatever
+    other batches hold, and go to groups of their own, with a shard below 0, no text, and the sizes of what they lose.
+    """
 
     def found(a: Anchors, ids: np.ndarray, marked: list) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of a chunk: the different slices; and of each occurrence the number of its slice, shard, document and start."""
@@ -167,17 +192,21 @@ def _slices(docs: DataFrame, shards: int, length: int, window: int) -> DataFrame
         texts = list(seen)
         number = np.concatenate([name[p[1]] for name, p in zip(names, parts)])
         shard, own, starts = (np.concatenate([p[k] for p in parts]) for k in (2, 3, 4))
+        least = np.full(len(texts), np.iinfo(np.int64).max)
+        np.minimum.at(least, number, own)
+        later = own > least[number]
+        rows = [_lost(own[later], starts[later], np.array([len(t) for t in texts], np.int64)[number[later]], shards)] if later.any() else []
+        shard, number, own, starts = shard[~later], number[~later], own[~later], starts[~later]
         order = np.lexsort((number, shard))  # equal slices have equal anchors, and so the same shard
         shard, number, own, starts = shard[order], number[order], own[order], starts[order]
         new = np.ones(len(order), bool)
         new[1:] = number[1:] != number[:-1]
         heads, place = np.flatnonzero(new), np.cumsum(new) - 1
-        rows = []
         edge = np.append(np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])), len(shard))
         for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
             s0, s1 = place[lo], place[hi - 1] + 1
             here = [texts[k] for k in number[heads[s0:s1]]]
-            rows.append((int(shard[lo]), b"".join(here), np.array([len(t) for t in here], "<u2").tobytes(), (place[lo:hi] - s0).astype("<u4").tobytes(), own[lo:hi].astype("<i8").tobytes(), starts[lo:hi].astype("<u4").tobytes()))
+            rows.append((int(shard[lo]), b"".join(here), np.array([len(t) for t in here], "<u4").tobytes(), (place[lo:hi] - s0).astype("<u4").tobytes(), own[lo:hi].astype("<i8").tobytes(), starts[lo:hi].astype("<u4").tobytes()))
         return pd.DataFrame(rows, columns=["shard", "text", "sizes", "of", "docs", "starts"])
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,8 +229,11 @@ def _slices(docs: DataFrame, shards: int, length: int, window: int) -> DataFrame
 
 def mark_shard(group: pd.DataFrame, length: int = LENGTH) -> pd.DataFrame:
     """doc_id, start, stop: ranges of bytes to remove, from one shard's slices."""
-    sizes = _numbers(group["sizes"], "<u2").astype(np.int64)
-    in_row = np.array([len(s) // 2 for s in group["sizes"]], np.int64)
+    sizes = _numbers(group["sizes"], "<u4").astype(np.int64)
+    if group["shard"].iloc[0] < 0:
+        docs, starts = _numbers(group["docs"], "<i8"), _numbers(group["starts"], "<u4").astype(np.int64)
+        return pd.DataFrame({"doc_id": docs, "start": starts.astype(np.int32), "stop": (starts + sizes).astype(np.int32)})
+    in_row = np.array([len(s) // 4 for s in group["sizes"]], np.int64)
     occurs = np.array([len(o) // 4 for o in group["of"]], np.int64)
     of = _numbers(group["of"], "<u4").astype(np.int64) + np.repeat(np.cumsum(in_row) - in_row, occurs)
     docs, starts = _numbers(group["docs"], "<i8"), _numbers(group["starts"], "<u4").astype(np.int64)
