@@ -159,6 +159,29 @@ def test_repeats_at_every_border(spark, monkeypatch):
     check_removed(spark.createDataFrame(list(dict(rows).items()), "doc_id long, text string").repartition(5))
 
 
+def test_rows_that_repeat_an_id_keep_their_own_bytes(spark):
+    one, two, three = ("".join(random.Random(seed).choices("abcdefgh ", k=90)) for seed in (1, 2, 3))
+    rows = spark.createDataFrame([(1, one), (2, two), (2, one), (2, two + three), (2, None), (3, three + two), (None, one)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, bytes(r.kept).decode(), len(r.spans)) for r in suffix_dedup.remove_repeats(rows).collect())
+    assert got == sorted([(1, one, 0), (2, two, 0), (2, "", 1), (2, two + three, 0), (2, "", 0), (3, "", 1), (0, one, 0)])
+
+
+def test_a_frequent_passage_is_compared_once_a_batch(spark):
+    """A footer of 600 documents: the comparing groups see it once for each batch of texts, the rest goes past them."""
+    r = random.Random(4)
+    footer = "".join(r.choices("abcdefgh ", k=200))
+    docs = spark.createDataFrame([(k, "".join(r.choices("ijklmnop ", k=150)) + footer) for k in range(600)], "doc_id long, text string").repartition(3)
+    check_removed(docs)
+    based = suffix_dedup._based(docs)
+    marked = suffix_dedup.shared_anchors(based)
+    rows = suffix_dedup._slices(based.join(marked, "doc_id"), 8, 50, 20).toPandas()
+    compared, past = rows[rows["shard"] >= 0], rows[rows["shard"] < 0]
+    slices = int((compared["sizes"].map(len) // 4).sum())
+    # every slice once in each batch: those inside the footer, and those over its border, which differ from text to text
+    assert int((compared["of"].map(len) // 4).sum()) == slices < 600 * 1.5
+    assert 590 <= int((past["docs"].map(len) // 8).sum()) <= 600  # one range of each later document
+
+
 # -- SentencePiece ----------------------------------------------------------------------------------------------------------------
 
 

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumflow.llm.shared import cut, drop_cut, map_slices
@@ -179,12 +179,12 @@ def _slices(docs: DataFrame, shards: int, length: int, window: int) -> DataFrame
     other batches hold, and go to groups of their own, with a shard below 0, no text, and the sizes of what they lose.
     """
 
-    def found(a: Anchors, ids: np.ndarray, marked: list) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def found(a: Anchors, ids: np.ndarray, marked: list, bases: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of a chunk: the different slices; and of each occurrence the number of its slice, shard, document and start."""
         wanted = (np.repeat(np.arange(len(ids)), [len(m) for m in marked]) << 32) | (np.concatenate(marked).astype(np.int64) & 0xFFFFFFFF)
         at = np.flatnonzero(np.isin((a.owner << 32) | a.place, wanted))
         texts, number = _different(a.data.tobytes(), a.first[at], a.run[at] + length - 1)
-        return texts, number, (a.hash[at] % np.uint64(shards)).astype(np.int64), ids[a.owner[at]], a.first[at] - a.begins[a.owner[at]]
+        return texts, number, (a.hash[at] % np.uint64(shards)).astype(np.int64), ids[a.owner[at]], a.first[at] - a.begins[a.owner[at]] + bases[a.owner[at]]
 
     def packed_rows(parts: list[tuple]) -> pd.DataFrame:
         seen: dict[bytes, int] = {}
@@ -213,9 +213,9 @@ def _slices(docs: DataFrame, shards: int, length: int, window: int) -> DataFrame
         parts = []
         for batch in batches:
             texts, ids = _encoded(batch["text"]), batch["doc_id"].to_numpy(np.int64)
-            marked = batch["places"].tolist()
+            marked, bases = batch["places"].tolist(), batch["base"].to_numpy(np.int64)
             for first, last in chunks(texts, CHUNK):
-                slices = found(Anchors(texts[first:last], length, window), ids[first:last], marked[first:last])
+                slices = found(Anchors(texts[first:last], length, window), ids[first:last], marked[first:last], bases[first:last])
                 if slices[0]:
                     parts.append(slices)
                 if len(parts) == FLUSH:
@@ -280,12 +280,27 @@ def mark_shard(group: pd.DataFrame, length: int = LENGTH) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": np.concatenate([o[0] for o in out]), "start": np.concatenate([o[1] for o in out]).astype(np.int32), "stop": np.concatenate([o[2] for o in out]).astype(np.int32)})
 
 
+def _based(docs: DataFrame) -> DataFrame:
+    """doc_id, text, base: the bytes that other rows of the same id have before a row's, so that a place in any of them has a number of its own."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return rows.withColumn("base", F.lit(0))
+    before = Window.partitionBy("doc_id").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.octet_length("text"), F.lit(0)))
+    numbered = cut(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    bases = numbered.where("doc_id IS NOT NULL").select("row", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("int").alias("base"))
+    return cut(numbered.join(bases, "row", "left").select("doc_id", "text", F.coalesce("base", F.lit(0)).alias("base")), "based-rows")
+
+
 def removed_ranges(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
-    """doc_id, ranges: array of (start, stop) in bytes, which may touch and overlap. Documents that keep all have no row."""
+    """doc_id, ranges: array of (start, stop) in bytes behind the base of their row, which may touch and overlap. Documents that keep all have no row.
+
+    docs: as _based() gives them.
+    """
     marked = cut(shared_anchors(docs, length, window), "anchors")
     slices = marked.agg(F.sum(F.size("places"))).first()[0] or 0
     shards = max(1, -(-slices * (length + (length - window) // 2) // SHARD_BYTES))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(marked, "doc_id")
+    rows = docs.join(marked, "doc_id")
     ranges = _slices(rows, shards, length, window).groupBy("shard").applyInPandas(lambda g: mark_shard(g, length), "doc_id long, start int, stop int")
     out = cut(ranges.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")), "ranges")
     drop_cut(marked)
@@ -302,24 +317,31 @@ def _merged(ranges) -> list[tuple[int, int]]:
     return out
 
 
+def _own(ranges: list[tuple[int, int]], base: int, size: int) -> list[tuple[int, int]]:
+    """Of ranges, what falls into the row with this base and size."""
+    clipped = [(max(a - base, 0), min(b - base, size)) for a, b in ranges]
+    return [(a, b) for a, b in clipped if a < b]
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
     """doc_id, kept (the bytes that remain), spans (array of removed (start, stop), maximal and in order), n_bytes: one row per input row.
 
     Texts are taken as UTF-8; null and empty texts have no bytes. Texts shorter than length lose nothing. A null id neither
-    loses nor takes anything away, and rows that repeat an id take nothing away from each other. Other columns are ignored;
-    an empty table gives no rows. What remains may not be valid UTF-8, so it is binary.
+    loses nor takes anything away. Rows that repeat an id, 2 GiB together at most, take nothing away from each other, and each loses
+    its own bytes. Other columns are ignored; an empty table gives no rows. What remains may not be valid UTF-8, so it is binary.
     """
-    ranges = removed_ranges(docs, length, window).withColumnRenamed("doc_id", "of")
+    based = _based(docs)
+    ranges = removed_ranges(based, length, window).withColumnRenamed("doc_id", "of")
 
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = _encoded(batch["text"])
-            spans = [_merged(r) if r is not None else [] for r in batch["ranges"]]
+            spans = [_own(_merged(r), base, len(t)) if r is not None else [] for r, base, t in zip(batch["ranges"], batch["base"], texts)]
             kept = []
             for text, gone in zip(texts, spans):
                 edges = [0, *(e for s in gone for e in s), len(text)]
                 kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])) if gone else text)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "kept": kept, "spans": [[{"start": a, "stop": b} for a, b in s] for s in spans], "n_bytes": [len(t) for t in texts]})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ranges, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "ranges")
+    rows = based.join(ranges, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "base", "ranges")
     return map_slices(rows, strip, "doc_id long, kept binary, spans array<struct<start:int,stop:int>>, n_bytes long")
