@@ -5,6 +5,7 @@ import decimal
 
 import pytest
 
+from vellumflow.operators import decisions as D
 from vellumflow.operators import interventions as I
 
 DOCS = "id long, is_deleted boolean, document_type_id long, markdown string"
@@ -99,3 +100,12 @@ def test_the_last_accepted_edit_holds_and_an_empty_one_clears(edit):
 def test_no_edits(edit, spark):
     got = edit((1, 2, None))
     assert [rows(t) for t in got] == [[(1, 2, None, "NotClassified")], [], [], [], []]
+
+
+def test_seeds_of_documents_that_were_cut_out(spark):
+    segments = spark.createDataFrame([(1, 0, "a", "first"), (1, 3, "a", "later"), (1, 1, "b", ""), (1, 2, "", "no key"), (2, 0, "c", None)], "conv_id long, ordinal long, segment_key string, text string")
+    docs = spark.createDataFrame([(1, 1, "a", "x"), (2, 1, "b", "x"), (3, 1, "", "x"), (4, None, "a", "x"), (5, 2, "a", "x"), (6, 2, "c", "x"), (7, 1, None, "x"), (1, 1, "a", "y")], "id long, origin_document_id long, origin_key string, source string")
+    got = D.seed_texts(docs, segments)
+    assert got.columns == [*docs.columns, "seed"]
+    assert rows(got, "id", "seed") == sorted([(1, "first"), (1, "first"), *((k, None) for k in range(2, 8))], key=str)
+    assert D.seed_texts(docs, segments.where("false")).where("seed IS NOT NULL").count() == 0

@@ -173,6 +173,19 @@ def new_segments(segments: DataFrame, existing: DataFrame) -> DataFrame:
     return segments.join(existing.select("conv_id", "segment_key"), ["conv_id", "segment_key"], "left_anti")
 
 
+def seed_texts(docs: DataFrame, segments: DataFrame) -> DataFrame:
+    """docs with seed: the text that a derived document was cut out with, by origin_document_id and origin_key.
+
+    Null where the document is not derived, has no key or an empty one, or where its source has no such segment or an empty one:
+    such a document is read in the ordinary way. Of segments with one key the first by ordinal counts, so no document is doubled.
+    """
+    source, key, seed = unused(docs, "source"), unused(docs, "key"), unused(docs, "seed")
+    first = segments.groupBy(F.col("conv_id").alias(source), F.col("segment_key").alias(key)).agg(F.min_by("text", "ordinal").alias(seed))
+    cut_from = (F.col("origin_document_id") == F.col(source)) & (F.col("origin_key") == F.col(key)) & (F.col("origin_key") != "")
+    joined = docs.join(first, cut_from, "left")
+    return joined.select(*docs.columns, F.nullif(F.col(seed), F.lit("")).alias("seed"))
+
+
 def suggest_cabinet(cabinet: Column, index: Column, confidence: Column, count: Column, least: float = M.CABINET_CONFIDENCE) -> Column:
     """The suggested cabinet, if none is set, the index exists and the confidence suffices."""
     fine = index.between(1, count) & (V.normal_confidence(confidence) >= least)

@@ -74,6 +74,16 @@ def g8(spark, sf):
     return G.segment(D.bundles(spark, sf))
 
 
+_CUT_OUT = "SELECT conv_id * 100 + ordinal AS id, CASE WHEN ordinal % 5 = 4 THEN conv_id + 2 WHEN ordinal % 5 < 3 THEN conv_id END AS origin_document_id, CASE ordinal % 4 WHEN 3 THEN '' ELSE segment_key END AS origin_key"
+
+
+@query("j7_segment_seeds", f"WITH cut AS ({_SEGMENTS}) SELECT c.id, s.text AS seed FROM ({_CUT_OUT} FROM cut) c LEFT JOIN (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY conv_id, segment_key ORDER BY ordinal) = 1) s ON s.conv_id = c.origin_document_id AND s.segment_key = c.origin_key")
+def j7_seeds(spark, sf):
+    """Documents cut out of containers: some without origin, some of another one, some without a key."""
+    segments = G.segment(D.bundles(spark, sf))
+    return G.seed_texts(spark.sql(_CUT_OUT + " FROM {cut}", cut=segments), segments).select("id", "seed")
+
+
 @query("g9_new_segments", f"SELECT conv_id, ordinal FROM ({_SEGMENTS}) WHERE ordinal % 2 = 1")
 def g9(spark, sf):
     segments = G.segment(D.bundles(spark, sf))
