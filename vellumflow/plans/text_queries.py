@@ -154,7 +154,7 @@ def t5_typed(spark, sf):
     json = F.concat(F.lit('{"values": {"k": '), k, F.lit(', "spelt": "'), k, F.lit('", "type": "'), F.col("event_type"), F.lit('", "day": "'), day, F.lit('", "tags": '), tags, F.lit(', "other": "x"}}'))
     answers = D.table(spark, sf, "events").select(F.col("event_id").alias("id"), (F.col("event_id") % 2).alias("document_type_id"), G.parse_answer(json).alias("answer"))
     declared = [(0, "k", "Number", False), (0, "type", "Text", False), (0, "day", "Date", False), (1, "k", "Number", False), (1, "spelt", "Number", False), (1, "tags", "Text", True), (1, "never", "Boolean", None)]
-    return G.typed_answers(answers, spark.createDataFrame(declared, "document_type_id long, name string, data_type string, allow_multiple boolean"))
+    return G.typed_answers(answers, D.fixed(spark, declared, "document_type_id long, name string, data_type string, allow_multiple boolean"))
 
 
 @query("t6_cut", "SELECT doc_id, substr(text, 1, 256) AS head FROM documents")

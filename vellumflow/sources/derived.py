@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 TYPES = ((1, "order.general", "General order", 0.7, 10), (2, "invoice.sales", "Sales invoice", 0.7, 20), (3, "contract.frame", "Frame contract", 0.7, 20))
 #: n, name, data type, required, multiple, unique key, display order, deleted
@@ -65,13 +66,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fixed(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of given rows, whose size the planner knows: a join by one of its few keys is a broadcast, where a hash of the key would bring all rows into as many tasks."""
+    fields = StructType.fromDDL(schema).fields
+    built = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields, strict=True)]) for row in rows]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*built)))
+
+
 def document_types(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(TYPES), "id long, type_code string, display_name string, threshold double, priority long")
+    return fixed(spark, list(TYPES), "id long, type_code string, display_name string, threshold double, priority long")
 
 
 def field_definitions(spark: SparkSession) -> DataFrame:
     rows = [(t[0] * 100 + f[0], t[0], *f[1:]) for t in TYPES for f in FIELDS]
-    return spark.createDataFrame(rows, "id long, document_type_id long, name string, data_type string, is_required boolean, allow_multiple boolean, is_unique_key boolean, display_order long, is_deleted boolean")
+    return fixed(spark, rows, "id long, document_type_id long, name string, data_type string, is_required boolean, allow_multiple boolean, is_unique_key boolean, display_order long, is_deleted boolean")
 
 
 def extracted_fields(spark: SparkSession, sf_dir: str, numbers: tuple[int, ...] = tuple(f[0] for f in FIELDS)) -> DataFrame:
