@@ -13,13 +13,15 @@ from vellumflow.functions import values as V
 def field_map(fields: DataFrame, definitions: DataFrame) -> DataFrame:
     """id, fields: map of field name to JSON text. Several values give an array in order, single ones the value of the least order; values of unknown definitions are left out."""
     dims = definitions.select(F.col("id").alias("field_definition_id"), "name", "data_type", "allow_multiple")
-    rows = fields.join(dims, "field_definition_id").withColumn("json", V.json_text(F.col("data_type"))).where("json IS NOT NULL")
-    found = rows.groupBy(F.col("document_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("name", "order_no", "json", "allow_multiple"))).alias("found"))
+    rows = fields.join(dims, "field_definition_id").withColumn("json", V.json_text(F.col("data_type")))
+    # not a filter on json: that would spell each value twice
+    valued = F.when(F.col("json").isNotNull(), F.struct("name", "order_no", "json", "allow_multiple"))
+    found = rows.groupBy(F.col("document_id").alias("id")).agg(F.array_sort(F.collect_list(valued)).alias("found")).where("size(found) > 0")
 
     def entry(name: Column) -> Column:
-        own = F.filter("found", lambda v: v["name"] == name)
-        several = F.concat(F.lit("["), F.array_join(F.transform(own, lambda v: v["json"]), ","), F.lit("]"))
-        return F.struct(name.alias("name"), F.when(own[0]["allow_multiple"], several).otherwise(own[0]["json"]).alias("value"))
+        several = lambda own: F.concat(F.lit("["), F.array_join(F.transform(own, lambda v: v["json"]), ","), F.lit("]"))
+        value = X.once(F.filter("found", lambda v: v["name"] == name), lambda own: F.when(own[0]["allow_multiple"], several(own)).otherwise(own[0]["json"]))
+        return F.struct(name.alias("name"), value.alias("value"))
 
     # one grouping by document: a document has few fields, so their values are told apart inside its row
     return found.select("id", F.map_from_entries(F.transform(F.array_distinct(F.transform("found", lambda v: v["name"])), entry)).alias("fields"))
@@ -51,10 +53,9 @@ def project_fields(fields: Column) -> Column:
     tag = lambda t: F.concat(F.lit('"<field>'), F.replace(F.regexp_replace(t, r'^"|"$', ""), F.lit("<"), F.lit("&lt;")), F.lit('</field>"'))
     single = lambda v: F.when(v.startswith('"'), tag(v)).otherwise(v)
     items = lambda v: F.transform(F.filter(F.regexp_extract_all(v, F.lit(_ITEM), F.lit(0)), lambda t: t != "null"), single)
-    several = lambda v: F.when(F.size(items(v)) > 0, F.concat(F.lit("["), F.array_join(items(v), ","), F.lit("]")))
+    several = lambda v: X.once(items(v), lambda found: F.when(F.size(found) > 0, F.concat(F.lit("["), F.array_join(found, ","), F.lit("]"))))
     shown = F.transform_values(fields, lambda k, v: F.when(v.startswith("["), several(v)).when(v != "null", single(v)))
-    shown = F.map_filter(shown, lambda k, v: v.isNotNull())
-    return F.when(F.size(shown) > 0, shown)
+    return X.once(F.map_filter(shown, lambda k, v: v.isNotNull()), lambda m: F.when(F.size(m) > 0, m))
 
 
 # -- export ----------------------------------------------------------------------------------------------------------------------

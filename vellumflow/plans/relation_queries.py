@@ -277,7 +277,8 @@ _JSON = f"CASE WHEN number_value IS NOT NULL THEN {_NUMBER} WHEN boolean_value I
 
 @query("p3_field_map", oracle(f"""SELECT document_id AS id, d.name, CASE WHEN d.allow_multiple THEN '[' || string_agg({_JSON}, ',' ORDER BY order_no) || ']' ELSE min({_JSON}) END AS value FROM d_extracted_fields f JOIN d_field_definitions d ON d.id = f.field_definition_id GROUP BY document_id, d.name, d.allow_multiple"""))
 def p3(spark, sf):
-    return A.field_map(D.extracted_fields(spark, sf), D.field_definitions(spark)).select("id", F.explode("fields").alias("name", "value"))
+    # no map is empty; an inner explode would have each map built once more, for a filter on its size
+    return A.field_map(D.extracted_fields(spark, sf), D.field_definitions(spark)).select("id", F.explode_outer("fields").alias("name", "value"))
 
 
 @query("p2_list_items", oracle(f"""WITH maps AS (SELECT id, string_agg(name || '=' || value, chr(10) ORDER BY name) AS shown FROM (SELECT document_id AS id, d.name, CASE WHEN d.allow_multiple THEN '[' || string_agg({_JSON}, ',' ORDER BY order_no) || ']' ELSE min({_JSON}) END AS value FROM d_extracted_fields f JOIN d_field_definitions d ON d.id = f.field_definition_id GROUP BY document_id, d.name, d.allow_multiple) GROUP BY id
