@@ -360,8 +360,10 @@ def shape_positions(shapes: DataFrame, frames: DataFrame, layouts: DataFrame, ma
         first = _placeholder(whole, "of", "place", "at").groupBy("of", "index", "type").agg(F.min_by("at", "place").alias(f"by_{name}")).withColumnRenamed("of", name)
         slots = slots.join(first, [name, "index", "type"], "left")
     inherited = slots.select("id", F.coalesce("by_layout", "by_master").alias("inherited"))
-    placed = frames.select(F.col("id").alias("parent"), *(F.col(f"{n}_{a}").alias(f"frame_{n}_{a}") for n in ("off", "scale") for a in "xy"), F.lit(True).alias("framed"))
-    met = known.join(placed, "parent", "left").join(inherited, "id", "left")
+    placed = frames.where("id IS NOT NULL").select(F.struct(F.lit(0).cast("long").alias("spread"), F.col("id").alias("of")).alias("_group"), *(F.col(f"{n}_{a}").alias(f"frame_{n}_{a}") for n in ("off", "scale") for a in "xy"))
+    # shapes on the slide itself are in no group; by a key of null they would all come into one task
+    group = F.struct(F.when(F.col("parent").isNull(), F.xxhash64("id")).otherwise(F.lit(0).cast("long")).alias("spread"), F.col("parent").alias("of"))
+    met = known.withColumn("_group", group).join(placed, "_group", "left").join(inherited, "id", "left")
 
     def at(axis: str) -> Column:
         off, scale = F.col(f"frame_off_{axis}"), F.col(f"frame_scale_{axis}")
