@@ -311,26 +311,27 @@ def xy_cut(boxes: DataFrame, keys: list[str], gap_x: float, gap_y: float, deepes
     """
     sides = ["left", "right", "bottom", "top"]
     missing = " OR ".join(f"{s} IS NULL" for s in sides)
-    state = boxes.where(f"NOT ({missing})").withColumn("path", F.lit("")).withColumn("going", F.lit(True))
-    done = boxes.where(missing).withColumn("path", F.lit(None).cast("string"))
+    going = boxes.where(f"NOT ({missing})").withColumn("path", F.lit(""))
+    found = boxes.where(missing).withColumn("path", F.lit(None).cast("string"))
     part = [*keys, "path"]
     for _ in range(deepest):
-        across, down = Window.partitionBy(*part).orderBy("left", "right"), Window.partitionBy(*part).orderBy(F.desc("top"), F.desc("bottom"))
-        before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+        # all windows are over the same parts, so a round is one exchange of the boxes whose part was cut in the round before
+    whole, across, down = Window.partitionBy(*part), Window.partitionBy(*part).orderBy("left", "right"), Window.partitionBy(*part).orderBy(F.desc("top"), F.desc("bottom"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    widest = lambda free, edge: F.max(F.struct(F.col(free).alias("free"), edge.alias("edge"))).over(whole)
         free_x = (F.col("left") - F.max("right").over(before(across))) / gap_x
         free_y = (F.min("bottom").over(before(down)) - F.col("top")) / gap_y
-        gaps = state.where("going").select(*part, free_x.alias("fx"), free_y.alias("fy"), "left", "top")
-        widest = lambda free, edge: F.max(F.struct(F.col(free).alias("free"), (-F.col(edge) if edge == "left" else F.col(edge)).alias("edge")))
-        cuts = gaps.groupBy(*part).agg(widest("fx", "left").alias("x"), widest("fy", "top").alias("y"))
-        upright = (F.col("x.free") >= 1) & (F.col("x.free") >= F.coalesce("y.free", F.lit(0.0)))
-        cuts = cuts.select(*part, F.when(upright, -F.col("x.edge")).alias("cut_x"), F.when(~F.coalesce(upright, F.lit(False)) & (F.col("y.free") >= 1), F.col("y.edge")).alias("cut_y"))
-        cuts = cuts.where("cut_x IS NOT NULL OR cut_y IS NOT NULL")
-        behind = F.when(F.col("cut_x").isNotNull(), F.col("left") >= F.col("cut_x")).otherwise(F.col("top") <= F.col("cut_y"))
-        met = state.drop("going").join(cuts, part, "left")
-        state = cut(met.withColumn("going", behind.isNotNull()).withColumn("path", F.when(behind.isNull(), F.col("path")).otherwise(F.concat("path", F.when(behind, "1").otherwise("0")))).drop("cut_x", "cut_y"), "parts")
-        if state.where("going").isEmpty():
-            break
-    return state.drop("going").unionByName(done)
+        gaps = going.withColumn("_fx", free_x).withColumn("_fy", free_y)
+        gaps = gaps.withColumn("_x", widest("_fx", -F.col("left"))).withColumn("_y", widest("_fy", F.col("top")))
+        upright = F.coalesce((F.col("_x.free") >= 1) & (F.col("_x.free") >= F.coalesce("_y.free", F.lit(0.0))), F.lit(False))
+        behind = F.when(upright, F.col("left") >= -F.col("_x.edge")).when(F.col("_y.free") >= 1, F.col("top") <= F.col("_y.edge"))
+        state = gaps.withColumn("_cut", behind.isNotNull()).withColumn("path", F.concat("path", F.when(behind, "1").when(~behind, "0").otherwise("")))
+        state = cut(state.select(*boxes.columns, "path", "_cut"), "parts")
+        found = found.unionByName(state.where("NOT _cut").drop("_cut"))
+        going = state.where("_cut").drop("_cut")
+        if going.isEmpty():
+            return found
+    return found.unionByName(going)
 
 
 #: A placeholder without a type is a body, and a centred title is a title.
