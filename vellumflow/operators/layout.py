@@ -39,6 +39,7 @@ def touching(left: DataFrame, right: DataFrame, keys: list[str], width: float |
     b = _binned(right.select(*keys, F.col("low").alias("low_b"), F.col("high").alias("high_b"), F.struct(*right.columns).alias("b")), "low_b", "high_b", width)
     place = [*keys, "bin"]
     full = a.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / bin_rows).cast("int").alias("tasks")).where("tasks > 1")
+    full = F.broadcast(full)  # at most a row for each bin_rows rows
     a = a.join(full, place, "left").withColumn("task", F.pmod(F.xxhash64("a"), F.coalesce("tasks", F.lit(1)).cast("long")).cast("int")).drop("tasks")
     b = b.join(full, place, "left").withColumn("task", F.explode(F.sequence(F.lit(0), F.coalesce("tasks", F.lit(1)) - 1))).drop("tasks")
     met = a.join(b, [*place, "task"]).where("low <= high_b AND low_b <= high")
@@ -50,6 +51,8 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], share: floa
 
     An interval without length overlaps nothing.
     """
+    # both sides are read several times: for the width of bins, for full bins, for the join
+    left, right = (cut(left, "intervals"),) * 2 if left is right else (cut(left, "intervals"), cut(right, "intervals"))
     both = F.least("a.high", "b.high") - F.greatest("a.low", "b.low")
     shorter = F.least(F.col("a.high") - F.col("a.low"), F.col("b.high") - F.col("b.low"))
     pairs = touching(left, right, keys, width, bin_rows).where((both > 0) & (shorter > 0))
