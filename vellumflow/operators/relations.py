@@ -90,10 +90,14 @@ def running_lines(pages: DataFrame, edge: int = 3, share: float = 0.5, least: in
     same = lambda t: F.lower(fold(F.regexp_replace(t, "[0-9\uff10-\uff19]+", "#")))
     band = lambda name, lines: F.transform(lines, lambda t: F.struct(F.lit(name).alias("band"), same(t).alias("line")))
     last = F.slice("lines", F.greatest(F.size("lines") - edge + 1, F.lit(1)), F.lit(edge))
-    edges = pages.select("document", "page", F.explode(F.concat(band("top", F.slice("lines", 1, edge)), band("bottom", last))).alias("e")).select("document", "page", "e.*")
-    counts = edges.where("line <> ''").groupBy("document", "band", "line").agg(F.count_distinct("page").alias("pages"))
-    of = pages.groupBy("document").agg(F.count_distinct("page").alias("all_pages"))
-    running = counts.join(of, "document").where(F.col("pages") >= F.greatest(F.lit(least), F.ceil(F.col("all_pages") * share)))
+    # one exchange, of pages by document: all groupings are within a document
+    met = pages.select("document", "page", F.struct(F.slice("lines", 1, edge).alias("first"), last.alias("last")).alias("ends")).repartition("document")
+    each = met.groupBy("document", "page").agg(F.collect_set("ends").alias("ends"))
+    lines = F.flatten(F.transform("ends", lambda e: F.concat(band("top", e["first"]), band("bottom", e["last"]))))
+    edges = each.select("document", "page", F.explode(F.array_distinct(lines)).alias("e")).select("document", "page", "e.*")
+    counts = edges.where("line <> ''").groupBy("document", "band", "line").agg(F.count("page").alias("pages")).where(F.col("pages") >= least)
+    of = met.groupBy("document").agg(F.count_distinct("page").alias("all_pages"))
+    running = counts.join(of, "document").where(F.col("pages") >= F.ceil(F.col("all_pages") * share))
     return running.select("document", "band", "line", "pages")
 
 
