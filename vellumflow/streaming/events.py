@@ -45,7 +45,6 @@ def rate(events: DataFrame, limit: int = M.RATE_LIMIT, width: str = M.RATE_WINDO
     return counts.select("document_id", F.col("w.start").alias("window_start"), "requests", F.greatest(F.col("requests") - limit, F.lit(0)).alias("rejected"))
 
 
-RUN_STATES = "document_id long, pipeline string, attempts long, attempt long, run_id long, status long, failed long, collisions long, stale long"
 RUN_MEMORY = "attempts long, attempt long, run_id long, status long, failed long, collisions long, stale long"
 
 
@@ -59,10 +58,12 @@ def run_states(changes: DataFrame) -> DataFrame:
     changes to failed. Memory per key is one row, whatever the number of runs.
     """
 
+    counts = [c.split()[0] for c in RUN_MEMORY.split(", ")]
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         attempts, attempt, run, status, failed, collisions, stale = state.get if state.exists else (0, 0, -1, 0, 0, 0, 0)
-        rows = pd.concat(list(batches)).sort_values(["event_time", "event_id"])
-        for number, of, to in zip(rows["attempt"].tolist(), rows["run_id"].tolist(), rows["status"].tolist()):
+        rows = sorted(tuple(map(int, change.split(","))) for batch in batches for change in batch["change"].tolist())
+        for _, _, number, of, to in rows:
             if number < attempt:
                 stale += 1
             elif number == attempt and of != run:
@@ -73,9 +74,15 @@ def run_states(changes: DataFrame) -> DataFrame:
                 failed += to == M.RUN_FAILED
         memory = tuple(int(v) for v in (attempts, attempt, run, status, failed, collisions, stale))
         state.update(memory)
-        yield pd.DataFrame([(*key, *memory)], columns=[c.split()[0] for c in RUN_STATES.split(", ")])
-
-    return changes.groupBy("document_id", "pipeline").applyInPandasWithState(step, RUN_STATES, RUN_MEMORY, "update", "NoTimeout")
+        yield pd.DataFrame({"document_id": [key[0]], "pipeline": [key[1]], "memory": [",".join(map(str, memory))]})
+
+    # Spark turns each column of each group into a Series of its own, and groups are small: a change is one text on its way
+    last = F.lit(2**63 - 1)
+    when = F.coalesce(F.unix_micros(F.col("event_time").cast("timestamp")), last)
+    change = F.concat_ws(",", when, F.coalesce("event_id", last), "attempt", "run_id", "status")
+    packed = changes.select("document_id", "pipeline", change.alias("change"))
+    states = packed.groupBy("document_id", "pipeline").applyInPandasWithState(step, "document_id long, pipeline string, memory string", RUN_MEMORY, "update", "NoTimeout")
+    return states.select("document_id", "pipeline", *[F.split("memory", ",")[k].cast("long").alias(name) for k, name in enumerate(counts)])
 
 
 def shared_folder(spark: SparkSession) -> str:
