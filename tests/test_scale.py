@@ -81,3 +81,21 @@ def test_running_lines_exchange_pages_by_document(spark):
     out = R.running_lines(spark.createDataFrame(rows, "document long, page long, lines array<string>"))
     assert sorted(tuple(r) for r in out.collect()) == [(1, "bottom", "head #", 2), (1, "top", "head #", 2)]
     assert "hashpartitioning(document#" in plan(out) and not re.findall(r"hashpartitioning\(document#\d+L, (?:band|line)", plan(out))
+
+
+def test_captions_and_paragraphs_read_their_boxes_once(spark, sf, monkeypatch):
+    from vellumflow.plans import layout_queries as Q
+
+    items, targets = Q._captions(spark, sf)
+    for df in (items, targets, Q._leveled(spark, sf)):
+        assert "l_orderkey" not in plan(df)
+
+
+def test_a_change_of_a_run_is_one_column_on_its_way(spark):
+    """Spark makes a Series of each column of each group, and most groups are small."""
+    from vellumflow.streaming import events as E
+
+    changes = spark.readStream.format("rate").load().selectExpr("value AS document_id", "'p' AS pipeline", "value AS attempt", "value AS run_id", "value AS status", "timestamp AS event_time", "value AS event_id")
+    states = E.run_states(changes)
+    assert states.columns == "document_id pipeline attempts attempt run_id status failed collisions stale".split()
+    assert re.search(r"FlatMapGroupsInPandasWithState step\(document_id#\d+L, pipeline#\d+, change#\d+\)", plan(states, "analyzed"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumflow.functions import text as X
+from vellumflow.operators.graph import cut
 from vellumflow.operators.layout import median_positive
 
 LEVELS, BOLD_GAP = 6, 2  # most heading levels; points above body text from which a heading need not be bold
@@ -79,6 +80,7 @@ def paragraphs(lines: DataFrame, keys: list[str]) -> DataFrame:
     without spaces in a paragraph, nor where one is empty there. Lines with a null side have no place and are left out; a null level is 0.
     """
     known = lines.where("right IS NOT NULL AND top IS NOT NULL AND bottom IS NOT NULL").select(*keys, "line", F.coalesce("text", F.lit("")).alias("text"), "right", "bottom", "top", F.coalesce("level", F.lit(0)).alias("level"))
+    known = cut(known, "leveled")  # read for the model and for the paragraphs
     model = paragraph_model(known, keys).select(*[F.col(k).alias(f"_of_{k}") for k in keys], "height", "pitch", "margin", "tolerance")
     rows = known.join(model, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
     along = Window.partitionBy(*keys).orderBy("line")

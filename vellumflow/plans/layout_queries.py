@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vellumflow.operators import layout as L
 from vellumflow.operators import paragraphs as P
+from vellumflow.operators.graph import cut
 from vellumflow.plans.registry import query
 from vellumflow.sources import derived as D
 from vellumflow.sources.derived import oracle
@@ -258,7 +259,7 @@ _MODEL = """heights AS (
 
 
 def _leveled(spark, sf):
-    lines = D.drawn(spark, sf, "d_textlines")
+    lines = cut(D.drawn(spark, sf, "d_textlines"), "textlines")  # for the sizes and for the lines
     return P.with_levels(lines, lines.select("page", "size", F.length("text").alias("count")), ["page"])
 
 
