@@ -67,15 +67,15 @@ def median_positive(value: Column) -> Column:
 def near(items: DataFrame, targets: DataFrame, keys: list[str], wrap: tuple[str, str] = ("item", "target")) -> DataFrame:
     """keys, item, place, target, target_place, distance (squared) of the pairs within reach of each other.
 
-    Items and targets have the columns keys, id, place, x, y; reach is a column of items, one value for each key. Items go to their
-    cell of a grid as wide as the reach and to the eight around it. Nulls are near to nothing; a reach that is not positive reaches nothing.
+    Items and targets have the columns keys, id, place, x, y; reach is a column of items, one value for each key. Items go to the
+    cells that they reach of a grid twice as wide as the reach, which are four. Nulls are near to nothing; a reach that is not positive reaches nothing.
     """
     item, target = wrap
     reaches = items.where("reach > 0").groupBy(*keys).agg(F.max("reach").alias("reach"))
-    cell = lambda c: F.floor(F.col(c) / F.col("reach")).cast("long")
-    placed = items.drop("reach").join(reaches, keys).select(*keys, F.col("id").alias(item), "place", F.col("x").alias("ix"), F.col("y").alias("iy"), cell("x").alias("cx"), cell("y").alias("cy"), "reach")
-    around = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))
-    placed = placed.withColumn("d", F.explode(around)).withColumn("cx", F.col("cx") + F.col("d.dx")).withColumn("cy", F.col("cy") + F.col("d.dy"))
+    cell = lambda c, by=0: F.floor((F.col(c) + by * F.col("reach")) / (2 * F.col("reach"))).cast("long")
+    placed = items.drop("reach").join(reaches, keys).select(*keys, F.col("id").alias(item), "place", F.col("x").alias("ix"), F.col("y").alias("iy"), "reach")
+    for c in "xy":  # a little more than the reach, as distances are rounded
+        placed = placed.withColumn(f"c{c}", F.explode(F.sequence(cell(f"i{c}", -1.000001), cell(f"i{c}", 1.000001))))
     others = targets.join(reaches, keys).select(*keys, F.col("id").alias(target), F.col("place").alias("target_place"), "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
     met = placed.join(others, [*keys, "cx", "cy"])
     squared = (F.col("x") - F.col("ix")) * (F.col("x") - F.col("ix")) + (F.col("y") - F.col("iy")) * (F.col("y") - F.col("iy"))
@@ -317,11 +317,11 @@ def xy_cut(boxes: DataFrame, keys: list[str], gap_x: float, gap_y: float, deepes
     going = boxes.where(f"NOT ({missing})").withColumn("path", F.lit(""))
     found = boxes.where(missing).withColumn("path", F.lit(None).cast("string"))
     part = [*keys, "path"]
-    for _ in range(deepest):
-        # all windows are over the same parts, so a round is one exchange of the boxes whose part was cut in the round before
     whole, across, down = Window.partitionBy(*part), Window.partitionBy(*part).orderBy("left", "right"), Window.partitionBy(*part).orderBy(F.desc("top"), F.desc("bottom"))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     widest = lambda free, edge: F.max(F.struct(F.col(free).alias("free"), edge.alias("edge"))).over(whole)
+    for _ in range(deepest):
+        # all windows are over the same parts, so a round is one exchange of the boxes whose part was cut in the round before
         free_x = (F.col("left") - F.max("right").over(before(across))) / gap_x
         free_y = (F.min("bottom").over(before(down)) - F.col("top")) / gap_y
         gaps = going.withColumn("_fx", free_x).withColumn("_fy", free_y)

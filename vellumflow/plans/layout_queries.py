@@ -22,6 +22,7 @@ def j9(spark, sf):
 def _captions(spark, sf):
     """Figures, and the lines that could be captions, with the reach of each page."""
     boxes = D.drawn(spark, sf, "d_boxes").select("page", "id", F.col("id").alias("place"), ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"), (F.col("y1") - F.col("y0")).alias("height"), "kind")
+    boxes = cut(boxes.drop("place"), "boxes").withColumn("place", F.col("id"))  # for figures, lines and the reach
     lines = boxes.where("kind <> 1")
     reach = lines.groupBy("page").agg((L.CAPTION_LINES * F.greatest(L.median_positive(F.col("height")), F.lit(1.0))).alias("reach"))
     return boxes.where("kind = 1").join(reach, "page"), lines.where("kind IN (2, 3)")
