@@ -117,6 +117,53 @@ def test_rules_and_clusters(spark):
     assert [r.c for r in values.select(L.clustered(F.col("v"), 3.0).alias("c")).collect()] == [[7 / 3, 18.75 / 3], [], [3.0]]
 
 
+def _grids_by_hand(rows):
+    """page and least rule of each table, with its columns and rows; a rule without number is none, without page it crosses none, and those of one number are one."""
+    rows = [r for r in rows if r[1] is not None]
+    label = {r[1]: r[1] for r in rows}
+    changed = True
+    while changed:
+        changed = False
+        for page, a, across, at, low, high in rows:
+            for other, b, upright, x, bottom, top in rows if across else ():
+                if page is not None and page == other and not upright and low - 3 <= x <= high + 3 and bottom - 3 <= at <= top + 3 and label[a] != label[b]:
+                    label[a] = label[b] = min(label[a], label[b])
+                    changed = True
+    found = {}
+    for page, rule, across, at, _, _ in rows:
+        found.setdefault((page, label[rule]), ([], []))[across].append(at)
+
+    def clusters(values):
+        done = []
+        for v in sorted(values):
+            if done and v - done[-1][0] <= 3:
+                done[-1].append(v)
+            else:
+                done.append([v])
+        return [sum(c) / len(c) for c in done]
+
+    tables = {k: (clusters(x), clusters(y)) for k, (x, y) in found.items()}
+    return {k: t for k, t in tables.items() if min(map(len, t)) >= 3}
+
+
+@pytest.mark.parametrize("bin_rows", [L.BIN_ROWS, 2])
+def test_ruled_grids(spark, bin_rows):
+    """Random rules over several bins, numbered in any order; bins that are dealt to tasks; rules in a chain, without number, without page, and a number that is repeated."""
+    r, rows = random.Random(11), []
+    for page in range(12):
+        numbers = r.sample(range(page * 100, page * 100 + 100), 40)
+        for k in numbers:
+            low, at = float(r.randrange(400)), float(r.randrange(500))
+            rows.append((page, k, r.random() < 0.5, at, low, low + r.choice((18, 60, 200))))
+    # a stair, each step crosses the next one only
+    rows += [(50, 5000 + (7 * k) % 41, k % 2 == 0, 100.0 * (k // 2) + 100 * (k % 2), 100.0 * ((k + 1) // 2) + (0 if k % 2 == 0 else -100), 100.0 * ((k + 1) // 2) + (100 if k % 2 == 0 else 0)) for k in range(40)]
+    rows += [(None, 6000 + k, k < 3, 10.0 * k, 0.0, 90.0) for k in range(6)] + [(60, None, k < 3, 10.0 * k, 0.0, 90.0) for k in range(6)]
+    rows += [(61, 7000, k < 3, 1000.0 * k, 0.0, 20.0) for k in range(6)]
+    got = L.ruled_grids(spark.createDataFrame(rows, "page long, rule long, across boolean, at double, low double, high double"), bin_rows=bin_rows).collect()
+    want = _grids_by_hand(rows)
+    assert len(got) == len(want) > 6 and {(g.page, g.grid): (g["columns"], g["rows"]) for g in got} == want and {(50, 5000), (61, 7000)} <= set(want)
+
+
 def test_half_open_bands(spark):
     grids = spark.createDataFrame([(1, 7, [0.0, 10.0, 20.0], [0.0, 5.0, 9.0])], "page long, grid long, columns array<double>, rows array<double>")
     points = spark.createDataFrame([(1, 0.0, 0.0), (1, 10.0, 5.0), (1, 20.0, 5.0), (1, 19.9, 8.9), (1, -0.1, 1.0), (2, 1.0, 1.0), (1, None, 1.0)], "page long, x double, y double")
@@ -142,6 +189,17 @@ def test_components(spark):
         G.components(spark.createDataFrame(links, "a long, b long"), spark.createDataFrame([(n,) for n in nodes], "node long"), rounds=1)
 
 
+def test_links_in_a_long_chain_and_in_any_order(spark):
+    """Twelve rounds are enough for chains of 400 links, however their nodes are numbered; hubs may be the least or the greatest node."""
+    r = random.Random(3)
+    numbers = r.sample(range(10_000, 20_000), 400)
+    links = [(k, k + 1) for k in range(400)] + list(zip(numbers, numbers[1:], strict=False)) + [(30_000, k) for k in range(30_001, 30_050)] + [(40_000, k) for k in range(39_950, 40_000)] + [(1, None)]
+    r.shuffle(links)
+    got = {row.node: row.component for row in G.linked_components(spark.createDataFrame(links, "a long, b long"), rounds=12).collect()}
+    want = dict.fromkeys(range(401), 0) | dict.fromkeys(numbers, min(numbers)) | dict.fromkeys(range(30_000, 30_050), 30_000) | dict.fromkeys(range(39_950, 40_001), 39_950)
+    assert got == want
+
+
 def test_transforms_along_chains_circles_and_orphans(spark):
     """A chain of 16 groups, a circle, an orphan and a group without numbers."""
     plain = lambda i, parent: (i, parent, 10, 20, 2, 3, 300, 100, 100, 0)

@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from vellumflow.operators import graph as G
 from vellumflow.operators import layout as L
 from vellumflow.operators import relations as R
 from vellumflow.plans import catalog
@@ -104,3 +105,22 @@ def test_a_change_of_a_run_is_one_column_on_its_way(spark):
     states = E.run_states(changes)
     assert states.columns == "document_id pipeline attempts attempt run_id status failed collisions stale".split()
     assert re.search(r"FlatMapGroupsInPandasWithState step\(document_id#\d+L, pipeline#\d+, change#\d+\)", plan(states, "analyzed"))
+
+
+def test_links_of_a_drawn_table_are_as_many_as_its_rules(spark, monkeypatch):
+    """40 rules across 40 others: 1600 crossings, but 79 links that are at rest when they are written, and boundaries that are clustered once."""
+    written, real = [], L.cut
+
+    def watched(df, name):
+        out = real(df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(L, "cut", watched)
+    monkeypatch.setattr(G, "cut", watched)
+    rows = [(1, k, True, 20.0 * k, 0.0, 400.0) for k in range(40)] + [(1, 100 + k, False, 10.0 * k, 0.0, 800.0) for k in range(40)]
+    found = L.ruled_grids(spark.createDataFrame(rows, "page long, rule long, across boolean, at double, low double, high double"))
+    assert [tuple(r) for r in found.collect()] == [(1, 0, [10.0 * k for k in range(40)], [20.0 * k for k in range(40)])]
+    assert [n for name, n in written if name == "links"] == [79]
+    placed = L.in_grids(spark.createDataFrame([(1, 5.0, 5.0)], "page long, x double, y double"), found)
+    assert "reduce(" not in plan(placed, "optimizedPlan")

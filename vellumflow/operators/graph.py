@@ -25,27 +25,33 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def components(links: DataFrame, nodes: DataFrame, rounds: int = 64) -> DataFrame:
-    """node, component: for each node the least one that links (a, b) reach, itself included.
+def linked_components(links: DataFrame, rounds: int = 64) -> DataFrame:
+    """node, component: for each node that a link (a, b) joins with another one the least node that links reach, itself included.
 
-    In a round a node takes the least component among its neighbours', then that component's own. Links with a null end are
+    Links lead down from the greater end. In a round a link comes to lead to the least neighbour of its lower end, then all ends
+    of links from one node to the least of them. At rest, a node with a lesser neighbour has no other. Links with a null end are
     none; links to oneself and repeated ones do no harm. RuntimeError if it has not come to rest after so many rounds.
     """
-    both = links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
-    both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    state = nodes.select("node", F.col("node").alias("component")).where("node IS NOT NULL").distinct()
+    down = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     for _ in range(rounds):
-        near = both.join(state, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("seen"))
-        moved = state.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("component").alias("was"), F.least("component", "seen").alias("component"))
-        above = moved.select(F.col("node").alias("at"), F.col("component").alias("further"))
-        jumped = moved.join(above, F.col("component") == F.col("at"), "left").select("node", "was", F.coalesce("further", "component").alias("component"))
-        jumped = cut(jumped, "components")
-        state = jumped.select("node", "component")
-        if jumped.where("component <> was").isEmpty():
-            return state
+        down = cut(down.distinct(), "links")
+        ends = down.unionByName(down.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        ends = cut(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"), F.max("b").alias("most")), "components")
+        if ends.where("least < node AND least <> most").isEmpty():
+            return ends.select("node", F.least("node", "least").alias("component"))
+        lower = cut(down.join(ends, F.col("b") == F.col("node")).select("a", F.least("b", "least").alias("b")).distinct(), "links")
+        first = lower.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
+        pairs = F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))
+        down = lower.join(first, F.col("a") == F.col("node")).select(F.explode(pairs).alias("link")).select("link.*").where("a <> b")
     raise RuntimeError(f"components have not come to rest after {rounds} rounds")
 
 
+def components(links: DataFrame, nodes: DataFrame, rounds: int = 64) -> DataFrame:
+    """node, component of linked_components() for all nodes; one without links is its own component."""
+    linked = linked_components(links, rounds).withColumnRenamed("node", "linked")
+    return nodes.select("node").where("node IS NOT NULL").distinct().join(linked, F.col("node") == F.col("linked"), "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
 def along_hierarchy(rows: DataFrame, root: dict[str, Column], child: dict[str, Column], deepest: int = 64) -> DataFrame:
     """rows (id, parent, ...) with new columns that depend on the parent's, level by level from the roots, and depth (roots: 0).
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumflow.operators.graph import along_hierarchy, components, cut
+from vellumflow.operators.graph import along_hierarchy, cut, linked_components
 
 BIN_ROWS = 20_000  # of one side in a bin; a fuller bin is dealt to several tasks
 CAPTION_LINES = 6  # a caption stands within so many line heights of its figure
@@ -24,14 +24,8 @@ def _binned(rows: DataFrame, low: str, high: str, width: float) -> DataFrame:
     return rows.where(finite).withColumn("bin", F.explode(F.sequence(F.floor(F.col(low) / width).cast("long"), F.floor(F.col(high) / width).cast("long"))))
 
 
-def touching(left: DataFrame, right: DataFrame, keys: list[str], width: float | None = None, bin_rows: int = BIN_ROWS) -> DataFrame:
-    """Pairs of rows with equal keys whose intervals [low, high] have a point in common: keys, a and b (the rows as structs).
-
-    Both sides have the columns low and high. Each interval goes to the bins that it touches, bins are joined by number, and a
-    pair counts where the later of both starts. A bin with many rows of the left side is dealt to several tasks, and the right
-    rows go to each of them. Without a width, bins are as wide as nine tenths of the intervals at most. Nulls, infinite ends and
-    intervals that end before they start touch nothing.
-    """
+def _meeting(left: DataFrame, right: DataFrame, keys: list[str], width: float | None, bin_rows: int) -> DataFrame:
+    """touching() with the bin and the task where a pair met: about bin_rows rows of the left side are in one, and pairs are partitioned by them."""
     if width is None:
         lengths = left.select(F.col("high") - F.col("low")).union(right.select(F.col("high") - F.col("low"))).toDF("n")
         width = lengths.where("n > 0 AND n < 1e300").agg(F.percentile_approx("n", 0.9)).first()[0] or 1.0
@@ -43,7 +37,18 @@ def touching(left: DataFrame, right: DataFrame, keys: list[str], width: float |
     a = a.join(full, place, "left").withColumn("task", F.pmod(F.xxhash64("a"), F.coalesce("tasks", F.lit(1)).cast("long")).cast("int")).drop("tasks")
     b = b.join(full, place, "left").withColumn("task", F.explode(F.sequence(F.lit(0), F.coalesce("tasks", F.lit(1)) - 1))).drop("tasks")
     met = a.join(b, [*place, "task"]).where("low <= high_b AND low_b <= high")
-    return met.where(F.floor(F.greatest("low", "low_b") / width).cast("long") == F.col("bin")).select(*keys, "a", "b")
+    return met.where(F.floor(F.greatest("low", "low_b") / width).cast("long") == F.col("bin")).select(*place, "task", "a", "b")
+
+
+def touching(left: DataFrame, right: DataFrame, keys: list[str], width: float | None = None, bin_rows: int = BIN_ROWS) -> DataFrame:
+    """Pairs of rows with equal keys whose intervals [low, high] have a point in common: keys, a and b (the rows as structs).
+
+    Both sides have the columns low and high. Each interval goes to the bins that it touches, bins are joined by number, and a
+    pair counts where the later of both starts. A bin with many rows of the left side is dealt to several tasks, and the right
+    rows go to each of them. Without a width, bins are as wide as nine tenths of the intervals at most. Nulls, infinite ends and
+    intervals that end before they start touch nothing.
+    """
+    return _meeting(left, right, keys, width, bin_rows).select(*keys, "a", "b")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], share: float = 0.5, width: float | None = None, bin_rows: int = BIN_ROWS) -> DataFrame:
@@ -175,20 +180,25 @@ def clustered(values: Column, tolerance: float = TOLERANCE) -> Column:
     return F.reduce(values, start, add, lambda s: F.when(s["n"] > 0, F.concat(s["done"], F.array(s["sum"] / s["n"]))).otherwise(s["done"]))
 
 
-def ruled_grids(drawn: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+def ruled_grids(drawn: DataFrame, tolerance: float = TOLERANCE, bin_rows: int = BIN_ROWS) -> DataFrame:
     """page, grid, columns, rows: ascending boundaries of each drawn table of two columns and two rows at least.
 
     A table is what crossing rules connect, directly or over others; grid is its least rule. Rules (see rules()) that nearly
-    coincide are one boundary. The rules of one table are gathered in a row, those of a page are not.
+    coincide are one boundary. The rules of one table are gathered in a row, those of a page are not. Where rules meet, all that
+    cross the same upright one are linked with the least of them, so links are about as many as rules, not as crossings.
     """
     drawn = cut(drawn, "rules")
     lying = drawn.where("across").select("page", "rule", "at", F.col("low").alias("from"), F.col("high").alias("to"), (F.col("low") - tolerance).alias("low"), (F.col("high") + tolerance).alias("high"))
     upright = drawn.where("NOT across").select("page", "rule", "at", F.col("low").alias("from"), F.col("high").alias("to"), F.col("at").alias("low"), F.col("at").alias("high"))
-    met = touching(lying, upright, ["page"], width=128.0).where(F.col("a.at").between(F.col("b.from") - tolerance, F.col("b.to") + tolerance))
-    linked = components(met.select(F.col("a.rule").alias("a"), F.col("b.rule").alias("b")), drawn.select(F.col("rule").alias("node")))
-    placed = drawn.join(linked.select(F.col("node").alias("rule"), F.col("component").alias("grid")), "rule")
+    met = _meeting(lying, upright, ["page"], 128.0, bin_rows).where(F.col("a.at").between(F.col("b.from") - tolerance, F.col("b.to") + tolerance))
+    met = met.select("page", "bin", "task", F.col("a.rule").alias("a"), F.col("b.rule").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    met = met.withColumn("least", F.min("a").over(Window.partitionBy("page", "bin", "task", "b")))  # where they met: no exchange, about bin_rows rows at most
+    linked = linked_components(met.select(F.when(F.col("a") == F.col("least"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("least").alias("b")))
+    placed = drawn.where("rule IS NOT NULL").join(linked.withColumnRenamed("node", "rule"), "rule", "left").withColumn("grid", F.coalesce("component", "rule"))
     gathered = placed.groupBy("page", "grid").agg(F.array_sort(F.collect_list(F.when(~F.col("across"), F.col("at")))).alias("x"), F.array_sort(F.collect_list(F.when(F.col("across"), F.col("at")))).alias("y"))
-    return gathered.select("page", "grid", clustered(F.col("x"), tolerance).alias("columns"), clustered(F.col("y"), tolerance).alias("rows")).where(F.least(F.size("columns"), F.size("rows")) >= 3)
+    # written, so that each filter and join condition on the boundaries does not cluster them again
+    found = cut(gathered.select("page", "grid", clustered(F.col("x"), tolerance).alias("columns"), clustered(F.col("y"), tolerance).alias("rows")), "grids")
+    return found.where(F.least(F.size("columns"), F.size("rows")) >= 3)
 
 
 def in_grids(points: DataFrame, grids: DataFrame) -> DataFrame:
